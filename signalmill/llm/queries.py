@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from signalmill.llm.chat import OP7_SQL, op7_chat_formatting
 from signalmill.llm.mixing import op10_mixing
+from signalmill.llm.pii import op3_pii
 from signalmill.llm.quality import op8_quality_rules
+from signalmill.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_pii": op3_pii,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_rules": op8_quality_rules,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_chat_formatting": OP7_SQL}
