@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from signalmill.llm.common import load, remainder, remainder_col
 
-SAMPLE, FEATURES, LEAST_DOCS = 8000, 2000, 3
+SAMPLE, FEATURES, LEAST_DOCS = 20_000, 2000, 3
 _WORD, _SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?\n]+")
 BEGINNINGS, LONGEST = range(3, 8), 64
 CACHE = 200_000
@@ -79,7 +79,7 @@ class Model:
         return min(max(out, 0.0), 1.0), [(*where[k], float(p[k])) for k in np.flatnonzero(p >= 0.5)]
 
 
-def fit(docs: list[tuple[int, int, list[list[int]]]], n_features: int, steps: int = 400, rate: float = 0.1, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit(docs: list[tuple[int, int, list[list[int]]]], n_features: int, steps: int = 600, rate: float = 0.1, ridge: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the noisy-or likelihood. docs: (label, sentences without any feature, features of the others)."""
     y = np.array([d[0] for d in docs], float)
     idle = np.array([d[1] for d in docs], float)
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     counts = rows.mapInArrow(count, "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     mean = (F.col("bad") + F.col("good")) * rate
     excess = (F.col("bad") - mean) / F.sqrt(mean * (1 - rate) + 0.5)
-    picked = [r["f"] for r in counts.where(f"bad >= {LEAST_DOCS}").withColumn("z", excess).where("z > 2.5").orderBy(F.desc("z"), "f").limit(FEATURES).collect()]
+    picked = [r["f"] for r in counts.where(f"bad >= {LEAST_DOCS}").withColumn("z", excess).where("z > 4").orderBy(F.desc("z"), "f").limit(FEATURES).collect()]
     index = {f: k for k, f in enumerate(picked)}
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
