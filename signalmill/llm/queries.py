@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from signalmill.llm.chat import OP7_SQL, op7_chat_formatting
+from signalmill.llm.jaccard import OP9_SQL, op9_jaccard
 from signalmill.llm.mixing import op10_mixing
 from signalmill.llm.pii import op3_pii
 from signalmill.llm.quality import op8_quality_rules
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_rules": op8_quality_rules,
+    "op9_jaccard": op9_jaccard,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {"op7_chat_formatting": OP7_SQL}
+SQL: dict[str, str] = {"op7_chat_formatting": OP7_SQL, "op9_jaccard": OP9_SQL}
