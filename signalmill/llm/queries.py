@@ -7,11 +7,13 @@ from signalmill.llm.jaccard import OP9_SQL, op9_jaccard
 from signalmill.llm.mixing import op10_mixing
 from signalmill.llm.pii import op3_pii
 from signalmill.llm.quality import op8_quality_rules
+from signalmill.llm.suffix import op6_suffix_dedup
 from signalmill.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard": op9_jaccard,
