@@ -9,14 +9,16 @@ from signalmill.llm.pii import op3_pii
 from signalmill.llm.quality import op8_quality_rules
 from signalmill.llm.suffix import op6_suffix_dedup
 from signalmill.llm.toxicity import op2_toxicity
+from signalmill.llm.vectors import OP5_SQL, op5_vectors
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
+    "op5_vectors": op5_vectors,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard": op9_jaccard,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {"op7_chat_formatting": OP7_SQL, "op9_jaccard": OP9_SQL}
+SQL: dict[str, str] = {"op5_vectors": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op9_jaccard": OP9_SQL}
