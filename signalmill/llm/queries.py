@@ -5,6 +5,7 @@ from __future__ import annotations
 from signalmill.llm.chat import OP7_SQL, op7_chat_formatting
 from signalmill.llm.jaccard import OP9_SQL, op9_jaccard
 from signalmill.llm.mixing import op10_mixing
+from signalmill.llm.packing import op4_packing
 from signalmill.llm.pii import op3_pii
 from signalmill.llm.quality import op8_quality_rules
 from signalmill.llm.suffix import op6_suffix_dedup
@@ -14,6 +15,7 @@ from signalmill.llm.vectors import OP5_SQL, op5_vectors
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
+    "op4_packing": op4_packing,
     "op5_vectors": op5_vectors,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chat_formatting": op7_chat_formatting,
