@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -54,7 +55,20 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     at = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.partitionBy(*partition_by).parquet(at) if partition_by else df.write.parquet(at)
-    return spark.read.schema(schema).parquet(at)
+    out = spark.read.schema(schema).parquet(at)
+    out.stored_at = at
+    # Shuffle files are removed once the driver has collected the plans that made them, which a large heap may put off for long.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing will read any more, so that their space counts once."""
+    for t in tables:
+        jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import components, load, raw, stored
+from signalmill.llm.common import components, dropped, load, raw, stored
 
 WORDS, TILE, CHUNK = 5, 4096, 1 << 16
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -142,16 +142,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _tiles(keys: DataFrame) -> DataFrame:
-    """Possible pairs of classes that share a key and are not joined yet. keys: k, rep, n, bits, comp."""
+def _tiles(keys: DataFrame, bits: DataFrame) -> DataFrame:
+    """Possible pairs of classes that share a key and are not joined yet. keys: k, rep, n, comp; bits: rep, bits.
+
+    A key with few classes is one tile. More are banded by size, and a band with its visitors from the band below is cut into blocks.
+    """
+    key, tile = Window.partitionBy("k"), Window.partitionBy("k", "band")
+    rows = keys.withColumn("m", F.count("*").over(key)).withColumn("mixed", F.min("comp").over(key) != F.max("comp").over(key)).where("mixed")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + F.lit(1e-9)).cast("int")
-    rows = keys.withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
-    tile = Window.partitionBy("k", "band")
+    rows = rows.withColumn("own", F.when(F.col("m") > TILE, band).otherwise(-1))
+    rows = rows.withColumn("band", F.explode(F.when(F.col("own") < 0, F.array("own")).otherwise(F.array("own", F.col("own") + 1))))
     rows = rows.withColumn("m", F.count("*").over(tile)).withColumn("mixed", F.min("comp").over(tile) != F.max("comp").over(tile))
-    rows = rows.withColumn("owned", F.max(F.col("own") == F.col("band")).over(tile)).where("mixed and owned and m > 1")
+    rows = rows.withColumn("owned", F.max(F.col("own") == F.col("band")).over(tile)).where("mixed and owned")
     blocks = F.ceil(F.col("m") / TILE).cast("int")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("tile", F.struct("k", "band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y")))
+    rows = rows.withColumn("t", F.xxhash64("k", "band", F.least("i", "j"), F.greatest("i", "j")))
 
     def one(ids, sizes, maps, comps, own, block) -> list[pa.RecordBatch]:
         if len(ids) < 2 or len(set(comps)) < 2:
@@ -184,12 +189,15 @@ def _tiles(keys: DataFrame) -> DataFrame:
                     to.append(v)
         yield from one(*held)
 
-    cols = rows.select(F.concat_ws("/", "tile.k", "tile.band", "tile.x", "tile.y").alias("t"), "rep", "n", "bits", "comp", (F.col("own") == F.col("band")).alias("o"), "i")
-    return cols.repartition("t").sortWithinPartitions("t").mapInArrow(run, "a long, b long")
+    slim = rows.select("rep", "t", "n", "comp", (F.col("own") == F.col("band")).alias("o"), F.col("i").cast("int")).join(bits.select("rep", "bits"), "rep")
+    return slim.select("t", "rep", "n", "bits", "comp", "o", "i").repartition("t").sortWithinPartitions("t").mapInArrow(run, "a long, b long")
 
 
 def classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """set_key, rep (smallest id of the class) and component (smallest id of the group). rows: with_sets(.., prefixes); texts: doc_id, text."""
+    """set_key, rep (smallest id of the class) and component (smallest id of the group).
+
+    rows: with_sets(.., prefixes) as a stored table, which is dropped here; texts: doc_id, text.
+    """
     # xxh3 of the sorted hashes stands for the set; equal sets give one row. Only rows of the standing id carry prefixes on.
     by_key = stored(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     head = rows.join(by_key.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
@@ -198,16 +206,23 @@ def classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
     keys = stored(keyed.withColumn("m", F.count("*").over(shared)).where("m > 1").drop("m"), "keys")
     reps = stored(keys.select("rep").distinct(), "reps")
     bits = stored(head.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_shingles").alias("n"), F.max_by("bits", "n_shingles").alias("bits")), "bits")
-    sets = stored(_arrays(texts.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep", "left_semi").groupBy("rep").agg(F.max_by("text", F.length("text")).alias("text"))), "sets")
+    dropped(rows)
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        """Links among pairs; sets are made again from the texts of the documents in them, which bitmaps have made few."""
+        few = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+        sets = stored(_arrays(texts.select(F.col("doc_id").alias("rep"), "text").join(few, "rep").groupBy("rep").agg(F.max_by("text", F.length("text")).alias("text"))), "sets")
+        out = stored(_verified(pairs, sets), "links")
+        dropped(sets)
+        return out
+
     sized = keys.join(bits.select("rep", "n"), "rep")
     order = Window.partitionBy("k").orderBy("n", "rep")
     chain = sized.withColumn("p", F.lag("rep").over(order)).withColumn("pn", F.lag("n").over(order)).where("p is not null and 4 * pn >= 3 * n")
     chain = chain.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).where("a < b").distinct()
-    first = stored(_verified(_bounded(chain, bits), sets), "links")
+    first = tested(stored(_bounded(chain, bits), "pairs"))
     comp = stored(components(reps.select(F.col("rep").alias("id")), first).select(F.col("id").alias("rep"), F.col("component").alias("comp")), "comps")
-    # Keys all of whose classes are joined already have nothing left to compare.
-    todo = keys.join(comp, "rep").withColumn("mixed", F.min("comp").over(shared) != F.max("comp").over(shared)).where("mixed").drop("mixed").join(bits, "rep")
-    more = _verified(stored(_tiles(todo).distinct(), "pairs"), sets)
+    more = tested(stored(_tiles(sized.join(comp, "rep"), bits).distinct(), "pairs"))
     final = components(reps.select(F.col("rep").alias("id")), first.unionByName(more))
     return by_key.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", "rep", F.coalesce("component", "rep").alias("component"))
 
@@ -215,8 +230,8 @@ def classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     rows = stored(with_sets(docs, ("doc_id",), True), "sets-all")
-    found = classes(rows, docs).select("set_key", "component")
-    out = rows.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
+    own = stored(rows.select("doc_id", "n_shingles", "set_key"), "set-keys")
+    out = own.join(classes(rows, docs).select("set_key", "component"), "set_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
