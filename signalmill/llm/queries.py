@@ -8,11 +8,13 @@ from signalmill.llm.mixing import op10_mixing
 from signalmill.llm.packing import op4_packing
 from signalmill.llm.pii import op3_pii
 from signalmill.llm.quality import op8_quality_rules
+from signalmill.llm.scoring import op1_lm_scoring
 from signalmill.llm.suffix import op6_suffix_dedup
 from signalmill.llm.toxicity import op2_toxicity
 from signalmill.llm.vectors import OP5_SQL, op5_vectors
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
