@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import load, raw, stored
+from signalmill.llm.common import dropped, load, raw, stored
 
 LENGTH, GRAM = 200, 64
 REACH = LENGTH - GRAM
@@ -245,7 +245,7 @@ def _scanned(rows: DataFrame, kinds: str) -> DataFrame:
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """key, pos, end: parts of texts (by key) that are repeated elsewhere. docs: did, text."""
+    """key and spans (array of pos, end): parts of texts (by key) that are repeated elsewhere. docs: did, text."""
     found = _found(docs)
     # Copies of a text have the same key and collapse here; the grouping by (h, key, pos) needs no further exchange.
     group = F.coalesce("h", F.xxhash64("key")).alias("g")
@@ -254,6 +254,8 @@ def covered(docs: DataFrame) -> DataFrame:
     inside = dealt.where("h is null").select("key", "pos", "end")
     texts = dealt.where("h is not null").groupBy("key").agg(F.min("did").alias("did"), F.collect_list(F.struct("h", "pos", "m")).alias("places"))
     rows = stored(_cut(docs.join(texts, "did")), "surroundings")
+    inside = stored(inside, "inside")
+    dropped(dealt)
     few = _scanned(rows.where(F.col("m") <= TILE).withColumn("g", F.col("h")), "key string, pos int").select("key", F.expr("pos - l").alias("pos"), F.expr("pos + r").alias("end"))
     many = rows.where(F.col("m") > TILE)
     same = ("h", "before", "after")
@@ -265,7 +267,10 @@ def covered(docs: DataFrame) -> DataFrame:
     hit = _scanned(tiles, "w long").unionByName(alike.where("c > 1").select("w", F.octet_length("before").alias("l"), F.octet_length("after").alias("r")).where(f"l + r >= {LENGTH}"))
     hit = hit.groupBy("w").agg(F.collect_set(F.struct("l", "r")).alias("spans"))  # REACH * LENGTH at most
     back = many.join(alike.join(hit, "w").select(*same, "spans"), list(same)).select("key", "pos", F.explode("spans").alias("x"))
-    return few.unionByName(back.select("key", F.expr("pos - x.l").alias("pos"), F.expr("pos + x.r").alias("end"))).unionByName(inside)
+    every = few.unionByName(back.select("key", F.expr("pos - x.l").alias("pos"), F.expr("pos + x.r").alias("end"))).unionByName(inside)
+    out = stored(every.groupBy("key").agg(F.collect_set(F.struct("pos", "end")).alias("spans")), "spans")  # of one text
+    dropped(rows, alike, inside)
+    return out
 
 
 def _stripped(texts: DataFrame) -> DataFrame:
@@ -305,7 +310,7 @@ def removed(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), "text")
     sums = stored(_summed(docs), "sums")
     copies = sums.where(F.col("n_bytes") >= LENGTH).groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
-    spans = covered(docs).groupBy("key").agg(F.collect_set(F.struct("pos", "end")).alias("spans"))
+    spans = covered(docs)
     once = sums.join(copies, "key", "left_anti").select("did", "key").join(spans, "key")
     cut = _stripped(docs.join(once, "did"))
     out = sums.join(copies, "key", "left").join(cut, ["did", "key"], "left")
