@@ -162,20 +162,26 @@ def _tiles(keys: DataFrame, bits: DataFrame) -> DataFrame:
         if len(ids) < 2 or len(set(comps)) < 2:
             return []
         n, c, o, blk, i = np.array(sizes), np.array(comps), np.array(own), np.array(block), np.array(ids)
-        x = folded(maps)
         split = blk.min() != blk.max()
+        width = np.array([len(m) for m in maps])
         out = []
-        step = max(1, CHUNK * 16 // (len(i) * x.shape[1]))
-        for s in range(0, len(i), step):
-            e = min(len(i), s + step)
-            only = np.bitwise_count(x[s:e, None] & ~x[None]).sum(2, dtype=np.int64)
-            back = np.bitwise_count(x[None] & ~x[s:e, None]).sum(2, dtype=np.int64)
-            ok = possible(n[s:e, None], n[None], only, back) & (c[s:e, None] != c[None]) & (i[s:e, None] < i[None]) & (o[s:e, None] | o[None])
-            if split:
-                ok &= blk[s:e, None] != blk[None]
-            p, q = np.nonzero(ok)
-            if len(p):
-                out.append(pa.RecordBatch.from_arrays([pa.array(i[s:e][p]), pa.array(i[q])], names=["a", "b"]))
+        for w in np.unique(width):  # sizes that can link are within 4/3, so their bitmaps are as wide or twice as wide
+            at = np.flatnonzero((width == w) | (width == 2 * w))
+            first = at[width[at] == w]
+            x, y = folded([maps[k] for k in first]), folded([*(maps[k] for k in at), maps[first[0]]])[:-1]
+            step = max(1, CHUNK * 16 // (len(at) * x.shape[1]))
+            for s in range(0, len(first), step):
+                p = first[s : s + step]
+                only = np.bitwise_count(x[s : s + step, None] & ~y[None]).sum(2, dtype=np.int64)
+                back = np.bitwise_count(y[None] & ~x[s : s + step, None]).sum(2, dtype=np.int64)
+                ok = possible(n[p, None], n[None, at], only, back) & (c[p, None] != c[None, at]) & (o[p, None] | o[None, at])
+                ok &= (i[p, None] < i[None, at]) | (width[None, at] > w)
+                if split:
+                    ok &= blk[p, None] != blk[None, at]
+                u, v = np.nonzero(ok)
+                if len(u):
+                    one_, two = i[p][u], i[at][v]
+                    out.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(one_, two)), pa.array(np.maximum(one_, two))], names=["a", "b"]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
