@@ -108,14 +108,9 @@ def endpoint(c: Column) -> Column:
 
 
 def _path(c: Column, parameter) -> Column:
-    v = sub(F.lower(F.trim(F.coalesce(c, F.lit("")))), (r"/{2,}", "/"))
-    empty = v == ""
-    v = F.when(v.startswith("/"), v).otherwise(F.concat(F.lit("/"), v))
-    for prefix in (r"^/api(?:/v\d+)?/ts/", r"^/api(?:/v\d+)?/", r"^/v\d+/"):
-        cut = sub(v, (prefix, "/"))
-        v = F.when(F.length(cut) > 1, cut).otherwise(v)
+    v = sub(F.lower(F.trim(F.coalesce(c, F.lit("")))), (r"/{2,}", "/"), (r"^([^/])", "/$1"), *((p + "(.)", "/$1") for p in (r"^/api(?:/v\d+)?/ts/", r"^/api(?:/v\d+)?/", r"^/v\d+/")))
     parts = F.transform(F.filter(F.split(v, "/"), lambda s: s != ""), lambda s: F.when(s.rlike(X.PARAMETER_SEGMENT), parameter(s)).otherwise(s))
-    return F.when(empty, "").otherwise(F.concat(F.lit("/"), F.array_join(parts, "/")))
+    return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "").otherwise(F.concat(F.lit("/"), F.array_join(parts, "/")))
 
 
 def endpoint_identity(c: Column) -> Column:

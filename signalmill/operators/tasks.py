@@ -10,6 +10,8 @@ from signalmill.functions import text as T
 from signalmill.operators import ordered
 from signalmill.operators.link import jaccard, top
 
+#: Letters of a title that are looked for first.
+LONG = 12
 LINEAGE = ["signal_origin", "source_file_name", "source_file_type"]
 
 
@@ -107,12 +109,23 @@ def related(items: DataFrame, tasks: DataFrame) -> DataFrame:
     word = r"(?U)[\w/{}-]+"
     a = items.select("ord", T.task_text(F.col("title")).alias("p"), T.tokens(T.task_text(F.concat_ws(" ", "title", "description")), word).alias("t"))
     b = tasks.select(F.col("ord").alias("task_ord"), T.task_text(F.concat_ws(" ", "name", "description")).alias("q"), T.tokens(T.task_text(F.concat_ws(" ", "name", "description")), word).alias("u"))
-    # A text that holds a title holds a word that begins or ends with one of the title's, and Jaccard needs a shared word: pairs share a word or, for
-    # a title inside one word, a piece of it.
-    piece = lambda c: F.substring(c, 1, 3)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1))), lambda k: F.substring("q", k, 3)))
-    held = a.where("length(p) >= 3").withColumn("g", piece(F.col("p"))).join(b.withColumn("g", F.explode(grams)), "g").where(F.contains("q", F.col("p"))).select("ord", "task_ord", F.lit(1.0).alias("score"))
-    shared = a.withColumn("w", F.explode("t")).join(b.withColumn("w", F.explode("u")), "w").select("ord", "task_ord", "t", "u").distinct()
+    # A text that holds a title holds its first letters, and as many of them as the title has up to LONG: an equi join on these pieces.
+    # Jaccard from COVERED on needs a common token among the first of each by hash: a prefix filter, so common words pair nothing by themselves.
+    def pieces(n: int):
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("q") - n + 1, F.lit(1))), lambda k: F.substring("q", k, n)))
+
+    held = None
+    for n, own in ((LONG, F.length("p") >= LONG), (3, (F.length("p") >= 3) & (F.length("p") < LONG))):
+        one = a.where(own).withColumn("g", F.substring("p", 1, n)).join(b.withColumn("g", F.explode(pieces(n))), "g").where(F.contains("q", F.col("p"))).select("ord", "task_ord", F.lit(1.0).alias("score"))
+        held = one if held is None else held.unionByName(one)
+
+    def first(c: str):
+        order = F.transform(F.array_sort(F.transform(c, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["w"])
+        return F.slice(order, 1, (F.size(c) - F.ceil(F.size(c) * X.COVERED) + 1).cast("int"))
+
+    some = lambda d, c: d.where(F.size(c) > 0).withColumn("w", F.explode(first(c)))
+    near = F.least(F.size("t"), F.size("u")) >= X.COVERED * F.greatest(F.size("t"), F.size("u"))
+    shared = some(a, "t").join(some(b, "u"), "w").where(near).select("ord", "task_ord", "t", "u").distinct()
     scored = shared.select("ord", "task_ord", jaccard(F.col("t"), F.col("u")).alias("score"))
     return top(held.unionByName(scored).where(F.col("score") >= X.COVERED), ["ord"], F.desc("score"), "task_ord")
 

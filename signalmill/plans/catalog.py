@@ -74,8 +74,8 @@ GRID = "SELECT concat('s', CAST(p_size % 20 AS VARCHAR(8))) AS sheet, p_partkey
 n AS (SELECT * FROM k WHERE NOT (trim(coalesce(a,'')) = '' AND trim(coalesce(b,'')) = '' AND trim(coalesce(c,'')) = '')),
 u AS (SELECT sheet, block, row_no, 0 AS col_no, nullif(trim(a), '') AS v FROM n UNION ALL SELECT sheet, block, row_no, 1, nullif(trim(b), '') FROM n UNION ALL SELECT sheet, block, row_no, 2, nullif(trim(c), '') FROM n),
 f AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY sheet, block, col_no ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS value, min(row_no) OVER (PARTITION BY sheet, block) AS h FROM u),
-x AS (SELECT *, max(CASE WHEN value IS NOT NULL AND row_no > h THEN 1 ELSE 0 END) OVER (PARTITION BY sheet, block, col_no) AS full FROM f)
-SELECT sheet, CAST(block AS BIGINT) AS block, row_no, col_no, value, row_no = h AS is_header FROM x WHERE full = 1""")
+x AS (SELECT *, max(CASE WHEN value IS NOT NULL AND row_no > h THEN 1 ELSE 0 END) OVER (PARTITION BY sheet, block, col_no) AS fl FROM f)
+SELECT sheet, CAST(block AS BIGINT) AS block, row_no, col_no, value, (row_no = h) AS is_header FROM x WHERE fl = 1""")
 def s8_s9_sheet_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = view(spark, sf_dir, GRID).select("sheet", "row_no", F.array("a", "b", "c").alias("cells"))
     return sheets.cells_long(sheets.blocks(g))
@@ -108,7 +108,7 @@ def s13_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Extraction.
 WIN = f"""{LN}, k AS (SELECT file_name, line_no, trim(line) AS line FROM l WHERE trim(line) <> ''),
 n AS (SELECT *, row_number() OVER w AS window_no, count(*) OVER (PARTITION BY file_name) AS m, lead(line, 1) OVER w AS l1, lead(line, 2) OVER w AS l2 FROM k WINDOW w AS (PARTITION BY file_name ORDER BY line_no)),
-w AS (SELECT file_name, window_no, concat_ws(chr(10), line, l1, l2) AS window FROM n WHERE window_no <= m - 2 OR (m < 3 AND window_no = 1))"""
+w AS (SELECT file_name, window_no, concat_ws(chr(10), line, l1, l2) AS "window" FROM n WHERE window_no <= m - 2 OR (m < 3 AND window_no = 1))"""
 
 
 @query(WIN + " SELECT * FROM w")
@@ -127,7 +127,7 @@ SELECT file_name, {no}, pass, match_no, concat(upper(regexp_extract(m, {D.q('(?i
 UNION ALL SELECT file_name, {no}, pass, match_no, concat_ws(' ', g, m), m, g FROM b"""
 
 
-@query(WIN + ", " + _duck_apis("w", "window", "window_no", True))
+@query(WIN + ", " + _duck_apis("w", '"window"', "window_no", True))
 def x3_scan_apis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.scan_apis(E.windows(text_lines(spark, sf_dir)))
 
@@ -137,13 +137,13 @@ def x11_line_apis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.scan_line_apis(text_lines(spark, sf_dir))
 
 
-@query(WIN + f""", e AS (SELECT file_name, window_no, unnest(string_split(window, chr(10))) AS line, generate_subscripts(string_split(window, chr(10)), 1) - 1 AS line_no FROM w), c AS (SELECT *, trim(line, ' -*' || chr(9)) AS task FROM e)
+@query(WIN + f""", e AS (SELECT file_name, window_no, unnest(string_split("window", chr(10))) AS line, generate_subscripts(string_split("window", chr(10)), 1) - 1 AS line_no FROM w), c AS (SELECT *, trim(line, ' -*' || chr(9)) AS task FROM e)
 SELECT file_name, window_no, line_no, left(task, 120) AS title, task AS description FROM c WHERE {D.starts_of('lower(task)', X.TASK_VERBS)}""")
 def x4_scan_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.scan_tasks(E.windows(text_lines(spark, sf_dir)))
 
 
-@query(WIN + f" SELECT file_name, window_no, regexp_extract(window, {D.q(X.TABLE_IN_TEXT)}, 1) AS \"table\" FROM w WHERE regexp_extract(window, {D.q(X.TABLE_IN_TEXT)}, 1) <> ''")
+@query(WIN + f" SELECT file_name, window_no, regexp_extract(\"window\", {D.q(X.TABLE_IN_TEXT)}, 1) AS \"table\" FROM w WHERE regexp_extract(\"window\", {D.q(X.TABLE_IN_TEXT)}, 1) <> ''")
 def x5_scan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.scan_tables(E.windows(text_lines(spark, sf_dir)))
 
@@ -176,7 +176,7 @@ def x8_x9_table_apis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(TBL + f""", k AS (SELECT file_name, block, line_no, heading, {CELL('column')} AS name, {CELL('type')} AS type, upper(concat({CELL('required')}, ' ', {CELL('description')})) AS notes FROM r WHERE list_contains(headers, 'column') AND list_contains(headers, 'type') AND {CELL('column')} <> '')
-SELECT file_name, block, first(CASE WHEN v = '' THEN 'table' ELSE v END) AS "table", string_agg(concat(name, ':', type, ':', array_to_string(cs, '+')), ',' ORDER BY line_no) AS columns FROM (
+SELECT file_name, block, first(CASE WHEN coalesce(v, '') = '' THEN 'table' ELSE v END) AS "table", string_agg(concat(name, ':', type, ':', array_to_string(cs, '+')), ',' ORDER BY line_no) AS columns FROM (
  SELECT *, regexp_replace(regexp_replace(lower(trim(regexp_replace(heading, '^\\d+(\\.\\d+)*\\s*', ''))), '\\s+', '_', 'g'), '[^\\w]+', '', 'g') AS v, list_filter({D.array(X.CONSTRAINTS)}, lambda t: contains(notes, t)) AS cs FROM k) GROUP BY file_name, block""")
 def x9_x14_table_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = E.table_schemas(E.table_rows(E.islands(text_lines(spark, sf_dir))))

@@ -81,15 +81,11 @@ def endpoint(c: str) -> str:
 
 
 IDENTITY = "'{}'"
-DISPLAY = "concat('{', CASE WHEN N = '' THEN 'id' ELSE N END, '}')".replace("N", "trim(regexp_replace(regexp_replace(regexp_replace(s, '^[{:<*]+|[}>]+$', '', 'g'), '[^a-z0-9_]+', '_', 'g'), '_+', '_', 'g'), '_')")
+DISPLAY = "concat('{', coalesce(nullif(NAME, ''), 'id'), '}')".replace("NAME", "trim(regexp_replace(regexp_replace(regexp_replace(s, '^[{:<*]+|[}>]+$', '', 'g'), '[^a-z0-9_]+', '_', 'g'), '_+', '_', 'g'), '_')")
 
 
 def path(c: str, parameter: str) -> str:
-    v = sub(f"lower(trim({c}))", ("/{2,}", "/"))
-    v = f"CASE WHEN starts_with({v}, '/') THEN {v} ELSE concat('/', {v}) END"
-    for p in (r"^/api(?:/v\d+)?/ts/", r"^/api(?:/v\d+)?/", r"^/v\d+/"):
-        cut = f"regexp_replace({v}, {q(p)}, '/')"
-        v = f"CASE WHEN length({cut}) > 1 THEN {cut} ELSE {v} END"
+    v = sub(f"lower(trim({c}))", ("/{2,}", "/"), ("^([^/])", r"/\1"), *((p + "(.)", r"/\1") for p in (r"^/api(?:/v\d+)?/ts/", r"^/api(?:/v\d+)?/", r"^/v\d+/")))
     return f"concat('/', array_to_string(list_transform(list_filter(string_split({v}, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, {q(X.PARAMETER_SEGMENT)}) THEN {parameter} ELSE s END), '/'))"
 
 
