@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from signalmill.llm.common import components, dropped, load, raw, stored
 
-WORDS, TILE, CHUNK = 5, 4096, 1 << 16
+WORDS, TILE, CHUNK = 5, 4096, 1 << 15
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -143,7 +143,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _tiles(keys: DataFrame, bits: DataFrame) -> DataFrame:
-    """Possible pairs of classes that share a key and are not joined yet. keys: k, rep, n, comp; bits: rep, bits.
+    """Possible pairs of classes that share a key and are not joined yet. keys: k, rep, pos (the key's place in the set), n, comp; bits: rep, bits.
 
     A key with few classes is one tile. More are banded by size, and a band with its visitors from the band below is cut into blocks.
     """
@@ -158,45 +158,51 @@ def _tiles(keys: DataFrame, bits: DataFrame) -> DataFrame:
     rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("t", F.xxhash64("k", "band", F.least("i", "j"), F.greatest("i", "j")))
 
-    def one(ids, sizes, maps, comps, own, block) -> list[pa.RecordBatch]:
+    def one(ids, sizes, places, maps, comps, own, block) -> list[pa.RecordBatch]:
         if len(ids) < 2 or len(set(comps)) < 2:
             return []
-        n, c, o, blk, i = np.array(sizes), np.array(comps), np.array(own), np.array(block), np.array(ids)
+        n, at, c, o, blk, i = np.array(sizes), np.array(places), np.array(comps), np.array(own), np.array(block), np.array(ids)
         split = blk.min() != blk.max()
         width = np.array([len(m) for m in maps])
-        out = []
-        for w in np.unique(width):  # sizes that can link are within 4/3, so their bitmaps are as wide or twice as wide
-            at = np.flatnonzero((width == w) | (width == 2 * w))
-            first = at[width[at] == w]
-            x, y = folded([maps[k] for k in first]), folded([*(maps[k] for k in at), maps[first[0]]])[:-1]
-            step = max(1, CHUNK * 16 // (len(at) * x.shape[1]))
-            for s in range(0, len(first), step):
-                p = first[s : s + step]
-                only = np.bitwise_count(x[s : s + step, None] & ~y[None]).sum(2, dtype=np.int64)
-                back = np.bitwise_count(y[None] & ~x[s : s + step, None]).sum(2, dtype=np.int64)
-                ok = possible(n[p, None], n[None, at], only, back) & (c[p, None] != c[None, at]) & (o[p, None] | o[None, at])
-                ok &= (i[p, None] < i[None, at]) | (width[None, at] > w)
-                if split:
-                    ok &= blk[p, None] != blk[None, at]
-                u, v = np.nonzero(ok)
-                if len(u):
-                    one_, two = i[p][u], i[at][v]
-                    out.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(one_, two)), pa.array(np.maximum(one_, two))], names=["a", "b"]))
+        rows, row = {}, np.zeros(len(i), np.int64)
+        for w in np.unique(width):
+            mine = np.flatnonzero(width == w)
+            rows[w], row[mine] = np.frombuffer(b"".join(maps[k] for k in mine), np.uint64).reshape(len(mine), -1), np.arange(len(mine))
+        left, out = n - at, []
+        for s in range(0, len(i), 256):
+            e = min(len(i), s + 256)
+            # If this key is the first that both hold, the overlap is at most what is left from it on; else an earlier key's tile has the pair.
+            ok = (7 * np.minimum(left[s:e, None], left[None]) >= 3 * (n[s:e, None] + n[None])) & (c[s:e, None] != c[None]) & (i[s:e, None] < i[None]) & (o[s:e, None] | o[None])
+            if split:
+                ok &= blk[s:e, None] != blk[None]
+            u, v = np.nonzero(ok)
+            u += s
+            for k in range(0, len(u), CHUNK):
+                p, q = u[k : k + CHUNK], v[k : k + CHUNK]
+                for wp, wq in set(zip(width[p].tolist(), width[q].tolist(), strict=True)):
+                    here = (width[p] == wp) & (width[q] == wq)
+                    x, y = rows[wp][row[p[here]]], rows[wq][row[q[here]]]
+                    w = min(wp, wq) // 8
+                    x, y = (np.bitwise_or.reduce(z.reshape(len(z), -1, w), axis=1) for z in (x, y))
+                    only, back = np.bitwise_count(x & ~y).sum(1, dtype=np.int64), np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+                    good = possible(n[p[here]], n[q[here]], only, back)
+                    if good.any():
+                        out.append(pa.RecordBatch.from_arrays([pa.array(i[p[here]][good]), pa.array(i[q[here]][good])], names=["a", "b"]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, ([], [], [], [], [], [])
+        last, held = None, ([], [], [], [], [], [], [])
         for b in batches:
             for t, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if t != last:
                     yield from one(*held)
-                    last, held = t, ([], [], [], [], [], [])
+                    last, held = t, ([], [], [], [], [], [], [])
                 for to, v in zip(held, row, strict=True):
                     to.append(v)
         yield from one(*held)
 
-    slim = rows.select("rep", "t", "n", "comp", (F.col("own") == F.col("band")).alias("o"), F.col("i").cast("int")).join(bits.select("rep", "bits"), "rep")
-    return slim.select("t", "rep", "n", "bits", "comp", "o", "i").repartition("t").sortWithinPartitions("t").mapInArrow(run, "a long, b long")
+    slim = rows.select("rep", "t", "n", "pos", "comp", (F.col("own") == F.col("band")).alias("o"), F.col("i").cast("int")).join(bits.select("rep", "bits"), "rep")
+    return slim.select("t", "rep", "n", "pos", "bits", "comp", "o", "i").repartition("t").sortWithinPartitions("t").mapInArrow(run, "a long, b long")
 
 
 def classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -207,7 +213,7 @@ def classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
     # xxh3 of the sorted hashes stands for the set; equal sets give one row. Only rows of the standing id carry prefixes on.
     by_key = stored(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     head = rows.join(by_key.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
-    keyed = head.select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("k"))
+    keyed = head.select(F.col("doc_id").alias("rep"), F.posexplode("prefix").alias("pos", "k"))
     shared = Window.partitionBy("k")
     keys = stored(keyed.withColumn("m", F.count("*").over(shared)).where("m > 1").drop("m"), "keys")
     reps = stored(keys.select("rep").distinct(), "reps")
