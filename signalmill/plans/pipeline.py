@@ -10,14 +10,14 @@ from signalmill.operators import link, merge, tasks
 
 def plan(items: DataFrame) -> DataFrame:
     """Tasks of one job's clustered items: ord, name, description, signal_origin, source_file_name, source_file_type."""
-    merged = merge.merged(items)
+    merged = merge.merged(items).cache()  # read by every branch; its lineage stays
     mode = tasks.mode(items.withColumn("job", F.lit(1)), ["job"])
     cols = ["ord", "name", "description", *tasks.LINEAGE]
     planned = tasks.planning_tasks(merged).select(*cols)
     designed = tasks.design_tasks(merged).select(*cols)
     featured = tasks.feature_tasks(merged).select(*cols)
     made = merge.union_all(*(t.withColumn("for", F.lit(m)) for m, t in (("planning", planned), ("design", designed), ("requirement", featured))))
-    made = made.join(F.broadcast(mode.select(F.col("mode").alias("for"))), "for").select(*cols)  # one row
+    made = made.join(F.broadcast(mode.select(F.col("mode").alias("for"))), "for").select(*cols).cache()  # one row
     found = tasks.related(merged, made)
     every = made.unionByName(tasks.repair(merged, found).select(*cols))
     return tasks.dedupe(tasks.collapse_updates(every).withColumn("job", F.lit(1)), ["job"]).select(*cols)
