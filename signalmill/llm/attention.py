@@ -14,6 +14,7 @@ at least BACK places before it (or its document's start), all windows of a batch
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -27,6 +28,7 @@ IDS = 50_257
 END = 2 * IDS
 SYMBOLS = END + 1
 DEPTH, CACHE = 12, 300_000
+REST = 0x5851F42D4C957F2D
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,53 +73,95 @@ def entry_key(context: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     return mixed(context + (symbols.astype(np.uint64) + np.uint64(1)) * _M)
 
 
+def rest_key(context: np.ndarray) -> np.ndarray:
+    return context ^ np.uint64(REST)
+
+
 class Counts:
-    """Expert probabilities from sorted tables of kept counts. keys/shares: of (context, symbol); ctx/rest: what a context leaves to the shorter one."""
+    """Facts in a sorted table: by entry_key the experts' shares of a symbol after a context, by rest_key what a context leaves to the shorter one."""
+
+    def __init__(self, alone: np.ndarray, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.alone, self.keys, self.values = alone, keys[order], values[order].astype(np.float32)
+
+    def place(self, asked: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 without one."""
+        if not len(self.keys):
+            return np.full(len(asked), -1)
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        return np.where(self.keys[at] == asked, at, -1)
 
-    def __init__(self, alone: np.ndarray, keys: np.ndarray, shares: np.ndarray, ctx: np.ndarray, rest: np.ndarray, experts: int):
-        self.alone, self.keys, self.shares, self.ctx, self.rest, self.experts = alone, keys, shares, ctx, rest, experts
 
-    def _found(self, table: np.ndarray, values: np.ndarray, asked: np.ndarray, missing: float) -> np.ndarray:
-        if not len(table):
-            return np.full((len(asked), self.experts), missing, np.float32)
-        at = np.minimum(np.searchsorted(table, asked), len(table) - 1)
-        return np.where((table[at] == asked)[:, None], values[at], np.float32(missing))
+def asked(symbols: np.ndarray, contexts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, keys of their entries, keys of their contexts' rests) from the shortest context to the longest."""
+    prefix, before, two = contexts
+    steps = ((before, np.flatnonzero(before)), (two, np.flatnonzero(two)), (prefix, np.arange(len(prefix))))
+    return [(at, entry_key(c[at], symbols[at]), rest_key(c[at])) for c, at in steps]
 
-    def probabilities(self, symbols: np.ndarray, prefix: np.ndarray, before: np.ndarray, two: np.ndarray) -> np.ndarray:
-        p = self.alone[symbols]
-        for c, at in ((before, np.flatnonzero(before)), (two, np.flatnonzero(two)), (prefix, np.arange(len(prefix)))):
-            r = self._found(self.ctx, self.rest, c[at], 1.0)
-            p[at] = self._found(self.keys, self.shares, entry_key(c[at], symbols[at]), 0.0) + r * p[at]
-        return p
+
+def probabilities(symbols: np.ndarray, contexts: tuple[np.ndarray, np.ndarray, np.ndarray], tables: list[Counts]) -> np.ndarray:
+    """Expert probabilities of symbols from the tables, each fact from the first table that has it."""
+    p = tables[0].alone[symbols]
+
+    def found(keys: np.ndarray, missing: float) -> np.ndarray:
+        out = np.full((len(keys), p.shape[1]), missing, np.float32)
+        for t in reversed(tables):
+            row = t.place(keys)
+            out[row >= 0] = t.values[row[row >= 0]]
+        return out
+
+    for at, entries, rests in asked(symbols, contexts):
+        p[at] = found(entries, 0.0) + found(rests, 1.0) * p[at]
+    return p
+
+
+#: Words with what the model needs of them: the words joined by blanks, times seen, number of symbols, symbols, expert probabilities.
+Packed = tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 class Words:
-    """Words met so far: number of each, and by number its symbols, their expert probabilities, and what the base needs."""
-
-    def __init__(self, counts: Counts, heavy: dict[bytes, int]):
-        self.counts, self.heavy = counts, heavy
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.start, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.symbols, self.p = np.zeros(0, np.int64), np.zeros((0, self.counts.experts), np.float32)
-        self.log, self.known = np.zeros(0), np.zeros(0, np.int64)
-
-    def numbers(self, docs: list[list[bytes]]) -> list[np.ndarray]:
-        """Numbers of the words of docs; new words are looked up together."""
-        if len(self.index) > CACHE:
-            self.clear()
+    """Words met so far: number of each, and by number its symbols, their expert probabilities, and what the base needs.
+
+    Heavy words are always there; the others come with the documents that hold them, by hash.
+    """
+
+    def __init__(self, heavy: Packed):
+        words, seen, n, symbols, p = heavy
+        self.index = {w: k for k, w in enumerate(words.split())}
+        self.added: list[bytes] = []
+        self.start, self.n, self.symbols, self.p = np.cumsum(n) - n, n, symbols, p
+        self.log, self.known = np.log10(seen + 1.0), (seen > 0).astype(np.int64)
+        self.used = self.base = (len(n), len(symbols))
+
+    def _put(self, name: str, at: int, x: np.ndarray) -> None:
+        a = getattr(self, name)
+        if at + len(x) > len(a):
+            more = np.empty((max(2 * len(a), at + len(x)), *a.shape[1:]), a.dtype)
+            more[:at] = a[:at]
+            setattr(self, name, a := more)
+        a[at : at + len(x)] = x
+
+    def numbers(self, docs: list[list[bytes]], light: dict[int, tuple[int, bytes]], hashed: Callable[[bytes], int]) -> list[np.ndarray]:
+        """Numbers of the words of docs. light: times seen and expert probabilities by the hash of each word that is not heavy."""
+        if len(self.added) > CACHE:
+            for w in self.added:
+                del self.index[w]
+            self.added, self.used = [], self.base
         index = self.index
         new = list(dict.fromkeys(w for d in docs for w in set(d).difference(index)))
         if new:
-            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
+            words, at = self.used
+            index.update(zip(new, range(words, words + len(new)), strict=True))
+            self.added += new
             symbols, n = pieces(new)
-            p = self.counts.probabilities(symbols, *contexts(symbols, n))
-            c = np.fromiter((self.heavy.get(w, -1) for w in new), np.int64, len(new))
-            self.start = np.append(self.start, len(self.symbols) + np.cumsum(n) - n)
-            self.n, self.symbols, self.p = np.append(self.n, n), np.append(self.symbols, symbols), np.concatenate([self.p, p])
-            self.log, self.known = np.append(self.log, np.log10(np.maximum(c, 0) + 1.0)), np.append(self.known, (c > 0).astype(np.int64))
+            got = [light[hashed(w)] for w in new]
+            seen = np.fromiter((g[0] for g in got), np.int64, len(got))
+            p = np.frombuffer(b"".join(g[1] for g in got), np.float32).reshape(len(symbols), -1)
+            for name, x in (("start", at + np.cumsum(n) - n), ("n", n), ("log", np.log10(seen + 1.0)), ("known", (seen > 0).astype(np.int64))):
+                self._put(name, words, x)
+            self._put("symbols", at, symbols)
+            self._put("p", at, p)
+            self.used = words + len(new), at + len(symbols)
         return [np.fromiter(map(index.__getitem__, d), np.int64, len(d)) for d in docs]
 
     def laid_out(self, docs: list[np.ndarray], end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

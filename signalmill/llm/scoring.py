@@ -2,12 +2,13 @@
 
 1.  Words of all documents are counted, with a bounded dictionary for each task before the shuffle. Held-out documents count towards how heavy
     a word is, never towards what is learnt.
-2.  Word counts become symbol counts by context (`attention`), added up in Spark. Of the entries, those above a share of the corpus (1 in
-    KEEP) are broadcast, so their number is bounded whatever the corpus; the mass of the others is left to shorter contexts exactly.
+2.  Word counts become symbol counts by context (`attention`), added up in Spark; all of them stay, in a table that grows with the corpus.
+    Facts on contexts and entries above a share of the corpus (1 in KEEP) are broadcast; each word asks the table by hash for the others, and
+    every word's expert probabilities are a row of a table. Where a fact comes from does not change the result.
 3.  The attention model is trained by local gradient steps: each task trains on a window of every training document of its partition,
     and the tasks' parameters are averaged as a tree. ROUNDS of it.
-4.  Every whole text is scored in place. Words that make up 1 in HEAVY of all tokens are broadcast with their counts; the other words'
-    base terms come by a join on the word's hash, pre-aggregated by document before they are added up.
+4.  Every whole text is scored in place. Words that make up 1 in HEAVY of all tokens are broadcast with their counts and probabilities; those
+    of the other words come to each document by a join on the word's hash.
 
 Defined results: a null or empty text is its end token alone; a null id is hashed as empty text; repeated rows score alike;
 an empty table gives no rows. Further columns are not read. The 64-bit hashes of a document (id and text) and of a word stand for them.
@@ -24,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalmill.llm import attention as A
@@ -38,8 +39,8 @@ def _words(text: str | None) -> list[bytes]:
     return raw(text).lower().split()
 
 
-def row_hash(doc_id: int | None, text: str | None) -> int:
-    return xxhash.xxh3_64_intdigest(f"{doc_id}|".encode() + raw(text)) - (1 << 63)
+def row_hash() -> Column:
+    return F.xxhash64(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
 
 
 def word_hash(word: bytes) -> int:
@@ -72,7 +73,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def symbol_counts(words: DataFrame, experts: list[str]) -> DataFrame:
-    """kind (0 alone, 1 after a symbol, 2 after a prefix, 3 after two symbols), ctx, sym, expert and count. words: word, lang, seen."""
+    """kind (0 alone, 1 after a symbol, 2 after a prefix, 3 after two symbols), ctx, sym, key of the entry, expert and count. words: word, lang, seen."""
     number = {x: k for k, x in enumerate(experts)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +85,7 @@ def symbol_counts(words: DataFrame, experts: list[str]) -> DataFrame:
             key = A.mixed(A.entry_key(ctx, sym) + (kind * 64 + expert).astype(np.uint64))
             _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
             n = np.bincount(inverse, n, len(at)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(kind[at].astype(np.int32)), pa.array(ctx[at].view(np.int64)), pa.array(sym[at].astype(np.int32)), pa.array(expert[at].astype(np.int32)), pa.array(n)], names=["kind", "ctx", "sym", "expert", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(kind[at].astype(np.int32)), pa.array(ctx[at].view(np.int64)), pa.array(sym[at].astype(np.int32)), pa.array(A.entry_key(ctx[at], sym[at]).view(np.int64)), pa.array(expert[at].astype(np.int32)), pa.array(n)], names=["kind", "ctx", "sym", "key", "expert", "n"])
 
         for b in batches:
             if not b.num_rows:
@@ -101,18 +102,17 @@ def symbol_counts(words: DataFrame, experts: list[str]) -> DataFrame:
         if held:
             yield flush()
 
-    rows = words.where("seen > 0").select("word", "lang", "seen").mapInArrow(run, "kind int, ctx long, sym int, expert int, n long")
-    return rows.groupBy("kind", "ctx", "sym", "expert").agg(F.sum("n").alias("n"))
+    rows = words.where("seen > 0").select("word", "lang", "seen").mapInArrow(run, "kind int, ctx long, sym int, key long, expert int, n long")
+    return rows.groupBy("kind", "ctx", "sym", "key", "expert").agg(F.sum("n").alias("n"))
 
 
-def fit_counts(words: DataFrame, docs_by_lang: dict[str, int]) -> tuple[A.Counts, np.ndarray]:
-    """Expert tables from the word counts, and the experts' probabilities of END."""
-    total = sum(docs_by_lang.values())
-    experts = sorted((x for x, n in docs_by_lang.items() if n * 16 >= total), key=lambda x: (-docs_by_lang[x], x))[:EXPERTS]
+def fit_counts(words: DataFrame, docs: DataFrame) -> tuple[A.Counts, np.ndarray, DataFrame]:
+    """Facts above the share, the experts' probabilities of END, and the table of all other facts. docs: lang and n, training documents of it."""
+    total = docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = {r["lang"]: r["n"] for r in docs.where(F.col("n") * 16 >= total).where("n > 0").collect()}  # 16 rows at most
+    experts = sorted(large, key=lambda x: (-large[x], x))[:EXPERTS]
     k = len(experts) + 1  # the last is every language that has none of its own
-    ends = np.zeros(k)
-    for x, n in docs_by_lang.items():
-        ends[experts.index(x) if x in experts else k - 1] += n
+    ends = np.array([large[x] for x in experts] + [total - sum(large[x] for x in experts)], float)
     table = stored(symbol_counts(words, experts), "symbol-counts")
     alone = np.full((A.SYMBOLS, k), 0.5)
     for r in table.where("kind = 0").groupBy("sym", "expert").agg(F.sum("n").alias("n")).toLocalIterator():  # SYMBOLS rows an expert at most
@@ -123,42 +123,101 @@ def fit_counts(words: DataFrame, docs_by_lang: dict[str, int]) -> tuple[A.Counts
     tokens = alone.sum()
     alone /= alone.sum(0)
     least = math.ceil(tokens / KEEP)
-    # Witten-Bell: a context of n counts and d kinds gives (count + d * lower) / (n + d); what is not kept is added to d.
-    own = table.where("kind > 0").groupBy("kind", "ctx", "expert").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.when(F.col("n") >= least, F.col("n")).otherwise(0)).alias("kept"))
-    own = own.where("kept > 0").withColumn("bottom", F.col("total") + F.col("kinds"))
-    own = own.withColumn("rest", (F.col("bottom") - F.col("kept")) / F.col("bottom"))
-    kept = table.where(f"kind > 0 and n >= {least}").join(own.select("kind", "ctx", "expert", "bottom"), ["kind", "ctx", "expert"]).select("ctx", "sym", "expert", (F.col("n") / F.col("bottom")).alias("x"))
-    # At most KEEP entries of each depth and expert reach the driver.
-    entries, rests = kept.toPandas(), own.select("ctx", "expert", "rest").toPandas()
-
-    def dense(keys: np.ndarray, expert: np.ndarray, x: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
-        ids, at = np.unique(keys, return_inverse=True)
-        out = np.full((len(ids), k), missing, np.float32)
-        out[at, expert] = x
-        return ids, out
-
-    keys, shares = dense(A.entry_key(entries["ctx"].to_numpy(np.int64).view(np.uint64), entries["sym"].to_numpy(np.int64)), entries["expert"].to_numpy(np.int64), entries["x"].to_numpy(), 0.0)
-    ctx, rest = dense(rests["ctx"].to_numpy(np.int64).view(np.uint64), rests["expert"].to_numpy(np.int64), rests["rest"].to_numpy(), 1.0)
-    counts = A.Counts(alone.astype(np.float32), keys, shares, ctx, rest, k)
+    # Witten-Bell: a context of n counts and d kinds gives (count + d * lower) / (n + d).
+    own = table.where("kind > 0").groupBy("ctx", "expert").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    own = own.withColumn("bottom", F.col("total") + F.col("kinds"))
+
+    def each(x: Column, missing: float) -> Column:
+        """An expert's value in its place."""
+        return F.array(*(F.coalesce(F.max(F.when(F.col("expert") == e, x)), F.lit(missing)).cast("float") for e in range(k))).alias("x")
+
+    shares = table.where("kind > 0").join(own.select("ctx", "expert", "bottom"), ["ctx", "expert"]).groupBy("key").agg(F.sum("n").alias("n"), each(F.col("n") / F.col("bottom"), 0.0))
+    rests = own.groupBy("ctx").agg(F.sum("total").alias("n"), each(F.col("kinds") / F.col("bottom"), 1.0))
+    rests = rests.select(F.col("ctx").bitwiseXOR(F.lit(A.REST)).alias("key"), "n", "x")
+    facts = stored(shares.unionByName(rests), "facts")
     dropped(table)
+    # At most KEEP entries and KEEP contexts of each depth reach the driver; the others are asked for by hash.
+    top = facts.where(F.col("n") >= least).select("key", "x").toArrow()
+    keys = top["key"].to_numpy().astype(np.int64).view(np.uint64)
+    values = top["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(keys), k)
+    counts = A.Counts(alone.astype(np.float32), keys, values)
     # A word's start must leave room for END: its share is taken from all first symbols alike.
+    expert = F.coalesce(*(F.when(F.col("lang") == x, e) for e, x in enumerate(experts)), F.lit(k - 1))
     n_words = np.zeros(k)
-    for r in words.groupBy("lang").agg(F.sum("seen").alias("n")).toLocalIterator():
-        n_words[experts.index(r["lang"]) if r["lang"] in experts else k - 1] += r["n"]
+    for r in words.groupBy(expert.alias("expert")).agg(F.sum("seen").alias("n")).collect():
+        n_words[r["expert"]] += r["n"]
     if not ends[-1]:
         ends[-1], n_words[-1] = ends.sum(), n_words.sum()
     end = (ends + 0.5) / (ends + n_words + 1)
-    return counts, end.astype(np.float32)
+    return counts, end.astype(np.float32), facts.where(F.col("n") < least).select("key", "x")
+
+
+def ready(words: DataFrame, counts: A.Counts, rare: DataFrame) -> DataFrame:
+    """word, hash, seen, every, p (expert probabilities of its symbols) for each word of words (word, seen, every); rare: facts not in counts."""
+    shared = words.sparkSession.sparkContext.broadcast(counts)
+    words = words.withColumn("hash", F.xxhash64("word"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                symbols, n = A.pieces([raw(w) for w in b.column(0).to_pylist()])
+                word = np.repeat(b.column(1).to_numpy(), n)
+                got = [(word[at], x) for at, *keys in A.asked(symbols, A.contexts(symbols, n)) for x in keys]
+                word, key = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+                new = shared.value.place(key) < 0
+                yield pa.RecordBatch.from_arrays([pa.array(word[new]), pa.array(key[new].view(np.int64))], names=["hash", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                symbols, n = A.pieces([raw(w) for w in b.column(0).to_pylist()])
+                got = {f["key"]: f["x"] for facts in b.column(4).to_pylist() for f in facts or ()}
+                own = A.Counts(shared.value.alone, np.fromiter(got, np.int64, len(got)).view(np.uint64), np.array(list(got.values()), np.float32).reshape(len(got), shared.value.alone.shape[1]))
+                p = A.probabilities(symbols, A.contexts(symbols, n), [shared.value, own])
+                ends = np.cumsum(n)
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([p[e - m : e].tobytes() for e, m in zip(ends, n, strict=True)], pa.binary())], names=["word", "hash", "seen", "every", "p"])
+
+    asks = words.select("word", "hash").mapInArrow(ask, "hash long, key long")
+    answers = asks.join(rare, "key").groupBy("hash").agg(F.collect_list(F.struct("key", "x")).alias("facts"))
+    both = words.join(answers, "hash", "left").select("word", "hash", "seen", "every", "facts")
+    return stored(both.mapInArrow(run, "word string, hash long, seen long, every long, p binary"), "ready")
+
+
+def packed(words: DataFrame, experts: int) -> A.Packed:
+    """Rows of ready() on the driver, and in order of the words."""
+    t = words.select("word", "seen", "p").toArrow().sort_by("word")
+    ws = [raw(w) for w in t["word"].to_pylist()]
+    symbols, n = A.pieces(ws)
+    return b" ".join(ws), t["seen"].to_numpy().astype(np.int64), n, symbols, np.frombuffer(b"".join(t["p"].to_pylist()), np.float32).reshape(len(symbols), experts)
+
+
+def with_light(docs: DataFrame, heavy: A.Packed, light: DataFrame) -> DataFrame:
+    """doc_id, text and light: hash, seen and p of each word of the text that is not heavy. docs: doc_id, text; light: rows of ready()."""
+    shared = docs.sparkSession.sparkContext.broadcast(heavy[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = set(shared.value.split())
+        for b in batches:
+            for s in range(0, b.num_rows, DOCS):
+                new = [set(_words(t)).difference(own) for t in b.column(1)[s : s + DOCS].to_pylist()]
+                row = np.repeat(b.column(0)[s : s + DOCS].to_numpy(), [len(x) for x in new])
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array([word_hash(w) for x in new for w in x], pa.int64())], names=["row", "hash"])
+
+    rows = docs.select("doc_id", "text", row_hash().alias("row"))
+    got = rows.select("row", "text").mapInArrow(run, "row long, hash long").join(light.select("hash", "seen", "p"), "hash")
+    got = got.groupBy("row").agg(F.collect_set(F.struct("hash", "seen", "p")).alias("light"))
+    return stored(rows.join(got, "row", "left").sortWithinPartitions("row").select("doc_id", "text", "light"), "laid")
 
 
 class Scorer:
     """Words, their numbers, and the network, as a Python process holds them."""
 
-    def __init__(self, counts: A.Counts, end: np.ndarray, heavy: dict[bytes, int], params: dict[str, np.ndarray]):
-        self.words, self.end, self.net = A.Words(counts, heavy), end, A.Network(params)
+    def __init__(self, end: np.ndarray, heavy: A.Packed, params: dict[str, np.ndarray]):
+        self.words, self.end, self.net = A.Words(heavy), end, A.Network(params)
 
-    def batch(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        docs = self.words.numbers([_words(t) for t in texts])
+    def batch(self, texts: list[str | None], light: list[list[dict] | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        own = {x["hash"]: (x["seen"], x["p"]) for xs in light for x in xs or ()}
+        docs = self.words.numbers([_words(t) for t in texts], own, word_hash)
         symbols, probs, sizes = self.words.laid_out(docs, self.end)
         # First symbols share what END leaves at a word's start.
         first = np.append(True, (symbols[:-1] & 1 == 1) | (symbols[:-1] == A.END))
@@ -167,21 +226,21 @@ class Scorer:
         return docs, symbols, probs, sizes
 
 
-def train(docs: DataFrame, counts: A.Counts, end: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, alone: np.ndarray, end: np.ndarray, heavy: A.Packed, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Parameters of the network. Each round every training document gives a window, chosen by its hash, to its task's gradient steps."""
     spark = docs.sparkSession
-    params = A.initial(counts.alone)
-    learnt = docs.where(remainder_col(F.col("doc_id"), FOLD) != HELD).select("doc_id", "text")
+    params = A.initial(alone)
+    learnt = docs.where(remainder_col(F.col("doc_id"), FOLD) != HELD).select("doc_id", "text", "light")
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((counts, end, {}, params))
+        shared = spark.sparkContext.broadcast((end, heavy, params))
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(*shared.value)
             trainer = A.Trainer(scorer.net.p)
             for b in batches:
-                ids, texts = (c.to_pylist() for c in b.columns)
-                for s in range(0, len(ids), DOCS):
-                    _, symbols, probs, sizes = scorer.batch([_window(t, i, turn) for i, t in zip(ids[s : s + DOCS], texts[s : s + DOCS], strict=True)])
+                for s in range(0, b.num_rows, DOCS):
+                    ids, texts, light = (c[s : s + DOCS].to_pylist() for c in b.columns)
+                    _, symbols, probs, sizes = scorer.batch([_window(t, i, turn) for i, t in zip(ids, texts, strict=True)], light)
                     first, at, stop = A.blocks(sizes)
                     last = np.flatnonzero(np.append(first[1:] != first[:-1], True))
                     pick = np.maximum(last - 1, np.searchsorted(first, first[last]))  # the last full block of each
@@ -219,55 +278,40 @@ def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     counts_by_lang = stored(word_counts(docs), "words")
     learnt = F.count_if(remainder_col(F.col("doc_id"), FOLD) != HELD)
-    by_lang = {r["lang"]: r["n"] for r in docs.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(learnt.alias("n"), F.count("*").alias("m")).where("n > 0").orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    n_docs = docs.agg(learnt.alias("n"), F.count("*").alias("m")).first()
+    by_lang = docs.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(learnt.alias("n"))
+    n_docs = docs.agg(learnt.alias("n")).first()
     words = stored(counts_by_lang.groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("every").alias("every")), "vocabulary")
     sums = words.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("n"), F.coalesce(F.sum("every"), F.lit(0)).alias("m"), F.count_if(F.col("seen") > 0).alias("v")).first()
     tokens, kinds = sums["n"] + n_docs["n"], sums["v"] + (n_docs["n"] > 0)
     least = max(1, math.ceil(sums["m"] / HEAVY))
-    heavy = {raw(r["word"]): r["seen"] for r in words.where((F.col("every") >= least) & (F.length("word") <= 64)).select("word", "seen").toLocalIterator()}  # HEAVY words at most
-    counts, end = fit_counts(counts_by_lang, by_lang)
-    params = train(docs, counts, end)
+    counts, end, rare = fit_counts(counts_by_lang, by_lang)
+    known = ready(words, counts, rare)
     dropped(counts_by_lang)
-    shared = spark.sparkContext.broadcast((counts, end, heavy, params))
+    often = (F.col("every") >= least) & (F.length("word") <= 64)
+    heavy = packed(known.where(often), len(end))  # HEAVY words at most
+    laid = with_light(docs.select("doc_id", "text"), heavy, known.where(~often))
+    dropped(known)
+    params = train(laid, counts.alone, end, heavy)
+    shared = spark.sparkContext.broadcast((end, heavy, params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for b in batches:
-            ids, texts = (c.to_pylist() for c in b.columns)
-            out: list[list] = [[], [], [], [], []]
-            for s in range(0, len(ids), DOCS):
-                part = texts[s : s + DOCS]
-                docs_, symbols, probs, sizes = scorer.batch(part)
+            out: list[list] = [[], [], [], []]
+            for s in range(0, b.num_rows, DOCS):
+                texts, light = (c[s : s + DOCS].to_pylist() for c in b.columns[1:])
+                docs_, symbols, probs, sizes = scorer.batch(texts, light)
                 w = scorer.words
-                got = ([row_hash(i, t) for i, t in zip(ids[s : s + DOCS], part, strict=True)], [len(d) + 1 for d in docs_], [int(w.known[d].sum()) for d in docs_], [float(w.log[d].sum()) for d in docs_], scorer.net.log10(symbols, probs, sizes).tolist())
+                got = ([len(d) + 1 for d in docs_], [int(w.known[d].sum()) for d in docs_], [float(w.log[d].sum()) for d in docs_], scorer.net.log10(symbols, probs, sizes).tolist())
                 for to, v in zip(out, got, strict=True):
                     to += v
-            held = pa.array([remainder(i, FOLD) == HELD for i in ids], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), held, *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], names=["doc_id", "held_out", "row", "n_tokens", "known", "log", "score"])
+            held = pa.array([remainder(i, FOLD) == HELD for i in b.column(0).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), held, *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], names=["doc_id", "held_out", "n_tokens", "known", "log", "score"])
 
-    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value[2]
-        for b in batches:
-            for s in range(0, b.num_rows, DOCS):
-                row, word, times = [], [], []
-                for i, t in zip(b.column(0)[s : s + DOCS].to_pylist(), b.column(1)[s : s + DOCS].to_pylist(), strict=True):
-                    c = Counter([w for w in _words(t) if w not in own])
-                    row.append(np.full(len(c), row_hash(i, t)))
-                    word += map(word_hash, c)
-                    times += c.values()
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(row).astype(np.int64)), pa.array(word, pa.int64()), pa.array(times, pa.int32())], names=["row", "word", "times"])
-
-    texts = docs.select("doc_id", "text")
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = stored(texts.mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, log double, score double"), "scores")
-    known = words.where(~((F.col("every") >= least) & (F.length("word") <= 64)) & (F.col("seen") > 0)).select(F.xxhash64("word").alias("word"), "seen")
-    terms = texts.mapInArrow(light, "row long, word long, times int").join(known, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("seen") + 1)).alias("more_log"))
-    copies = rows.groupBy("row").agg(F.count("*").alias("copies"))
-    out = rows.join(copies.join(terms, "row", "left"), "row")
-    n_known = F.col("known") + F.coalesce((F.col("more") / F.col("copies")).cast("long"), F.lit(0)) + int(n_docs["n"] > 0)
-    base = F.col("log") + F.coalesce(F.col("more_log") / F.col("copies"), F.lit(0.0)) + math.log10(n_docs["n"] + 1) - F.col("n_tokens") * math.log10(tokens + kinds + 1)
-    return out.select("doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    kind = laid.schema["doc_id"].dataType.simpleString()
+    out = laid.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, log double, score double")
+    base = F.col("log") + math.log10(n_docs["n"] + 1) - F.col("n_tokens") * math.log10(tokens + kinds + 1)
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + int(n_docs["n"] > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

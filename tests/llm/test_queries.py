@@ -82,6 +82,18 @@ def test_op1(spark, tables):
         assert -1e9 < r["score"] < 0
 
 
+def test_op1_keeps_every_count(spark, tables, monkeypatch):
+    """Scores are the same whether counts are broadcast or asked for by hash: none is dropped for being rare."""
+    at, _ = tables
+    want = rows(scoring.op1_lm_scoring(spark, at), "doc_id", "n_tokens", "score")
+    monkeypatch.setattr(scoring, "KEEP", 50)
+    monkeypatch.setattr(scoring, "HEAVY", 20)
+    got = rows(scoring.op1_lm_scoring(spark, at), "doc_id", "n_tokens", "score")
+    for a, b in zip(want, got, strict=True):
+        assert (a["doc_id"], a["n_known"]) == (b["doc_id"], b["n_known"])
+        assert math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9) and math.isclose(a["score"], b["score"], rel_tol=1e-3)
+
+
 def test_op1_probabilities_add_up():
     from signalmill.llm import attention as A
 
