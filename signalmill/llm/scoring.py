@@ -5,7 +5,7 @@
 2.  Word counts become symbol counts by context (`attention`), added up in Spark; all of them stay, in a table that grows with the corpus.
     Facts on contexts and entries above a share of the corpus (1 in KEEP) are broadcast; each word asks the table by hash for the others, and
     every word's expert probabilities are a row of a table. Where a fact comes from does not change the result.
-3.  The attention model is trained by local gradient steps: each task trains on a window of every training document of its partition,
+3.  The attention model is trained by local gradient steps: each task trains on all blocks of every training document of its partition,
     and the tasks' parameters are averaged as a tree. ROUNDS of it.
 4.  Every whole text is scored in place. Words that make up 1 in HEAVY of all tokens are broadcast with their counts and probabilities; those
     of the other words come to each document by a join on the word's hash.
@@ -32,7 +32,7 @@ from signalmill.llm import attention as A
 from signalmill.llm.common import dropped, load, raw, remainder, remainder_col, stored
 
 HEAVY, KEEP, EXPERTS, ROUNDS, FOLD, HELD = 1 << 19, 1 << 20, 4, 1, 7, 2
-FLUSH, DOCS, SHORT = 400_000, 200, 30
+FLUSH, DOCS, WINDOWS = 400_000, 200, 200
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -227,7 +227,7 @@ class Scorer:
 
 
 def train(docs: DataFrame, alone: np.ndarray, end: np.ndarray, heavy: A.Packed, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Parameters of the network. Each round every training document gives a window, chosen by its hash, to its task's gradient steps."""
+    """Parameters of the network. Each round every block of every training document takes part in its task's gradient steps."""
     spark = docs.sparkSession
     params = A.initial(alone)
     learnt = docs.where(remainder_col(F.col("doc_id"), FOLD) != HELD).select("doc_id", "text", "light")
@@ -237,14 +237,16 @@ def train(docs: DataFrame, alone: np.ndarray, end: np.ndarray, heavy: A.Packed,
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(*shared.value)
             trainer = A.Trainer(scorer.net.p)
+            mixer = np.random.default_rng(turn)
             for b in batches:
                 for s in range(0, b.num_rows, DOCS):
-                    ids, texts, light = (c[s : s + DOCS].to_pylist() for c in b.columns)
-                    _, symbols, probs, sizes = scorer.batch([_window(t, i, turn) for i, t in zip(ids, texts, strict=True)], light)
+                    texts, light = (c[s : s + DOCS].to_pylist() for c in b.columns[1:])
+                    _, symbols, probs, sizes = scorer.batch(texts, light)
                     first, at, stop = A.blocks(sizes)
-                    last = np.flatnonzero(np.append(first[1:] != first[:-1], True))
-                    pick = np.maximum(last - 1, np.searchsorted(first, first[last]))  # the last full block of each
-                    trainer.step(symbols, probs, first[pick], at[pick], stop[pick])
+                    turns = mixer.permutation(len(at))  # all blocks of all texts, in an order that mixes the documents
+                    for k in range(0, len(at), WINDOWS):
+                        pick = turns[k : k + WINDOWS]
+                        trainer.step(symbols, probs, first[pick], at[pick], stop[pick])
             if trainer.seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.seen], pa.int64()), pa.array([trainer.loss]), pa.array([A.flat(trainer.net.p)], pa.binary())], names=["id", "n", "loss", "params"])
 
@@ -258,13 +260,6 @@ def train(docs: DataFrame, alone: np.ndarray, end: np.ndarray, heavy: A.Packed,
     return params
 
 
-def _window(text: str | None, doc_id: int | None, turn: int) -> str:
-    """SHORT words of a text, from a place that the id's hash chooses: what one training window and its context need."""
-    words = _words(text)
-    at = xxhash.xxh3_64_intdigest(f"{doc_id}/{turn}") % max(1, len(words) - SHORT + 1)
-    return " ".join(w.decode("utf-8", "replace") for w in words[at : at + SHORT])
-
-
 def _averaged(rows: pd.DataFrame) -> pd.DataFrame:
     total, n = None, rows["n"].sum()
     for data, w in zip(rows["params"], rows["n"], strict=True):

@@ -94,6 +94,21 @@ def test_op1_keeps_every_count(spark, tables, monkeypatch):
         assert math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9) and math.isclose(a["score"], b["score"], rel_tol=1e-3)
 
 
+def test_op1_trains_on_every_symbol(spark, tables, monkeypatch):
+    """What a document gives to the gradient grows with its length: every symbol of every training text, END too."""
+    from signalmill.llm import attention as A
+
+    at, docs = tables
+    seen, averaged = [], scoring._averaged
+    monkeypatch.setattr(scoring, "_averaged", lambda rows: seen.append(int(rows["n"].sum())) or averaged(rows))
+    scoring.op1_lm_scoring(spark, at)
+    want = 0
+    for i, t, _ in docs:
+        if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2:
+            want += int(A.pieces((t or "").encode().lower().split())[1].sum()) + 1
+    assert seen == [want]
+
+
 def test_op1_probabilities_add_up():
     from signalmill.llm import attention as A
 
