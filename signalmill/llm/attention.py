@@ -21,7 +21,7 @@ import numpy as np
 
 from signalmill.llm.tokens import subwords
 
-STEP, BACK, HASH, DIM = 16, 16, 4096, 16
+STEP, BACK, HASH, DIM = 16, 32, 4096, 16
 SPAN = STEP + BACK
 #: Fixed value: ids of the byte-level vocabulary. A symbol is 2 * id + (1 on a word's last); END ends a text.
 IDS = 50_257
@@ -217,6 +217,13 @@ def blocks(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(starts, n), np.repeat(starts, n) + STEP * at, np.repeat(ends, n)
 
 
+def _added(out: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
+    """out[rows] += x, with repeated rows; one pass over all values."""
+    width = out[0].size
+    at = rows.ravel()[:, None] * width + np.arange(width)
+    out += np.bincount(at.ravel(), x.ravel(), out.size).reshape(out.shape)
+
+
 class Network:
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
@@ -268,25 +275,27 @@ class Network:
         out = {n: np.zeros_like(x) for n, x in p.items()}
         ds = f["e"] * ((d * g / f["z"])[..., None] * (f["same"] - (f["hit"] + f["mix"] * a0)[..., None]))
         dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
-        eq, ek = p["embed"][f["prior"][:, BACK:]], p["embed"][f["prior"]]
-        out["query"] = np.einsum("bid,bie->de", eq, dq)
-        out["key"] = np.einsum("bid,bie->de", ek, dk)
-        np.add.at(out["embed"], f["prior"][:, BACK:], dq @ p["query"].T)
-        np.add.at(out["embed"], f["prior"], dk @ p["key"].T)
-        np.add.at(out["near"], _GAP[_CAUSAL], ds.sum(0)[_CAUSAL])
+        ek = p["embed"][f["prior"]]
+        eq = ek[:, BACK:]
+        out["query"] = eq.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
+        out["key"] = ek.reshape(-1, DIM).T @ dk.reshape(-1, DIM)
+        de = dk @ p["key"].T
+        de[:, BACK:] += dq @ p["query"].T
+        _added(out["embed"], f["prior"], de)
+        _added(out["near"], _GAP[_CAUSAL], ds.sum(0)[_CAUSAL])
         dg = d * (f["hit"] - (1 - a0) * f["mix"]) * g * (1 - g)
         out["copy"][0] = dg.sum()
         out["copy_c"] = np.einsum("bi,bik->k", dg, f["c"])
         dpi = (d * (1 - g * (1 - a0)))[..., None] * f["px"]
         du = f["pi"] * (dpi - (f["pi"] * dpi).sum(2, keepdims=True))
         out["prior"] = du.sum((0, 1))
-        out["gain"] = np.einsum("bik,bij->kj", f["c"], du)
+        out["gain"] = f["c"].reshape(-1, du.shape[2]).T @ du.reshape(-1, du.shape[2])
         dc = du @ p["gain"].T + dg[..., None] * p["copy_c"]
         mask = _CAUSAL.astype(np.float32)
         dn = np.matmul(mask.T, dc / f["zc"][..., None])
         dz = (-(dc * f["c"]).sum(2) / f["zc"]) @ mask
-        np.add.at(out["value"], f["row"], dn * f["loud"][..., None])
-        np.add.at(out["loud"], f["row"], ((dn * f["value"]).sum(2) + dz) * f["loud"])
+        _added(out["value"], f["row"], dn * f["loud"][..., None])
+        _added(out["loud"], f["row"], ((dn * f["value"]).sum(2) + dz) * f["loud"])
         out["value"][0] = 0
         return out
 

@@ -109,6 +109,23 @@ def test_op1_trains_on_every_symbol(spark, tables, monkeypatch):
     assert seen == [want]
 
 
+def test_op1_sees_32_places_back():
+    """A symbol met 32 places earlier, and not since, raises its own probability."""
+    from signalmill.llm import attention as A
+
+    alone = np.full((A.SYMBOLS, 2), 1 / A.SYMBOLS, np.float32)
+    net = A.Network(A.initial(alone))
+    symbols = np.arange(100, 164)
+    for place in range(48, 64):
+        p = []
+        for far in (symbols[place], 7):
+            own = symbols.copy()
+            own[place - 32] = far
+            first, at, end = A.blocks(np.array([len(own)]))
+            p.append(net.forward(own, A.bucket(own), alone[own], first, at, end)["p"].ravel()[place])
+        assert p[0] > 2 * p[1]
+
+
 def test_op1_probabilities_add_up():
     from signalmill.llm import attention as A
 
