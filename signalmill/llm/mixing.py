@@ -114,32 +114,39 @@ def slots(blocks: DataFrame, seed: str = "mix", levels: int = LEVELS) -> DataFra
     return out
 
 
+def with_slots(rows: DataFrame, seed: str = "mix") -> DataFrame:
+    """rows (doc_id, source, size and any others) with source_size, target and dealt: copy and shard of each slot that draws the row, by copy."""
+    planned = with_plan(rows, seed).withColumn("draws", F.when(F.col("size") > 0, F.col("copies") + F.col("more")).otherwise(0))
+    most = planned.where("draws > 0").groupBy("source", "block").agg(F.max("draws").alias("draws"))
+    blocks = stored(most.select("source", "block", F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("copy")), "mix-slots")
+    tree = slots(blocks, seed).groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("dealt"))
+    tree = stored(tree, "mix-shards")
+    out = planned.join(near(tree, tree.select("s").distinct()), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
+    own = F.filter("dealt", lambda x: x["copy"] <= F.col("draws"))
+    return out.withColumn("dealt", F.coalesce(own, F.array().cast("array<struct<copy:int,shard:int>>"))).drop("s", "b", "block", "copies", "more", "draws")
+
+
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix: a row of docs for each time that it is drawn, with copy, shard and place, its turn in the shard."""
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
-    drawn = with_plan(rows, seed).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(MOST)))).where("copy <= copies + more and size > 0")
-    dealt = slots(stored(drawn.select("source", "block", "copy").distinct(), "mix-slots"), seed)
-    dealt = stored(dealt.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("copy").alias("c"), "shard"), "mix-shards")
-    out = drawn.join(near(dealt, dealt.select("s").distinct()), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")) & (F.col("copy") == F.col("c")))
-    return out.select("row.*", F.col("copy").alias("mix_copy"), F.col("shard").alias("mix_shard"), draw(F.col("doc_id"), F.col("copy"), seed, "place").alias("mix_place"))
+    out = with_slots(rows, seed).withColumn("slot", F.explode("dealt"))
+    place = draw(F.col("doc_id"), F.col("slot.copy"), seed, "place")
+    return out.select("row.*", F.col("slot.copy").alias("mix_copy"), F.col("slot.shard").alias("mix_shard"), place.alias("mix_place"), F.col("doc_id").alias("mix_id"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the tree deals of each document: words taken, and the shard of each copy."""
     docs = load(spark, sf_dir, "documents", "doc_id", "source", "text")
     sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    out = with_plan(sized)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.col("more"))).alias("taken"))
+    return with_slots(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("dealt")).alias("taken"), F.col("dealt.shard").alias("shards"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each drawn copy of a document, with the columns of docs."""
-    mixed = mix(docs)
-    return mixed.select(*docs.columns)
+    """A row for each drawn copy of a document, with the columns of docs, written shard by shard and shuffled inside a shard."""
+    return shuffled(mix(docs)).select(*docs.columns)
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
-    """The mix laid out for writing: a task for each shard, shuffled locally by place."""
-    return mixed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place", "doc_id", "mix_copy")
-
-
+    """The mix laid out for writing: shards one after another, each in order of place; ranges of it are tasks, however large a shard is."""
+    return mixed.orderBy("mix_shard", "mix_place", "mix_id", "mix_copy")

@@ -388,6 +388,39 @@ def test_op10(spark, tables):
     assert sorted(map(str, got)) == sorted(map(str, mixing.op10_mixing(spark, at).collect()))
 
 
+def test_op10_shards(spark, tables):
+    """Shards are what a brute-force splitting tree deals, block by block; the stage's rows are in order of shard and place."""
+    at, docs = tables
+    num = lambda *p: int(hashlib.md5("/".join("~" if x is None else str(x) for x in p).encode()).hexdigest()[:15], 16)
+    got = mixing.op10_mixing(spark, at).collect()
+    source = {(i, len(words(t))): s for i, t, s in docs}
+    draws = Counter()
+    for r in got:
+        key = (source[r["doc_id"], r["size"]], num(r["doc_id"], "mix", "block") % mixing.BLOCKS)
+        if r["taken"]:
+            draws[key] = max(draws[key], r["taken"] // r["size"])
+    nodes = {0: [(s, b, c) for (s, b), n in draws.items() for c in range(1, n + 1)]}
+    for level in range(mixing.LEVELS):
+        down = {}
+        for node, own in nodes.items():
+            own = sorted(own, key=lambda x: num(*x, "mix", level))
+            half = (len(own) + num(node, "mix", level, "odd") % 2) // 2
+            down |= {2 * node: own[:half], 2 * node + 1: own[half:]}
+        nodes = down
+    shard = {x: node for node, own in nodes.items() for x in own}
+    assert max(map(len, nodes.values())) - min(map(len, nodes.values())) <= mixing.LEVELS
+    for r in got:
+        s = source[r["doc_id"], r["size"]]
+        b = num(r["doc_id"], "mix", "block") % mixing.BLOCKS
+        assert r["shards"] == [shard[s, b, c] for c in range(1, len(r["shards"]) + 1)] and r["taken"] == r["size"] * len(r["shards"])
+    table = spark.read.parquet(f"{at}/documents.parquet")
+    want = []
+    for r in got:
+        want += [(k, num(r["doc_id"], c, "mix", "place"), r["doc_id"]) for c, k in enumerate(r["shards"], 1)]
+    ordered = [x[2] for x in sorted(want, key=lambda x: x[:2])]
+    assert [r["doc_id"] for r in mixing.mixing_stage(spark, table, at).collect()] == ordered
+
+
 QUERIES = (scoring.op1_lm_scoring, toxicity.op2_toxicity, pii.op3_pii, packing.op4_packing, vectors.op5_vectors, suffix.op6_suffix_dedup, quality.op8_quality_rules, jaccard.op9_jaccard, mixing.op10_mixing)
 
 
