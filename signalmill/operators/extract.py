@@ -205,6 +205,13 @@ def entropy(words: Column) -> Column:
     return F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
 
+def entropies(df: DataFrame, by: str, words: Column) -> DataFrame:
+    """by and Shannon entropy (bits) of all words of it: in proportion to their number, for texts of any length."""
+    counts = df.select(by, F.explode(words).alias("word_")).groupBy(by, "word_").agg(F.count("*").alias("c"))
+    n = F.sum("c")
+    return counts.groupBy(by).agg((F.log2(n.cast("double")) - F.sum(F.col("c") * F.log2(F.col("c").cast("double"))) / n).alias("entropy"))
+
+
 def high_entropy(c: Column) -> Column:
     words = F.filter(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]+)"), 1), lambda t: F.length(t) > 1)
     hits = F.size(F.filter(words, lambda w: T.among(w, X.VOCABULARY))) / F.size(words)

@@ -334,8 +334,9 @@ def f4_f8_keep_api(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(left(text, 400)), '[a-z0-9_]+'), lambda t: length(t) > 1) AS ws FROM documents), c AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS t FROM w), k AS (SELECT doc_id, n, t, count(*) AS c FROM c GROUP BY ALL)
 SELECT doc_id, round(-sum(c / n * log2(c / n)), 6) AS entropy FROM k GROUP BY doc_id""")
 def f9_a9_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.filter(F.regexp_extract_all(F.lower(F.substring("text", 1, 400)), F.lit("([a-z0-9_]+)"), 1), lambda t: F.length(t) > 1).alias("w"))
-    return d.where("size(w) > 0").select("doc_id", F.round(E.entropy(F.col("w")), 6).alias("entropy"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), 1), lambda t: F.length(t) > 1)
+    return E.entropies(d, "doc_id", words).select("doc_id", F.round("entropy", 6).alias("entropy"))
 
 
 @query(S + " SELECT ord, item_type = 'task' AND source_file_type = 'Planning' AND signal_origin = 'explicit' AS locked FROM s")

@@ -58,3 +58,18 @@ def test_partitions_do_not_matter(spark):
     d = spark.range(200).select(F.col("id").alias("ord"), (F.col("id") % 7).cast("string").alias("t"), F.lit(1).alias("g"))
     a, b = (sorted(tuple(r) for r in O.keep_first(x, ["g"], F.col("t"), ["ord"]).collect()) for x in (d.repartition(1), d.repartition(9)))
     assert a == b and len(a) == 7
+
+
+def test_entropy_of_whole_texts(spark, tmp_path):
+    import math
+    from collections import Counter
+
+    from signalmill.plans import catalog
+
+    long = " ".join(["same"] * 100 + [f"w{k}" for k in range(300)])
+    texts = {1: long, 2: "aa aa bb", 3: "", 4: None, 5: "x y"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["entropy"] for r in catalog.f9_a9_entropy(spark, str(tmp_path)).collect()}
+    c = {i: Counter(texts[i].split()) for i in (1, 2)}
+    want = {i: -sum(v / x.total() * math.log2(v / x.total()) for v in x.values()) for i, x in c.items()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in want)
