@@ -1,21 +1,24 @@
 """N-gram Jaccard join: all links between texts whose word-shingle sets agree by three quarters or more.
 
-1.  Each text becomes a set of 64-bit shingle hashes. Texts with equal sets are one class; its smallest id stands for it.
-2.  Two sets that link share an element among the smallest quarter (by hash) of each, the prefix. Prefix elements that two classes or
-    more hold are the keys; all others are dropped before anything else is moved.
-3.  Chains: in each key, in order of set size, neighbours are compared. These few pairs join most of any large group of copies.
-4.  Tiles: what is left are pairs of classes that share a key and are not joined yet. A key's classes are banded by size (a band spans
-    4/3, so links stay within a band or reach into the next), a large band is cut into blocks, and each pair of blocks is a tile of
-    bounded size. In a tile, bitmaps of the sets (a bit for each hash, as wide as the set is large, folded to the narrower) bound the
-    overlap from above: |A| - popcount(A and not B). Pairs that pass go to the exact test.
-5.  The exact test intersects the sorted arrays of both sets. Components of the links give the groups.
-
-No pair is lost: the prefix and size bounds and the bitmap bound are never below the true overlap. Nothing but counts reaches the driver.
-Pairs inside a group that chains have joined are not enumerated, as the result is each document's group.
-
-Defined results: a null, empty or blank text has no shingles and links with nothing; with fewer words than a shingle the whole
-sequence is the one shingle. Rows that repeat an id are one document to the links. Rows whose id is null take the smallest id of their
-group, null if there is none. Further columns are not read.
+1.  Each text becomes a set of 64-bit shingle hashes; rows with equal sets are one class, known by a 128-bit key of the set, whatever their ids.
+2.  Sieve: a set can only link if three quarters of its elements are in another row's set too. Every row's elements are dealt to buckets by
+    their upper bits, packed as arrays (4 bytes of hash, 2 of the row's place among up to ROWS rows); a bucket says which it met twice.
+    An element that rows of one task share is sent once. Rows that pass are few; the rest has no link and is done with.
+3.  Keys: elements of the classes that passed are counted, and put in order from rare to frequent. Two sets that link share an element of
+    the first quarter of each, the prefix. Keys whose classes are the same are one list, kept under the key first in that order.
+4.  Tiles: a list's classes are banded by size (a band spans 4/3, so links stay within a band or reach into the next), a large band is cut
+    into blocks, and each pair of blocks is a tile of bounded size. In a tile, bitmaps of the sets (as many bits as four times the set, the wider
+    folded to the narrower) bound the overlap from above: |A| - popcount(A and not B). Pairs that pass go to the exact test.
+5.  The exact test intersects the sorted arrays of both sets. It is made first for neighbours by size in each block, which joins most of
+    any large group; then for all pairs of a tile that are not joined yet. Components of the links give the groups.
+
+No pair is lost: the sieve errs to one side only (a hash of 32 bits in a bucket may be met twice by chance), and the prefix, size, place and
+bitmap bounds are never below the true overlap. Nothing but counts reaches the driver. Pairs inside a group that are joined already are not
+enumerated, as the result is each document's group. What stays quadratic is one list's blocks, for a list with several groups in it.
+
+Defined results: a null, empty or blank text has no shingles and links with nothing; with fewer words than a shingle the whole sequence is
+the one shingle. Every row links by its own text; rows that repeat an id are also one document to the query's links, whatever their texts. Rows
+whose id is null take the smallest id of their group, null if there is none. An empty table gives no rows. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalmill.llm.common import components, dropped, load, raw, stored
 
-WORDS, TILE, CHUNK = 5, 4096, 1 << 15
+#: Classes of a list's block; pairs whose bitmaps are met together; widest bitmap in bits (a narrower one only bounds less sharply).
+WORDS, TILE, CHUNK, WIDEST = 5, 4096, 1 << 15, 1 << 16
+#: Elements and rows that a task of the sieve packs together; bytes of text for each bucket.
+PACK, ROWS, BUCKET = 1 << 20, 60_000, 1 << 23
+KNOWN = 0xFFFF
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -61,8 +69,8 @@ def prefix_size(n: int) -> int:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A bit for each hash; as many bits as the next power of two from the set's size, 64 at least."""
-    width = max(64, 1 << (len(hashes) - 1).bit_length())
+    """A bit for each hash; as many bits as the next power of two from four times the set's size, 64 at least and WIDEST at most."""
+    width = min(WIDEST, max(64, 1 << (4 * len(hashes) - 1).bit_length()))
     bits = np.zeros(width, bool)
     bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -71,11 +79,7 @@ def bitmap(hashes: np.ndarray) -> bytes:
 def folded(maps: list[bytes]) -> np.ndarray:
     """Bitmaps as words, each folded by halves to the narrowest of them."""
     least = min(map(len, maps))
-    out = np.zeros((len(maps), least // 8), np.uint64)
-    for k, m in enumerate(maps):
-        x = np.frombuffer(m, np.uint64)
-        out[k] = np.bitwise_or.reduce(x.reshape(-1, least // 8), axis=0)
-    return out
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, least // 8), axis=0) for m in maps])
 
 
 def possible(size_a, size_b, only_a, only_b) -> np.ndarray:
@@ -89,105 +93,237 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 7 * common >= 3 * (len(a) + len(b))
 
 
-def with_sets(docs: DataFrame, keep: tuple[str, ...], prefixes: bool) -> DataFrame:
-    """keep, n_shingles, set_key (null without shingles), and where asked for prefix and bits, for each row of docs."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+def set_key(s: np.ndarray) -> str | None:
+    return xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None
+
+
+# The sieve
+
+
+def _packed(docs: DataFrame, buckets: int) -> DataFrame:
+    """Rows b, src, hashes, places from docs (doc_id, text, th): a pack's elements by bucket, and (places null) what is known of its rows."""
+    names = ["b", "src", "hashes", "places"]
+
+    def flush(sets: list[np.ndarray], meta: list[tuple], src: int) -> Iterator[pa.RecordBatch]:
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        every, place = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(every, kind="stable")
+        every, place = every[order], place[order]
+        first = np.append(True, every[1:] != every[:-1])
+        twice = ~(first & np.append(first[1:], True))
+        here = np.bincount(place[twice], minlength=len(sets))
+        place[twice] = KNOWN
+        every, place = every[first], place[first].astype(np.uint16)
+        ids, keys, th = zip(*meta, strict=True)
+        known = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(keys, pa.string()), pa.array(th, pa.string()), pa.array(here)], names=["doc_id", "n", "key", "th", "hits"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, known.schema) as to:
+            to.write_batch(known)
+        bucket = ((every >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # in order, as the elements are
+        ends = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        low = every.astype(np.uint32)
+        used = np.flatnonzero(ends[1:] > ends[:-1])
+        for s in range(0, len(used), 256):
+            some = used[s : s + 256]
+            blobs = [[x[ends[k] : ends[k + 1]].tobytes() for k in some] for x in (low, place)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([src] * len(some), pa.int64()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([src % buckets], pa.int32()), pa.array([src], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([None], pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], pa.string())]
-            if prefixes:
-                cols.append(pa.array([s[: prefix_size(len(s))].view(np.int64) for s in sets], pa.list_(pa.int64())))
-                cols.append(pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*keep, "n_shingles", "set_key", "prefix", "bits"][: len(keep) + len(cols)])
-
-    schema = f"{kinds}, n_shingles long, set_key string" + ", prefix array<long>, bits binary" * prefixes
-    return docs.select(*keep, F.col("text").alias("text_")).mapInArrow(run, schema)
+        src, sets, meta, held = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            for doc, text, th in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = shingles(text)
+                sets.append(s)
+                meta.append((doc, set_key(s), th))
+                held += len(s)
+                if held >= PACK or len(sets) >= ROWS:
+                    yield from flush(sets, meta, src)
+                    src, sets, meta, held = src + 1, [], [], 0
+        if sets:
+            yield from flush(sets, meta, src)
+
+    return docs.select("doc_id", "text", "th").mapInArrow(run, "b int, src long, hashes binary, places binary")
+
+
+def _met_twice(packs: DataFrame) -> DataFrame:
+    """Rows src, known, places: for each pack the places whose elements a bucket met twice; what is known of a pack's rows goes through."""
+
+    def one(rows: list[tuple]) -> Iterator[tuple]:
+        hashes = [np.frombuffer(r[2], np.uint32) for r in rows]
+        ends = np.cumsum([len(h) for h in hashes])
+        every = np.concatenate(hashes)
+        order = np.argsort(every, kind="stable")
+        s = every[order]
+        same = s[1:] == s[:-1]
+        twice = np.zeros(len(every), bool)
+        twice[order] = np.append(False, same) | np.append(same, False)
+        for r, h, e in zip(rows, hashes, ends, strict=True):
+            places = np.frombuffer(r[3], np.uint16)
+            hit = places[twice[e - len(h) : e] & (places != KNOWN)]
+            if len(hit):
+                yield r[1], None, hit.tobytes()
+
+    def batched(rows: list[tuple]) -> pa.RecordBatch:
+        src, known, places = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(known, pa.binary()), pa.array(places, pa.binary())], names=["src", "known", "places"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            through = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[3] is None:
+                    through.append((row[1], row[2], None))
+                    continue
+                if row[0] != last and held:
+                    yield batched(list(one(held)))
+                    held = []
+                last = row[0]
+                held.append(row)
+            yield batched(through)
+        if held:
+            yield batched(list(one(held)))
+
+    return packs.repartition("b").sortWithinPartitions("b").mapInArrow(run, "src long, known binary, places binary")
+
+
+def _rejoined(found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, set_key, th, hits (elements that other rows have too) of each row, from the rows of _met_twice()."""
+    names = ["doc_id", "n_shingles", "set_key", "th", "hits"]
+
+    def one(rows: list[tuple]) -> pa.RecordBatch:
+        known = next(r[1] for r in rows if r[1] is not None)
+        meta = pa.ipc.open_stream(known).read_next_batch()
+        hits = meta.column(4).to_numpy().copy()
+        for _, _, places in rows:
+            if places is not None:
+                hits += np.bincount(np.frombuffer(places, np.uint16), minlength=len(hits))
+        return pa.RecordBatch.from_arrays([*meta.columns[:4], pa.array(hits)], names=names)
 
-def _arrays(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["rep", "set"])
+        last, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != last and held:
+                    yield one(held)
+                    held = []
+                last = row[0]
+                held.append(row)
+        if held:
+            yield one(held)
 
-    return docs.select("rep", "text").mapInArrow(run, "rep long, set binary")
+    return found.repartition("src").sortWithinPartitions("src").mapInArrow(run, "doc_id long, n_shingles long, set_key string, th string, hits long")
 
 
-def _bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the bitmaps leave possible."""
+def sieved(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, set_key, th (a hash of the text) and hits for each row of docs (doc_id, text), as a stored table."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("th"))
+    return stored(_rejoined(_met_twice(_packed(rows, max(16, -(-size // BUCKET))))), "rows")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            na, nb, ma, mb = (b.column(k).to_pylist() for k in (2, 3, 4, 5))
-            ok = []
-            for k in range(b.num_rows):
-                x = folded([ma[k], mb[k]])
-                ok.append(bool(possible(na[k], nb[k], int(np.bitwise_count(x[0] & ~x[1]).sum()), int(np.bitwise_count(x[1] & ~x[0]).sum()))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one, two = (bits.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"m{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
+def text_hash() -> F.Column:
+    return F.md5(F.col("text").cast("binary"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link, by the exact intersection of their sorted arrays."""
+# Keys, tiles and links
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """cid, n, set (sorted hashes) and bits of each row of texts (cid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            sets = [shingles(t) for t in b.column(1).to_pylist()]
+            cols = ([len(s) for s in sets], [s.tobytes() for s in sets], [bitmap(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["cid", "n", "set", "bits"])
 
-    one, two = (sets.select(F.col("rep").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return texts.select("cid", "text").mapInArrow(run, "cid long, n long, set binary, bits binary")
 
 
-def _tiles(keys: DataFrame, bits: DataFrame) -> DataFrame:
-    """Possible pairs of classes that share a key and are not joined yet. keys: k, rep, pos (the key's place in the set), n, comp; bits: rep, bits.
+def _elements(classes: DataFrame) -> DataFrame:
+    """k, cid, n for each element k of each class."""
 
-    A key with few classes is one tile. More are banded by size, and a band with its visitors from the band below is cut into blocks.
-    """
-    key, tile = Window.partitionBy("k"), Window.partitionBy("k", "band")
-    rows = keys.withColumn("m", F.count("*").over(key)).withColumn("mixed", F.min("comp").over(key) != F.max("comp").over(key)).where("mixed")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + F.lit(1e-9)).cast("int")
-    rows = rows.withColumn("own", F.when(F.col("m") > TILE, band).otherwise(-1))
-    rows = rows.withColumn("band", F.explode(F.when(F.col("own") < 0, F.array("own")).otherwise(F.array("own", F.col("own") + 1))))
-    rows = rows.withColumn("m", F.count("*").over(tile)).withColumn("mixed", F.min("comp").over(tile) != F.max("comp").over(tile))
-    rows = rows.withColumn("owned", F.max(F.col("own") == F.col("band")).over(tile)).where("mixed and owned")
-    blocks = F.ceil(F.col("m") / TILE).cast("int")
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cid, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            keys = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(cid, n)), pa.array(np.repeat(n, n))], names=["k", "cid", "n"])
+
+    return classes.select("cid", "n", "set").mapInArrow(run, "k long, cid long, n long")
+
+
+def _lists(classes: DataFrame) -> DataFrame:
+    """k, m (classes in the list), cid, n, pos (the key's place in the class' order from rare to frequent)."""
+    elements = _elements(classes)
+    counted = elements.groupBy("k").agg(F.count("*").alias("df")).where("df > 1")
+    own = elements.join(counted, "k").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("keys"))  # of one text
+    prefix = F.expr("n - (3 * n + 3) div 4 + 1")
+    own = own.withColumn("alone", F.col("n") - F.size("keys")).withColumn("left", (prefix - F.col("alone")).cast("int")).where("left > 0")
+    rows = own.select("cid", "n", "alone", F.posexplode(F.slice("keys", F.lit(1), F.col("left"))).alias("i", "x"))
+    rows = stored(rows.select("cid", "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("x.df").alias("df"), F.col("x.k").alias("k")), "keys")
+    # Lists are told apart by their number of classes and two 64-bit sums over them.
+    signed = rows.groupBy("k", "df").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y")).where("m > 1")
+    kept = signed.groupBy("m", "x", "y").agg(F.min(F.struct("df", "k")).alias("first")).select(F.col("first.k").alias("k"), "m")
+    out = stored(rows.join(kept, "k").select("k", "m", "cid", "n", "pos"), "lists")
+    dropped(rows)
+    return out
+
+
+def _tiles(lists: DataFrame, bits: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Possible pairs of a list's classes: neighbours by size in each block (comps null), or all pairs of different groups (comps: cid, comp)."""
+    chain = comps is None
+    rows = lists.withColumn("comp", F.col("cid")) if chain else lists.join(comps, "cid")
+    own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + F.lit(1e-9)).cast("int")
+    rows = rows.withColumn("own", own).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+    tile = rows.groupBy("k", "band").agg(F.count("*").alias("c"), F.max(F.col("own") == F.col("band")).alias("owned"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    tile = tile.where("c > 1 and owned and lo <> hi").select("k", "band", F.ceil(F.col("c") / TILE).cast("int").alias("blocks"))
+    rows = rows.drop("m").join(tile, ["k", "band"]).withColumn("i", F.pmod(F.xxhash64("k", "cid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("j", F.col("i") if chain else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("t", F.xxhash64("k", "band", F.least("i", "j"), F.greatest("i", "j")))
 
     def one(ids, sizes, places, maps, comps, own, block) -> list[pa.RecordBatch]:
         if len(ids) < 2 or len(set(comps)) < 2:
             return []
         n, at, c, o, blk, i = np.array(sizes), np.array(places), np.array(comps), np.array(own), np.array(block), np.array(ids)
-        split = blk.min() != blk.max()
         width = np.array([len(m) for m in maps])
-        rows, row = {}, np.zeros(len(i), np.int64)
+        rows, row, out = {}, np.zeros(len(i), np.int64), []
         for w in np.unique(width):
             mine = np.flatnonzero(width == w)
             rows[w], row[mine] = np.frombuffer(b"".join(maps[k] for k in mine), np.uint64).reshape(len(mine), -1), np.arange(len(mine))
-        left, out = n - at, []
+
+        def bounded(u: np.ndarray, v: np.ndarray) -> None:
+            for k in range(0, len(u), CHUNK):
+                p, q = u[k : k + CHUNK], v[k : k + CHUNK]
+                for wp, wq in set(zip(width[p].tolist(), width[q].tolist(), strict=True)):
+                    here = np.flatnonzero((width[p] == wp) & (width[q] == wq))
+                    w = min(wp, wq) // 8
+                    for s in range(0, len(here), step := max(1, (1 << 22) // max(wp, wq))):
+                        a, b = p[here[s : s + step]], q[here[s : s + step]]
+                        x, y = (np.bitwise_or.reduce(z.reshape(len(z), -1, w), axis=1) for z in (rows[wp][row[a]], rows[wq][row[b]]))
+                        only, back = np.bitwise_count(x & ~y).sum(1, dtype=np.int64), np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+                        good = possible(n[a], n[b], only, back)
+                        if good.any():
+                            a, b = i[a][good], i[b][good]
+                            out.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]))
+
+        left = n - at
+        if chain:
+            order = np.lexsort((i, n))
+            p, q = order[:-1], order[1:]
+            ok = 7 * np.minimum(left[p], left[q]) >= 3 * (n[p] + n[q])
+            bounded(p[ok], q[ok])
+            return out
+        split = blk.min() != blk.max()
         for s in range(0, len(i), 256):
             e = min(len(i), s + 256)
-            # If this key is the first that both hold, the overlap is at most what is left from it on; else an earlier key's tile has the pair.
+            # If this key is the first that both hold, the overlap is at most what is left from it on; else an earlier key's list has the pair.
             ok = (7 * np.minimum(left[s:e, None], left[None]) >= 3 * (n[s:e, None] + n[None])) & (c[s:e, None] != c[None]) & (i[s:e, None] < i[None]) & (o[s:e, None] | o[None])
             if split:
                 ok &= blk[s:e, None] != blk[None]
             u, v = np.nonzero(ok)
-            u += s
-            for k in range(0, len(u), CHUNK):
-                p, q = u[k : k + CHUNK], v[k : k + CHUNK]
-                for wp, wq in set(zip(width[p].tolist(), width[q].tolist(), strict=True)):
-                    here = (width[p] == wp) & (width[q] == wq)
-                    x, y = rows[wp][row[p[here]]], rows[wq][row[q[here]]]
-                    w = min(wp, wq) // 8
-                    x, y = (np.bitwise_or.reduce(z.reshape(len(z), -1, w), axis=1) for z in (x, y))
-                    only, back = np.bitwise_count(x & ~y).sum(1, dtype=np.int64), np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
-                    good = possible(n[p[here]], n[q[here]], only, back)
-                    if good.any():
-                        out.append(pa.RecordBatch.from_arrays([pa.array(i[p[here]][good]), pa.array(i[q[here]][good])], names=["a", "b"]))
+            bounded(u + s, v)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,49 +337,56 @@ def _tiles(keys: DataFrame, bits: DataFrame) -> DataFrame:
                     to.append(v)
         yield from one(*held)
 
-    slim = rows.select("rep", "t", "n", "pos", "comp", (F.col("own") == F.col("band")).alias("o"), F.col("i").cast("int")).join(bits.select("rep", "bits"), "rep")
-    return slim.select("t", "rep", "n", "pos", "bits", "comp", "o", "i").repartition("t").sortWithinPartitions("t").mapInArrow(run, "a long, b long")
+    slim = rows.select("cid", "t", "n", "pos", "comp", (F.col("own") == F.col("band")).alias("o"), "i").join(bits, "cid")
+    return slim.select("t", "cid", "n", "pos", "bits", "comp", "o", "i").repartition("t").sortWithinPartitions("t").mapInArrow(run, "a long, b long")
 
 
-def classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """set_key, rep (smallest id of the class) and component (smallest id of the group).
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that link, by the exact intersection of their sorted arrays."""
 
-    rows: with_sets(.., prefixes) as a stored table, which is dropped here; texts: doc_id, text.
-    """
-    # xxh3 of the sorted hashes stands for the set; equal sets give one row. Only rows of the standing id carry prefixes on.
-    by_key = stored(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    head = rows.join(by_key.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
-    keyed = head.select(F.col("doc_id").alias("rep"), F.posexplode("prefix").alias("pos", "k"))
-    shared = Window.partitionBy("k")
-    keys = stored(keyed.withColumn("m", F.count("*").over(shared)).where("m > 1").drop("m"), "keys")
-    reps = stored(keys.select("rep").distinct(), "reps")
-    bits = stored(head.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_shingles").alias("n"), F.max_by("bits", "n_shingles").alias("bits")), "bits")
-    dropped(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    one, two = (sets.select(F.col("cid").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        """Links among pairs; sets are made again from the texts of the documents in them, which bitmaps have made few."""
-        few = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-        sets = stored(_arrays(texts.select(F.col("doc_id").alias("rep"), "text").join(few, "rep").groupBy("rep").agg(F.max_by("text", F.length("text")).alias("text"))), "sets")
-        out = stored(_verified(pairs, sets), "links")
-        dropped(sets)
-        return out
 
-    sized = keys.join(bits.select("rep", "n"), "rep")
-    order = Window.partitionBy("k").orderBy("n", "rep")
-    chain = sized.withColumn("p", F.lag("rep").over(order)).withColumn("pn", F.lag("n").over(order)).where("p is not null and 4 * pn >= 3 * n")
-    chain = chain.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).where("a < b").distinct()
-    first = tested(stored(_bounded(chain, bits), "pairs"))
-    comp = stored(components(reps.select(F.col("rep").alias("id")), first).select(F.col("id").alias("rep"), F.col("component").alias("comp")), "comps")
-    more = tested(stored(_tiles(sized.join(comp, "rep"), bits).distinct(), "pairs"))
-    final = components(reps.select(F.col("rep").alias("id")), first.unionByName(more))
-    return by_key.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", "rep", F.coalesce("component", "rep").alias("component"))
+def _same_id(rows: DataFrame, by_key: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that rows of one id have; every other class of an id is paired with its first."""
+    several = rows.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi")
+    pairs = rows.join(several.select("doc_id", "lo"), "doc_id").where("set_key <> lo").select("lo", "set_key").distinct()
+    return pairs.join(by_key.select("set_key", F.col("cid").alias("b")), "set_key").join(by_key.select(F.col("set_key").alias("lo"), F.col("cid").alias("a")), "lo").select("a", "b")
+
+
+def groups(rows: DataFrame, docs: DataFrame, by_id: bool) -> DataFrame:
+    """set_key, g (number of the group) and component (its smallest id) of each set. rows: of sieved(docs); docs: doc_id, text; by_id: rows of one id link."""
+    by_key = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("hits").alias("hits"), F.first("n_shingles").alias("n"), F.min("th").alias("th"))
+    by_key = stored(by_key.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    texts = docs.select("text", text_hash().alias("th")).join(by_key.where("4 * hits >= 3 * n").select("th", "cid"), "th")
+    classes = stored(_sets(texts).groupBy("cid").agg(F.first("n").alias("n"), F.first("set").alias("set"), F.first("bits").alias("bits")), "sets")
+    lists, bits = _lists(classes), classes.select("cid", "bits")
+    near = stored(_verified(_tiles(lists, bits, None).distinct(), classes), "links")
+    comps = stored(components(lists.select(F.col("cid").alias("id")).distinct(), near).select(F.col("id").alias("cid"), F.col("component").alias("comp")), "comps")
+    more = stored(_verified(_tiles(lists, bits, comps).distinct(), classes), "links")
+    if by_id:
+        more = more.unionByName(stored(_same_id(rows, by_key), "same-id"))
+    # Groups so far are the nodes of what is left to join; a class that met no other is its own.
+    a, b = (comps.select(F.col("cid").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    links = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    named = by_key.join(comps, "cid", "left").select("set_key", "rep", F.coalesce("comp", "cid").alias("comp"))
+    over = components(named.select(F.col("comp").alias("id")).distinct(), links)
+    named = stored(named.join(over.select(F.col("id").alias("comp"), F.col("component").alias("g")), "comp").select("set_key", "rep", "g"), "named")
+    out = stored(named.join(named.groupBy("g").agg(F.min("rep").alias("component")), "g").select("set_key", "g", "component"), "groups")
+    dropped(by_key, classes, lists, near, comps, named)
+    return out
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    rows = stored(with_sets(docs, ("doc_id",), True), "sets-all")
-    own = stored(rows.select("doc_id", "n_shingles", "set_key"), "set-keys")
-    out = own.join(classes(rows, docs).select("set_key", "component"), "set_key", "left")
+    rows = sieved(docs)
+    out = rows.join(groups(rows, docs, True), "set_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -252,15 +395,23 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those that another one of their group stands for: the row of the group's smallest id stays."""
+    """Documents without those that another one of their group stands for: the row with the group's smallest id stays.
+
+    Rows without shingles stay. Rows of one id are told apart by their texts here. Of several rows with a group's smallest id, or of a group
+    without ids, the first by set and then by the row as JSON stays. Every column of docs stays.
+    """
     names = docs.columns
-    rows = stored(with_sets(docs.select("doc_id", "text"), ("doc_id",), True), "sets-all")
-    found = stored(classes(rows, docs.select("doc_id", "text")).select("set_key", "component"), "groups")
-    own = with_sets(docs.select(F.struct(*names).alias("row"), "doc_id", "text"), ("row", "doc_id"), False).join(found, "set_key", "left")
-    stays = own.where("n_shingles = 0 or doc_id <=> component")
-    one = Window.partitionBy("component", "set_key").orderBy(F.to_json("row"))
-    alone = stays.where("n_shingles > 0").withColumn("turn", F.row_number().over(one)).where("turn = 1").select("row.*")
-    return stays.where("n_shingles = 0").select("row.*").unionByName(alone)
+    rows = sieved(docs.select("doc_id", "text"))
+    found = groups(rows, docs.select("doc_id", "text"), False)
+    first = rows.join(found, "set_key").where("doc_id <=> component")
+    # The set that stands for a group, and how many rows of it have the group's id.
+    sets = first.groupBy("g", "set_key").agg(F.count("*").alias("rows")).groupBy("g").agg(F.min(F.struct("set_key", "rows")).alias("x")).select("g", "x.*")
+    stays = first.drop("g").join(sets, "set_key").select("th", F.col("doc_id").alias("id_"), "g", "rows").distinct()
+    marked = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("own_"), text_hash().alias("th"), F.col("text").alias("text_"))
+    bare = marked.where(F.coalesce(~F.col("text_").rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))).select("row")
+    own = marked.join(stays, "th").where("own_ <=> id_")
+    tied = own.where("rows > 1").groupBy("g").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return own.where("rows = 1").select("row").unionByName(tied).unionByName(bare).select("row.*")
 
 
 #: All pairs by brute force on the shingles themselves; for small tables.
