@@ -7,10 +7,11 @@
 3.  Keys: elements of the classes that passed are counted, and put in order from rare to frequent. Two sets that link share an element of
     the first quarter of each, the prefix. Keys whose classes are the same are one list, kept under the key first in that order.
 4.  Tiles: a list's classes are banded by size (a band spans 4/3, so links stay within a band or reach into the next), a large band is cut
-    into blocks, and each pair of blocks is a tile of bounded size. In a tile, bitmaps of the sets (as many bits as four times the set, the wider
-    folded to the narrower) bound the overlap from above: |A| - popcount(A and not B). Pairs that pass go to the exact test.
-5.  The exact test intersects the sorted arrays of both sets. It is made first for neighbours by size in each block, which joins most of
-    any large group; then for all pairs of a tile that are not joined yet. Components of the links give the groups.
+    into blocks, and each pair of blocks is a tile of bounded size. In a tile, bitmaps of the sets (up to 16 bits for each element, the
+    wider folded to the narrower) bound the overlap from above: |A| - popcount(A and not B). Pairs that pass go to the exact test.
+5.  The exact test intersects the sorted arrays of both sets. It is made first for neighbours by size in each block, then for each class' best
+    partner of another group, which join most of any large group; then for all pairs of a tile that are not joined yet, each in the
+    first list that has both. Components of the links give the groups.
 
 No pair is lost: the sieve errs to one side only (a hash of 32 bits in a bucket may be met twice by chance), and the prefix, size, place and
 bitmap bounds are never below the true overlap. Nothing but counts reaches the driver. Pairs inside a group that are joined already are not
@@ -29,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalmill.llm.common import components, dropped, load, raw, stored
 
-#: Classes of a list's block; pairs whose bitmaps are met together; widest bitmap in bits (a narrower one only bounds less sharply).
-WORDS, TILE, CHUNK, WIDEST = 5, 4096, 1 << 15, 1 << 16
+#: Classes of a list's block; pairs whose bitmaps are met together; bits from which a bitmap takes fewer for each element, and its widest. A narrower
+#: one only bounds less sharply.
+WORDS, TILE, CHUNK, WIDE, WIDEST = 5, 4096, 1 << 15, 1 << 13, 1 << 16
 #: Elements and rows that a task of the sieve packs together; bytes of text for each bucket.
 PACK, ROWS, BUCKET = 1 << 20, 60_000, 1 << 23
 KNOWN = 0xFFFF
@@ -69,8 +71,9 @@ def prefix_size(n: int) -> int:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A bit for each hash; as many bits as the next power of two from four times the set's size, 64 at least and WIDEST at most."""
-    width = min(WIDEST, max(64, 1 << (4 * len(hashes) - 1).bit_length()))
+    """A bit for each hash; as many bits as the next power of two from 16 times the set's size up to WIDE, from then on 4 times; 64 at least, WIDEST at most."""
+    above = lambda x: 1 << (x * len(hashes) - 1).bit_length()
+    width = min(WIDEST, max(64, above(4), min(WIDE, above(16))))
     bits = np.zeros(width, bool)
     bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -255,7 +258,7 @@ def _elements(classes: DataFrame) -> DataFrame:
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """k, m (classes in the list), cid, n, pos (the key's place in the class' order from rare to frequent)."""
+    """k, cid, n, pos (the key's place in the class' order from rare to frequent), earlier (the class' lists before, in that order)."""
     elements = _elements(classes)
     counted = elements.groupBy("k").agg(F.count("*").alias("df")).where("df > 1")
     own = elements.join(counted, "k").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("keys"))  # of one text
@@ -265,37 +268,54 @@ def _lists(classes: DataFrame) -> DataFrame:
     rows = stored(rows.select("cid", "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("x.df").alias("df"), F.col("x.k").alias("k")), "keys")
     # Lists are told apart by their number of classes and two 64-bit sums over them.
     signed = rows.groupBy("k", "df").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y")).where("m > 1")
-    kept = signed.groupBy("m", "x", "y").agg(F.min(F.struct("df", "k")).alias("first")).select(F.col("first.k").alias("k"), "m")
-    out = stored(rows.join(kept, "k").select("k", "m", "cid", "n", "pos"), "lists")
+    kept = signed.groupBy("m", "x", "y").agg(F.min(F.struct("df", "k")).alias("first")).select(F.col("first.k").alias("k"))
+    before = F.collect_list("k").over(Window.partitionBy("cid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))  # of one text
+    out = stored(rows.join(kept, "k").select("k", "cid", "n", "pos", before.alias("earlier")), "lists")
     dropped(rows)
     return out
 
 
-def _tiles(lists: DataFrame, bits: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Possible pairs of a list's classes: neighbours by size in each block (comps null), or all pairs of different groups (comps: cid, comp)."""
+def _tiles(lists: DataFrame, bits: DataFrame, comps: DataFrame | None, best: bool = False) -> DataFrame:
+    """a, b, score: possible pairs of a list's classes, in the first list that both are in.
+
+    Without comps (cid, comp) neighbours by size in each block; with them all pairs of different groups, or for each class its best one of a
+    tile. score bounds the share of what both have, from above.
+    """
     chain = comps is None
     rows = lists.withColumn("comp", F.col("cid")) if chain else lists.join(comps, "cid")
     own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + F.lit(1e-9)).cast("int")
     rows = rows.withColumn("own", own).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
     tile = rows.groupBy("k", "band").agg(F.count("*").alias("c"), F.max(F.col("own") == F.col("band")).alias("owned"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     tile = tile.where("c > 1 and owned and lo <> hi").select("k", "band", F.ceil(F.col("c") / TILE).cast("int").alias("blocks"))
-    rows = rows.drop("m").join(tile, ["k", "band"]).withColumn("i", F.pmod(F.xxhash64("k", "cid"), F.col("blocks")).cast("int"))
+    rows = rows.join(tile, ["k", "band"]).withColumn("i", F.pmod(F.xxhash64("k", "cid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("j", F.col("i") if chain else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("t", F.xxhash64("k", "band", F.least("i", "j"), F.greatest("i", "j")))
 
-    def one(ids, sizes, places, maps, comps, own, block) -> list[pa.RecordBatch]:
+    def one(ids, sizes, places, maps, comps, own, block, earlier) -> Iterator[pa.RecordBatch]:
         if len(ids) < 2 or len(set(comps)) < 2:
-            return []
+            return
         n, at, c, o, blk, i = np.array(sizes), np.array(places), np.array(comps), np.array(own), np.array(block), np.array(ids)
         width = np.array([len(m) for m in maps])
-        rows, row, out = {}, np.zeros(len(i), np.int64), []
+        rows, row = {}, np.zeros(len(i), np.int64)
         for w in np.unique(width):
             mine = np.flatnonzero(width == w)
             rows[w], row[mine] = np.frombuffer(b"".join(maps[k] for k in mine), np.uint64).reshape(len(mine), -1), np.arange(len(mine))
+        # A bit for each earlier list that two classes of the tile are in.
+        member = np.repeat(np.arange(len(i)), [len(x) for x in earlier])
+        _, inverse, count = np.unique(np.array([k for x in earlier for k in x], np.int64), return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        met = np.zeros((len(i), -(-max(1, int((count > 1).sum())) // 64) * 64), bool)
+        if len(member):
+            twice = count[inverse] > 1
+            met[member[twice], number[inverse[twice]]] = True
+        met = np.packbits(met, axis=1).view(np.uint64)
+        found: list[tuple[np.ndarray, ...]] = []
 
         def bounded(u: np.ndarray, v: np.ndarray) -> None:
             for k in range(0, len(u), CHUNK):
                 p, q = u[k : k + CHUNK], v[k : k + CHUNK]
+                new = ~(met[p] & met[q]).any(1)
+                p, q = p[new], q[new]
                 for wp, wq in set(zip(width[p].tolist(), width[q].tolist(), strict=True)):
                     here = np.flatnonzero((width[p] == wp) & (width[q] == wq))
                     w = min(wp, wq) // 8
@@ -305,8 +325,8 @@ def _tiles(lists: DataFrame, bits: DataFrame, comps: DataFrame | None) -> DataFr
                         only, back = np.bitwise_count(x & ~y).sum(1, dtype=np.int64), np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
                         good = possible(n[a], n[b], only, back)
                         if good.any():
-                            a, b = i[a][good], i[b][good]
-                            out.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]))
+                            score = np.minimum(n[a] - only, n[b] - back) / (n[a] + n[b])
+                            found.append((a[good], b[good], score[good]))
 
         left = n - at
         if chain:
@@ -314,31 +334,44 @@ def _tiles(lists: DataFrame, bits: DataFrame, comps: DataFrame | None) -> DataFr
             p, q = order[:-1], order[1:]
             ok = 7 * np.minimum(left[p], left[q]) >= 3 * (n[p] + n[q])
             bounded(p[ok], q[ok])
-            return out
-        split = blk.min() != blk.max()
-        for s in range(0, len(i), 256):
-            e = min(len(i), s + 256)
-            # If this key is the first that both hold, the overlap is at most what is left from it on; else an earlier key's list has the pair.
-            ok = (7 * np.minimum(left[s:e, None], left[None]) >= 3 * (n[s:e, None] + n[None])) & (c[s:e, None] != c[None]) & (i[s:e, None] < i[None]) & (o[s:e, None] | o[None])
-            if split:
-                ok &= blk[s:e, None] != blk[None]
-            u, v = np.nonzero(ok)
-            bounded(u + s, v)
-        return out
+        else:
+            split = blk.min() != blk.max()
+            for s in range(0, len(i), 256):
+                e = min(len(i), s + 256)
+                # If this key is the first that both hold, the overlap is at most what is left from it on; else an earlier key's list has the pair.
+                ok = (7 * np.minimum(left[s:e, None], left[None]) >= 3 * (n[s:e, None] + n[None])) & (c[s:e, None] != c[None]) & (i[s:e, None] < i[None]) & (o[s:e, None] | o[None])
+                if split:
+                    ok &= blk[s:e, None] != blk[None]
+                u, v = np.nonzero(ok)
+                bounded(u + s, v)
+        if not found:
+            return
+        a, b, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        if best:
+            a, b, score = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([score, score])
+            order = np.lexsort((-score, a))
+            a, b, score = a[order], b[order], score[order]
+            first = np.append(True, a[1:] != a[:-1])
+            a, b, score = a[first], b[first], score[first]
+        for k in range(0, len(a), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(i[a[k : k + CHUNK]]), pa.array(i[b[k : k + CHUNK]]), pa.array(score[k : k + CHUNK])], names=["a", "b", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, ([], [], [], [], [], [], [])
+        last, held = None, tuple([] for _ in range(8))
         for b in batches:
             for t, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if t != last:
                     yield from one(*held)
-                    last, held = t, ([], [], [], [], [], [], [])
+                    last, held = t, tuple([] for _ in range(8))
                 for to, v in zip(held, row, strict=True):
                     to.append(v)
         yield from one(*held)
 
-    slim = rows.select("cid", "t", "n", "pos", "comp", (F.col("own") == F.col("band")).alias("o"), "i").join(bits, "cid")
-    return slim.select("t", "cid", "n", "pos", "bits", "comp", "o", "i").repartition("t").sortWithinPartitions("t").mapInArrow(run, "a long, b long")
+    slim = rows.select("cid", "t", "n", "pos", "comp", (F.col("own") == F.col("band")).alias("o"), "i", "earlier").join(bits, "cid")
+    found = slim.select("t", "cid", "n", "pos", "bits", "comp", "o", "i", "earlier").repartition("t").sortWithinPartitions("t").mapInArrow(run, "a long, b long, score double")
+    if best:
+        found = found.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -360,6 +393,10 @@ def _same_id(rows: DataFrame, by_key: DataFrame) -> DataFrame:
     return pairs.join(by_key.select("set_key", F.col("cid").alias("b")), "set_key").join(by_key.select(F.col("set_key").alias("lo"), F.col("cid").alias("a")), "lo").select("a", "b")
 
 
+def _joined(ids: DataFrame, links: DataFrame) -> DataFrame:
+    return stored(components(ids, links).select(F.col("id").alias("cid"), F.col("component").alias("comp")), "comps")
+
+
 def groups(rows: DataFrame, docs: DataFrame, by_id: bool) -> DataFrame:
     """set_key, g (number of the group) and component (its smallest id) of each set. rows: of sieved(docs); docs: doc_id, text; by_id: rows of one id link."""
     by_key = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("hits").alias("hits"), F.first("n_shingles").alias("n"), F.min("th").alias("th"))
@@ -367,9 +404,13 @@ def groups(rows: DataFrame, docs: DataFrame, by_id: bool) -> DataFrame:
     texts = docs.select("text", text_hash().alias("th")).join(by_key.where("4 * hits >= 3 * n").select("th", "cid"), "th")
     classes = stored(_sets(texts).groupBy("cid").agg(F.first("n").alias("n"), F.first("set").alias("set"), F.first("bits").alias("bits")), "sets")
     lists, bits = _lists(classes), classes.select("cid", "bits")
-    near = stored(_verified(_tiles(lists, bits, None).distinct(), classes), "links")
-    comps = stored(components(lists.select(F.col("cid").alias("id")).distinct(), near).select(F.col("id").alias("cid"), F.col("component").alias("comp")), "comps")
-    more = stored(_verified(_tiles(lists, bits, comps).distinct(), classes), "links")
+    near = stored(_verified(_tiles(lists, bits, None), classes), "links")
+    comps = _joined(lists.select(F.col("cid").alias("id")).distinct(), near)
+    nearest = stored(_verified(_tiles(lists, bits, comps, True), classes), "links")
+    wider = _joined(comps.select(F.col("cid").alias("id")), near.unionByName(nearest))
+    dropped(near, nearest, comps)
+    comps = wider
+    more = stored(_verified(_tiles(lists, bits, comps), classes), "links")
     if by_id:
         more = more.unionByName(stored(_same_id(rows, by_key), "same-id"))
     # Groups so far are the nodes of what is left to join; a class that met no other is its own.
@@ -379,7 +420,7 @@ def groups(rows: DataFrame, docs: DataFrame, by_id: bool) -> DataFrame:
     over = components(named.select(F.col("comp").alias("id")).distinct(), links)
     named = stored(named.join(over.select(F.col("id").alias("comp"), F.col("component").alias("g")), "comp").select("set_key", "rep", "g"), "named")
     out = stored(named.join(named.groupBy("g").agg(F.min("rep").alias("component")), "g").select("set_key", "g", "component"), "groups")
-    dropped(by_key, classes, lists, near, comps, named)
+    dropped(by_key, classes, lists, comps, named)
     return out
 
 
