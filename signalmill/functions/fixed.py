@@ -20,6 +20,14 @@ CONTRACT = rf"^({METHOD})\s+/[a-z0-9_\-{{}}/]+$"
 KEEP_API_STRICT = rf"^({METHOD})\s+/(?:[A-Za-z0-9_\-{{}}]+(?:/[A-Za-z0-9_\-{{}}]+)*)$"
 KEEP_API_LOOSE = r"^/(?:api|v\d+)/(?:[A-Za-z0-9_\-{}]+(?:/[A-Za-z0-9_\-{}]+)*)$"
 API_TASK = r"^(Implement|Verify)\s+(GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD|UPDATE)\s+(/\S+?)(\s+behavior)?$"
+DB_COLUMN = r"([a-zA-Z_]+)\s*:\s*([A-Za-z0-9()]+)"
+DB_CONSTRAINT = r"PRIMARY KEY|FOREIGN KEY|NOT NULL|UNIQUE"
+VERIFY_PREFIX = r"^(verify|test|testing)\s+"
+BEHAVIOR_SUFFIX = r"\s+behavior$"
+PLACEHOLDER_BLOCK = r"\{[^}]+\}"
+ID_TOKEN = r"\b(id|uuid|guid)\b"
+VERSION_SEGMENT = r"/v\d+"
+ENDPOINT_IN_TITLE = r"(/[A-Za-z0-9_\-/{}/]+)"
 PARAMETER_SEGMENT = r"^(\{[^/]+\}|:[^/]+|<[^/]+>|\*)$"
 JUNK = r"^(.{0,2}|test|demo|example|asdf|qwerty|lorem|null|undefined)$"
 GENERIC_HEADING = r"^(overview|introduction|summary|general|misc|other|etc)\s*$"

@@ -91,14 +91,14 @@ def merge_valid(c: Column) -> Column:
     words = letters(v)
     ok = lambda w: among(w, X.MERGE_VOCABULARY) | (F.length(w) >= 3)
     last = F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))
-    orphan = (F.size(words) > 1) & (F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit("")) == "for") & ~among(last, X.MERGE_VOCABULARY)
+    orphan = (F.size(words) > 1) & (F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit("")) == "for") & ((F.length(last) <= 2) | ~among(last, X.MERGE_VOCABULARY))
     weighed = F.filter(words, lambda w: ~among(w, X.SMALL_WORDS))
     meaning = F.exists(weighed, lambda w: among(w, X.MERGE_VOCABULARY) | (F.length(w) >= 4))
     return (v != "") & ~among(k, X.MERGE_NOISE_EXACT) & ~contains_any(k, X.MERGE_NOISE) & ~orphan & F.forall(weighed, ok) & meaning
 
 
 def item_title_valid(kind: Column, c: Column) -> Column:
-    v = F.trim(c)
+    v = merge_title(c)
     return F.when(kind == "api", v.rlike("(?i)" + X.API_TITLE_STRICT) | v.rlike(X.ENDPOINT_TITLE)).otherwise(merge_valid(c))
 
 
@@ -162,8 +162,8 @@ def api_identity(c: Column) -> Column:
 
 
 def phrase(c: Column) -> Column:
-    """Linking's phrase: lower-cased, anything but word characters a blank."""
-    return squash(sub(F.lower(F.coalesce(c, F.lit(""))), (r"(?U)[^\w]+", " ")))
+    """Linking's phrase: lower-cased, white space as single blanks."""
+    return F.lower(squash(F.coalesce(c, F.lit(""))))
 
 
 def tokens(c: Column, pattern: str = r"(?U)\w+") -> Column:

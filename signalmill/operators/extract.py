@@ -186,23 +186,57 @@ def blacklisted(c: Column) -> Column:
     return c.rlike("(?i)" + X.BLACKLIST)
 
 
+def signal_text(*parts: Column) -> Column:
+    """Parts that are not blank, joined by blanks."""
+    return F.concat_ws(" ", *(F.nullif(F.trim(p), F.lit("")) for p in parts))
+
+
 def noisy_endpoint(c: Column) -> Column:
-    """A segment that looks like a key: 24 characters of mixed case, or 18 of letters and digits with no separator."""
+    """A segment that looks like a key: 24 characters of mixed case, or 18 with a letter and a digit and no separator. Versions and parameters do not."""
+    plain = lambda s: s.rlike(r"(?i)^(api|v\d+)$") | s.rlike(r"^\{.*\}$")
     mixed = lambda s: (F.length(s) >= 24) & s.rlike("[a-z]") & s.rlike("[A-Z]")
-    return F.exists(F.split(c, "/"), lambda s: mixed(s) | ((F.length(s) >= 18) & s.rlike("^[A-Za-z0-9]+$") & s.rlike("[0-9]")))
+    coded = lambda s: (F.length(s) >= 18) & s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~s.rlike("[-_]")
+    return F.exists(F.split(F.trim(c), "/"), lambda s: ~plain(s) & (mixed(s) | coded(s)))
+
+
+def keep_api(name: Column, method: Column, path: Column) -> Column:
+    """Whether an API signal stays: its title stands in for a missing endpoint or method."""
+    name, path, method = (F.trim(F.coalesce(c, F.lit(""))) for c in (name, path, method))
+    text = signal_text(name, path)
+    full = F.when((method != "") & (path != ""), F.concat(F.upper(method), F.lit(" "), path)).otherwise(name)
+    shaped = full.rlike("(?i)" + X.KEEP_API_STRICT) | F.when(path != "", path).otherwise(name).rlike("(?i)" + X.KEEP_API_LOOSE)
+    return ~too_short_or_junk(text) & ~blacklisted(text) & ~path.rlike(r"\s") & ~noisy_endpoint(path) & shaped
+
+
+def column_lines(columns: Column) -> Column:
+    """A line for each column of a table: name, type after a colon, constraints."""
+    blank = F.lit("")
+
+    def line(c: Column) -> Column:
+        name, kind = (F.trim(F.coalesce(c[n], blank)) for n in ("name", "type"))
+        return F.concat_ws(" ", F.nullif(name, blank), F.when(kind != "", F.concat(F.lit(": "), kind)), F.nullif(F.array_join(F.coalesce(c["constraints"], F.array().cast("array<string>")), " "), blank))
 
+    return F.filter(F.transform(F.coalesce(columns, F.array().cast("array<struct<name:string,type:string,constraints:array<string>>>")), line), lambda x: x != "")
 
-def keep_api(method: Column, path: Column) -> Column:
-    path, method = F.coalesce(path, F.lit("")), F.coalesce(method, F.lit(""))
-    strict = F.concat(F.upper(method), F.lit(" "), path).rlike("(?i)" + X.KEEP_API_STRICT)
-    return (path != "") & ~path.rlike(r"\s") & ~noisy_endpoint(path) & (strict | path.rlike("(?i)" + X.KEEP_API_LOOSE))
+
+def keep_db(table: Column, columns: Column) -> Column:
+    """Whether a table signal stays: some column has a type or a list of constraints, or reads like one. columns: array of name, type, constraints."""
+    lines = column_lines(columns)
+    text = signal_text(F.coalesce(table, F.lit("")), F.array_join(lines, " "))
+    built = F.exists(columns, lambda c: (F.trim(F.coalesce(c["name"], F.lit(""))) != "") & ((F.trim(F.coalesce(c["type"], F.lit(""))) != "") | c["constraints"].isNotNull()))
+    read = F.exists(lines, lambda x: x.rlike("(?i)" + X.DB_COLUMN) | x.rlike("(?i)" + X.DB_CONSTRAINT))
+    return ~too_short_or_junk(text) & ~blacklisted(text) & (F.coalesce(built, F.lit(False)) | read)
 
 
 def entropy(words: Column) -> Column:
-    """Shannon entropy (bits) of an array's distribution."""
+    """Shannon entropy (bits) of an array's distribution: runs of the sorted array, so long texts cost no more than a sort."""
     n = F.size(words)
-    shares = F.transform(F.array_distinct(words), lambda x: F.size(F.filter(words, lambda y: y == x)) / n)
-    return F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    kind = "struct<last: string, run: int, sum: double>"
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum")).cast(kind)
+    part = lambda run: F.when(run > 1, run * F.log2(run.cast("double"))).otherwise(0.0)
+    step = lambda a, w: F.when(a["last"].eqNullSafe(w), F.struct(w.alias("last"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))).otherwise(F.struct(w.alias("last"), F.lit(1).alias("run"), (a["sum"] + part(a["run"])).alias("sum"))).cast(kind)
+    total = F.aggregate(F.array_sort(words), start, step, lambda a: a["sum"] + part(a["run"]))
+    return F.when(n > 0, F.log2(n.cast("double")) - total / n).otherwise(0.0)
 
 
 def entropies(df: DataFrame, by: str, words: Column) -> DataFrame:
@@ -219,10 +253,26 @@ def high_entropy(c: Column) -> Column:
 
 
 def keep_feature(title: Column, description: Column) -> Column:
-    whole = F.concat_ws(" ", title, description)
-    return ~too_short_or_junk(title) & ~blacklisted(whole) & ~title.rlike("(?i)" + X.GENERIC_HEADING) & ~high_entropy(whole)
+    title, whole = F.trim(title), signal_text(title, description)
+    return ~too_short_or_junk(whole) & ~blacklisted(whole) & ~title.rlike("(?i)" + X.GENERIC_HEADING) & ~high_entropy(whole)
 
 
 def keep_task(title: Column, description: Column) -> Column:
-    whole = F.concat_ws(" ", title, description)
-    return ~too_short_or_junk(title) & ~blacklisted(whole) & ~title.rlike("(?i)" + X.LONE_VERB) & ~high_entropy(whole)
+    title, whole = F.trim(title), signal_text(title, description)
+    return ~too_short_or_junk(whole) & ~blacklisted(whole) & ~title.rlike("(?i)" + X.LONE_VERB) & ~high_entropy(whole)
+
+
+def hard_filter(signals: DataFrame, by: list[str]) -> DataFrame:
+    """The last gate of extraction: signals (item_type, title, description, method, endpoint, columns) of each group of by that are no garbage.
+
+    Each type has its test; then APIs go by METHOD and endpoint, those without a method where one with it has the same endpoint; last,
+    the first of each title stays.
+    """
+    t, d, kind = F.col("title"), F.col("description"), F.col("item_type")
+    keep = F.when(kind == "api", keep_api(t, F.col("method"), F.col("endpoint"))).when(kind == "db_schema", keep_db(t, F.col("columns"))).when(kind == "feature", keep_feature(t, d)).when(kind == "task", keep_task(t, d))
+    kept = signals.where(F.coalesce(keep, F.lit(False)))
+    path = F.coalesce("endpoint", F.lit(""))
+    k = F.when(path == "", "").otherwise(F.lower(F.trim(F.concat(F.coalesce("method", F.lit("")), F.lit(" "), path))))
+    apis = ordered.drop_unmethoded(ordered.keep_first(kept.where("item_type = 'api'"), by, k, ["ord"], drop_empty=False), by)
+    every = apis.unionByName(kept.where("item_type <> 'api'"))
+    return ordered.keep_first(every, [*by, "item_type"], F.lower(F.trim(F.coalesce("title", F.lit("")))), ["ord"])

@@ -17,6 +17,36 @@ def locked() -> Column:
     return (F.col("item_type") == "task") & (F.col("source_file_type") == "Planning") & (F.col("signal_origin") == "explicit")
 
 
+def column_summary(columns: Column) -> Column:
+    """Lines "name | type=... | constraints=..." of a table's named columns."""
+    blank = F.lit("")
+
+    def line(c: Column) -> Column:
+        kind, rules = F.trim(F.coalesce(c["type"], blank)), c["constraints"]
+        return F.concat_ws(" | ", F.trim(c["name"]), F.when(kind != "", F.concat(F.lit("type="), kind)), F.when(F.size(rules) > 0, F.concat(F.lit("constraints="), F.array_join(rules, ", "))))
+
+    return F.array_join(F.transform(F.filter(columns, lambda c: F.trim(F.coalesce(c["name"], blank)) != ""), line), "\n")
+
+
+def normalized(signals: DataFrame) -> DataFrame:
+    """Signals with the item's title and description: titles never empty; what the type knows goes into the description.
+
+    Signals: item_type, title, description, related_feature, method, endpoint, columns and any others, which stay.
+    """
+    kind, blank = F.col("item_type"), F.lit("")
+    text = F.nullif(F.trim(F.coalesce("description", blank)), blank)
+    relation = F.when(F.coalesce("related_feature", blank) != "", F.concat(F.lit("Related feature: "), "related_feature"))
+    call = F.nullif(F.concat_ws(" ", *(F.nullif(F.trim(F.coalesce(c, blank)), blank) for c in ("method", "endpoint"))), blank)
+    described = (
+        F.when(kind == "task", F.concat_ws("\n", F.nullif(F.col("description"), blank), relation))
+        .when(kind == "api", F.concat_ws("\n", F.when(call.isNotNull(), F.concat(F.lit("Signature: "), call)), text))
+        .when(kind == "db_schema", column_summary(F.col("columns"))).otherwise(text)
+    )
+    title = F.nullif(F.trim(F.coalesce("title", blank)), blank)
+    named = F.when(kind == "api", F.coalesce(title, call, F.lit("unnamed api"))).otherwise(F.coalesce(title, F.lit("untitled")))
+    return signals.withColumns({"title": named, "description": F.nullif(F.trim(F.coalesce(described, blank)), blank)})
+
+
 def embedding_text(kind: Column, title: Column, description: Column) -> Column:
     return F.concat_ws("\n", F.nullif(F.trim(title), F.lit("")), F.nullif(F.trim(description), F.lit("")))
 

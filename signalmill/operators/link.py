@@ -1,12 +1,16 @@
 """Linking items to features: exact or alias phrases, then shared words, then vectors; each top-1, the first of equals.
 
-The reference point compares every item with every feature. Here each step is an equi join on what a match must share (a phrase's first
-letters, a word, the vectors' group), so that pairs that cannot match are never formed; each step is fed with what the one before left.
-Items and features: id columns `ord` / `f_ord`, title, description; vectors in `embedding`.
+All of it is inside a job (the columns of `by`), so no pair is formed across jobs. The reference point compares every item with every feature;
+here each step is an equi join on the job and on what a match must share (a phrase's first letters, a word), so that pairs that cannot match
+are never formed; each step is fed with what the one before left. Items and features: by, id columns `ord` / `f_ord`, title,
+description; features may bring aliases (array); vectors in `embedding`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,76 +35,102 @@ def jaccard(a, b):
     return F.when(both == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def _grams(c):
-    """First letters of every place of a phrase."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda k: F.substring(c, k, GRAM)))
-
-
-def containing(a: DataFrame, b: DataFrame, pa: str, pb: str) -> DataFrame:
-    """Pairs whose phrases pa (of a) and pb (of b) are equal or hold one another. The held one's first letters are a piece of the other."""
-    head = lambda c: F.substring(c, 1, GRAM)
-    long_a, long_b = (d.where(F.length(p) >= GRAM) for d, p in ((a, pa), (b, pb)))
-    one = long_a.withColumn("_g", F.explode(_grams(F.col(pa)))).join(long_b.withColumn("_g", head(F.col(pb))), "_g").where(F.contains(pa, F.col(pb))).drop("_g")
-    two = long_b.withColumn("_g", F.explode(_grams(F.col(pb)))).join(long_a.withColumn("_g", head(F.col(pa))), "_g").where(F.contains(pb, F.col(pa))).drop("_g")
-    # Phrases shorter than a piece are few kinds: every piece length is joined for itself.
-    short = []
-    for n in range(1, GRAM):
-        pieces = lambda c, n=n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.substring(c, k, n)))
-        for x, px, y, py in ((a, pa, b, pb), (b, pb, a, pa)):
-            whole, part = x.where(F.length(px) >= n), y.where(F.length(py) == n)
-            short.append(whole.withColumn("_g", F.explode(pieces(F.col(px)))).join(part.withColumn("_g", F.col(py)), "_g").drop("_g"))
-    names = [*a.columns, *b.columns]
-    out = one.select(*names).unionByName(two.select(*names))
-    for s in short:
-        out = out.unionByName(s.select(*names))
-    return out.distinct()
-
-
-def link_exact(items: DataFrame, features: DataFrame) -> DataFrame:
-    """Items and the feature whose phrase equals or holds theirs or is held; of several the one that shares most words."""
-    a = items.select("ord", T.phrase(F.col("title")).alias("p"), T.tokens(F.concat_ws(" ", "title", "description")).alias("t")).where("p <> ''")
-    b = features.select("f_ord", T.phrase(F.col("title")).alias("fp"), T.tokens(F.concat_ws(" ", "title", "description")).alias("ft")).where("fp <> ''")
-    pairs = containing(a, b, "p", "fp").withColumn("score", overlap(F.col("t"), F.col("ft")))
-    return top(pairs, ["ord"], F.desc("score"), "f_ord").select("ord", "f_ord", F.lit("exact").alias("how"), F.lit(1.0).alias("score"))
-
-
-def link_words(items: DataFrame, features: DataFrame, least: float = X.LINK_OVERLAP, how: str = "words") -> DataFrame:
-    """Best feature by shared words, from least on: the shared count is a group-by over an equi join on the word."""
-    a = items.select("ord", T.tokens(F.concat_ws(" ", "title", "description")).alias("t")).where("size(t) > 0")
-    b = features.select("f_ord", T.tokens(F.concat_ws(" ", "title", "description")).alias("ft")).where("size(ft) > 0")
-    one = a.select("ord", F.size("t").alias("n"), F.explode("t").alias("w"))
-    two = b.select("f_ord", F.size("ft").alias("m"), F.explode("ft").alias("w"))
-    pairs = one.join(two, "w").groupBy("ord", "f_ord").agg((F.count("*") / F.greatest(F.first("n"), F.first("m"))).alias("score")).where(F.col("score") >= least)
-    return top(pairs, ["ord"], F.desc("score"), "f_ord").select("ord", "f_ord", F.lit(how).alias("how"), "score")
+def _pieces(c, n: int):
+    """Every run of n characters of a phrase, once; the phrase itself if it is shorter."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda k: F.substring(c, k, n)))
 
 
-def link_vectors(items: DataFrame, features: DataFrame, by: list[str], least: float = X.LINK_COSINE) -> DataFrame:
-    """Best feature of the group by cosine, from least on."""
-    pairs = items.select(*by, "ord", "embedding").join(features.select(*by, "f_ord", F.col("embedding").alias("e2")), by)
-    pairs = pairs.withColumn("score", T.cosine(F.col("embedding"), F.col("e2"))).where(F.col("score") >= least)
-    return top(pairs, ["ord"], F.desc("score"), "f_ord").select("ord", "f_ord", F.lit("vector").alias("how"), "score")
+def containing(a: DataFrame, b: DataFrame, pa: str, pb: str, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs (of a job) whose phrases pa (of a) and pb (of b) are equal or hold one another. The held one's first letters are a piece of the other.
+
+    Phrases shorter than a piece are met by pieces of their own length.
+    """
+    names = [*by, *(c for c in (*a.columns, *b.columns) if c not in by)]
+
+    def held(whole: DataFrame, pw: str, part: DataFrame, pp: str) -> list[DataFrame]:
+        out = []
+        for n in range(1, GRAM + 1):
+            own = F.length(pp) >= n if n == GRAM else F.length(pp) == n
+            one = whole.where(F.length(pw) >= n).withColumn("_g", F.explode(_pieces(F.col(pw), n)))
+            out.append(one.join(part.where(own).withColumn("_g", F.substring(pp, 1, n)), [*by, "_g"]).where(F.contains(F.col(pw), F.col(pp))).select(*names))
+        return out
+
+    return reduce(DataFrame.unionByName, [*held(a, pa, b, pb), *held(b, pb, a, pa)]).distinct()
+
+
+def with_names(features: DataFrame) -> DataFrame:
+    """by columns, f_ord, names (phrases of the title and the aliases, distinct) and ft (words of title, aliases and description)."""
+    if "aliases" not in features.columns:
+        features = features.withColumn("aliases", F.array().cast("array<string>"))
+    own = F.coalesce("aliases", F.array().cast("array<string>"))
+    names = F.array_distinct(F.filter(F.concat(F.array(T.phrase(F.col("title"))), F.transform(own, T.phrase)), lambda n: n != ""))
+    return features.withColumn("names", names).withColumn("ft", T.tokens(F.concat_ws(" ", F.col("title"), own, F.col("description"))))
 
 
-def link(items: DataFrame, features: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The cascade. Without by the vector step is left out. Items without a feature have a null f_ord."""
-    out = link_exact(items, features)
-    rest = items.join(out, "ord", "left_anti")
-    out = out.unionByName(link_words(rest, features))
-    if by is not None:
-        out = out.unionByName(link_vectors(items.join(out, "ord", "left_anti"), features, by))
-    return items.select("ord").join(out, "ord", "left")
+def item_words(items: DataFrame) -> DataFrame:
+    return items.withColumn("t", T.tokens(F.concat_ws(" ", "title", "description")))
 
 
-def link_through_tasks(items: DataFrame, tasks: DataFrame, task_links: DataFrame) -> DataFrame:
-    """Items by their best task's feature: null where that task has none. tasks: ord, title, description; task_links: ord, f_ord."""
-    best = link_words(items, tasks.withColumnRenamed("ord", "f_ord"), X.LINK_COSINE, "task").withColumnRenamed("f_ord", "task_ord")
-    known = task_links.select(F.col("ord").alias("task_ord"), "f_ord")
-    return best.join(known, "task_ord", "left").select("ord", "task_ord", "f_ord", "score")
+def link_exact(items: DataFrame, features: DataFrame, by: list[str]) -> DataFrame:
+    """Items and the feature one of whose names equals or holds their phrase or is held; of several the one that shares most words."""
+    a = item_words(items).select(*by, "ord", T.phrase(F.col("title")).alias("p"), "t").where("p <> ''")
+    b = with_names(features).select(*by, "f_ord", F.explode("names").alias("fp"), "ft")
+    pairs = containing(a, b, "p", "fp", by).withColumn("score", overlap(F.col("t"), F.col("ft")))
+    return top(pairs, [*by, "ord"], F.desc("score"), "f_ord").select(*by, "ord", "f_ord", F.lit("exact").alias("how"), F.lit(1.0).alias("score"))
 
 
-def canonical(items: DataFrame, links: DataFrame, features: DataFrame) -> DataFrame:
-    """Features with their tasks, APIs and tables nested, in order of the items; a last row with a null f_ord holds the orphans."""
-    rows = items.join(links.select("ord", "f_ord"), "ord", "left")
+def shared_words(items: DataFrame, features: DataFrame, by: list[str]) -> DataFrame:
+    """by, ord, f_ord, score for pairs of a job that share a word: a group-by over an equi join on job and word."""
+    a, b = item_words(items).where("size(t) > 0"), with_names(features).where("size(ft) > 0")
+    one = a.select(*by, "ord", F.size("t").alias("n"), F.explode("t").alias("w"))
+    two = b.select(*by, "f_ord", F.size("ft").alias("m"), F.explode("ft").alias("w"))
+    return one.join(two, [*by, "w"]).groupBy(*by, "ord", "f_ord").agg((F.count("*") / F.greatest(F.first("n"), F.first("m"))).alias("score"))
+
+
+def link_words(items: DataFrame, features: DataFrame, by: list[str], least: float = X.LINK_OVERLAP) -> DataFrame:
+    """Best feature of the job by shared words, from least on."""
+    pairs = shared_words(items, features, by).where(F.col("score") >= least)
+    return top(pairs, [*by, "ord"], F.desc("score"), "f_ord").select(*by, "ord", "f_ord", F.lit("words").alias("how"), "score")
+
+
+def cosines(items: DataFrame, features: DataFrame, by: list[str]) -> DataFrame:
+    pairs = items.select(*by, "ord", "embedding").join(features.select(*by, "f_ord", F.col("embedding").alias("e2")), by)
+    return pairs.select(*by, "ord", "f_ord", T.cosine(F.col("embedding"), F.col("e2")).alias("score"))
+
+
+def link_vectors(items: DataFrame, features: DataFrame, by: list[str], least: float = X.LINK_COSINE) -> DataFrame:
+    """Best feature of the job by cosine, from least on."""
+    pairs = cosines(items, features, by).where(F.col("score") >= least)
+    return top(pairs, [*by, "ord"], F.desc("score"), "f_ord").select(*by, "ord", "f_ord", F.lit("vector").alias("how"), "score")
+
+
+def link(items: DataFrame, features: DataFrame, by: list[str]) -> DataFrame:
+    """The cascade; without vectors (`embedding`) their step is left out. Items without a feature have a null f_ord."""
+    keys = [*by, "ord"]
+    out = link_exact(items, features, by)
+    rest = items.join(out, keys, "left_anti")
+    out = out.unionByName(link_words(rest, features, by))
+    if "embedding" in items.columns and "embedding" in features.columns:
+        out = out.unionByName(link_vectors(rest.join(out, keys, "left_anti"), features, by))
+    return items.select(*keys).join(out, keys, "left")
+
+
+def link_through_tasks(items: DataFrame, tasks: DataFrame, task_links: DataFrame, by: list[str]) -> DataFrame:
+    """Items by their best task's feature, null where that task has none. tasks: by, ord, title, description, embedding; task_links: by, ord, f_ord.
+
+    A pair's score is its word overlap from LINK_TASK_OVERLAP on, else its cosine; the best one counts from LINK_COSINE on.
+    """
+    t = tasks.withColumnRenamed("ord", "f_ord")
+    words = shared_words(items, t, by).where(F.col("score") >= X.LINK_TASK_OVERLAP).withColumnRenamed("score", "words")
+    scored = cosines(items, t, by).join(words, [*by, "ord", "f_ord"], "left").withColumn("score", F.coalesce("words", "score")).drop("words")
+    best = top(scored.where(F.col("score") >= X.LINK_COSINE), [*by, "ord"], F.desc("score"), "f_ord").withColumnRenamed("f_ord", "task_ord")
+    known = task_links.select(*by, F.col("ord").alias("task_ord"), "f_ord")
+    return best.join(known, [*by, "task_ord"], "left").select(*by, "ord", "task_ord", "f_ord", "score")
+
+
+def canonical(items: DataFrame, links: DataFrame, features: DataFrame, by: list[str]) -> DataFrame:
+    """Features with their tasks, APIs and tables nested, in order of the items; a last row of a job with a null f_ord holds its orphans."""
+    rows = items.join(links.select(*by, "ord", "f_ord"), [*by, "ord"], "left")
     one = F.struct("ord", "title")
-    nested = rows.groupBy("f_ord").agg(*(F.array_sort(F.collect_list(F.when(F.col("item_type") == t, one))).alias(n) for t, n in (("task", "tasks"), ("api", "apis"), ("db_schema", "database"))))
-    return features.select("f_ord", F.col("title").alias("feature")).join(nested, "f_ord", "full")
+    nested = rows.groupBy(*by, "f_ord").agg(*(F.array_sort(F.collect_list(F.when(F.col("item_type") == t, one))).alias(n) for t, n in (("task", "tasks"), ("api", "apis"), ("db_schema", "database"))))
+    return features.select(*by, "f_ord", F.col("title").alias("feature")).join(nested, [*by, "f_ord"], "full")

@@ -1,7 +1,12 @@
-"""Task synthesis, coverage audit and repair. Tasks: ord, name, description, signal_origin, source_file_type, source_file_name."""
+"""Task synthesis, coverage audit and repair, job by job (the columns of `by`).
+
+Tasks: by, ord (a number for order), name, description, signal_origin, source_file_type, source_file_name, priority, story_point.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,23 +37,50 @@ def floor_target(items: DataFrame, by: list[str]) -> DataFrame:
     return items.groupBy(*by).agg(F.greatest(F.lit(X.FLOOR), 3 * n["feature"] + 2 * n["api"] + 2 * n["db_schema"]).alias("least"))
 
 
-def _task(name: Column, description: Column) -> Column:
-    return F.struct(name.alias("name"), description.alias("description"))
+TASK = ["name", "description", *LINEAGE, "priority", "story_point"]
+
+
+def _task(name: Column, description: Column, priority: str, points: int) -> Column:
+    return F.struct(name.alias("name"), description.alias("description"), F.lit(priority).alias("priority"), F.lit(points).alias("story_point"))
+
+
+def _made(items: DataFrame, by: list[str], made: Column) -> DataFrame:
+    out = items.withColumn("title", F.trim("title")).where("title <> ''").select(*by, "ord", *LINEAGE, F.posexplode(made).alias("k", "x"))
+    return out.select(*by, "ord", "k", "x.*", *LINEAGE).select(*by, "ord", "k", *TASK)
+
+
+def api_tasks(items: DataFrame, by: list[str], checks: bool = True) -> DataFrame:
+    """A task for each API, and with checks one that verifies it."""
+    t, lit = F.col("title"), F.lit
+    build = _task(F.concat(lit("Implement "), t), F.concat(lit("Implement endpoint contract, validation, authorization, and handler logic for "), t), "HIGH", 5)
+    check = _task(F.concat(lit("Verify "), t, lit(" behavior")), F.concat(lit("Write and execute API tests for "), t, lit(", including success, validation, and error-path checks")), "MEDIUM", 3)
+    return _made(items.where("item_type = 'api'"), by, F.array(build, check) if checks else F.array(build))
 
 
-def design_tasks(items: DataFrame) -> DataFrame:
-    """Two tasks for each API and table, in order."""
+def table_tasks(items: DataFrame, by: list[str]) -> DataFrame:
+    """Two tasks for each table."""
     t, lit = F.col("title"), F.lit
-    api = F.array(_task(F.concat(lit("Implement "), t), F.concat(lit("Implement API "), t)), _task(F.concat(lit("Verify "), t, lit(" behavior")), F.concat(lit("Verify request, response and errors of "), t)))
-    db = F.array(_task(F.concat(lit("Design "), t, lit(" schema")), F.concat(lit("Design database schema for "), t)), _task(F.concat(lit("Create migration for "), t), F.concat(lit("Create DB migration for "), t)))
-    out = items.where(F.col("item_type").isin("api", "db_schema")).select("ord", "item_type", *LINEAGE, F.posexplode(F.when(F.col("item_type") == "api", api).otherwise(db)).alias("k", "x"))
-    return out.select("ord", "k", "x.*", *LINEAGE)
+    design = _task(F.concat(lit("Design "), t, lit(" schema")), F.concat(lit("Design schema structure, indexes, and constraints for "), t), "HIGH", 3)
+    move = _task(F.concat(lit("Create migration for "), t), F.concat(lit("Create and validate migration scripts for "), t, lit(" schema evolution")), "MEDIUM", 2)
+    return _made(items.where("item_type = 'db_schema'"), by, F.array(design, move))
+
+
+def design_tasks(items: DataFrame, by: list[str]) -> DataFrame:
+    """Two tasks for each API, then two for each table; part says which (0, 1)."""
+    return api_tasks(items, by).withColumn("part", F.lit(0)).unionByName(table_tasks(items, by).withColumn("part", F.lit(1)))
 
 
-def feature_tasks(items: DataFrame) -> DataFrame:
+def feature_tasks(items: DataFrame, by: list[str]) -> DataFrame:
     t, lit = F.col("title"), F.lit
-    both = F.array(_task(F.concat(lit("Implement "), t), F.concat(lit("Implement feature "), t)), _task(F.concat(lit("Verify "), t), F.concat(lit("Verify acceptance of "), t)))
-    return items.where("item_type = 'feature'").select("ord", *LINEAGE, F.posexplode(both).alias("k", "x")).select("ord", "k", "x.*", *LINEAGE)
+    design = _task(F.concat(lit("Define technical design for "), t), F.concat(lit("Define technical architecture, boundaries, and acceptance criteria for "), t), "MEDIUM", 3)
+    contract = _task(F.concat(lit("Design API contract for "), t), F.concat(lit("Design request/response contracts and validation strategy for "), t), "MEDIUM", 3)
+    return _made(items.where("item_type = 'feature'"), by, F.array(design, contract))
+
+
+def as_task(items: DataFrame) -> DataFrame:
+    """Items as tasks of their own title; an item without a description says what to implement. The items' other columns go, but by and ord."""
+    own = F.coalesce(F.nullif(F.trim(F.coalesce("description", F.lit(""))), F.lit("")), F.concat(F.lit("Implement "), F.trim("title")))
+    return items.withColumns({"name": F.trim("title"), "description": own, "priority": F.lit(None).cast("string"), "story_point": F.lit(None).cast("int")})
 
 
 def infer_cap(n: Column) -> Column:
@@ -56,15 +88,27 @@ def infer_cap(n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(0.3 * F.greatest(n, F.lit(1)))).cast("int")
 
 
-def planning_tasks(items: DataFrame) -> DataFrame:
-    """Planning tasks, explicit ones first, then as many API and table tasks as the cap allows. One job's items; branch says which."""
-    own = items.where("item_type = 'task' and source_file_type = 'Planning'")
-    explicit = own.where("signal_origin = 'explicit'").select(F.lit(0).alias("branch"), "ord", F.col("title").alias("name"), "description", *LINEAGE)
-    others = own.where("signal_origin <> 'explicit'").select(F.lit(1).alias("branch"), "ord", F.col("title").alias("name"), "description", *LINEAGE)
-    extra = design_tasks(items).where("k = 0").select(F.lit(2).alias("branch"), "ord", "name", "description", *LINEAGE)
-    cap = own.agg(infer_cap(F.count("*")).alias("cap"))
-    taken = extra.withColumn("turn", F.row_number().over(Window.orderBy("ord"))).join(F.broadcast(cap)).where("turn <= cap").drop("turn", "cap")  # one row
-    return explicit.unionByName(others).unionByName(taken)
+def planning_tasks(items: DataFrame, by: list[str]) -> DataFrame:
+    """All tasks of a job, explicit ones of planning files first, then as many API and table tasks as the cap allows. branch says which, place the order."""
+    own = as_task(items.where("item_type = 'task'"))
+    first = (F.col("source_file_type") == "Planning") & (F.col("signal_origin") == "explicit")
+    kept = own.select(*by, F.when(first, 0).otherwise(1).alias("branch"), "ord", F.lit(0).alias("k"), *TASK)
+    extra = api_tasks(items, by, False).withColumn("part", F.lit(0)).unionByName(table_tasks(items, by).withColumn("part", F.lit(1)))
+    cap = items.groupBy(*by).agg(infer_cap(F.count_if(F.col("item_type") == "task")).alias("cap"))
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy("part", "ord", "k"))
+    taken = extra.withColumn("turn", turn).join(cap, by).where("turn <= cap").select(*by, F.lit(2).alias("branch"), F.col("turn").cast("long").alias("ord"), "k", *TASK)
+    return kept.unionByName(taken.withColumn("ord", F.col("ord").cast(kept.schema["ord"].dataType)))
+
+
+def deterministic(items: DataFrame, by: list[str]) -> DataFrame:
+    """Tasks of each job by its mode, numbered in order: by, ord, TASK."""
+    m = mode(items, by)
+    of = lambda df, name: df.join(m.where(F.col("mode") == name).select(*by), by, "left_semi")
+    planned = planning_tasks(of(items, "planning"), by).select(*by, F.struct(F.col("branch").alias("a"), F.col("ord").cast("long").alias("b"), F.col("k").alias("c")).alias("o"), *TASK)
+    designed = design_tasks(of(items, "design"), by).select(*by, F.struct(F.col("part").alias("a"), F.col("ord").cast("long").alias("b"), F.col("k").alias("c")).alias("o"), *TASK)
+    featured = feature_tasks(of(items, "requirement"), by).select(*by, F.struct(F.lit(0).alias("a"), F.col("ord").cast("long").alias("b"), F.col("k").alias("c")).alias("o"), *TASK)
+    every = planned.unionByName(designed).unionByName(featured)
+    return every.withColumn("ord", F.row_number().over(Window.partitionBy(*by).orderBy("o")).cast("long")).select(*by, "ord", *TASK)
 
 
 def parts(name: Column) -> dict[str, Column]:
@@ -76,15 +120,15 @@ def format_task(action: Column, method: Column, endpoint: Column, behavior: Colu
     return F.concat(action, F.lit(" "), method, F.lit(" "), endpoint, F.when(behavior, " behavior").otherwise(""))
 
 
-def collapse_updates(tasks: DataFrame) -> DataFrame:
+def collapse_updates(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """PUT and PATCH tasks of one action and path become one UPDATE task, from the preferred of them; other tasks stay, those without the form first."""
     p = parts(F.col("name"))
     rows = tasks.withColumns(p)
     plain = rows.where("action = ''").drop(*p)
-    group = Window.partitionBy("action", "endpoint", "is_behavior")
+    group = Window.partitionBy(*by, "action", "endpoint", "is_behavior")
     apis = rows.where("action <> ''").withColumn("both", F.array_contains(F.collect_set("method").over(group), "PUT") & F.array_contains(F.collect_set("method").over(group), "PATCH"))
     changed = F.col("both") & F.col("method").isin("PUT", "PATCH")
-    best = Window.partitionBy("action", "endpoint", "is_behavior", changed).orderBy(*_preferred(), "ord")
+    best = Window.partitionBy(*by, "action", "endpoint", "is_behavior", changed).orderBy(*_preferred(), "ord")
     apis = apis.withColumn("turn", F.row_number().over(best)).where(~changed | (F.col("turn") == 1))
     name = F.when(changed, format_task(F.col("action"), F.lit("UPDATE"), F.col("endpoint"), F.col("is_behavior"))).otherwise(F.col("name"))
     text = F.when(changed, F.regexp_replace("description", r"\b(PUT|PATCH)\b", "UPDATE")).otherwise(F.col("description"))
@@ -104,20 +148,31 @@ def dedupe(tasks: DataFrame, by: list[str]) -> DataFrame:
     return ordered.keep_first(tasks, by, T.key(F.col("name")), ["ord"])
 
 
-def related(items: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Each item's best task: 1 where its text holds the item's title, else word Jaccard, from COVERED on. ord, task_ord, score."""
-    word = r"(?U)[\w/{}-]+"
-    a = items.select("ord", T.task_text(F.col("title")).alias("p"), T.tokens(T.task_text(F.concat_ws(" ", "title", "description")), word).alias("t"))
-    b = tasks.select(F.col("ord").alias("task_ord"), T.task_text(F.concat_ws(" ", "name", "description")).alias("q"), T.tokens(T.task_text(F.concat_ws(" ", "name", "description")), word).alias("u"))
+WORD = r"(?U)[\w/{}-]+"
+
+
+def primary(items: DataFrame, by: list[str]) -> DataFrame:
+    """Items that a job's mode must cover: its planning tasks, or its design's APIs and tables."""
+    m = mode(items, by)
+    kind, source = F.col("item_type"), F.col("source_file_type")
+    wanted = ((F.col("mode") == "planning") & (kind == "task") & (source == "Planning")) | ((F.col("mode") == "design") & kind.isin("api", "db_schema") & (source == "Design"))
+    return items.join(m, by).where(wanted)
+
+
+def related(items: DataFrame, tasks: DataFrame, by: list[str]) -> DataFrame:
+    """Each item's best task of its job: 1 where the task's text holds the item's title, else Jaccard of the title's words and the text's, from COVERED on."""
+    a = items.select(*by, "ord", T.task_text(F.col("title")).alias("p"), T.tokens(T.task_text(F.col("title")), WORD).alias("t"))
+    text = T.task_text(F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.coalesce("description", F.lit(""))))
+    b = tasks.select(*by, F.col("ord").alias("task_ord"), text.alias("q"), T.tokens(text, WORD).alias("u"))
     # A text that holds a title holds its first letters, and as many of them as the title has up to LONG: an equi join on these pieces.
     # Jaccard from COVERED on needs a common token among the first of each by hash: a prefix filter, so common words pair nothing by themselves.
     def pieces(n: int):
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("q") - n + 1, F.lit(1))), lambda k: F.substring("q", k, n)))
 
-    held = None
+    held = a.where((F.length("p") > 0) & (F.length("p") < 3)).join(b, by).where(F.contains("q", F.col("p"))).select(*by, "ord", "task_ord", F.lit(1.0).alias("score"))
     for n, own in ((LONG, F.length("p") >= LONG), (3, (F.length("p") >= 3) & (F.length("p") < LONG))):
-        one = a.where(own).withColumn("g", F.substring("p", 1, n)).join(b.withColumn("g", F.explode(pieces(n))), "g").where(F.contains("q", F.col("p"))).select("ord", "task_ord", F.lit(1.0).alias("score"))
-        held = one if held is None else held.unionByName(one)
+        one = a.where(own).withColumn("g", F.substring("p", 1, n)).join(b.withColumn("g", F.explode(pieces(n))), [*by, "g"]).where(F.contains("q", F.col("p")))
+        held = held.unionByName(one.select(*by, "ord", "task_ord", F.lit(1.0).alias("score")))
 
     def first(c: str):
         order = F.transform(F.array_sort(F.transform(c, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["w"])
@@ -125,29 +180,32 @@ def related(items: DataFrame, tasks: DataFrame) -> DataFrame:
 
     some = lambda d, c: d.where(F.size(c) > 0).withColumn("w", F.explode(first(c)))
     near = F.least(F.size("t"), F.size("u")) >= X.COVERED * F.greatest(F.size("t"), F.size("u"))
-    shared = some(a, "t").join(some(b, "u"), "w").where(near).select("ord", "task_ord", "t", "u").distinct()
-    scored = shared.select("ord", "task_ord", jaccard(F.col("t"), F.col("u")).alias("score"))
-    return top(held.unionByName(scored).where(F.col("score") >= X.COVERED), ["ord"], F.desc("score"), "task_ord")
+    shared = some(a, "t").join(some(b, "u"), [*by, "w"]).where(near).select(*by, "ord", "task_ord", "t", "u").distinct()
+    scored = shared.select(*by, "ord", "task_ord", jaccard(F.col("t"), F.col("u")).alias("score"))
+    return top(held.unionByName(scored).where(F.col("score") >= X.COVERED), [*by, "ord"], F.desc("score"), "task_ord")
 
 
-def missing(items: DataFrame, found: DataFrame) -> DataFrame:
-    return items.join(found, "ord", "left_anti")
+def missing(items: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    return items.join(found, [*by, "ord"], "left_anti")
 
 
-def mismatched(items: DataFrame, tasks: DataFrame, found: DataFrame) -> DataFrame:
+def mismatched(items: DataFrame, tasks: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
     """Matches whose origin, file or type differ."""
-    b = tasks.select(F.col("ord").alias("task_ord"), *(F.col(c).alias(f"t_{c}") for c in LINEAGE))
+    b = tasks.select(*by, F.col("ord").alias("task_ord"), *(F.col(c).alias(f"t_{c}") for c in LINEAGE))
     differ = F.lit(False)
     for c in LINEAGE:
         differ = differ | ~F.col(c).eqNullSafe(F.col(f"t_{c}"))
-    return found.join(items.select("ord", *LINEAGE), "ord").join(b, "task_ord").where(differ).select("ord", "task_ord", "score")
+    return found.join(items, [*by, "ord"]).join(b, [*by, "task_ord"]).where(differ)
 
 
-def missing_checks(tasks: DataFrame) -> DataFrame:
-    """METHOD path of APIs that a task implements and none verifies."""
-    api = F.concat_ws(" ", F.regexp_extract("name", X.API_TASK, 2), F.regexp_extract("name", X.API_TASK, 3))
-    rows = tasks.where(F.col("name").rlike(X.API_TASK)).select(F.regexp_extract("name", X.API_TASK, 1).alias("action"), api.alias("api"))
-    return rows.where("action = 'Implement'").select("api").distinct().join(rows.where("action = 'Verify'").select("api"), "api", "left_anti")
+def missing_checks(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What a job's tasks implement and no task of it verifies or tests: by, api."""
+    name = F.trim("name")
+    low = F.lower(name)
+    built = tasks.where(low.startswith("implement ")).select(*by, F.trim(F.substring(name, 11, 1_000_000)).alias("api")).distinct()
+    checks = tasks.where(low.startswith("verify ") | low.contains(" test") | low.contains("testing"))
+    tested = checks.select(*by, F.trim(T.sub(F.trim(T.sub(name, ("(?i)" + X.VERIFY_PREFIX, ""))), ("(?i)" + X.BEHAVIOR_SUFFIX, ""))).alias("api")).where("api <> ''")
+    return built.join(tested, [*by, "api"], "left_anti")
 
 
 def intent(name: Column) -> Column:
@@ -157,60 +215,107 @@ def intent(name: Column) -> Column:
     return F.array_join(F.concat(verbs, F.array_sort(F.array_except(words, verbs))), " ")
 
 
-def duplicate_intents(tasks: DataFrame) -> DataFrame:
-    return tasks.withColumn("intent", intent(F.col("name"))).where("intent <> ''").groupBy("intent").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord")).where("n > 1")
+def duplicate_intents(tasks: DataFrame, by: list[str]) -> DataFrame:
+    return tasks.withColumn("intent", intent(F.col("name"))).where("intent <> ''").groupBy(*by, "intent").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord")).where("n > 1")
 
 
 def weak(name: Column, description: Column) -> Column:
     """Name short, a lone verb, or generic words alone; or hardly any description."""
-    words = T.tokens(T.task_text(name), r"(?U)[\w/{}-]+")
-    generic = F.forall(words, lambda w: T.among(w, X.GENERIC_WORDS) | T.among(w, X.INTENT_VERBS))
-    return (F.length(F.trim(F.coalesce(name, F.lit("")))) < 10) | (F.size(words) == 0) | generic | (F.length(F.trim(F.coalesce(description, F.lit("")))) < 20)
-
+    words = T.tokens(T.task_text(name), WORD)
+    verb = (F.size(words) == 1) & T.among(F.element_at(words, 1), X.INTENT_VERBS)
+    generic = F.forall(words, lambda w: T.among(w, X.GENERIC_WORDS))
+    return (F.length(F.trim(F.coalesce(name, F.lit("")))) < 10) | (F.size(words) == 0) | F.coalesce(verb, F.lit(False)) | generic | (F.length(F.trim(F.coalesce(description, F.lit("")))) < 20)
 
-def issues(items: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The audit: one row for each finding."""
-    found = related(items, tasks)
-    row = lambda df, level, kind, ref: df.select(F.lit(level).alias("level"), F.lit(kind).alias("issue_type"), F.substring(ref.cast("string"), 1, 80).alias("ref"))
-    return (
-        row(missing(items, found), "ERROR", "MISSING_COVERAGE", F.col("ord"))
-        .unionByName(row(mismatched(items, tasks, found), "WARNING", "SOURCE_MISMATCH", F.col("ord")))
-        .unionByName(row(missing_checks(tasks), "WARNING", "MISSING_QC", F.col("api")))
-        .unionByName(row(duplicate_intents(tasks), "WARNING", "DUPLICATE_INTENT", F.col("intent")))
-        .unionByName(row(tasks.where(weak(F.col("name"), F.col("description"))), "WARNING", "WEAK_TASK", F.col("ord")))
-    )
 
+def issues(items: DataFrame, tasks: DataFrame, by: list[str]) -> DataFrame:
+    """The audit of each job: a row for each finding, with by, issue_id, level, issue_type, ref and message. Items need an id column `id`.
 
-def summary(items: DataFrame, found: DataFrame) -> DataFrame:
-    """Items, how many are covered, and the share (1 if there are none)."""
-    n = items.join(found.select("ord", F.lit(1).alias("hit")), "ord", "left")
-    out = n.agg(F.count("*").alias("total"), F.count("hit").alias("covered"))
-    return out.withColumn("ratio", F.when(F.col("total") == 0, 1.0).otherwise(F.col("covered") / F.col("total")))
+    Only what the job's mode must cover is looked for; checks of APIs are asked for in design mode.
+    """
+    own = primary(items, by)
+    found = related(own, tasks, by)
 
+    def row(df: DataFrame, issue: Column, level: str, kind: str, ref: Column, message: Column) -> DataFrame:
+        return df.select(*by, issue.alias("issue_id"), F.lit(level).alias("level"), F.lit(kind).alias("issue_type"), ref.cast("string").alias("ref"), message.alias("message"))
 
-def repair(items: DataFrame, found: DataFrame) -> DataFrame:
-    """A task for each item that none covers."""
-    t = missing(items, found)
-    name = F.when(F.col("item_type") == "task", F.col("title")).when(F.col("item_type") == "db_schema", F.concat(F.lit("Design "), "title", F.lit(" schema"))).otherwise(F.concat(F.lit("Implement "), "title"))
-    return t.select("ord", name.alias("name"), F.coalesce("description", F.concat(F.lit("Implement "), "title")).alias("description"), *LINEAGE)
+    lit, cat = F.lit, F.concat
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("ord"))
+    frail = tasks.withColumn("place", place).where(weak(F.col("name"), F.col("description")))
+    unchecked = missing_checks(tasks, by).join(mode(items, by).where("mode = 'design'").select(*by), by, "left_semi")
+    return (
+        row(missing(own, found, by), cat(lit("cov-missing-"), "id"), "ERROR", "MISSING_COVERAGE", F.col("id"), cat(lit("Missing coverage for primary item: "), "title"))
+        .unionByName(row(mismatched(own, tasks, found, by), cat(lit("cov-source-"), "id"), "ERROR", "SOURCE_MISMATCH", F.col("id"), lit("Task source lineage does not match covered primary signal")))
+        .unionByName(row(duplicate_intents(tasks, by), cat(lit("cov-dup-"), F.substring("intent", 1, 24)), "ERROR", "DUPLICATE_INTENT", F.col("intent"), cat(lit("Duplicate task intent detected: "), "intent")))
+        .unionByName(row(frail, cat(lit("cov-weak-"), F.col("place").cast("string")), "WARNING", "WEAK_TASK", F.col("name"), lit("Task name/description is too weak for deterministic coverage")))
+        .unionByName(row(unchecked, cat(lit("cov-qc-"), F.substring(T.task_text(F.col("api")), 1, 24)), "ERROR", "MISSING_COVERAGE", F.col("api"), cat(lit("Missing QC task for API: "), "api")))
+    )
 
 
-def signature_set(tasks: DataFrame) -> DataFrame:
-    """Distinct (action, behavior, METHOD path), PUT and PATCH of one path as UPDATE."""
+def summary(items: DataFrame, tasks: DataFrame, by: list[str]) -> DataFrame:
+    """For each job: primary items, how many are covered, the share (1 if there are none), and findings by level and kind."""
+    own = primary(items, by)
+    hit = own.select(*by, "ord").join(related(own, tasks, by).select(*by, "ord", F.lit(1).alias("hit")), [*by, "ord"], "left").groupBy(*by).agg(F.count("*").alias("primary_total"), F.count("hit").alias("covered_total"))
+    kind, level = F.col("issue_type"), F.col("level")
+    found = issues(items, tasks, by).groupBy(*by).agg(
+        F.count_if(level == "ERROR").alias("error_count"), F.count_if(level == "WARNING").alias("warning_count"), F.count_if(kind == "DUPLICATE_INTENT").alias("duplicate_intent_count"), F.count_if(kind == "WEAK_TASK").alias("weak_task_count")
+    )
+    counts = ["primary_total", "covered_total", "error_count", "warning_count", "duplicate_intent_count", "weak_task_count"]
+    out = items.select(*by).distinct().join(hit, by, "left").join(found, by, "left").fillna(0, counts)
+    return out.withColumn("ratio", F.when(F.col("primary_total") == 0, 1.0).otherwise(F.col("covered_total") / F.col("primary_total"))).select(*by, *counts, "ratio")
+
+
+def repair(items: DataFrame, tasks: DataFrame, by: list[str]) -> DataFrame:
+    """A task for each primary item that none covers, and in design mode a check for each API that has none: by, ord, TASK (ord of the item; null for checks)."""
+    own = primary(items, by)
+    lost = as_task(missing(own, related(own, tasks, by), by)).select(*by, F.col("ord").cast("long").alias("ord"), *TASK)
+    api, lit = F.col("api"), F.lit
+    unchecked = missing_checks(tasks, by).join(mode(items, by).where("mode = 'design'").select(*by), by, "left_semi").where("api <> ''")
+    text = F.concat(lit("Write and execute API tests for "), api, lit(", including success and failure paths"))
+    checks = unchecked.select(
+        *by, lit(None).cast("long").alias("ord"), F.concat(lit("Verify "), api, lit(" behavior")).alias("name"), text.alias("description"), lit("derived").alias("signal_origin"), lit("unknown").alias("source_file_name"),
+        lit("Design").alias("source_file_type"), lit("MEDIUM").alias("priority"), lit(2).alias("story_point"),
+    )
+    return lost.unionByName(checks)
+
+
+def with_repairs(items: DataFrame, tasks: DataFrame, by: list[str]) -> DataFrame:
+    """tasks and their repairs, after them in order of item and name, the first of each name. by, ord, TASK.
+
+    One pass: a repair bears its item's title, so the next audit finds it covered, and what it cannot cover (a title without words) it cannot add twice.
+    """
+    last = tasks.groupBy(*by).agg(F.max("ord").alias("last"))
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("ord").asc_nulls_last(), "name"))
+    more = repair(items, tasks, by).withColumn("turn", turn).join(last, by, "left").withColumn("ord", F.coalesce("last", F.lit(0).cast("long")) + F.col("turn"))
+    return dedupe(tasks.select(*by, "ord", *TASK).unionByName(more.select(*by, "ord", *TASK)), by)
+
+
+def signature_set(tasks: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct (by, action, behavior, METHOD path), PUT and PATCH of one path as UPDATE."""
     rows = tasks.withColumns(parts(F.col("name"))).where("action <> ''")
-    m = rows.groupBy("action", "is_behavior", "endpoint").agg(F.collect_set("method").alias("m"))
+    m = rows.groupBy(*by, "action", "is_behavior", "endpoint").agg(F.collect_set("method").alias("m"))
     both = F.array_contains("m", "PUT") & F.array_contains("m", "PATCH")
     methods = F.when(both, F.array_union(F.array_except("m", F.array(F.lit("PUT"), F.lit("PATCH"))), F.array(F.lit("UPDATE")))).otherwise(F.col("m"))
-    return m.select("action", "is_behavior", "endpoint", F.explode(methods).alias("method"))
+    return m.select(*by, "action", "is_behavior", "endpoint", F.explode(methods).alias("method"))
+
+
+def dedup_is_safe(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    """by, ok for each job of before: its shortened list is not empty, not longer, and has the same API signatures."""
+    a, b = signature_set(before, by), signature_set(after, by)
+    cols = [*by, "action", "is_behavior", "endpoint", "method"]
+    lost = a.join(b, cols, "left_anti").unionByName(b.join(a, cols, "left_anti")).groupBy(*by).agg(F.count("*").alias("d"))
+    n = before.groupBy(*by).agg(F.count("*").alias("n")).join(after.groupBy(*by).agg(F.count("*").alias("m")), by, "left").join(lost, by, "left").fillna(0, ["m", "d"])
+    return n.select(*by, ((F.col("m") > 0) & (F.col("m") <= F.col("n")) & (F.col("d") == 0)).alias("ok"))
+
 
+def flattened(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Items of a canonical model one by one: those of no feature first, then feature by feature. rows: by, f_ord, tasks, apis, database (arrays of ord, title).
 
-def dedup_is_safe(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row, ok: a shortened list is not empty, not longer, and has the same API signatures."""
-    a, b = signature_set(before), signature_set(after)
-    cols = ["action", "is_behavior", "endpoint", "method"]
-    lost = a.join(b, cols, "left_anti").unionByName(b.join(a, cols, "left_anti")).agg(F.count("*").alias("d"))
-    n = before.agg(F.count("*").alias("n")).join(F.broadcast(after.agg(F.count("*").alias("m")))).join(F.broadcast(lost))  # one row each
-    return n.select(((F.col("m") > 0) & (F.col("m") <= F.col("n")) & (F.col("d") == 0)).alias("ok"))
+    Gives by, item_type, ord, title, f_ord and place, the item's turn in its type.
+    """
+    parts = [rows.select(*by, "f_ord", F.lit(t).alias("item_type"), F.explode(c).alias("x")) for c, t in (("tasks", "task"), ("apis", "api"), ("database", "db_schema"))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    turn = F.row_number().over(Window.partitionBy(*by, "item_type").orderBy(F.col("f_ord").asc_nulls_first(), "x.ord"))
+    return every.select(*by, "item_type", "x.ord", "x.title", "f_ord", turn.alias("place"))
 
 
 def coerced(tasks: DataFrame) -> DataFrame:

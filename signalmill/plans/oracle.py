@@ -70,7 +70,7 @@ def merge_valid(m: str) -> str:
     w, k = _letters(m), f"lower({m})"
     some = f"list_filter({w}, lambda x: NOT list_contains({array(X.SMALL_WORDS)}, x))"
     vocab = lambda x: f"list_contains({array(X.MERGE_VOCABULARY)}, {x})"
-    orphan = f"(len({w}) > 1 AND {w}[-2] = 'for' AND NOT {vocab(f'{w}[-1]')})"
+    orphan = f"(len({w}) > 1 AND {w}[-2] = 'for' AND (length({w}[-1]) <= 2 OR NOT {vocab(f'{w}[-1]')}))"
     bad = f"len(list_filter({some}, lambda x: NOT {vocab('x')} AND length(x) < 3)) > 0"
     means = f"len(list_filter({some}, lambda x: {vocab('x')} OR length(x) >= 4)) > 0"
     return f"({m} <> '' AND NOT list_contains({array(X.MERGE_NOISE_EXACT)}, {k}) AND NOT {any_of(k, X.MERGE_NOISE)} AND NOT coalesce({orphan}, false) AND NOT {bad} AND {means})"
@@ -95,7 +95,7 @@ def signature(c: str) -> str:
 
 
 def phrase(c: str) -> str:
-    return squash(sub(f"lower({c})", (r"[^\w]+", " ")))
+    return f"lower({squash(c)})"
 
 
 def tokens(c: str) -> str:
@@ -108,4 +108,55 @@ def task_text(c: str) -> str:
 
 
 def noisy(c: str) -> str:
-    return f"len(list_filter(string_split({c}, '/'), lambda s: (length(s) >= 24 AND regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]')) OR (length(s) >= 18 AND regexp_matches(s, '^[A-Za-z0-9]+$') AND regexp_matches(s, '[0-9]')))) > 0"
+    plain = "(regexp_matches(s, '(?i)^(api|v\\d+)$') OR (starts_with(s, '{') AND ends_with(s, '}')))"
+    mixed = "(length(s) >= 24 AND regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]'))"
+    coded = "(length(s) >= 18 AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT regexp_matches(s, '[-_]'))"
+    return f"len(list_filter(string_split(trim({c}), '/'), lambda s: NOT {plain} AND ({mixed} OR {coded}))) > 0"
+
+
+def junk(c: str) -> str:
+    return f"(length(trim({c})) < {X.SHORTEST_TEXT} OR regexp_matches(trim({c}), {q('(?i)' + X.JUNK)}))"
+
+
+def black(c: str) -> str:
+    return f"regexp_matches({c}, {q('(?i)' + X.BLACKLIST)})"
+
+
+def signal_text(*parts: str) -> str:
+    return f"concat_ws(' ', {', '.join(f"nullif(trim({p}), '')" for p in parts)})"
+
+
+def keep_api(name: str, method: str, path: str) -> str:
+    n, m, p = (f"trim(coalesce({c}, ''))" for c in (name, method, path))
+    text = signal_text(n, p)
+    full = f"CASE WHEN {m} <> '' AND {p} <> '' THEN concat(upper({m}), ' ', {p}) ELSE {n} END"
+    shaped = f"(regexp_matches({full}, {q('(?i)' + X.KEEP_API_STRICT)}) OR regexp_matches(CASE WHEN {p} <> '' THEN {p} ELSE {n} END, {q('(?i)' + X.KEEP_API_LOOSE)}))"
+    return f"(NOT {junk(text)} AND NOT {black(text)} AND NOT regexp_matches({p}, '\\s') AND NOT {noisy(p)} AND {shaped})"
+
+
+def high_entropy(c: str) -> str:
+    """Words by unnesting, so the text may be long."""
+    words = f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9_]+'), lambda t: length(t) > 1)"
+    hits = f"len(list_filter({words}, lambda t: list_contains({array(X.VOCABULARY)}, t))) / len({words})"
+    return f"(len({words}) >= {X.ENTROPY_TOKENS} AND round(list_entropy({words}), 9) > {X.ENTROPY_ABOVE} AND {hits} < {X.VOCABULARY_SHARE})"
+
+
+def _without_placeholders(t: str) -> str:
+    return f"trim({sub(t, (X.PLACEHOLDER_BLOCK, ''), ('(?i)' + X.ID_TOKEN, ''), (r'\s+', ' '))}, ' /:-')"
+
+
+def aliases(kind: str, t: str) -> str:
+    """Aliases, joined by |, of an item whose plain title is t."""
+    bare = _without_placeholders(t)
+    spoken = lambda c: squash(sub(c, ("[_-]", " ")))
+    path = sub(f"regexp_extract({bare}, {q(X.ENDPOINT_IN_TITLE)}, 1)", ("(?i)" + X.VERSION_SEGMENT, ""), (r"[{}]", ""))
+    parts = f"list_filter(string_split({path}, '/'), lambda p: p <> '' AND lower(p) NOT IN ('api', 'id') AND NOT regexp_matches(p, '^[0-9]+$'))"
+    name, verb = spoken(bare), q(r"^(\S+)\s+(\S.*)$")
+    raw = f"""CASE {kind} WHEN 'api' THEN [CASE WHEN {bare} <> {t} THEN {bare} END, {spoken(f"array_to_string({parts}, ' ')")}]
+ WHEN 'task' THEN [CASE WHEN list_contains({array(X.ALIAS_VERBS)}, lower(regexp_extract({t}, {verb}, 1))) THEN regexp_extract({t}, {verb}, 2) END]
+ WHEN 'db_schema' THEN [{name}, CASE WHEN {name} <> '' AND NOT ends_with(lower({name}), 'table') THEN concat({name}, ' table') END] ELSE [{t}] END"""
+    plain = f"list_transform(list_filter({raw}, lambda z: z IS NOT NULL), lambda z: {merge_title('z')})"
+    word = sub("z", (r"[^\w]+", " "))
+    key = lambda c: f"lower({squash(c)})"
+    sound = f"list_filter({plain}, lambda z: {merge_valid('z')} AND length({sub('z', (r'[^\w]+', ''))}) >= 4 AND len(list_filter(string_split({word}, ' '), lambda v: length(v) = 1)) = 0 AND {key('z')} <> {key(t)})"
+    return f"array_to_string(list_filter({sound}, lambda z, i: list_position(list_transform({sound}, lambda y: {key('y')}), {key('z')}) = i), '|')"

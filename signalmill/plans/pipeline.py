@@ -6,26 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.operators import link, merge, tasks
+from signalmill.plans.cut import cut
 
 
-def plan(items: DataFrame) -> DataFrame:
-    """Tasks of one job's clustered items: ord, name, description, signal_origin, source_file_name, source_file_type."""
-    merged = merge.merged(items).cache()  # read by every branch; its lineage stays
-    mode = tasks.mode(items.withColumn("job", F.lit(1)), ["job"])
-    cols = ["ord", "name", "description", *tasks.LINEAGE]
-    planned = tasks.planning_tasks(merged).select(*cols)
-    designed = tasks.design_tasks(merged).select(*cols)
-    featured = tasks.feature_tasks(merged).select(*cols)
-    made = merge.union_all(*(t.withColumn("for", F.lit(m)) for m, t in (("planning", planned), ("design", designed), ("requirement", featured))))
-    made = made.join(F.broadcast(mode.select(F.col("mode").alias("for"))), "for").select(*cols).cache()  # one row
-    found = tasks.related(merged, made)
-    every = made.unionByName(tasks.repair(merged, found).select(*cols))
-    return tasks.dedupe(tasks.collapse_updates(every).withColumn("job", F.lit(1)), ["job"]).select(*cols)
-
-
-def model(items: DataFrame) -> DataFrame:
-    """The canonical model: features with what is linked to them, orphans last."""
-    merged = merge.merged(items)
-    features = merged.where("item_type = 'feature'").select(F.col("ord").alias("f_ord"), "title", "description")
+def plan(items: DataFrame, by: list[str], generated: DataFrame | None = None, expansion: DataFrame | None = None) -> DataFrame:
+    """Tasks of each job's clustered items: by, ord, name, description, signal_origin, source_file_name, source_file_type, priority, story_point.
+
+    generated and expansion: a model's tasks with the same columns, if any; those of expansion count for jobs below their floor only. Then
+    coverage is audited and repaired, PUT and PATCH become one update, and the first of each name stays.
+    """
+    merged = cut(merge.merged(items, by))
+    cols = [*by, "ord", *tasks.TASK]
+    made = tasks.deterministic(merged, by).select(*cols)
+    if generated is not None:
+        made = after(made, generated.select(*cols), by)
+    made = tasks.dedupe(made, by)
+    if expansion is not None:
+        count = made.groupBy(*by).agg(F.count("*").alias("n"))
+        short = tasks.floor_target(merged, by).join(count, by, "left").where(F.coalesce("n", F.lit(0)) < F.col("least")).select(*by)
+        made = tasks.dedupe(after(made, expansion.select(*cols).join(short, by, "left_semi"), by), by)
+    repaired = cut(tasks.with_repairs(merged, cut(made), by))
+    return tasks.dedupe(tasks.collapse_updates(repaired, by), by).select(*cols)
+
+
+def after(first: DataFrame, then: DataFrame, by: list[str]) -> DataFrame:
+    """Both lists, the second one's places behind the first one's."""
+    last = first.groupBy(*by).agg(F.max("ord").alias("last_"))
+    moved = then.join(last, by, "left").withColumn("ord", F.col("ord") + F.coalesce("last_", F.lit(0))).drop("last_")
+    return first.unionByName(moved.select(*first.columns))
+
+
+def model(items: DataFrame, by: list[str]) -> DataFrame:
+    """The canonical model of each job: features with what is linked to them, orphans last."""
+    merged = cut(merge.merged(items, by))
+    features = merged.where("item_type = 'feature'").select(*by, F.col("ord").alias("f_ord"), "title", "aliases", "description")
     rest = merged.where("item_type <> 'feature'")
-    return link.canonical(rest, link.link(rest, features), features)
+    return link.canonical(rest, link.link(rest, features, by), features, by)

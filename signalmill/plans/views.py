@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 SIGNALS = """
-SELECT p_partkey AS ord,
+SELECT p_partkey AS ord, p_partkey - p_partkey % 400 AS job_id,
   CASE p_partkey % 4 WHEN 0 THEN 'api' WHEN 1 THEN 'task' WHEN 2 THEN 'feature' ELSE 'db_schema' END AS item_type,
   CASE p_partkey % 4
     WHEN 0 THEN concat(CASE p_size % 5 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'PUT' WHEN 3 THEN 'PATCH' ELSE 'delete' END,
@@ -36,10 +36,14 @@ FROM part"""
 
 #: Tasks: one for each API and table, names as the design branch makes them, every third API without its check.
 TASKS = f"""
-SELECT ord, CASE WHEN item_type = 'api' THEN concat(CASE WHEN ord % 12 < 8 THEN 'Implement ' ELSE 'Verify ' END, upper(split_part(title, ' ', 1)), ' ', split_part(title, ' ', 2), CASE WHEN ord % 12 < 8 THEN '' ELSE ' behavior' END)
+SELECT ord, job_id, CASE WHEN item_type = 'api' THEN concat(CASE WHEN ord % 12 < 8 THEN 'Implement ' ELSE 'Verify ' END, upper(split_part(title, ' ', 1)), ' ', split_part(title, ' ', 2), CASE WHEN ord % 12 < 8 THEN '' ELSE ' behavior' END)
   WHEN item_type = 'db_schema' THEN concat('Design ', title, ' schema') ELSE title END AS name,
-  coalesce(description, 'none') AS description, signal_origin, source_file_type, source_file_name
-FROM ({SIGNALS}) s"""
+  coalesce(description, 'none') AS description, signal_origin, CASE WHEN ord % 5 = 0 THEN 'Requirement' ELSE source_file_type END AS source_file_type, source_file_name
+FROM ({SIGNALS}) s WHERE ord % 7 <> 3"""
+
+#: Signals whose jobs take turns: planned; designed, without planning tasks; features alone.
+ITEMS = f"""
+SELECT * FROM ({SIGNALS}) q WHERE CASE job_id % 1200 WHEN 400 THEN NOT (item_type = 'task' AND source_file_type = 'Planning') WHEN 800 THEN item_type = 'feature' ELSE true END"""
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
