@@ -1,9 +1,8 @@
 """N-gram Jaccard join: all links between texts whose word-shingle sets agree by three quarters or more.
 
 1.  Each text becomes a set of 64-bit shingle hashes; rows with equal sets are one class, known by a 128-bit key of the set, whatever their ids.
-2.  Sieve: a set can only link if three quarters of its elements are in another row's set too. Every row's elements are dealt to buckets by
-    their upper bits, packed as arrays (4 bytes of hash, 2 of the row's place among up to ROWS rows); a bucket says which it met twice.
-    An element that rows of one task share is sent once. Rows that pass are few; the rest has no link and is done with.
+2.  Sieve (sieve.py): a set can only link if three quarters of its elements are in other rows' sets too. Rows that pass are few; the rest
+    has no link and is done with.
 3.  Keys: elements of the classes that passed are counted, and put in order from rare to frequent. Two sets that link share an element of
     the first quarter of each, the prefix. Keys whose classes are the same are one list, kept under the key first in that order.
 4.  Tiles: a list's classes are banded by size (a band spans 4/3, so links stay within a band or reach into the next), a large band is cut
@@ -29,18 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from signalmill.llm import sieve
 from signalmill.llm.common import components, dropped, load, raw, stored
+from signalmill.llm.sieve import text_hash
 
 #: Classes of a list's block; pairs whose bitmaps are met together; bits from which a bitmap takes fewer for each element, and its widest. A narrower
 #: one only bounds less sharply.
 WORDS, TILE, CHUNK, WIDE, WIDEST = 5, 4096, 1 << 15, 1 << 13, 1 << 16
-#: Elements and rows that a task of the sieve packs together; bytes of text for each bucket.
-PACK, ROWS, BUCKET = 1 << 20, 60_000, 1 << 23
-KNOWN = 0xFFFF
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -100,134 +97,14 @@ def set_key(s: np.ndarray) -> str | None:
     return xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None
 
 
-# The sieve
-
-
-def _packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows b, src, hashes, places from docs (doc_id, text, th): a pack's elements by bucket, and (places null) what is known of its rows."""
-    names = ["b", "src", "hashes", "places"]
-
-    def flush(sets: list[np.ndarray], meta: list[tuple], src: int) -> Iterator[pa.RecordBatch]:
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        every, place = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(every, kind="stable")
-        every, place = every[order], place[order]
-        first = np.append(True, every[1:] != every[:-1])
-        twice = ~(first & np.append(first[1:], True))
-        here = np.bincount(place[twice], minlength=len(sets))
-        place[twice] = KNOWN
-        every, place = every[first], place[first].astype(np.uint16)
-        ids, keys, th = zip(*meta, strict=True)
-        known = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(keys, pa.string()), pa.array(th, pa.string()), pa.array(here)], names=["doc_id", "n", "key", "th", "hits"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, known.schema) as to:
-            to.write_batch(known)
-        bucket = ((every >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # in order, as the elements are
-        ends = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        low = every.astype(np.uint32)
-        used = np.flatnonzero(ends[1:] > ends[:-1])
-        for s in range(0, len(used), 256):
-            some = used[s : s + 256]
-            blobs = [[x[ends[k] : ends[k + 1]].tobytes() for k in some] for x in (low, place)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([src] * len(some), pa.int64()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([src % buckets], pa.int32()), pa.array([src], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([None], pa.binary())], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, sets, meta, held = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
-            for doc, text, th in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = shingles(text)
-                sets.append(s)
-                meta.append((doc, set_key(s), th))
-                held += len(s)
-                if held >= PACK or len(sets) >= ROWS:
-                    yield from flush(sets, meta, src)
-                    src, sets, meta, held = src + 1, [], [], 0
-        if sets:
-            yield from flush(sets, meta, src)
-
-    return docs.select("doc_id", "text", "th").mapInArrow(run, "b int, src long, hashes binary, places binary")
-
-
-def _met_twice(packs: DataFrame) -> DataFrame:
-    """Rows src, known, places: for each pack the places whose elements a bucket met twice; what is known of a pack's rows goes through."""
-
-    def one(rows: list[tuple]) -> Iterator[tuple]:
-        hashes = [np.frombuffer(r[2], np.uint32) for r in rows]
-        ends = np.cumsum([len(h) for h in hashes])
-        every = np.concatenate(hashes)
-        order = np.argsort(every, kind="stable")
-        s = every[order]
-        same = s[1:] == s[:-1]
-        twice = np.zeros(len(every), bool)
-        twice[order] = np.append(False, same) | np.append(same, False)
-        for r, h, e in zip(rows, hashes, ends, strict=True):
-            places = np.frombuffer(r[3], np.uint16)
-            hit = places[twice[e - len(h) : e] & (places != KNOWN)]
-            if len(hit):
-                yield r[1], None, hit.tobytes()
-
-    def batched(rows: list[tuple]) -> pa.RecordBatch:
-        src, known, places = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(known, pa.binary()), pa.array(places, pa.binary())], names=["src", "known", "places"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
-        for batch in batches:
-            through = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[3] is None:
-                    through.append((row[1], row[2], None))
-                    continue
-                if row[0] != last and held:
-                    yield batched(list(one(held)))
-                    held = []
-                last = row[0]
-                held.append(row)
-            yield batched(through)
-        if held:
-            yield batched(list(one(held)))
-
-    return packs.repartition("b").sortWithinPartitions("b").mapInArrow(run, "src long, known binary, places binary")
-
-
-def _rejoined(found: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key, th, hits (elements that other rows have too) of each row, from the rows of _met_twice()."""
-    names = ["doc_id", "n_shingles", "set_key", "th", "hits"]
-
-    def one(rows: list[tuple]) -> pa.RecordBatch:
-        known = next(r[1] for r in rows if r[1] is not None)
-        meta = pa.ipc.open_stream(known).read_next_batch()
-        hits = meta.column(4).to_numpy().copy()
-        for _, _, places in rows:
-            if places is not None:
-                hits += np.bincount(np.frombuffer(places, np.uint16), minlength=len(hits))
-        return pa.RecordBatch.from_arrays([*meta.columns[:4], pa.array(hits)], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != last and held:
-                    yield one(held)
-                    held = []
-                last = row[0]
-                held.append(row)
-        if held:
-            yield one(held)
-
-    return found.repartition("src").sortWithinPartitions("src").mapInArrow(run, "doc_id long, n_shingles long, set_key string, th string, hits long")
-
-
 def sieved(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key, th (a hash of the text) and hits for each row of docs (doc_id, text), as a stored table."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("th"))
-    return stored(_rejoined(_met_twice(_packed(rows, max(16, -(-size // BUCKET))))), "rows")
+    """doc_id, n_shingles, set_key, th (a hash of the text) and hits (elements that other rows have too) for each row of docs (doc_id, text)."""
 
+    def elements(text: str | None) -> tuple[np.ndarray, tuple]:
+        s = shingles(text)
+        return s, (len(s), set_key(s))
 
-def text_hash() -> F.Column:
-    return F.md5(F.col("text").cast("binary"))
+    return sieve.sieved(docs, elements, {"n_shingles": "long", "set_key": "string"})
 
 
 # Keys, tiles and links

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from signalmill.llm import jaccard
+from signalmill.llm import jaccard, sieve
 
 
 def corpus(seed):
@@ -55,7 +55,7 @@ def roots(docs, sets, by_id):
 @pytest.mark.parametrize(("seed", "tile", "pack"), [(1, 4096, 1 << 20), (2, 2, 300), (3, 3, 50)])
 def test_groups(spark, monkeypatch, seed, tile, pack):
     monkeypatch.setattr(jaccard, "TILE", tile)
-    monkeypatch.setattr(jaccard, "PACK", pack)
+    monkeypatch.setattr(sieve, "PACK", pack)
     docs = corpus(seed)
     sets = sets_of(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
