@@ -1,14 +1,14 @@
-"""A causal self-attention model of subwords, in numpy: trained by gradient steps, scored over overlapping windows.
+"""A causal self-attention model over subword ids, in numpy: trained by gradient steps, scored over overlapping windows.
 
-A text is words (lower-cased in A-Z) and an end. A word is its subword ids; a symbol is an id with a mark on a word's last, so that
-words begin and end inside the distribution. The probability of a symbol mixes, with weights from attention,
+A text is tokens: words (lower-cased in A-Z) and one end. What the network sees of a token are its subword ids: a row of the embedding table for each
+id of the public vocabulary, their mean for a token. The probability of a token mixes, with weights from attention,
 
-* a copy head: queries from the symbol before, keys from the symbols before earlier places, so attention finds what followed
-  in like context; its weight lands on those places' symbols (a sink takes the weight when nothing fits);
-* experts: counts from the whole corpus of training documents (one expert a language), smoothed from the prefix of the word to the two symbols
-  before, the one before, and the symbol alone; a second head reads, from values of all places before, which expert the text fits.
+* a copy head: queries from the token before, keys from the tokens before earlier places, so attention finds what followed in like
+  context; its weight lands on those places' tokens (a sink takes the weight when nothing fits);
+* experts, one a language: counts of all words of all its training documents, Witten-Bell smoothed with a spelling of the word by its
+  subword symbols; a second head reads, from values of all places before, which expert the text fits.
 
-All parts are normalised, so the score is a probability. Windows hold BACK + STEP places and move by STEP: each symbol is scored once, with
+All parts are normalised, so the score is a probability. Windows hold BACK + STEP places and move by STEP: each token is scored once, with
 at least BACK places before it (or its document's start), all windows of a batch in one masked array.
 """
 
@@ -21,26 +21,15 @@ import numpy as np
 
 from signalmill.llm.tokens import subwords
 
-STEP, BACK, HASH, DIM = 16, 32, 4096, 16
+STEP, BACK, DIM = 32, 32, 16
 SPAN = STEP + BACK
-#: Fixed value: ids of the byte-level vocabulary. A symbol is 2 * id + (1 on a word's last); END ends a text.
+#: Fixed value: ids of the byte-level vocabulary. A symbol is 2 * id + (1 on a word's last). Two more rows stand for the end and for what is before a text.
 IDS = 50_257
-END = 2 * IDS
-SYMBOLS = END + 1
-DEPTH, CACHE = 12, 300_000
-REST = 0x5851F42D4C957F2D
-_M = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def bucket(symbols: np.ndarray) -> np.ndarray:
-    """Row of the embedding tables for each symbol; row 0 stands for what is before a text."""
-    return (1 + mixed(symbols.astype(np.uint64) * _M) % np.uint64(HASH - 1)).astype(np.int64)
+SYMBOLS, ROWS = 2 * IDS, IDS + 2
+#: Numbers of the end and of what is before a text; words are numbered from 2 on.
+END, BEFORE = 0, 1
+CACHE = 300_000
+BAGS = ("embed", "value", "loud")
 
 
 def pieces(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,85 +42,59 @@ def pieces(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids, n
 
 
-def contexts(symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each symbol of words: a hash of the word's symbols before it, of the one before it, and of the two before it.
-
-    The last two are 0 where there are none, and where the prefix says the same.
-    """
-    start = np.cumsum(n) - n
-    prefix, before, two = (np.zeros(len(symbols), np.uint64) for _ in range(3))
-    for d in range(1, int(n.max(initial=0))):
-        at = start[n > d] + d
-        prefix[at] = mixed(prefix[at - 1] * _M + symbols[at - 1].astype(np.uint64) + np.uint64(1))
-        before[at] = mixed(symbols[at - 1].astype(np.uint64) * _M + np.uint64(7))
-        if d > 2:
-            two[at] = mixed((symbols[at - 1] * SYMBOLS + symbols[at - 2]).astype(np.uint64) * _M + np.uint64(11))
-    return prefix, before, two
-
-
-def entry_key(context: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    return mixed(context + (symbols.astype(np.uint64) + np.uint64(1)) * _M)
-
-
-def rest_key(context: np.ndarray) -> np.ndarray:
-    return context ^ np.uint64(REST)
-
+class Experts:
+    """What is known of each expert: tokens and kinds of its documents, and log probabilities of a word's first and further symbols."""
 
-class Counts:
-    """Facts in a sorted table: by entry_key the experts' shares of a symbol after a context, by rest_key what a context leaves to the shorter one."""
+    def __init__(self, tokens: np.ndarray, kinds: np.ndarray, ends: np.ndarray, first: np.ndarray, inner: np.ndarray):
+        self.kinds, self.bottom, self.ends = np.log(kinds), np.log(tokens + kinds), np.log(np.maximum(ends, 0.5))
+        self.first, self.inner = first.astype(np.float32), inner.astype(np.float32)
 
-    def __init__(self, alone: np.ndarray, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.alone, self.keys, self.values = alone, keys[order], values[order].astype(np.float32)
-
-    def place(self, asked: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 without one."""
-        if not len(self.keys):
-            return np.full(len(asked), -1)
-        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-        return np.where(self.keys[at] == asked, at, -1)
-
-
-def asked(symbols: np.ndarray, contexts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places, keys of their entries, keys of their contexts' rests) from the shortest context to the longest."""
-    prefix, before, two = contexts
-    steps = ((before, np.flatnonzero(before)), (two, np.flatnonzero(two)), (prefix, np.arange(len(prefix))))
-    return [(at, entry_key(c[at], symbols[at]), rest_key(c[at])) for c, at in steps]
+    def logs(self, counts: np.ndarray, symbols: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log probability of each word under each expert, from its counts and its symbols."""
+        out = np.zeros((len(n), counts.shape[1]))
+        if len(n):
+            start = np.cumsum(n) - n
+            spelt = self.inner[symbols].astype(np.float64)
+            spelt[start] = self.first[symbols[start]]
+            with np.errstate(divide="ignore"):
+                out = np.logaddexp(np.log(counts), self.kinds + np.add.reduceat(spelt, start)) - self.bottom
+        return out
 
 
-def probabilities(symbols: np.ndarray, contexts: tuple[np.ndarray, np.ndarray, np.ndarray], tables: list[Counts]) -> np.ndarray:
-    """Expert probabilities of symbols from the tables, each fact from the first table that has it."""
-    p = tables[0].alone[symbols]
+#: Heavy words: joined by blanks, times seen by each expert, symbols of each and all symbols, log probabilities.
+Heavy = tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-    def found(keys: np.ndarray, missing: float) -> np.ndarray:
-        out = np.full((len(keys), p.shape[1]), missing, np.float32)
-        for t in reversed(tables):
-            row = t.place(keys)
-            out[row >= 0] = t.values[row[row >= 0]]
-        return out
 
-    for at, entries, rests in asked(symbols, contexts):
-        p[at] = found(entries, 0.0) + found(rests, 1.0) * p[at]
-    return p
+class _Index(dict):
+    """Number of each word; one that is not there gets the next number and is noted as new."""
 
+    def __init__(self, words: list[bytes]):
+        super().__init__(zip(words, range(2, 2 + len(words)), strict=True))
+        self.new: list[bytes] = []
 
-#: Words with what the model needs of them: the words joined by blanks, times seen, number of symbols, symbols, expert probabilities.
-Packed = tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 2
+        self.new.append(word)
+        return n
 
 
 class Words:
-    """Words met so far: number of each, and by number its symbols, their expert probabilities, and what the base needs.
+    """Words met so far: number of each, and by number its subword ids, its log probabilities, and what the base needs.
 
     Heavy words are always there; the others come with the documents that hold them, by hash.
     """
 
-    def __init__(self, heavy: Packed):
-        words, seen, n, symbols, p = heavy
-        self.index = {w: k for k, w in enumerate(words.split())}
+    def __init__(self, experts: Experts, heavy: Heavy):
+        words, counts, n, symbols, logs = heavy
+        self.experts = experts
+        self.index = _Index(words.split())
         self.added: list[bytes] = []
-        self.start, self.n, self.symbols, self.p = np.cumsum(n) - n, n, symbols, p
-        self.log, self.known = np.log10(seen + 1.0), (seen > 0).astype(np.int64)
-        self.used = self.base = (len(n), len(symbols))
+        seen = counts.sum(1)
+        self.n, self.ids = np.concatenate([[1, 1], n]), np.concatenate([[IDS, IDS + 1], symbols >> 1])
+        self.start = np.cumsum(self.n) - self.n
+        self.logs = np.concatenate([[experts.ends - experts.bottom, np.zeros(counts.shape[1])], logs])
+        self.log, self.known = np.log10(np.append([0, 0], seen) + 1.0), (np.append([0, 0], seen) > 0).astype(np.int64)
+        self.used = self.base = (len(self.n), len(self.ids))
 
     def _put(self, name: str, at: int, x: np.ndarray) -> None:
         a = getattr(self, name)
@@ -141,54 +104,72 @@ class Words:
             setattr(self, name, a := more)
         a[at : at + len(x)] = x
 
-    def numbers(self, docs: list[list[bytes]], light: dict[int, tuple[int, bytes]], hashed: Callable[[bytes], int]) -> list[np.ndarray]:
-        """Numbers of the words of docs. light: times seen and expert probabilities by the hash of each word that is not heavy."""
+    def numbers(self, docs: list[list[bytes]], light: dict[int, bytes], hashed: Callable[[bytes], int]) -> list[np.ndarray]:
+        """Numbers of the words of docs. light: times seen by each expert (32-bit numbers) by the hash of each word that is not heavy."""
         if len(self.added) > CACHE:
             for w in self.added:
                 del self.index[w]
             self.added, self.used = [], self.base
         index = self.index
-        new = list(dict.fromkeys(w for d in docs for w in set(d).difference(index)))
-        if new:
+        out = [np.fromiter(map(index.__getitem__, d), np.int64, len(d)) for d in docs]
+        if new := index.new:
             words, at = self.used
-            index.update(zip(new, range(words, words + len(new)), strict=True))
-            self.added += new
             symbols, n = pieces(new)
-            got = [light[hashed(w)] for w in new]
-            seen = np.fromiter((g[0] for g in got), np.int64, len(got))
-            p = np.frombuffer(b"".join(g[1] for g in got), np.float32).reshape(len(symbols), -1)
-            for name, x in (("start", at + np.cumsum(n) - n), ("n", n), ("log", np.log10(seen + 1.0)), ("known", (seen > 0).astype(np.int64))):
+            counts = np.frombuffer(b"".join([light[hashed(w)] for w in new]), np.uint32).reshape(len(new), -1).astype(np.float64)
+            seen = counts.sum(1)
+            for name, x in (("start", at + np.cumsum(n) - n), ("n", n), ("log", np.log10(seen + 1.0)), ("known", (seen > 0).astype(np.int64)), ("logs", self.experts.logs(counts, symbols, n))):
                 self._put(name, words, x)
-            self._put("symbols", at, symbols)
-            self._put("p", at, p)
+            self._put("ids", at, symbols >> 1)
             self.used = words + len(new), at + len(symbols)
-        return [np.fromiter(map(index.__getitem__, d), np.int64, len(d)) for d in docs]
+            self.added += new
+            index.new = []
+        return out
 
-    def laid_out(self, docs: list[np.ndarray], end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols and expert probabilities of docs one after another, each with END, and each doc's number of symbols."""
-        every = np.concatenate([np.append(d, -1) for d in docs])
-        n = np.where(every >= 0, self.n[every] if len(self.n) else 1, 1)
-        start = np.where(every >= 0, self.start[every] if len(self.n) else 0, 0)
+    def bags(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Subword ids of the words one after another, and how many each has."""
+        n = self.n[numbers]
         ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(start - (ends - n), n)
-        is_end = np.repeat(every < 0, n)
-        symbols, p = np.full(len(at), END, np.int64), np.repeat(end[None], len(at), 0)
-        symbols[~is_end], p[~is_end] = self.symbols[at[~is_end]], self.p[at[~is_end]]
-        last = np.flatnonzero(every < 0)
-        totals = ends[last]
-        return symbols, p, np.diff(np.append(0, totals))
+        return self.ids[np.arange(ends[-1]) + np.repeat(self.start[numbers] - (ends - n), n)], n
 
 
-def initial(alone: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
-    """Parameters at the start: like symbols attract each other; values say which expert a symbol speaks for."""
+class Batch:
+    """Tokens of some documents one after another, each with its end; kinds of tokens are numbered anew."""
+
+    def __init__(self, words: Words, docs: list[np.ndarray]):
+        tokens = np.concatenate([np.append(d, END) for d in docs])
+        self.sizes = np.array([len(d) + 1 for d in docs])
+        self.kinds, at = np.unique(np.append(tokens, BEFORE), return_inverse=True)
+        self.token, before = at[:-1].astype(np.int32), at[-1]
+        self.prior = np.append(before, self.token[:-1]).astype(np.int32)
+        self.prior[np.cumsum(self.sizes)[:-1]] = before
+        logs = words.logs[self.kinds]
+        self.scale = logs.max(1)
+        self.p = np.exp(logs - self.scale[:, None]).astype(np.float32)
+        self.words = words
+
+
+def mean_rows(table: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Means of runs of rows, n long each: the first rows of all runs, the second ones, and so on."""
+    start = np.cumsum(n) - n
+    out = table[ids[start]]
+    for d in range(1, int(n.max(initial=1))):
+        more = np.flatnonzero(n > d)
+        if len(more) < 64:  # few long runs are left
+            for k in more:
+                out[k] += table[ids[start[k] + d : start[k] + n[k]]].sum(0)
+            break
+        out[more] += table[ids[start[more] + d]]
+    return out / n[:, None].astype(out.dtype)
+
+
+def initial(mass: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
+    """Parameters at the start: like tokens attract each other; values say which expert a subword speaks for. mass: of each id under each expert."""
     rng = np.random.default_rng(seed)
-    k = alone.shape[1]
-    mass = np.zeros((HASH, k))
-    np.add.at(mass, bucket(np.arange(SYMBOLS)), alone)
-    mass += 1e-6
-    values = np.log(mass / mass.mean(1, keepdims=True))
-    values[0] = 0
-    out = {"embed": rng.normal(0, 0.4, (HASH, DIM)), "query": np.eye(DIM) * 1.2, "key": np.eye(DIM) * 1.2, "near": np.linspace(0, 0.5, SPAN)[::-1].copy(), "value": values, "loud": np.zeros(HASH), "gain": np.eye(k) * 8, "prior": np.zeros(k), "copy": np.array([-2.5]), "copy_c": np.zeros(k)}
+    k = mass.shape[1]
+    share = np.vstack([mass, np.ones((2, k))]) + 1e-7
+    values = np.log(share / share.mean(1, keepdims=True))
+    values[IDS:] = 0
+    out = {"embed": rng.normal(0, 0.6, (ROWS, DIM)), "query": np.eye(DIM) * 1.2, "key": np.eye(DIM) * 1.2, "near": np.linspace(0, 0.5, SPAN)[::-1].copy(), "value": values, "loud": np.zeros(ROWS), "gain": np.eye(k) * 3, "prior": np.zeros(k), "copy": np.array([-2.5]), "copy_c": np.zeros(k)}
     return {n: x.astype(np.float32) for n, x in out.items()}
 
 
@@ -217,11 +198,10 @@ def blocks(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(starts, n), np.repeat(starts, n) + STEP * at, np.repeat(ends, n)
 
 
-def _added(out: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
-    """out[rows] += x, with repeated rows; one pass over all values."""
-    width = out[0].size
-    at = rows.ravel()[:, None] * width + np.arange(width)
-    out += np.bincount(at.ravel(), x.ravel(), out.size).reshape(out.shape)
+def _added(rows: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    """Sums of x (rows by columns) by row number."""
+    x = x.reshape(len(rows), -1)
+    return np.stack([np.bincount(rows, x[:, c], size) for c in range(x.shape[1])], axis=1).astype(x.dtype)
 
 
 class Network:
@@ -230,100 +210,138 @@ class Network:
         self.fuse()
 
     def fuse(self) -> None:
-        p = self.p
-        self.q_table, self.k_table = p["embed"] @ p["query"], p["embed"] @ p["key"]
-        self.static = np.where(_CAUSAL, p["near"][_GAP], np.float32(-1e9)).astype(np.float32)
+        self.static = np.where(_CAUSAL, self.p["near"][_GAP], -1e9).astype(self.p["near"].dtype)
+        self.bag: np.ndarray | None = None
 
-    def forward(self, symbols: np.ndarray, rows: np.ndarray, probs: np.ndarray, first: np.ndarray, at: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
-        """Probability of each place of the blocks. rows: bucket of each symbol."""
-        p, last = self.p, len(symbols) - 1
-        place = at[:, None] - BACK + np.arange(SPAN)[None]
-        real = (place >= first[:, None]) & (place < end[:, None])
-        safe = np.clip(place, 0, last)
-        row = np.where(real, rows[safe], 0)
-        prior = np.where(real & (place > first[:, None]), rows[np.clip(place - 1, 0, last)], 0)
-        seen = np.where(real, symbols[safe], -1).astype(np.int32)
-        q, k = self.q_table[prior[:, BACK:]], self.k_table[prior]
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s += self.static
-        s += np.where(real, np.float32(0), np.float32(-1e9))[:, None]
-        np.minimum(s, np.float32(20), out=s)
-        e = np.exp(s, out=s)
+    def tables(self, words: Words, kinds: np.ndarray, fresh: bool = False) -> dict[str, np.ndarray]:
+        """Queries, keys and weighted values of kinds of tokens (fresh: parameters were changed from outside). Keys have one more column, the mask of places that are not there."""
+        ids, n = words.bags(kinds)
+        p = self.p
+        if self.bag is None or fresh:
+            self.bag = np.hstack([p["embed"], p["value"], p["loud"][:, None]])
+        mean = mean_rows(self.bag, ids, n)
+        x, value, loud = mean[:, :DIM], mean[:, DIM:-1], np.exp(np.clip(mean[:, -1:], -5, 5))
+        one = np.ones((len(kinds), 1), x.dtype)
+        return {"ids": ids, "n": n, "x": x, "query": np.hstack([x @ p["query"], one]), "key": np.hstack([x @ p["key"], 0 * one]), "value": value, "loud": loud, "weighed": np.hstack([loud * value, loud])}
+
+    def forward(self, t: dict[str, np.ndarray], prior: np.ndarray, token: np.ndarray, real: np.ndarray, px: np.ndarray, scale: np.ndarray) -> dict[str, np.ndarray]:
+        """Log probability of each place of the blocks. prior, token: kinds (rows of t) of the windows' places; px, scale: experts' probabilities of the blocks' tokens."""
+        p = self.p
+        k = t["key"][prior]
+        k[..., DIM] = np.where(real, 0, -1e9)
+        q = t["query"][prior[:, BACK:]]
+        e = np.matmul(q, k.transpose(0, 2, 1))
+        e += self.static
+        np.minimum(e, 20, out=e)
+        np.exp(e, out=e)
         z = 1 + e.sum(2)
-        same = seen[:, BACK:, None] == seen[:, None]
-        hit = np.einsum("bij,bij->bi", e, same) / z
-        value, loud = p["value"][row], np.where(real, np.exp(np.clip(p["loud"][row], -5, 5)), np.float32(0))
-        mask = _CAUSAL.astype(np.float32)
-        zc = loud @ mask.T + np.float32(1e-3)
-        c = np.matmul(mask, loud[..., None] * value) / zc[..., None]
+        seen = np.where(real, token, -1)
+        same = np.flatnonzero(seen[:, BACK:, None] == seen[:, None])
+        row = same // SPAN
+        hit = np.bincount(row, e.reshape(-1)[same], z.size).reshape(z.shape).astype(z.dtype) / z
+        total = np.cumsum(t["weighed"][token] * real[..., None], axis=1)[:, BACK - 1 : SPAN - 1]
+        weight = total[..., -1:] + z.dtype.type(1e-3)
+        c = total[..., :-1] / weight
         u = c @ p["gain"] + p["prior"]
         u -= u.max(2, keepdims=True)
         pi = np.exp(u)
         pi /= pi.sum(2, keepdims=True)
-        px = probs[safe[:, BACK:]]
         mix = (pi * px).sum(2)
         g = 1 / (1 + np.exp(-np.clip(p["copy"][0] + c @ p["copy_c"], -30, 30)))
         share = g * (1 - 1 / z)
-        total = g * hit + (1 - share) * mix
-        return {"p": total, "real": real[:, BACK:], "row": row, "prior": prior, "q": q, "k": k, "e": e, "z": z, "same": same, "hit": hit, "value": value, "loud": loud, "zc": zc, "c": c, "pi": pi, "px": px, "mix": mix, "g": g, "all": real}
-
-    def gradient(self, f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        """Slopes of the mean loss, by hand."""
-        p, w = self.p, f["real"] / max(1, f["real"].sum())
-        d = (-w / np.maximum(f["p"], 1e-12)).astype(np.float32)
+        with np.errstate(divide="ignore"):
+            logs = np.logaddexp(np.log((g * hit).astype(np.float64)), np.log(((1 - share) * mix).astype(np.float64)) + scale)
+        return {"log": logs, "real": real[:, BACK:], "prior": prior, "token": token, "all": real, "q": q, "k": k, "e": e, "z": z, "same": same, "row": row, "hit": hit, "weight": weight, "c": c, "pi": pi, "px": px, "mix": mix, "scale": scale, "g": g}
+
+    def gradient(self, t: dict[str, np.ndarray], f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Slopes of the mean loss, by hand; those of the embeddings, values and loudness are for the rows of t."""
+        p, kind = self.p, f["e"].dtype
+        w = f["real"] / max(1, f["real"].sum())
+        floor = np.exp(np.maximum(f["scale"], -60)).astype(kind)
+        mix, px = f["mix"] * floor, f["px"] * floor[..., None]
         a0, g = 1 / f["z"], f["g"]
-        out = {n: np.zeros_like(x) for n, x in p.items()}
-        ds = f["e"] * ((d * g / f["z"])[..., None] * (f["same"] - (f["hit"] + f["mix"] * a0)[..., None]))
-        dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
-        ek = p["embed"][f["prior"]]
-        eq = ek[:, BACK:]
-        out["query"] = eq.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
-        out["key"] = ek.reshape(-1, DIM).T @ dk.reshape(-1, DIM)
-        de = dk @ p["key"].T
-        de[:, BACK:] += dq @ p["query"].T
-        _added(out["embed"], f["prior"], de)
-        _added(out["near"], _GAP[_CAUSAL], ds.sum(0)[_CAUSAL])
-        dg = d * (f["hit"] - (1 - a0) * f["mix"]) * g * (1 - g)
-        out["copy"][0] = dg.sum()
-        out["copy_c"] = np.einsum("bi,bik->k", dg, f["c"])
-        dpi = (d * (1 - g * (1 - a0)))[..., None] * f["px"]
+        d = (-w / np.maximum(g * f["hit"] + (1 - g * (1 - a0)) * mix, 1e-30)).astype(kind)
+        dg_z = d * g * a0
+        ds = f["e"] * (-dg_z * (f["hit"] + mix * a0))[..., None]
+        ds.reshape(-1)[f["same"]] += f["e"].reshape(-1)[f["same"]] * dg_z.reshape(-1)[f["row"]]
+        dq, dk = np.matmul(ds, f["k"])[..., :DIM], np.matmul(ds.transpose(0, 2, 1), f["q"])[..., :DIM]
+        size = len(t["n"])
+        gq, gk = _added(f["prior"][:, BACK:].ravel(), dq.reshape(-1, DIM), size), _added(f["prior"].ravel(), dk.reshape(-1, DIM), size)
+        out = {"query": t["x"].T @ gq, "key": t["x"].T @ gk, "embed": gq @ p["query"].T + gk @ p["key"].T}
+        out["near"] = np.bincount(_GAP[_CAUSAL], ds.sum(0)[_CAUSAL], SPAN).astype(kind)
+        dg = d * (f["hit"] - (1 - a0) * mix) * g * (1 - g)
+        out["copy"], out["copy_c"] = np.array([dg.sum()], kind), np.einsum("bi,bik->k", dg, f["c"])
+        dpi = (d * (1 - g * (1 - a0)))[..., None] * px
         du = f["pi"] * (dpi - (f["pi"] * dpi).sum(2, keepdims=True))
         out["prior"] = du.sum((0, 1))
         out["gain"] = f["c"].reshape(-1, du.shape[2]).T @ du.reshape(-1, du.shape[2])
         dc = du @ p["gain"].T + dg[..., None] * p["copy_c"]
-        mask = _CAUSAL.astype(np.float32)
-        dn = np.matmul(mask.T, dc / f["zc"][..., None])
-        dz = (-(dc * f["c"]).sum(2) / f["zc"]) @ mask
-        _added(out["value"], f["row"], dn * f["loud"][..., None])
-        _added(out["loud"], f["row"], ((dn * f["value"]).sum(2) + dz) * f["loud"])
-        out["value"][0] = 0
+        part = np.concatenate([dc, -(dc * f["c"]).sum(2, keepdims=True)], axis=2) / f["weight"]
+        # A place weighs on all places of the block behind it.
+        back = np.cumsum(part[:, ::-1], axis=1)[:, ::-1]
+        dw = np.concatenate([np.repeat(back[:, :1], BACK, 1), back[:, 1:], np.zeros_like(back[:, :1])], axis=1) * f["all"][..., None]
+        dw = _added(f["token"].ravel(), dw.reshape(-1, dw.shape[2]), size)
+        out["value"] = dw[:, :-1] * t["loud"]
+        out["loud"] = ((dw[:, :-1] * t["value"]).sum(1) + dw[:, -1]) * t["loud"][:, 0]
         return out
 
-    def log10(self, symbols: np.ndarray, probs: np.ndarray, sizes: np.ndarray, batch: int = 512) -> np.ndarray:
+    def log10(self, b: Batch, size: int = 256) -> np.ndarray:
         """log10 probability of each document of the batch."""
-        rows = bucket(symbols)
-        first, at, end = blocks(sizes)
-        out = np.zeros(len(symbols))
-        for s in range(0, len(at), batch):
-            f = self.forward(symbols, rows, probs, first[s : s + batch], at[s : s + batch], end[s : s + batch])
-            place = at[s : s + batch, None] + np.arange(STEP)
-            out[place[f["real"]]] = np.log10(np.maximum(f["p"][f["real"]], 1e-30))
-        return np.add.reduceat(out, np.cumsum(sizes) - sizes)
+        t = self.tables(b.words, b.kinds)
+        first, at, end = blocks(b.sizes)
+        out = np.zeros(len(b.token))
+        for s in range(0, len(at), size):
+            f, place = self.windows(t, b, first[s : s + size], at[s : s + size], end[s : s + size])
+            out[place[:, BACK:][f["real"]]] = f["log"][f["real"]]
+        return np.add.reduceat(out, np.cumsum(b.sizes) - b.sizes) / np.log(10)
+
+    def windows(self, t: dict[str, np.ndarray] | None, b: Batch, first: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """forward() of blocks of a batch, and the windows' places. Without t, tables of the kinds in these windows are made, and told as t and kinds."""
+        place = at[:, None] - BACK + np.arange(SPAN)[None]
+        real = (place >= first[:, None]) & (place < end[:, None])
+        safe = np.clip(place, 0, len(b.token) - 1)
+        prior, token = b.prior[safe], b.token[safe]
+        own = token[:, BACK:]
+        px, scale = b.p[own], b.scale[own]
+        more = {}
+        if t is None:
+            there = np.zeros(len(b.kinds), bool)
+            there[prior], there[token] = True, True
+            number = np.cumsum(there) - 1
+            t = self.tables(b.words, b.kinds[there])
+            prior, token = number[prior], number[token]
+            more = {"t": t}
+        return self.forward(t, prior, token, real, px.astype(self.p["gain"].dtype), scale) | more, place
 
 
 class Trainer:
-    """AdaGrad on batches of windows."""
+    """AdaGrad on batches of windows; of the tables by subword id, only the rows that a batch holds are touched."""
 
     def __init__(self, params: dict[str, np.ndarray], rate: float = 0.05):
         self.net, self.rate = Network(params), rate
         self.square = {n: np.full(x.shape, 1e-6, np.float32) for n, x in params.items()}
         self.seen, self.loss = 0, 0.0
 
-    def step(self, symbols: np.ndarray, probs: np.ndarray, first: np.ndarray, at: np.ndarray, end: np.ndarray) -> None:
-        f = self.net.forward(symbols, bucket(symbols), probs, first, at, end)
-        self.loss -= float(np.log10(np.maximum(f["p"][f["real"]], 1e-30)).sum())
+    def step(self, b: Batch, first: np.ndarray, at: np.ndarray, end: np.ndarray) -> None:
+        f, _ = self.net.windows(None, b, first, at, end)
+        t = f["t"]
+        self.loss -= float(f["log"][f["real"]].sum())
         self.seen += int(f["real"].sum())
-        for n, g in self.net.gradient(f).items():
-            self.square[n] += g * g
-            self.net.p[n] -= (self.rate * g / np.sqrt(self.square[n])).astype(np.float32)
+        there = np.zeros(ROWS, bool)
+        there[t["ids"]] = True
+        rows, number = np.flatnonzero(there), np.cumsum(there) - 1
+        for n, g in self.net.gradient(t, f).items():
+            if n in BAGS:  # a token is the mean of its ids
+                shape = g.shape[1:]
+                g = np.repeat(g.reshape(len(t["n"]), -1) / t["n"][:, None].astype(np.float32), t["n"], 0)
+                g = _added(number[t["ids"]], g, len(rows)).reshape(len(rows), *shape)
+                square = self.square[n][rows] + g * g
+                self.square[n][rows] = square
+                self.net.p[n][rows] -= (self.rate * g / np.sqrt(square)).astype(np.float32)
+            else:
+                self.square[n] += g * g
+                self.net.p[n] -= (self.rate * g / np.sqrt(self.square[n])).astype(np.float32)
+        bag = self.net.bag
         self.net.fuse()
+        bag[rows] = np.hstack([self.net.p["embed"][rows], self.net.p["value"][rows], self.net.p["loud"][rows][:, None]])
+        self.net.bag = bag

@@ -2,13 +2,14 @@
 
 1.  Words of all documents are counted, with a bounded dictionary for each task before the shuffle. Held-out documents count towards how heavy
     a word is, never towards what is learnt.
-2.  Word counts become symbol counts by context (`attention`), added up in Spark; all of them stay, in a table that grows with the corpus.
-    Facts on contexts and entries above a share of the corpus (1 in KEEP) are broadcast; each word asks the table by hash for the others, and
-    every word's expert probabilities are a row of a table. Where a fact comes from does not change the result.
-3.  The attention model is trained by local gradient steps: each task trains on all blocks of every training document of its partition,
-    and the tasks' parameters are averaged as a tree. ROUNDS of it.
-4.  Every whole text is scored in place. Words that make up 1 in HEAVY of all tokens are broadcast with their counts and probabilities; those
-    of the other words come to each document by a join on the word's hash.
+2.  Every word keeps its counts by expert (a language); what spells words by subword symbols is counted over the vocabulary. Nothing is dropped
+    for being rare: words above a share of the corpus (1 in HEAVY) are broadcast, the counts of the others come to each document by a join on
+    the word's hash. Where a count comes from does not change the result.
+3.  The attention model (`attention`) is trained by local gradient steps: each task trains on all blocks of every training document of its
+    partition, and the tasks' parameters are averaged as a tree. ROUNDS of it.
+4.  Every whole text is scored in place.
+
+What is broadcast: parameters and spelling by id of the public vocabulary, and the heavy words, HEAVY at most.
 
 Defined results: a null or empty text is its end token alone; a null id is hashed as empty text; repeated rows score alike;
 an empty table gives no rows. Further columns are not read. The 64-bit hashes of a document (id and text) and of a word stand for them.
@@ -31,8 +32,12 @@ from pyspark.sql import functions as F
 from signalmill.llm import attention as A
 from signalmill.llm.common import dropped, load, raw, remainder, remainder_col, stored
 
-HEAVY, KEEP, EXPERTS, ROUNDS, FOLD, HELD = 1 << 19, 1 << 20, 4, 1, 7, 2
-FLUSH, DOCS, WINDOWS = 400_000, 200, 200
+HEAVY, EXPERTS, ROUNDS, FOLD, HELD = 1 << 21, 4, 1, 7, 2
+#: Counts that an expert's spelling takes from the spelling of all of them.
+BACKOFF = 1000.0
+#: A word longer than that is not broadcast, so that broadcast bytes are bounded too.
+LONGEST = 64
+FLUSH, DOCS, WINDOWS = 400_000, 200, 256
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -72,127 +77,70 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word", "lang").agg(F.sum("seen").alias("seen"), F.sum("every").alias("every"))
 
 
-def symbol_counts(words: DataFrame, experts: list[str]) -> DataFrame:
-    """kind (0 alone, 1 after a symbol, 2 after a prefix, 3 after two symbols), ctx, sym, key of the entry, expert and count. words: word, lang, seen."""
-    number = {x: k for k, x in enumerate(experts)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> pa.RecordBatch:
-            kind, ctx, sym, expert, n = (np.concatenate([p[i] for p in held]) for i in range(5))
-            held.clear()
-            key = A.mixed(A.entry_key(ctx, sym) + (kind * 64 + expert).astype(np.uint64))
-            _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-            n = np.bincount(inverse, n, len(at)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(kind[at].astype(np.int32)), pa.array(ctx[at].view(np.int64)), pa.array(sym[at].astype(np.int32)), pa.array(A.entry_key(ctx[at], sym[at]).view(np.int64)), pa.array(expert[at].astype(np.int32)), pa.array(n)], names=["kind", "ctx", "sym", "key", "expert", "n"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            symbols, n = A.pieces([raw(w) for w in b.column(0).to_pylist()])
-            prefix, before, two = A.contexts(symbols, n)
-            expert = np.repeat(np.array([number.get(x, len(number)) for x in b.column(1).to_pylist()]), n)
-            count = np.repeat(b.column(2).to_numpy(), n)
-            deep = np.arange(len(symbols)) - np.repeat(np.cumsum(n) - n, n) < A.DEPTH
-            held.append((np.zeros(len(symbols), np.int64), np.zeros(len(symbols), np.uint64), symbols, expert, count))
-            held += [(np.full(m.sum(), k), c[m], symbols[m], expert[m], count[m]) for k, c, m in ((1, before, before != 0), (2, prefix, deep), (3, two, two != 0))]
-            if sum(len(p[0]) for p in held) > FLUSH:
-                yield flush()
-        if held:
-            yield flush()
-
-    rows = words.where("seen > 0").select("word", "lang", "seen").mapInArrow(run, "kind int, ctx long, sym int, key long, expert int, n long")
-    return rows.groupBy("kind", "ctx", "sym", "key", "expert").agg(F.sum("n").alias("n"))
-
-
-def fit_counts(words: DataFrame, docs: DataFrame) -> tuple[A.Counts, np.ndarray, DataFrame]:
-    """Facts above the share, the experts' probabilities of END, and the table of all other facts. docs: lang and n, training documents of it."""
-    total = docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    large = {r["lang"]: r["n"] for r in docs.where(F.col("n") * 16 >= total).where("n > 0").collect()}  # 16 rows at most
-    experts = sorted(large, key=lambda x: (-large[x], x))[:EXPERTS]
-    k = len(experts) + 1  # the last is every language that has none of its own
-    ends = np.array([large[x] for x in experts] + [total - sum(large[x] for x in experts)], float)
-    table = stored(symbol_counts(words, experts), "symbol-counts")
-    alone = np.full((A.SYMBOLS, k), 0.5)
-    for r in table.where("kind = 0").groupBy("sym", "expert").agg(F.sum("n").alias("n")).toLocalIterator():  # SYMBOLS rows an expert at most
-        alone[r["sym"], r["expert"]] += r["n"]
-    alone[A.END] += ends
-    if len(experts) and not alone[:, -1].sum() > A.SYMBOLS:
-        alone[:, -1] = alone[:, :-1].sum(1)
-    tokens = alone.sum()
-    alone /= alone.sum(0)
-    least = math.ceil(tokens / KEEP)
-    # Witten-Bell: a context of n counts and d kinds gives (count + d * lower) / (n + d).
-    own = table.where("kind > 0").groupBy("ctx", "expert").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    own = own.withColumn("bottom", F.col("total") + F.col("kinds"))
-
-    def each(x: Column, missing: float) -> Column:
-        """An expert's value in its place."""
-        return F.array(*(F.coalesce(F.max(F.when(F.col("expert") == e, x)), F.lit(missing)).cast("float") for e in range(k))).alias("x")
-
-    shares = table.where("kind > 0").join(own.select("ctx", "expert", "bottom"), ["ctx", "expert"]).groupBy("key").agg(F.sum("n").alias("n"), each(F.col("n") / F.col("bottom"), 0.0))
-    rests = own.groupBy("ctx").agg(F.sum("total").alias("n"), each(F.col("kinds") / F.col("bottom"), 1.0))
-    rests = rests.select(F.col("ctx").bitwiseXOR(F.lit(A.REST)).alias("key"), "n", "x")
-    facts = stored(shares.unionByName(rests), "facts")
-    dropped(table)
-    # At most KEEP entries and KEEP contexts of each depth reach the driver; the others are asked for by hash.
-    top = facts.where(F.col("n") >= least).select("key", "x").toArrow()
-    keys = top["key"].to_numpy().astype(np.int64).view(np.uint64)
-    values = top["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(keys), k)
-    counts = A.Counts(alone.astype(np.float32), keys, values)
-    # A word's start must leave room for END: its share is taken from all first symbols alike.
-    expert = F.coalesce(*(F.when(F.col("lang") == x, e) for e, x in enumerate(experts)), F.lit(k - 1))
-    n_words = np.zeros(k)
-    for r in words.groupBy(expert.alias("expert")).agg(F.sum("seen").alias("n")).collect():
-        n_words[r["expert"]] += r["n"]
-    if not ends[-1]:
-        ends[-1], n_words[-1] = ends.sum(), n_words.sum()
-    end = (ends + 0.5) / (ends + n_words + 1)
-    return counts, end.astype(np.float32), facts.where(F.col("n") < least).select("key", "x")
-
-
-def ready(words: DataFrame, counts: A.Counts, rare: DataFrame) -> DataFrame:
-    """word, hash, seen, every, p (expert probabilities of its symbols) for each word of words (word, seen, every); rare: facts not in counts."""
-    shared = words.sparkSession.sparkContext.broadcast(counts)
-    words = words.withColumn("hash", F.xxhash64("word"))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                symbols, n = A.pieces([raw(w) for w in b.column(0).to_pylist()])
-                word = np.repeat(b.column(1).to_numpy(), n)
-                got = [(word[at], x) for at, *keys in A.asked(symbols, A.contexts(symbols, n)) for x in keys]
-                word, key = (np.concatenate([g[i] for g in got]) for i in (0, 1))
-                new = shared.value.place(key) < 0
-                yield pa.RecordBatch.from_arrays([pa.array(word[new]), pa.array(key[new].view(np.int64))], names=["hash", "key"])
+def symbol_counts(words: DataFrame, experts: int) -> np.ndarray:
+    """Kinds of words by first and by further symbol: (2, SYMBOLS, experts). words: word, c0, c1, ..; SYMBOLS rows for each expert and place at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, A.SYMBOLS, experts), np.int64)
         for b in batches:
             if b.num_rows:
                 symbols, n = A.pieces([raw(w) for w in b.column(0).to_pylist()])
-                got = {f["key"]: f["x"] for facts in b.column(4).to_pylist() for f in facts or ()}
-                own = A.Counts(shared.value.alone, np.fromiter(got, np.int64, len(got)).view(np.uint64), np.array(list(got.values()), np.float32).reshape(len(got), shared.value.alone.shape[1]))
-                p = A.probabilities(symbols, A.contexts(symbols, n), [shared.value, own])
-                ends = np.cumsum(n)
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([p[e - m : e].tobytes() for e, m in zip(ends, n, strict=True)], pa.binary())], names=["word", "hash", "seen", "every", "p"])
-
-    asks = words.select("word", "hash").mapInArrow(ask, "hash long, key long")
-    answers = asks.join(rare, "key").groupBy("hash").agg(F.collect_list(F.struct("key", "x")).alias("facts"))
-    both = words.join(answers, "hash", "left").select("word", "hash", "seen", "every", "facts")
-    return stored(both.mapInArrow(run, "word string, hash long, seen long, every long, p binary"), "ready")
-
-
-def packed(words: DataFrame, experts: int) -> A.Packed:
-    """Rows of ready() on the driver, and in order of the words."""
-    t = words.select("word", "seen", "p").toArrow().sort_by("word")
+                first = np.zeros(len(symbols), bool)
+                first[np.cumsum(n) - n] = True
+                for e in range(experts):
+                    known = np.repeat(b.column(e + 1).to_numpy() > 0, n)
+                    for place, here in enumerate((first & known, ~first & known)):
+                        out[place, :, e] += np.bincount(symbols[here], minlength=A.SYMBOLS)
+        at = np.nonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(at[2].astype(np.int32)), pa.array(out[at])], names=["place", "sym", "expert", "n"])
+
+    rows = words.select("word", *(f"c{e}" for e in range(experts))).mapInArrow(run, "place int, sym int, expert int, n long")
+    got = rows.groupBy("place", "sym", "expert").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((2, A.SYMBOLS, experts))
+    out[tuple(got[c].to_numpy() for c in ("place", "sym", "expert"))] = got["n"].to_numpy()
+    return out
+
+
+def large_languages(docs: DataFrame) -> list[str]:
+    """Languages of a sixteenth of the training documents and more, the EXPERTS largest of them. docs: lang, n."""
+    total = docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = {r["lang"]: r["n"] for r in docs.where(F.col("n") * 16 >= total).where("n > 0").collect()}  # 16 rows at most
+    return sorted(large, key=lambda x: (-large[x], x))[:EXPERTS]
+
+
+def vocabulary(counts: DataFrame, experts: list[str]) -> DataFrame:
+    """word, hash, seen, every and c0, c1, ..: times seen by each expert; the last is every language that has none of its own."""
+    expert = F.coalesce(*(F.when(F.col("lang") == x, e) for e, x in enumerate(experts)), F.lit(len(experts)))
+    by = [F.sum(F.when(F.col("e") == e, F.col("seen")).otherwise(0)).alias(f"c{e}") for e in range(len(experts) + 1)]
+    return counts.withColumn("e", expert).groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("every").alias("every"), *by).withColumn("hash", F.xxhash64("word"))
+
+
+def fit_experts(words: DataFrame, ends: np.ndarray) -> tuple[A.Experts, np.ndarray]:
+    """Experts from the vocabulary and their numbers of documents, and the weight of each subword id under each of them."""
+    k = len(ends)
+    sums = words.agg(*(F.coalesce(F.sum(f"c{e}"), F.lit(0)).alias(f"n{e}") for e in range(k)), *(F.count_if(F.col(f"c{e}") > 0).alias(f"v{e}") for e in range(k))).first()
+    tokens, kinds = (np.array([float(sums[f"{x}{e}"]) for e in range(k)]) for x in "nv")
+    spelt = symbol_counts(words, k)
+    every = spelt.sum(2) + 0.1
+    spelt += BACKOFF * (every / every.sum(1, keepdims=True))[..., None]  # what one expert has not met, others may have
+    share = spelt / spelt.sum(1, keepdims=True)
+    logs = np.log(share)
+    mass = share.sum(0).reshape(A.IDS, 2, k).sum(1)
+    return A.Experts(tokens + ends, np.maximum(kinds, 1), ends, logs[0], logs[1]), mass
+
+
+def packed(words: DataFrame, experts: A.Experts) -> A.Heavy:
+    """Heavy words on the driver, in order, with their symbols and log probabilities."""
+    k = len(experts.ends)
+    t = words.select("word", *(f"c{e}" for e in range(k))).toArrow().sort_by("word")
     ws = [raw(w) for w in t["word"].to_pylist()]
+    counts = np.stack([t[f"c{e}"].to_numpy() for e in range(k)], axis=1).astype(np.float64)
     symbols, n = A.pieces(ws)
-    return b" ".join(ws), t["seen"].to_numpy().astype(np.int64), n, symbols, np.frombuffer(b"".join(t["p"].to_pylist()), np.float32).reshape(len(symbols), experts)
+    return b" ".join(ws), counts, n, symbols, experts.logs(counts, symbols, n)
 
 
-def with_light(docs: DataFrame, heavy: A.Packed, light: DataFrame) -> DataFrame:
-    """doc_id, text and light: hash, seen and p of each word of the text that is not heavy. docs: doc_id, text; light: rows of ready()."""
+def with_light(docs: DataFrame, heavy: A.Heavy, light: DataFrame, k: int) -> DataFrame:
+    """doc_id, text and light: hash and counts (32-bit numbers, one an expert) of each word of the text that is not heavy. light: rows of vocabulary()."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,35 +152,31 @@ def with_light(docs: DataFrame, heavy: A.Packed, light: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array([word_hash(w) for x in new for w in x], pa.int64())], names=["row", "hash"])
 
     rows = docs.select("doc_id", "text", row_hash().alias("row"))
-    got = rows.select("row", "text").mapInArrow(run, "row long, hash long").join(light.select("hash", "seen", "p"), "hash")
-    got = got.groupBy("row").agg(F.collect_set(F.struct("hash", "seen", "p")).alias("light"))
-    return stored(rows.join(got, "row", "left").sortWithinPartitions("row").select("doc_id", "text", "light"), "laid")
+    counts = light.select("hash", F.array(*(F.col(f"c{e}").cast("int") for e in range(k))).alias("c"))
+    got = rows.select("row", "text").mapInArrow(run, "row long, hash long").join(counts, "hash")
+    got = got.groupBy("row").agg(F.collect_set(F.struct("hash", "c")).alias("light"))  # of one text
+    return stored(rows.join(got, "row", "left").select("doc_id", "text", "light"), "laid")
 
 
 class Scorer:
     """Words, their numbers, and the network, as a Python process holds them."""
 
-    def __init__(self, end: np.ndarray, heavy: A.Packed, params: dict[str, np.ndarray]):
-        self.words, self.end, self.net = A.Words(heavy), end, A.Network(params)
+    def __init__(self, experts: A.Experts, heavy: A.Heavy, params: dict[str, np.ndarray]):
+        self.words, self.net = A.Words(experts, heavy), A.Network(params)
 
-    def batch(self, texts: list[str | None], light: list[list[dict] | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        own = {x["hash"]: (x["seen"], x["p"]) for xs in light for x in xs or ()}
+    def batch(self, texts: list[str | None], light: list[list[dict] | None]) -> tuple[list[np.ndarray], A.Batch]:
+        own = {x["hash"]: np.array(x["c"], np.uint32).tobytes() for xs in light for x in xs or ()}
         docs = self.words.numbers([_words(t) for t in texts], own, word_hash)
-        symbols, probs, sizes = self.words.laid_out(docs, self.end)
-        # First symbols share what END leaves at a word's start.
-        first = np.append(True, (symbols[:-1] & 1 == 1) | (symbols[:-1] == A.END))
-        first &= symbols != A.END
-        probs[first] *= 1 - self.end
-        return docs, symbols, probs, sizes
+        return docs, A.Batch(self.words, docs)
 
 
-def train(docs: DataFrame, alone: np.ndarray, end: np.ndarray, heavy: A.Packed, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, experts: A.Experts, mass: np.ndarray, heavy: A.Heavy, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Parameters of the network. Each round every block of every training document takes part in its task's gradient steps."""
     spark = docs.sparkSession
-    params = A.initial(alone)
+    params = A.initial(mass)
     learnt = docs.where(remainder_col(F.col("doc_id"), FOLD) != HELD).select("doc_id", "text", "light")
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((end, heavy, params))
+        shared = spark.sparkContext.broadcast((experts, heavy, params))
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(*shared.value)
@@ -241,12 +185,12 @@ def train(docs: DataFrame, alone: np.ndarray, end: np.ndarray, heavy: A.Packed,
             for b in batches:
                 for s in range(0, b.num_rows, DOCS):
                     texts, light = (c[s : s + DOCS].to_pylist() for c in b.columns[1:])
-                    _, symbols, probs, sizes = scorer.batch(texts, light)
-                    first, at, stop = A.blocks(sizes)
+                    _, batch = scorer.batch(texts, light)
+                    first, at, stop = A.blocks(batch.sizes)
                     turns = mixer.permutation(len(at))  # all blocks of all texts, in an order that mixes the documents
                     for k in range(0, len(at), WINDOWS):
                         pick = turns[k : k + WINDOWS]
-                        trainer.step(symbols, probs, first[pick], at[pick], stop[pick])
+                        trainer.step(batch, first[pick], at[pick], stop[pick])
             if trainer.seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.seen], pa.int64()), pa.array([trainer.loss]), pa.array([A.flat(trainer.net.p)], pa.binary())], names=["id", "n", "loss", "params"])
 
@@ -271,23 +215,24 @@ def _averaged(rows: pd.DataFrame) -> pd.DataFrame:
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, lang, text)."""
     spark = docs.sparkSession
-    counts_by_lang = stored(word_counts(docs), "words")
     learnt = F.count_if(remainder_col(F.col("doc_id"), FOLD) != HELD)
-    by_lang = docs.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(learnt.alias("n"))
-    n_docs = docs.agg(learnt.alias("n")).first()
-    words = stored(counts_by_lang.groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("every").alias("every")), "vocabulary")
+    by_lang = stored(docs.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(learnt.alias("n")), "languages")
+    large = large_languages(by_lang)
+    known = by_lang.where(F.col("lang").isin(*large)) if large else by_lang.where("false")
+    own = {r["lang"]: r["n"] for r in known.collect()}
+    n_docs = by_lang.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    ends = np.array([own[x] for x in large] + [n_docs - sum(own.values())], float)
+    words = stored(vocabulary(word_counts(docs), large), "vocabulary")
     sums = words.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("n"), F.coalesce(F.sum("every"), F.lit(0)).alias("m"), F.count_if(F.col("seen") > 0).alias("v")).first()
-    tokens, kinds = sums["n"] + n_docs["n"], sums["v"] + (n_docs["n"] > 0)
+    tokens, kinds = sums["n"] + n_docs, sums["v"] + (n_docs > 0)
     least = max(1, math.ceil(sums["m"] / HEAVY))
-    counts, end, rare = fit_counts(counts_by_lang, by_lang)
-    known = ready(words, counts, rare)
-    dropped(counts_by_lang)
-    often = (F.col("every") >= least) & (F.length("word") <= 64)
-    heavy = packed(known.where(often), len(end))  # HEAVY words at most
-    laid = with_light(docs.select("doc_id", "text"), heavy, known.where(~often))
-    dropped(known)
-    params = train(laid, counts.alone, end, heavy)
-    shared = spark.sparkContext.broadcast((end, heavy, params))
+    experts, mass = fit_experts(words, ends)
+    often = (F.col("every") >= least) & (F.length("word") <= LONGEST)
+    heavy = packed(words.where(often), experts)  # HEAVY words at most
+    laid = with_light(docs.select("doc_id", "text"), heavy, words.where(~often), len(ends))
+    dropped(words, by_lang)
+    params = train(laid, experts, mass, heavy)
+    shared = spark.sparkContext.broadcast((experts, heavy, params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
@@ -295,9 +240,9 @@ def scored(docs: DataFrame) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for s in range(0, b.num_rows, DOCS):
                 texts, light = (c[s : s + DOCS].to_pylist() for c in b.columns[1:])
-                docs_, symbols, probs, sizes = scorer.batch(texts, light)
+                docs_, batch = scorer.batch(texts, light)
                 w = scorer.words
-                got = ([len(d) + 1 for d in docs_], [int(w.known[d].sum()) for d in docs_], [float(w.log[d].sum()) for d in docs_], scorer.net.log10(symbols, probs, sizes).tolist())
+                got = ([len(d) + 1 for d in docs_], [int(w.known[d].sum()) for d in docs_], [float(w.log[d].sum()) for d in docs_], scorer.net.log10(batch).tolist())
                 for to, v in zip(out, got, strict=True):
                     to += v
             held = pa.array([remainder(i, FOLD) == HELD for i in b.column(0).to_pylist()], pa.bool_())
@@ -305,8 +250,8 @@ def scored(docs: DataFrame) -> DataFrame:
 
     kind = laid.schema["doc_id"].dataType.simpleString()
     out = laid.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, log double, score double")
-    base = F.col("log") + math.log10(n_docs["n"] + 1) - F.col("n_tokens") * math.log10(tokens + kinds + 1)
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + int(n_docs["n"] > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    base = F.col("log") + math.log10(n_docs + 1) - F.col("n_tokens") * math.log10(tokens + kinds + 1)
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + int(n_docs > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
