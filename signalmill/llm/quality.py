@@ -3,15 +3,16 @@
 Every text gets integer features. A rule rejects a text whose ratio of two features goes beyond a cutoff. The cutoffs
 come from labelled rows: for each stratum (language) and rule the cutoffs of a fixed grid are tried from the most
 lenient to the strictest. A cutoff is certified while the exact (Clopper-Pearson) upper bound on the share of good texts
-that it would reject stays within RISK. The grid is tested in that fixed order and testing stops at the first cutoff that
-is not certified, so the grid costs no further error; strata times rules are corrected for by Bonferroni. With probability
-1 - DELTA, no stratum loses more than RISK of its good texts to any one rule. A rule that no cutoff is certified for does
-not reject anything, so strata with few labels keep their texts.
+that it would reject stays within the rule's part of RISK. The grid is tested in that fixed order and testing stops at the first cutoff that
+is not certified, so the grid costs no further error; strata times rules are corrected for by Bonferroni. The rules share RISK evenly, so
+with probability 1 - DELTA no stratum loses more than RISK of its good texts to all rules together. A rule that no cutoff is certified for
+does not reject anything, so strata with few labels keep their texts.
 
-All labelled rows count; they are added up to one row for each (stratum, rule, cutoff), so nothing else reaches the driver.
+A trial is a text: rows that repeat a labelled text, under whatever ids, count once. All labelled texts count; they are added up to one row
+for each stratum, so nothing else reaches the driver.
 
 Defined results: a null or empty text has no words and fails the base rule. A null language is the stratum "". Labels
-that are null, or of texts that are not there, do not count; of several labels of one text the lowest counts. Repeated
+that are null, or of texts that are not there, do not count; of several labels of one id or one text the lowest counts. Repeated
 rows are each judged. Further columns pass through unread.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalmill.llm.common import load, raw, stored
+from signalmill.llm.sieve import text_hash
 
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -102,24 +104,35 @@ def upper_bound(k: int, n: int, error: float) -> float:
     return high
 
 
+def certified(k: int, n: int, risk: float, error: float) -> bool:
+    """Whether upper_bound(k, n, error) <= risk: P(X <= k) <= error at that rate, summed from the largest term on."""
+    if k >= n * risk:
+        return False  # then P(X <= k) is near a half or more
+    i = np.arange(k + 1)
+    steps = np.log(n - i[:-1]) - np.log(i[:-1] + 1) + math.log(risk) - math.log1p(-risk)
+    terms = n * math.log1p(-risk) + np.append(0.0, np.cumsum(steps))
+    return bool(terms[-1] + math.log(np.exp(terms - terms[-1]).sum()) <= math.log(error))
+
+
 def exceeds(rule: str, cutoff) -> F.Column:
     above, below, _ = RULES[rule]
     return F.col(above) * 1000 > F.col(below) * cutoff
 
 
 def cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], int]:
-    """(stratum, rule): certified cutoff. counted: doc_id, lang and COUNTS; labels: doc_id, quality (1: good)."""
-    good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    seen = counted.join(good, "doc_id").groupBy(F.coalesce("lang", F.lit("")).alias("stratum")).agg(
-        F.count("*").alias("n"), *(F.count_if(exceeds(r, c)).alias(f"{r}_{c}") for r, (_, _, grid) in RULES.items() for c in grid)
-    )
+    """(stratum, rule): certified cutoff. counted: doc_id, lang, th (a hash of the text) and COUNTS; labels: doc_id, quality (1: good)."""
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    stratum = F.coalesce("lang", F.lit("")).alias("stratum")
+    texts = counted.join(known, "doc_id").groupBy(stratum, F.coalesce("th", F.lit("")).alias("th")).agg(F.min("quality").alias("quality"), *(F.first(c).alias(c) for c in COUNTS)).where("quality = 1")
+    seen = texts.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(exceeds(r, c)).alias(f"{r}_{c}") for r, (_, _, grid) in RULES.items() for c in grid))
     # A stratum can only be certified if that many good texts with none rejected would do; a language is met 10**5 times or not listed.
-    rows = seen.where(F.col("n") >= math.ceil(math.log(1 / delta) / risk)).collect()
+    own = risk / len(RULES)
+    rows = seen.where(F.col("n") >= math.ceil(math.log(1 / delta) / own)).collect()
     tests, found = max(1, len(rows)) * len(RULES), {}
     for row in rows:
         for rule, (_, _, grid) in RULES.items():
             for c in grid:
-                if upper_bound(row[f"{rule}_{c}"], row["n"], delta / tests) > risk:
+                if not certified(row[f"{rule}_{c}"], row["n"], own, delta / tests):
                     break
                 found[row["stratum"], rule] = c
     return found
@@ -143,14 +156,14 @@ def judged(counted: DataFrame, found: dict[tuple[str, str], int]) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents", "doc_id", "lang", "text")
-    counted = stored(with_features(docs, ("doc_id", "lang")), "quality")
+    counted = stored(with_features(docs.withColumn("th", text_hash()), ("doc_id", "lang", "th")), "quality")
     found = cutoffs(counted, load(spark, sf_dir, "labels", "doc_id", "quality"))
     return judged(counted, found).select("doc_id", *COUNTS[:5], "base_failed", "kept")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text passes; every column stays."""
-    found = cutoffs(with_features(docs, ("doc_id", "lang")), load(spark, sf_dir, "labels", "doc_id", "quality"))
+    """Documents whose text passes; every column stays. Rows with a null, empty or blank text fail; an empty table stays empty; repeated rows each stay or go."""
+    found = cutoffs(with_features(docs.select("doc_id", "lang", "text", text_hash().alias("th")), ("doc_id", "lang", "th")), load(spark, sf_dir, "labels", "doc_id", "quality"))
     names = docs.columns
     marked = with_features(docs.select(F.struct(*names).alias("row"), "doc_id", "lang", "text"), ("row", "doc_id", "lang"))
     return judged(marked, found).where("kept").select("row.*")
