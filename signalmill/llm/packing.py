@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from signalmill.llm.common import load, stored
 from signalmill.llm.tokens import subwords, tokenizer_path
 
-WINDOW, END, SLACK, BUCKETS, SWEEPS = 2048, 1, 32, 256, 40
+WINDOW, END, SLACK, SWEEPS = 2048, 1, 32, 40
+#: Buckets of a length: one for each SHARE pieces of the table, BUCKETS at least, so what a task sorts does not grow with the table.
+BUCKETS, SHARE = 256, 1 << 16
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, ids: bool = False) -> DataFrame:
@@ -140,7 +142,7 @@ def places(planned: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 def packed(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     """cut (a stored table of pieces) with sequence_id and offset."""
     spark = cut.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS))
+    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(max(BUCKETS, cut.count() // SHARE)))
     sizes = stored(cut.groupBy("length", bucket.alias("bucket")).agg(F.count("*").alias("n")), "piece-counts")
     counts = np.zeros(window + 1, np.int64)
     for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():  # window rows at most
@@ -174,5 +176,5 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The windows' pieces."""
+    """The windows' pieces, for each row of docs: a null or empty text is one piece, an empty table has none, repeated rows are packed as often."""
     return pack(docs.select("doc_id", "text"))

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from signalmill.llm.common import components, load, stored
 
-LEAST, SAMPLE, SUBSPACES, CODES, LISTS, SLACK, BLOCK = 0.95, 20_000, 8, 256, 1024, 3.0, 2048
+LEAST, SAMPLE, SUBSPACES, CODES, LISTS, SLACK, BLOCK = 0.95, 20_000, 8, 256, 4096, 3.0, 2048
+ROWS = 2048
 
 
 def usable(vector: list | None, size: int | None = None) -> np.ndarray | None:
@@ -45,6 +46,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def homes(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Nearest row of c for each of x, some rows at a time."""
+    return np.concatenate([np.zeros(0, np.int64), *(nearest(x[k : k + ROWS], c)[0] for k in range(0, len(x), ROWS))])
+
+
 def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
     a = d.argmin(1)
@@ -55,7 +61,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        a, _ = nearest(x, c)
+        a = homes(x, c)
         n = np.bincount(a, minlength=len(c))
         s = np.zeros_like(c)
         np.add.at(s, a, x)
@@ -101,7 +107,7 @@ class Index:
 def fit(sample: np.ndarray, total: int, slack: float | None = SLACK) -> Index:
     """An index for about total classes from a sample of unit rows."""
     coarse = kmeans(sample, int(min(LISTS, max(1, np.sqrt(total) / 2), len(sample))))
-    home, _ = nearest(sample, coarse)
+    home = homes(sample, coarse)
     r = sample - coarse[home]
     parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
     return Index(coarse, [kmeans(r[:, p], min(CODES, max(1, len(sample) // 4)), 6) for p in parts], slack)
