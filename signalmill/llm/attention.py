@@ -61,7 +61,7 @@ class Experts:
         return out
 
 
-#: Heavy words: joined by blanks, times seen by each expert, symbols of each and all symbols, log probabilities.
+#: Heavy words: joined by blanks, times seen, symbols of each and all symbols, log probabilities.
 Heavy = tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -85,14 +85,13 @@ class Words:
     """
 
     def __init__(self, experts: Experts, heavy: Heavy):
-        words, counts, n, symbols, logs = heavy
+        words, seen, n, symbols, logs = heavy
         self.experts = experts
         self.index = _Index(words.split())
         self.added: list[bytes] = []
-        seen = counts.sum(1)
         self.n, self.ids = np.concatenate([[1, 1], n]), np.concatenate([[IDS, IDS + 1], symbols >> 1])
         self.start = np.cumsum(self.n) - self.n
-        self.logs = np.concatenate([[experts.ends - experts.bottom, np.zeros(counts.shape[1])], logs])
+        self.logs = np.concatenate([[experts.ends - experts.bottom, np.zeros(logs.shape[1])], logs])
         self.log, self.known = np.log10(np.append([0, 0], seen) + 1.0), (np.append([0, 0], seen) > 0).astype(np.int64)
         self.used = self.base = (len(self.n), len(self.ids))
 
@@ -104,8 +103,8 @@ class Words:
             setattr(self, name, a := more)
         a[at : at + len(x)] = x
 
-    def numbers(self, docs: list[list[bytes]], light: dict[int, bytes], hashed: Callable[[bytes], int]) -> list[np.ndarray]:
-        """Numbers of the words of docs. light: times seen by each expert (32-bit numbers) by the hash of each word that is not heavy."""
+    def numbers(self, docs: list[list[bytes]], light: dict[int, str], hashed: Callable[[bytes], int]) -> list[np.ndarray]:
+        """Numbers of the words of docs. light: times seen by each expert, joined by commas, by the hash of each word that is not heavy."""
         if len(self.added) > CACHE:
             for w in self.added:
                 del self.index[w]
@@ -115,7 +114,7 @@ class Words:
         if new := index.new:
             words, at = self.used
             symbols, n = pieces(new)
-            counts = np.frombuffer(b"".join([light[hashed(w)] for w in new]), np.uint32).reshape(len(new), -1).astype(np.float64)
+            counts = np.array(",".join([light[hashed(w)] for w in new]).split(","), np.float64).reshape(len(new), -1)
             seen = counts.sum(1)
             for name, x in (("start", at + np.cumsum(n) - n), ("n", n), ("log", np.log10(seen + 1.0)), ("known", (seen > 0).astype(np.int64)), ("logs", self.experts.logs(counts, symbols, n))):
                 self._put(name, words, x)

@@ -136,11 +136,11 @@ def packed(words: DataFrame, experts: A.Experts) -> A.Heavy:
     ws = [raw(w) for w in t["word"].to_pylist()]
     counts = np.stack([t[f"c{e}"].to_numpy() for e in range(k)], axis=1).astype(np.float64)
     symbols, n = A.pieces(ws)
-    return b" ".join(ws), counts, n, symbols, experts.logs(counts, symbols, n)
+    return b" ".join(ws), counts.sum(1), n.astype(np.int32), symbols.astype(np.int32), experts.logs(counts, symbols, n).astype(np.float32)
 
 
 def with_light(docs: DataFrame, heavy: A.Heavy, light: DataFrame, k: int) -> DataFrame:
-    """doc_id, text and light: hash and counts (32-bit numbers, one an expert) of each word of the text that is not heavy. light: rows of vocabulary()."""
+    """row and light, for each text by row_hash(): hash and counts by expert (joined by commas) of its words that are not heavy. light: rows of vocabulary()."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +152,14 @@ def with_light(docs: DataFrame, heavy: A.Heavy, light: DataFrame, k: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array([word_hash(w) for x in new for w in x], pa.int64())], names=["row", "hash"])
 
     rows = docs.select("doc_id", "text", row_hash().alias("row"))
-    counts = light.select("hash", F.array(*(F.col(f"c{e}").cast("int") for e in range(k))).alias("c"))
+    counts = light.select("hash", F.concat_ws(",", *(F.col(f"c{e}").cast("string") for e in range(k))).alias("c"))
     got = rows.select("row", "text").mapInArrow(run, "row long, hash long").join(counts, "hash")
-    got = got.groupBy("row").agg(F.collect_set(F.struct("hash", "c")).alias("light"))  # of one text
-    return stored(rows.join(got, "row", "left").select("doc_id", "text", "light"), "laid")
+    return stored(got.groupBy("row").agg(F.collect_set(F.struct("hash", "c")).alias("light")), "light")  # of one text
+
+
+def joined(docs: DataFrame, light: DataFrame) -> DataFrame:
+    """doc_id, text and light of each row of docs; light: of with_light(). Each reader joins for itself, so that no copy of the texts is stored."""
+    return docs.select("doc_id", "text", row_hash().alias("row")).join(light, "row", "left").select("doc_id", "text", "light")
 
 
 class Scorer:
@@ -165,7 +169,7 @@ class Scorer:
         self.words, self.net = A.Words(experts, heavy), A.Network(params)
 
     def batch(self, texts: list[str | None], light: list[list[dict] | None]) -> tuple[list[np.ndarray], A.Batch]:
-        own = {x["hash"]: np.array(x["c"], np.uint32).tobytes() for xs in light for x in xs or ()}
+        own = {x["hash"]: x["c"] for xs in light for x in xs or ()}
         docs = self.words.numbers([_words(t) for t in texts], own, word_hash)
         return docs, A.Batch(self.words, docs)
 
@@ -229,8 +233,9 @@ def scored(docs: DataFrame) -> DataFrame:
     experts, mass = fit_experts(words, ends)
     often = (F.col("every") >= least) & (F.length("word") <= LONGEST)
     heavy = packed(words.where(often), experts)  # HEAVY words at most
-    laid = with_light(docs.select("doc_id", "text"), heavy, words.where(~often), len(ends))
+    light = with_light(docs.select("doc_id", "text"), heavy, words.where(~often), len(ends))
     dropped(words, by_lang)
+    laid = joined(docs, light)
     params = train(laid, experts, mass, heavy)
     shared = spark.sparkContext.broadcast((experts, heavy, params))
 

@@ -127,7 +127,7 @@ def _model(k=2, seed=0):
     spelt = rng.random((2, A.SYMBOLS, k)).astype(np.float32)
     ends = np.full(k, 5.0)
     experts = A.Experts(counts.sum(0) + ends, (counts > 0).sum(0).astype(float), ends, np.log(spelt[0] / spelt[0].sum(0)), np.log(spelt[1] / spelt[1].sum(0)))
-    words = A.Words(experts, (" ".join(names).encode(), counts, n, symbols, experts.logs(counts, symbols, n)))
+    words = A.Words(experts, (" ".join(names).encode(), counts.sum(1), n, symbols, experts.logs(counts, symbols, n)))
     return A, words, counts, rng
 
 
