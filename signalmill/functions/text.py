@@ -15,6 +15,11 @@ def sub(c: Column, *rules: tuple[str, str]) -> Column:
     return reduce(lambda x, r: F.regexp_replace(x, *r), rules, c)
 
 
+def let(c: Column, body) -> Column:
+    """body(c) with c worked out once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def strip(c: Column, characters: str = " \t\n\r\x0b\x0c") -> Column:
     return F.btrim(c, F.lit(characters))
 
@@ -28,8 +33,14 @@ def key(c: Column) -> Column:
     return F.lower(squash(F.coalesce(c, F.lit(""))))
 
 
+#: From so many values on, a list is one pattern: a plan then holds one literal for it, not one for each value.
+LISTED = 12
+
+
 def among(c: Column, values: tuple[str, ...]) -> Column:
-    return c.isin(*values)
+    if len(values) < LISTED:
+        return c.isin(*values)
+    return c.rlike("^(?:" + "|".join(map(re.escape, values)) + r")\z")
 
 
 def contains_any(c: Column, values: tuple[str, ...]) -> Column:
@@ -68,14 +79,15 @@ def _token_ok(w: Column) -> Column:
 
 def valid_title(c: Column) -> Column:
     """Whether extraction keeps a title: letters only count, one word must mean something, nothing ends in "for" and a fragment."""
-    words = letters(title(c))
-    n = F.size(words)
-    last = F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))
-    orphan = (n > 1) & (F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit("")) == "for") & ((F.length(last) <= 2) | ~_token_ok(last))
-    weighed = F.filter(words, lambda w: ~among(w, X.SMALL_WORDS))
-    good = F.forall(weighed, lambda w: _token_ok(w) | (F.length(w) <= 2))
-    meaning = F.exists(weighed, lambda w: _token_ok(w) & (among(w, X.VOCABULARY) | (F.length(w) >= 4)))
-    return ~orphan & good & meaning
+
+    def judged(words: Column) -> Column:
+        last = F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))
+        orphan = (F.size(words) > 1) & (F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit("")) == "for") & ((F.length(last) <= 2) | ~_token_ok(last))
+        good = F.forall(words, lambda w: among(w, X.SMALL_WORDS) | _token_ok(w) | (F.length(w) <= 2))
+        meaning = F.exists(words, lambda w: ~among(w, X.SMALL_WORDS) & _token_ok(w) & (among(w, X.VOCABULARY) | (F.length(w) >= 4)))
+        return ~orphan & good & meaning
+
+    return let(letters(title(c)), judged)
 
 
 def merge_title(c: Column) -> Column:
@@ -86,20 +98,24 @@ def merge_title(c: Column) -> Column:
 
 def merge_valid(c: Column) -> Column:
     """Reconciliation's stricter test of a title."""
-    v = merge_title(c)
-    k = F.lower(v)
-    words = letters(v)
-    ok = lambda w: among(w, X.MERGE_VOCABULARY) | (F.length(w) >= 3)
-    last = F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))
-    orphan = (F.size(words) > 1) & (F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit("")) == "for") & ((F.length(last) <= 2) | ~among(last, X.MERGE_VOCABULARY))
-    weighed = F.filter(words, lambda w: ~among(w, X.SMALL_WORDS))
-    meaning = F.exists(weighed, lambda w: among(w, X.MERGE_VOCABULARY) | (F.length(w) >= 4))
-    return (v != "") & ~among(k, X.MERGE_NOISE_EXACT) & ~contains_any(k, X.MERGE_NOISE) & ~orphan & F.forall(weighed, ok) & meaning
+
+    def worded(words: Column) -> Column:
+        last = F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))
+        orphan = (F.size(words) > 1) & (F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit("")) == "for") & ((F.length(last) <= 2) | ~among(last, X.MERGE_VOCABULARY))
+        good = F.forall(words, lambda w: among(w, X.SMALL_WORDS) | among(w, X.MERGE_VOCABULARY) | (F.length(w) >= 3))
+        meaning = F.exists(words, lambda w: ~among(w, X.SMALL_WORDS) & (among(w, X.MERGE_VOCABULARY) | (F.length(w) >= 4)))
+        return ~orphan & good & meaning
+
+    def judged(v: Column) -> Column:
+        clean = let(F.lower(v), lambda k: ~among(k, X.MERGE_NOISE_EXACT) & ~contains_any(k, X.MERGE_NOISE))
+        return (v != "") & clean & let(letters(v), worded)
+
+    return let(merge_title(c), judged)
 
 
 def item_title_valid(kind: Column, c: Column) -> Column:
-    v = merge_title(c)
-    return F.when(kind == "api", v.rlike("(?i)" + X.API_TITLE_STRICT) | v.rlike(X.ENDPOINT_TITLE)).otherwise(merge_valid(c))
+    shaped = let(merge_title(c), lambda v: v.rlike("(?i)" + X.API_TITLE_STRICT) | v.rlike(X.ENDPOINT_TITLE))
+    return F.when(kind == "api", shaped).otherwise(merge_valid(c))
 
 
 def endpoint(c: Column) -> Column:

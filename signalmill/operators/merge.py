@@ -117,12 +117,15 @@ def alias_valid(a: Column) -> Column:
 
 def aliases(kind: Column, title: Column) -> Column:
     """Other names of an item, plain and valid, distinct whatever their case, without the title, ALIASES at most."""
-    t = T.merge_title(title)
-    raw = F.when(kind == "api", _api_names(t)).when(kind == "task", _task_names(t)).when(kind == "db_schema", _table_names(t)).otherwise(F.array(t))
-    plain = F.transform(F.filter(raw, lambda a: a.isNotNull()), T.merge_title)
-    sound = F.filter(plain, lambda a: alias_valid(a) & (T.key(a) != T.key(t)))
-    fresh = F.aggregate(sound, F.array().cast("array<string>"), lambda acc, a: F.when(F.exists(acc, lambda b: T.key(b) == T.key(a)), acc).otherwise(F.array_append(acc, a)))
-    return F.slice(fresh, 1, X.ALIASES)
+
+    def named(t: Column) -> Column:
+        raw = F.when(kind == "api", _api_names(t)).when(kind == "task", _task_names(t)).when(kind == "db_schema", _table_names(t)).otherwise(F.array(t))
+        plain = F.transform(F.filter(raw, lambda a: a.isNotNull()), T.merge_title)
+        sound = F.filter(plain, lambda a: alias_valid(a) & (T.key(a) != T.key(t)))
+        fresh = F.aggregate(sound, F.array().cast("array<string>"), lambda acc, a: F.when(F.exists(acc, lambda b: T.key(b) == T.key(a)), acc).otherwise(F.array_append(acc, a)))
+        return F.slice(fresh, 1, X.ALIASES)
+
+    return T.let(T.merge_title(title), named)
 
 
 def union_all(*parts: DataFrame) -> DataFrame:

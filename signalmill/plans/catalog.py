@@ -15,6 +15,7 @@ from signalmill.operators import link as L
 from signalmill.operators import merge as M
 from signalmill.operators import ordered as O
 from signalmill.operators import tasks as K
+from signalmill.plans import extraction as X_
 from signalmill.plans import oracle as D
 from signalmill.plans.views import ITEMS, LINES, SIGNALS, TASKS, view
 from signalmill.sources import files, messages, sheets
@@ -249,6 +250,49 @@ def x24_refinement_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.refinement_ok(s, s.withColumn("title", F.when(F.col("ord") % 11 == 0, "changed").otherwise(F.col("title"))), ["title"])
 
 
+ROUGH = """SELECT p_partkey AS ord, concat('f', CAST(p_partkey % 40 AS VARCHAR(4)), '.md') AS file_name, CASE p_partkey % 4 WHEN 0 THEN 'api' WHEN 1 THEN 'task' WHEN 2 THEN 'feature' ELSE 'db_schema' END AS item_type,
+ CASE p_partkey % 9 WHEN 0 THEN '**db schema**' WHEN 1 THEN concat('2.1 ', replace(p_name, ' ', '_')) WHEN 2 THEN 'x' WHEN 3 THEN concat('request ', p_name) WHEN 4 THEN concat(p_name, ' for ch') ELSE p_name END AS title,
+ CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN p_name WHEN 2 THEN concat('*', lower(p_type), '* of ', p_brand) WHEN 3 THEN 'zz' ELSE concat(p_name, ' data') END AS description,
+ CASE p_partkey % 3 WHEN 0 THEN ' get ' WHEN 1 THEN NULL ELSE 'POST' END AS method, CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '/x y' WHEN 2 THEN '/api//v1/{userid}' ELSE concat('/v2/', lower(p_brand)) END AS endpoint FROM part"""
+
+
+@query(f"""WITH r AS ({ROUGH}), t AS (SELECT *, {D.title('title')} AS own, nullif(upper(trim(coalesce(method, ''))), '') AS m, nullif({D.endpoint("coalesce(endpoint, '')")}, '') AS e FROM r),
+u AS (SELECT *, {D.title(f"CASE WHEN {D.valid_title('own')} THEN own WHEN e IS NOT NULL THEN concat_ws(' ', m, e) ELSE own END")} AS call_name FROM t),
+n AS (SELECT *, CASE WHEN item_type <> 'api' THEN CASE WHEN {D.valid_title("own")} THEN own END WHEN {D.valid_title('call_name')} THEN call_name WHEN coalesce(regexp_matches(e, {D.q('(?i)' + X.KEEP_API_LOOSE)}), false) OR coalesce(regexp_matches(m || ' ' || e, {D.q('(?i)' + X.KEEP_API_STRICT)}), false) THEN concat_ws(' ', m, e) END AS name,
+ {D.squash(D.sub("trim(coalesce(description, ''))", (r"\\([_-])", r"\1"), (r"[`*_~]+", "")))} AS plain FROM u),
+c AS (SELECT *, CASE WHEN item_type = 'db_schema' THEN NULL WHEN {D.valid_title('plain')} AND lower(plain) <> lower(name) THEN plain WHEN contains(lower(name), 'database schema') THEN 'Design database schema for system persistence layer' WHEN contains(lower(name), 'database migration') THEN 'Create database migration for schema evolution and versioning'
+ WHEN contains(lower(name), 'request') THEN concat('Handle request for ', lower(name)) ELSE concat('Implement ', name) END AS text FROM n WHERE name IS NOT NULL),
+a AS (SELECT * FROM c WHERE item_type = 'api' QUALIFY e IS NULL OR row_number() OVER (PARTITION BY file_name, e IS NULL, lower(concat_ws(' ', m, e)) ORDER BY ord) = 1),
+b AS (SELECT * FROM a QUALIFY m IS NOT NULL OR e IS NULL OR NOT max(m IS NOT NULL) OVER (PARTITION BY file_name, lower(e))),
+k AS (SELECT file_name, item_type, ord, name AS title, text AS description, m AS method, e AS endpoint FROM b UNION ALL SELECT file_name, item_type, ord, name, text, NULL, NULL FROM c WHERE item_type <> 'api')
+SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY file_name, item_type, lower(trim(title)) ORDER BY ord) = 1""")
+def c1_c4_c6_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, names and descriptions made plain, bad signals gone, the first of each kept, file by file."""
+    r = view(spark, sf_dir, ROUGH)
+    null = F.lit(None).cast("string")
+    r = r.withColumns({"o": F.struct("ord"), "related_feature": null, "signal_origin": null, "columns": F.lit(None).cast(X_.COLUMNS)})
+    return X_.cleaned(r).select("file_name", "item_type", "ord", "title", "description", "method", "endpoint")
+
+
+@query()
+def x23_extraction_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of markdown files to typed signals, through every scan, cleanup and the last gate."""
+    out = X_.extracted(text_lines(spark, sf_dir))
+    return out.withColumn("columns", F.to_json("columns"))
+
+
+@query()
+def x23_t1_files_to_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow from markdown files to an audited list of tasks: a file is a job; each signal is a cluster of its own but for equal APIs."""
+    from signalmill.plans import pipeline
+
+    named = X_.extracted(text_lines(spark, sf_dir)).withColumnRenamed("file_name", "source_file_name")
+    normal = I.normalized(named)
+    apis = I.cluster_apis(normal.where("item_type = 'api'"), ["source_file_name"]).drop("signature")
+    every = apis.unionByName(normal.where("item_type <> 'api'").withColumn("cluster_id", F.lit(None).cast("string")))
+    return pipeline.plan(every.withColumn("job_id", F.col("source_file_name")), JOB)
+
+
 # Titles and endpoints.
 @query(S + f" SELECT ord, {D.split_identifier('title')} AS words, {D.merge_title('title')} AS merge_title, {D.endpoint('title')} AS endpoint FROM s")
 def c3_c5_c8_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
