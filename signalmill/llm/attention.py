@@ -137,8 +137,10 @@ class Batch:
     def __init__(self, words: Words, docs: list[np.ndarray]):
         tokens = np.concatenate([np.append(d, END) for d in docs])
         self.sizes = np.array([len(d) + 1 for d in docs])
-        self.kinds, at = np.unique(np.append(tokens, BEFORE), return_inverse=True)
-        self.token, before = at[:-1].astype(np.int32), at[-1]
+        there = np.zeros(words.used[0], bool)
+        there[tokens], there[BEFORE] = True, True
+        self.kinds, number = np.flatnonzero(there), np.cumsum(there, dtype=np.int32) - 1
+        self.token, before = number[tokens], number[BEFORE]
         self.prior = np.append(before, self.token[:-1]).astype(np.int32)
         self.prior[np.cumsum(self.sizes)[:-1]] = before
         logs = words.logs[self.kinds]

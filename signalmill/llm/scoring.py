@@ -37,7 +37,7 @@ HEAVY, EXPERTS, ROUNDS, FOLD, HELD = 1 << 21, 4, 1, 7, 2
 BACKOFF = 1000.0
 #: A word longer than that is not broadcast, so that broadcast bytes are bounded too.
 LONGEST = 64
-FLUSH, DOCS, WINDOWS = 400_000, 200, 256
+FLUSH, DOCS, WINDOWS = 800_000, 200, 256
 
 
 def _words(text: str | None) -> list[bytes]:
