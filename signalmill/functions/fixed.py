@@ -123,6 +123,10 @@ INTENT_VERBS = _words("implement, create, design, update, delete, add, setup, co
 GENERIC_WORDS = _words("system, pipeline, logic, feature, module")
 STOP_WORDS = _words("the, a, an, to, for, of, in, on, with, and, or, by, from")
 
+#: Texts and kinds of the notices that failed jobs send.
+PLAN_FAILED = {"event_type": "SPRINT_GENERATION_FAILED", "sender_id": "ai-service", "title": "Sprint generation failed", "message": "Không thể tạo sprint, vui lòng thử lại sau.", "correlation_type": 32, "link": "/groups"}
+WORK_FAILED = {"title": "Tạo công việc với AI thất bại", "message": "Hệ thống gặp lỗi khi tạo công việc cho bạn. Vui lòng thử lại sau.", "sender_id": "system", "correlation_type": 2}
+
 SOURCE_RANK = ("Planning", "Design", "Requirement")
 ORIGIN_RANK = ("explicit", "derived", "inferred")
 ENTROPY_ABOVE, ENTROPY_TOKENS, VOCABULARY_SHARE, SHORTEST_TEXT = 3.6, 8, 0.08, 6

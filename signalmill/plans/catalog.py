@@ -184,17 +184,28 @@ def x9_x14_table_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("columns", F.array_join(F.transform("columns", lambda c: F.concat_ws(":", c["name"], c["type"], F.array_join(c["constraints"], "+"))), ","))
 
 
+TASK_TABLE = "SELECT concat('f', CAST(floor((p_partkey - 1) / 6) AS INT), '.md') AS file_name, p_partkey AS line_no, CASE (p_partkey - 1) % 6 WHEN 0 THEN CASE WHEN p_partkey % 4 = 1 THEN '| Title | Estimate | Description |' ELSE '| Name | Task Name | Assignee |' END WHEN 1 THEN '|---|---|---|' WHEN 4 THEN concat('|  | 1 | ', p_brand, ' |') ELSE concat('| ', p_name, ' | ', p_type, ' | ', CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END, ' |') END AS line FROM part"
+
+
+@query(f"""WITH l AS ({TASK_TABLE}), h AS (SELECT *, min(line_no) OVER (PARTITION BY file_name) AS first FROM l), c AS (SELECT file_name, line_no, first % 4 = 1 AS titled, list_transform(string_split(trim(line, '|'), '|'), lambda x: trim(x)) AS cells FROM h WHERE line_no >= first + 2)
+SELECT file_name, line_no, t AS title, CASE WHEN titled AND cells[3] <> '' THEN cells[3] ELSE concat('Implement ', t) END AS description FROM (SELECT *, CASE WHEN titled THEN cells[1] ELSE cells[2] END AS t FROM c) WHERE t <> ''""")
+def x9_table_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task rows of tables with a task, assignee or estimate column."""
+    return E.table_tasks(E.table_rows(E.islands(view(spark, sf_dir, TASK_TABLE))))
+
+
 @query(f"""{LN}, b AS (SELECT file_name, line_no, trim(substr(trim(line), 2)) AS b FROM l WHERE starts_with(trim(line), '-') OR starts_with(trim(line), '*'))
 SELECT file_name, line_no, left(b, 120) AS title, b AS description FROM b WHERE length(b) > 8 AND {D.starts_of('lower(b)', X.TASK_VERBS)}""")
 def x13_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.scan_bullets(text_lines(spark, sf_dir))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'Design' WHEN p_partkey % 4 = 1 THEN 'Planning' WHEN p_partkey % 4 = 2 THEN 'Requirement' END AS source_type FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'Design' WHEN p_partkey % 4 = 1 THEN 'Planning' WHEN p_partkey % 4 = 2 THEN 'Requirement' WHEN p_size % 3 = 0 THEN 'Requirement' ELSE 'Planning' END AS source_type FROM part""")
 def x16_source_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the file's name, else the given type if it is one, else Planning."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     name = F.concat(F.lit("a/"), F.expr("CASE p_partkey % 4 WHEN 0 THEN 'Design-' WHEN 1 THEN 'planning_' WHEN 2 THEN 'REQUIREMENT ' ELSE 'notes-' END"), "p_name", F.lit(".docx"))
-    return p.select("p_partkey", T.source_type(name).alias("source_type"))
+    return p.select("p_partkey", X_.source_type(name, F.expr("CASE p_size % 3 WHEN 0 THEN 'Requirement' WHEN 1 THEN 'other' END")).alias("source_type"))
 
 
 @query(S + """, x AS (SELECT source_file_name AS file_name, 0 AS bucket, ord, 0 AS k, concat('Implement ', trim(title)) AS title, concat('Implement API ', trim(title)) AS description, NULL AS related_feature FROM s WHERE item_type = 'api'
@@ -382,12 +393,33 @@ def c20_c21_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("event_id", one["name"].alias("name"), one["priority"].alias("priority"))
 
 
-WORKS = "SELECT event_id, CAST(user_id AS VARCHAR(12)) AS user_id, '2026-05-04' AS local_date, concat('```json [{\"name\": \"', event_type, '\", \"start_date\": \"08:00\", \"end_date\": \"09:30\", \"priority\": \"LOW\"}] ```') AS answer FROM events"
+WORKS = """SELECT CAST(user_id AS VARCHAR(12)) AS user_id, CAST(event_id AS VARCHAR(12)) AS message_id, '2026-05-04' AS local_date, concat('```json [{"name": "', event_type, '", "short_descriptions": "s", "start_date": "08:00", "end_date": "09:30", "difficulty": "EASY", "priority": "LOW", "category": "WORK"},
+ {"name": "b", "short_descriptions": "t", "detailed_description": "d", "start_date": "10:00", "end_date": "10:30", "difficulty": "HARD", "priority": "HIGH", "category": "HOME", "sub_tasks": ["x", "y"]}] ```') AS answer FROM events"""
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS name, '2026-05-04 08:00' AS start_date, '2026-05-04 09:30' AS end_date, 'LOW' AS priority FROM events")
+@query("""SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id AS VARCHAR) AS message_id, CAST(place AS INT) AS place, CASE place WHEN 0 THEN event_type ELSE 'b' END AS name, CASE place WHEN 0 THEN 's' ELSE 't' END AS short_descriptions, CASE place WHEN 0 THEN '' ELSE 'd' END AS detailed_description,
+ CASE place WHEN 0 THEN '2026-05-04 08:00' ELSE '2026-05-04 10:00' END AS start_date, CASE place WHEN 0 THEN '2026-05-04 09:30' ELSE '2026-05-04 10:30' END AS end_date, CASE place WHEN 0 THEN 'EASY' ELSE 'HARD' END AS difficulty_key, CASE place WHEN 0 THEN 'LOW' ELSE 'HIGH' END AS priority_key, CASE place WHEN 0 THEN 'WORK' ELSE 'HOME' END AS category_key,
+ CASE place WHEN 0 THEN '' ELSE 'x|y' END AS sub_tasks FROM events, (SELECT unnest([0, 1]) AS place)""")
 def c22_work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages.work_items(view(spark, sf_dir, WORKS))
+    return messages.work_items(view(spark, sf_dir, WORKS)).withColumn("sub_tasks", F.array_join("sub_tasks", "|"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id AS VARCHAR) AS message_id, concat('[{"name":"', event_type, '","short_descriptions":"s","detailed_description":"","start_date":"2026-05-04 08:00","end_date":"2026-05-04 09:30","difficulty_key":"EASY","priority_key":"LOW","category_key":"WORK","sub_tasks":[]},',
+ '{"name":"b","short_descriptions":"t","detailed_description":"d","start_date":"2026-05-04 10:00","end_date":"2026-05-04 10:30","difficulty_key":"HARD","priority_key":"HIGH","category_key":"HOME","sub_tasks":["x","y"]}]') AS body FROM events""")
+def k4_work_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.work_messages(messages.work_items(view(spark, sf_dir, WORKS))).select("headers.*", "body")
+
+
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS job_id, concat('{{"event_type":"SPRINT_GENERATION_FAILED","sender_id":"ai-service","receiver_ids":["', o_custkey, '"],"payload":{{"title":"Sprint generation failed","message":"', {D.q(X.PLAN_FAILED["message"])}, '","correlation_id":"g', o_orderkey % 7, '","correlation_type":32,"link":"/groups"}},"metadata":{{"is_send_mail":true}}}}') AS message FROM orders""")
+def k2_failure_notice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("job_id"), F.col("o_custkey").cast("string").alias("sender_id"), F.concat(F.lit("g"), (F.col("o_orderkey") % 7).cast("string")).alias("group_id"))
+    return o.select("job_id", messages.failure_notice().alias("message"))
+
+
+@query(f"""SELECT CAST(event_id AS VARCHAR) AS message_id, concat('{{"id":null,"title":"', {D.q(X.WORK_FAILED["title"])}, '","message":"', {D.q(X.WORK_FAILED["message"])}, '","link":"/day","sender_id":"system","receiver_ids":["', user_id, '"],"img_url":"","correlation_id":"', event_id, '","correlation_type":2}}') AS message FROM events""")
+def k3_work_notice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("message_id"), F.col("user_id").cast("string").alias("user_id"))
+    return e.select("message_id", messages.work_notice(F.lit("/day")).alias("message"))
 
 
 # Filters.

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from signalmill.functions import fixed as X
+
 REQUEST = "event_type string, job_id string, group_id string, sender_id string, payload struct<sprint: struct<name: string, goal: string, start_date: string, end_date: string>, files: array<struct<object_key: string, size: long>>, additional_context: string>"
 WORK = "user_id string, prompts string, local_date string, additional_context string, constraints string, user_personality string"
 
@@ -30,8 +32,29 @@ def envelope(kind: str, status: str, error: Column | None = None) -> Column:
     return F.to_json(F.struct(F.lit(kind).alias("event_type"), "job_id", "group_id", "sender_id", payload.alias("payload")), {"ignoreNullFields": "true"})
 
 
-def notification(title: Column, message: Column, receivers: Column, correlation: Column) -> Column:
-    return F.to_json(F.struct(title.alias("title"), message.alias("message"), correlation.alias("correlation_id"), receivers.alias("receiver_ids")))
+def failure_notice() -> Column:
+    """Notice to the sender of a job that failed (columns sender_id, group_id), without null fields; it asks for a mail."""
+    t = X.PLAN_FAILED
+    payload = F.struct(F.lit(t["title"]).alias("title"), F.lit(t["message"]).alias("message"), F.col("group_id").alias("correlation_id"), F.lit(t["correlation_type"]).alias("correlation_type"), F.lit(t["link"]).alias("link"))
+    return F.to_json(F.struct(F.lit(t["event_type"]).alias("event_type"), F.lit(t["sender_id"]).alias("sender_id"), F.array("sender_id").alias("receiver_ids"), payload.alias("payload"), F.struct(F.lit(True).alias("is_send_mail")).alias("metadata")), {"ignoreNullFields": "true"})
+
+
+def work_notice(link: Column) -> Column:
+    """Notice to a user whose work items could not be made (columns user_id, message_id), with a link to their day; null fields stay."""
+    t = X.WORK_FAILED
+    one = F.struct(
+        F.lit(None).cast("string").alias("id"), F.lit(t["title"]).alias("title"), F.lit(t["message"]).alias("message"), link.alias("link"), F.lit(t["sender_id"]).alias("sender_id"),
+        F.array("user_id").alias("receiver_ids"), F.lit("").alias("img_url"), F.col("message_id").alias("correlation_id"), F.lit(t["correlation_type"]).alias("correlation_type"),
+    )
+    return F.to_json(one, {"ignoreNullFields": "false"})
+
+
+def work_messages(works: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """headers (user_id, message_id) and body for each request: its work items as one JSON array, in order of place. works: of work_items()."""
+    by = by or ["user_id", "message_id"]
+    one = F.struct("place", F.struct(*WORK_FIELDS).alias("w"))
+    body = F.to_json(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["w"]), {"ignoreNullFields": "false"})  # the items of one answer
+    return works.groupBy(*by).agg(body.alias("body")).select(F.struct(*by).alias("headers"), "body")
 
 
 def fenced(c: Column) -> Column:
@@ -72,9 +95,15 @@ def listed(c: Column, element: str) -> Column:
     return F.when(F.ltrim(c).startswith("["), whole).otherwise(F.coalesce(*inner))
 
 
+WORK_FIELDS = ("name", "short_descriptions", "detailed_description", "start_date", "end_date", "difficulty_key", "priority_key", "category_key", "sub_tasks")
+
+
 def work_items(df: DataFrame, answer: str = "answer") -> DataFrame:
-    """A row for each work item of an answer; start and end are the local date and a time."""
-    one = "struct<name: string, short_descriptions: string, detailed_description: string, start_date: string, end_date: string, difficulty: string, priority: string, category: string>"
-    each = df.withColumn("w", F.explode(F.from_json(fenced(F.col(answer)), f"array<{one}>")))
-    at = lambda c: F.concat_ws(" ", "local_date", F.col(f"w.{c}"))
-    return each.select("user_id", "w.name", at("start_date").alias("start_date"), at("end_date").alias("end_date"), "w.priority")
+    """A row for each work item of an answer, with its place; start and end are the local date and a time. The columns of df stay but for the answer."""
+    one = "struct<name: string, short_descriptions: string, detailed_description: string, start_date: string, end_date: string, difficulty: string, priority: string, category: string, sub_tasks: array<string>>"
+    each = df.select("*", F.posexplode(F.from_json(fenced(F.col(answer)), f"array<{one}>")).alias("place", "w"))
+    at = lambda c: F.concat_ws(" ", "local_date", F.col(f"w.{c}")).alias(c)
+    return each.select(
+        *(c for c in df.columns if c not in (answer, "local_date")), "place", "w.name", "w.short_descriptions", F.coalesce("w.detailed_description", F.lit("")).alias("detailed_description"), at("start_date"), at("end_date"),
+        F.col("w.difficulty").alias("difficulty_key"), F.col("w.priority").alias("priority_key"), F.col("w.category").alias("category_key"), F.coalesce("w.sub_tasks", F.array().cast("array<string>")).alias("sub_tasks"),
+    )
