@@ -60,26 +60,26 @@ def cluster_greedy(items: DataFrame, by: list[str], join_above: float = X.JOIN_C
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
-        sums = np.zeros((0, 0))
-        sizes: list[int] = []
+        width = max((len(v) for v in pdf["embedding"] if v is not None), default=0)
+        sums, n = np.zeros((16, width)), 0
+        sizes = np.zeros(16)
         kept, ids = [], []
         for i, v in zip(pdf["ord"], pdf["embedding"], strict=True):
-            x = np.asarray(v if v is not None else [], float)
-            norm = np.sqrt((x * x).sum()) if len(x) else 0.0
-            x = x / norm if norm else np.zeros(len(x))
-            if not sums.size:
-                sums = np.zeros((0, len(x)))
-            means = sums @ x / np.array(sizes) if sizes else np.zeros(0)
-            best = int(means.argmax()) if len(means) else -1
+            x = np.zeros(width)  # an item without a vector is like nothing
+            if v is not None and len(v) == width:
+                x = np.asarray(v, float)
+                norm = np.sqrt((x * x).sum())
+                x = x / norm if norm else x
+            means = sums[:n] @ x / sizes[:n]
+            best = int(means.argmax()) if n else -1
             if best >= 0 and means[best] > copy_above:
                 continue
-            if best >= 0 and means[best] > join_above:
-                sums[best] += x
-                sizes[best] += 1
-            else:
-                best = len(sizes)
-                sums = np.vstack([sums, x])
-                sizes.append(1)
+            if best < 0 or means[best] <= join_above:
+                best, n = n, n + 1
+                if n > len(sums):
+                    sums, sizes = np.vstack([sums, np.zeros_like(sums)]), np.append(sizes, np.zeros_like(sizes))
+            sums[best] += x
+            sizes[best] += 1
             kept.append(i)
             ids.append(f"C{best + 1}")
         out = pd.DataFrame({"ord": kept, "cluster_id": ids})

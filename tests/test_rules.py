@@ -204,3 +204,27 @@ def test_plan_expands_below_the_floor(spark):
     assert [r["name"] for r in pipeline.plan(items, JOB, expansion=more).orderBy("ord").collect()] == ["Deploy gateway nodes", "Expand deployment"]
     many = frame(spark, [("task", None, f"Deploy gateway number {'x' * k}", None, "explicit", "p.md", "Planning") for k in range(3, 17)])
     assert "Expand deployment" not in [r["name"] for r in pipeline.plan(many, JOB, expansion=more).collect()]
+
+
+def test_clusters_by_force(spark):
+    """Leader clustering against its rule, item by item: mean cosine to each cluster's members."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 8))
+    rows = [("t", k, (centres[k % 6] + rng.normal(scale=0.45, size=8)).tolist()) for k in range(150)] + [("t", 150, [0.0] * 8), ("t", 151, None)]
+    clusters, want = [], {}
+    unit = lambda v: np.array(v) / np.linalg.norm(v) if v is not None and np.linalg.norm(v) else np.zeros(8)
+    for _, k, v in rows:
+        means = [np.mean([unit(v) @ m for m in c]) for c in clusters]
+        best = int(np.argmax(means)) if means else None
+        if best is not None and means[best] > 0.9:
+            continue
+        if best is not None and means[best] > 0.8:
+            clusters[best].append(unit(v))
+        else:
+            clusters.append([unit(v)])
+            best = len(clusters) - 1
+        want[k] = f"C{best + 1}"
+    got = I.cluster_greedy(spark.createDataFrame(rows, "item_type string, ord int, embedding array<double>").repartition(4), ["item_type"])
+    assert {r["ord"]: r["cluster_id"] for r in got.collect()} == want and len(want) < 152

@@ -50,3 +50,46 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     assert [r["job_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["1"]
     assert [r["body"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["broken"]
+
+
+def workbook(sheets):
+    """A workbook as spreadsheet programs write it: shared and inline strings, numbers, gaps between rows and cells."""
+    import io
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    shared, out = [], io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k, (_, rows) in enumerate(sheets, 1):
+            xml = []
+            for r, cells in rows.items():
+                own = []
+                for c, v in cells.items():
+                    if isinstance(v, str) and v.startswith("inline:"):
+                        own.append(f'<c r="{c}{r}" t="inlineStr"><is><t>{v[7:]}</t></is></c>')
+                    elif isinstance(v, str):
+                        shared.append(v)
+                        own.append(f'<c r="{c}{r}" t="s"><v>{len(shared) - 1}</v></c>')
+                    else:
+                        own.append(f'<c r="{c}{r}"><v>{v}</v></c>')
+                xml.append(f'<row r="{r}">{"".join(own)}</row>')
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f"<worksheet {ns}><sheetData>{''.join(xml)}</sheetData></worksheet>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>{''.join(f'<si><t>{s}</t></si>' for s in shared)}</sst>")
+        names = "".join(f'<sheet name="{n}" sheetId="{k}" r:id="rId{k}"/>' for k, (n, _) in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f"<workbook {ns}><sheets>{names}</sheets></workbook>")
+        links = "".join(f'<Relationship Id="rId{k}" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+    return out.getvalue()
+
+
+def test_workbook():
+    from signalmill.sources import office
+
+    data = workbook([("Tasks", {1: {"A": "Name", "C": "Points"}, 2: {"A": "inline:Login", "C": 5}, 3: {"C": 8}, 6: {"B": "Other"}, 7: {"B": "x|y"}}), ("Empty", {})])
+    got = office.xlsx(data)
+    assert got.startswith("## Sheet: Tasks\n\n### Table 1\n\n") and "### Table 2" in got and got.endswith("## Sheet: Empty\n\n(empty sheet)")
+    lines = got.split("\n")
+    rows = [x for x in lines if x.startswith("|")]
+    assert rows[0] == "| Name | Points |" and rows[2] == "| Login | 5 |" and rows[3] == "| Login | 8 |"  # blanks are filled from above
+    assert "x\\|y" in rows[-1]
+    assert office.xlsx(b"no workbook").startswith("# Parse Error")
