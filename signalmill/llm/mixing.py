@@ -8,7 +8,7 @@ leaf is an output shard. A shard's slots are disjoint blocks of one permutation
 documents are shuffled by a hash. All of it is DataFrame expressions; hashes are MD5 over the seed, so reruns agree, and SQL can repeat them.
 
 Scale: documents are met in three row-local or pre-aggregated steps. Windows run over block rows (sources x BLOCKS x 2 at
-most, whatever the documents) and, for each source, over the documents of the one block that is taken in part.
+most, whatever the documents) and, for each source, over part sums of the one block that is taken in part, and the documents of one such part.
 
 Defined results: a null or empty text has size 0; a null source is a source of its own, last in order; a document of size 0
 is never drawn; rows that repeat an id are drawn together or not at all, each with its own size. An empty table gives an
@@ -27,6 +27,8 @@ BLOCKS, LEVELS, SHARE, MOST = 256, 4, 1.5, 2
 WEIGHTS = (3, 1, 2)
 
 
+#: A block that is taken in part is added up in 2 ** PART_BITS parts.
+PART_BITS = 10
 #: Up to so many sources, block rows (at most 2 * BLOCKS a source) are broadcast; beyond it Spark joins by shuffling.
 BROADCAST_SOURCES = 1000
 
@@ -85,9 +87,18 @@ def plan(sized: DataFrame, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     cut = dealt.where("last = 'cut'").select(F.col("source").alias("s"), F.col("block").alias("b"), "left")
     inside = sized.where("size > 0").withColumn("block", block_of(F.col("doc_id"), seed)).join(near(cut, goal), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     inside = inside.groupBy("s", "block", "left", "doc_id").agg(F.sum("size").alias("size"))
-    here = Window.partitionBy("s", "block").orderBy(draw(F.col("doc_id"), seed, "cut"), "doc_id")
+    turn = draw(F.col("doc_id"), seed, "cut")
+    inside = inside.withColumn("part", F.shiftright(turn, 60 - PART_BITS))
+    # The block's documents in order of their draw: parts of it are added up first, and only the one in which the sum is reached is sorted.
+    upto = Window.partitionBy("s", "block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = inside.groupBy("s", "block", "part").agg(F.sum("size").alias("part_size")).withColumn("before", F.coalesce(F.sum("part_size").over(upto), F.lit(0)))
+    sums = sums.select(F.col("s").alias("s_"), F.col("block").alias("b_"), F.col("part").alias("p_"), "part_size", "before")
+    inside = inside.join(sums, F.col("s").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_")) & (F.col("part") == F.col("p_"))).where("before < left")
+    whole = inside.where("before + part_size <= left")
+    here = Window.partitionBy("s", "block", "part").orderBy(turn, "doc_id")
     # A document is taken while the sum gets nearer to what is left.
-    part = inside.withColumn("upto", F.sum("size").over(here)).where(F.col("upto") - F.col("size") / 2 <= F.col("left"))
+    reached = inside.where("before + part_size > left").withColumn("sum", F.col("before") + F.sum("size").over(here)).where(F.col("sum") - F.col("size") / 2 <= F.col("left"))
+    part = whole.select("s", "doc_id").unionByName(reached.select("s", "doc_id"))
     return goal, dealt, part.select("s", F.col("doc_id").alias("d"), F.lit(1).alias("more"))
 
 
