@@ -18,6 +18,7 @@ from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from signalmill.llm.tokens import subwords
 
@@ -103,8 +104,8 @@ class Words:
             setattr(self, name, a := more)
         a[at : at + len(x)] = x
 
-    def numbers(self, docs: list[list[bytes]], light: dict[int, str], hashed: Callable[[bytes], int]) -> list[np.ndarray]:
-        """Numbers of the words of docs. light: times seen by each expert, joined by commas, by the hash of each word that is not heavy."""
+    def numbers(self, docs: list[list[bytes]], hashes: np.ndarray, counts: pa.StringArray, hashed: Callable[[list[bytes]], np.ndarray]) -> list[np.ndarray]:
+        """Numbers of the words of docs. hashes, counts: of each word that is not heavy its hash and times seen by each expert, joined by commas."""
         if len(self.added) > CACHE:
             for w in self.added:
                 del self.index[w]
@@ -114,9 +115,11 @@ class Words:
         if new := index.new:
             words, at = self.used
             symbols, n = pieces(new)
-            counts = np.array(",".join([light[hashed(w)] for w in new]).split(","), np.float64).reshape(len(new), -1)
-            seen = counts.sum(1)
-            for name, x in (("start", at + np.cumsum(n) - n), ("n", n), ("log", np.log10(seen + 1.0)), ("known", (seen > 0).astype(np.int64)), ("logs", self.experts.logs(counts, symbols, n))):
+            order = np.argsort(hashes)
+            at_ = order[np.searchsorted(hashes, hashed(new), sorter=order)]
+            times = np.array(",".join(counts.take(pa.array(at_)).to_pylist()).split(","), np.float64).reshape(len(new), -1)
+            seen = times.sum(1)
+            for name, x in (("start", at + np.cumsum(n) - n), ("n", n), ("log", np.log10(seen + 1.0)), ("known", (seen > 0).astype(np.int64)), ("logs", self.experts.logs(times, symbols, n))):
                 self._put(name, words, x)
             self._put("ids", at, symbols >> 1)
             self.used = words + len(new), at + len(symbols)

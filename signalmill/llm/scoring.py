@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,7 @@ HEAVY, EXPERTS, ROUNDS, FOLD, HELD = 1 << 21, 4, 1, 7, 2
 BACKOFF = 1000.0
 #: A word longer than that is not broadcast, so that broadcast bytes are bounded too.
 LONGEST = 64
-FLUSH, DOCS, WINDOWS = 800_000, 200, 256
+FLUSH, DOCS, WINDOWS = 800_000, 200, 512
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -48,10 +48,9 @@ def row_hash() -> Column:
     return F.xxhash64(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
 
 
-def word_hash(word: bytes) -> int:
-    """The same as Spark's xxhash64 of the word."""
-    h = xxhash.xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
+def word_hashes(words: Iterable[bytes], n: int = -1) -> np.ndarray:
+    """The same as Spark's xxhash64 of each word."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, n).view(np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -149,7 +148,7 @@ def with_light(docs: DataFrame, heavy: A.Heavy, light: DataFrame, k: int) -> Dat
             for s in range(0, b.num_rows, DOCS):
                 new = [set(_words(t)).difference(own) for t in b.column(1)[s : s + DOCS].to_pylist()]
                 row = np.repeat(b.column(0)[s : s + DOCS].to_numpy(), [len(x) for x in new])
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array([word_hash(w) for x in new for w in x], pa.int64())], names=["row", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word_hashes(w for x in new for w in x))], names=["row", "hash"])
 
     rows = docs.select("doc_id", "text", row_hash().alias("row"))
     counts = light.select("hash", F.concat_ws(",", *(F.col(f"c{e}").cast("string") for e in range(k))).alias("c"))
@@ -168,9 +167,9 @@ class Scorer:
     def __init__(self, experts: A.Experts, heavy: A.Heavy, params: dict[str, np.ndarray]):
         self.words, self.net = A.Words(experts, heavy), A.Network(params)
 
-    def batch(self, texts: list[str | None], light: list[list[dict] | None]) -> tuple[list[np.ndarray], A.Batch]:
-        own = {x["hash"]: x["c"] for xs in light for x in xs or ()}
-        docs = self.words.numbers([_words(t) for t in texts], own, word_hash)
+    def batch(self, texts: list[str | None], light: pa.ListArray) -> tuple[list[np.ndarray], A.Batch]:
+        flat = light.flatten()
+        docs = self.words.numbers([_words(t) for t in texts], flat.field("hash").to_numpy(), flat.field("c"), word_hashes)
         return docs, A.Batch(self.words, docs)
 
 
@@ -188,8 +187,7 @@ def train(docs: DataFrame, experts: A.Experts, mass: np.ndarray, heavy: A.Heavy,
             mixer = np.random.default_rng(turn)
             for b in batches:
                 for s in range(0, b.num_rows, DOCS):
-                    texts, light = (c[s : s + DOCS].to_pylist() for c in b.columns[1:])
-                    _, batch = scorer.batch(texts, light)
+                    _, batch = scorer.batch(b.column(1)[s : s + DOCS].to_pylist(), b.column(2)[s : s + DOCS])
                     first, at, stop = A.blocks(batch.sizes)
                     turns = mixer.permutation(len(at))  # all blocks of all texts, in an order that mixes the documents
                     for k in range(0, len(at), WINDOWS):
@@ -244,8 +242,7 @@ def scored(docs: DataFrame) -> DataFrame:
         for b in batches:
             out: list[list] = [[], [], [], []]
             for s in range(0, b.num_rows, DOCS):
-                texts, light = (c[s : s + DOCS].to_pylist() for c in b.columns[1:])
-                docs_, batch = scorer.batch(texts, light)
+                docs_, batch = scorer.batch(b.column(1)[s : s + DOCS].to_pylist(), b.column(2)[s : s + DOCS])
                 w = scorer.words
                 got = ([len(d) + 1 for d in docs_], [int(w.known[d].sum()) for d in docs_], [float(w.log[d].sum()) for d in docs_], scorer.net.log10(batch).tolist())
                 for to, v in zip(out, got, strict=True):
