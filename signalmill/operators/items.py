@@ -99,11 +99,30 @@ def cluster_apis(items: DataFrame, by: list[str]) -> DataFrame:
 
 
 def nearest(items: DataFrame, by: list[str]) -> DataFrame:
-    """by, ord, nearest: greatest cosine to another item of the group, 1 where there is none. An equi join on the group."""
-    a, b = items.select(*by, "ord", "embedding"), items.select(*by, F.col("ord").alias("o2"), F.col("embedding").alias("e2"))
-    pairs = a.join(b, by).where("ord <> o2")
-    best = pairs.groupBy(*by, "ord").agg(F.max(T.cosine(F.col("embedding"), F.col("e2"))).alias("nearest"))
-    return a.select(*by, "ord").join(best, [*by, "ord"], "left").withColumn("nearest", F.coalesce("nearest", F.lit(1.0)))
+    """by, ord, nearest: greatest cosine to another item of the group, 1 where there is none. Blocks of a matrix product in each group (a job's items).
+
+    A vector of zeros is like nothing (0); items without a vector, or with one of another length than the group's longest, are met by none.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in items.schema}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        width = max((len(v) for v in pdf["embedding"] if v is not None), default=0)
+        there = np.array([v is not None and len(v) == width for v in pdf["embedding"]], bool)
+        out = np.ones(len(pdf))
+        if there.sum() > 1:
+            x = np.array([np.asarray(v, float) for v in pdf["embedding"][there]])
+            norm = np.sqrt((x * x).sum(1, keepdims=True))
+            x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+            best = np.empty(len(x))
+            for s in range(0, len(x), 1024):
+                c = x[s : s + 1024] @ x.T
+                c[np.arange(len(c)), np.arange(s, s + len(c))] = -np.inf
+                best[s : s + 1024] = c.max(1)
+            out[there] = best
+        return pdf[[*by, "ord"]].assign(nearest=out)
+
+    schema = ", ".join(f"{c} {fields[c]}" for c in [*by, "ord"]) + ", nearest double"
+    return items.select(*by, "ord", "embedding").groupBy(*by).applyInPandas(run, schema)
 
 
 def prune(items: DataFrame, by: list[str]) -> DataFrame:
