@@ -28,7 +28,7 @@ from signalmill.llm.common import load
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-CONTEXT, PAD, LONGEST = 6, 1 << 9, 256
+CONTEXT, PAD = 6, 1 << 9
 
 # The patterns, rewritten so that no text takes more than linear time: possessive runs, and a local part searched backwards from its @.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -122,13 +122,13 @@ def labelled(rows: int = 400, seed: int = 7) -> list[list[tuple[str, str]]]:
 
 def shape(word: str) -> tuple[str, ...]:
     """Feature names of a word: its collapsed shape, how many digits, its separators, and the spelled-out signs."""
-    core = word[:LONGEST].strip(",;:!?\"'") or word[:8]
+    core = word.strip(",;:!?\"'") or word
     s = re.sub(r"[0-9]+", lambda m: "9" * min(len(m.group()), 5), core)
     s = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[^\x00-\x7f]+", "a", s)))
     n = len(_digits(core))
     low = core.lower()
     sign = low if low in ("at", "dot", "(at)", "(dot)", "[at]", "[dot]", "@", ".", "arroba", "punto", "punkt", "+", "com", "org", "net") else ""
-    return (f"s:{s[:24]}", f"n:{min(n, 20)}", f"p:{''.join(sorted(set(re.sub('[0-9A-Za-z]', '', s))))[:8]}", f"w:{sign}", f"a:{int(core.isalpha())}")
+    return (f"s:{s}", f"n:{min(n, 20)}", f"p:{''.join(sorted(set(re.sub('[0-9A-Za-z]', '', s))))}", f"w:{sign}", f"a:{int(core.isalpha())}")
 
 
 class Field:
@@ -266,7 +266,7 @@ def field() -> Field:
 def _valid(kind: str, s: str) -> bool:
     n = len(_digits(s))
     if kind == "email":
-        return len(s) <= LONGEST and bool(re.search(r"@|[(\[{]\s?at|arroba|\bat\b.*\bdot\b", s, re.I)) and bool(re.search(r"dot|punto|punkt|\.", s, re.I))
+        return bool(re.search(r"@|[(\[{]\s?at|arroba|\bat\b.*\bdot\b", s, re.I)) and bool(re.search(r"dot|punto|punkt|\.", s, re.I))
     if kind == "ip":
         parts = re.findall("[0-9]+", s)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not re.fullmatch(r"[0-9.]+", s)

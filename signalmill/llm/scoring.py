@@ -54,7 +54,7 @@ def word_hashes(words: Iterable[bytes], n: int = -1) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, lang, seen (in training documents), every (in all). docs: doc_id, lang, text."""
+    """word, lang, seen (in training documents), every (in all), added up as far as a task's dictionary goes. docs: doc_id, lang, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, bool], Counter] = {}
@@ -72,8 +72,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    rows = docs.select("doc_id", "lang", "text").mapInArrow(run, "word string, lang string, seen long, every long")
-    return rows.groupBy("word", "lang").agg(F.sum("seen").alias("seen"), F.sum("every").alias("every"))
+    return docs.select("doc_id", "lang", "text").mapInArrow(run, "word string, lang string, seen long, every long")
 
 
 def symbol_counts(words: DataFrame, experts: int) -> np.ndarray:
@@ -93,7 +92,8 @@ def symbol_counts(words: DataFrame, experts: int) -> np.ndarray:
         at = np.nonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(at[2].astype(np.int32)), pa.array(out[at])], names=["place", "sym", "expert", "n"])
 
-    rows = words.select("word", *(f"c{e}" for e in range(experts))).mapInArrow(run, "place int, sym int, expert int, n long")
+    # Dealt anew by word, as the stored vocabulary is few files for the work that it takes.
+    rows = words.select("word", *(f"c{e}" for e in range(experts))).repartition("word").mapInArrow(run, "place int, sym int, expert int, n long")
     got = rows.groupBy("place", "sym", "expert").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((2, A.SYMBOLS, experts))
     out[tuple(got[c].to_numpy() for c in ("place", "sym", "expert"))] = got["n"].to_numpy()
