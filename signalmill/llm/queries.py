@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from signalmill.llm.chat import OP7_SQL, op7_chat_formatting
+from signalmill.llm.interaction import OP13_SQL, op13_filter_audit
 from signalmill.llm.jaccard import OP9_SQL, op9_jaccard
 from signalmill.llm.mixing import op10_mixing
 from signalmill.llm.packing import op4_packing
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard": op9_jaccard,
     "op10_mixing": op10_mixing,
+    "op13_filter_audit": op13_filter_audit,
 }
-SQL: dict[str, str] = {"op5_vectors": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op9_jaccard": OP9_SQL}
+SQL: dict[str, str] = {"op5_vectors": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op9_jaccard": OP9_SQL, "op13_filter_audit": OP13_SQL}
