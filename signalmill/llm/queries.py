@@ -9,6 +9,7 @@ from signalmill.llm.mixing import op10_mixing
 from signalmill.llm.packing import op4_packing
 from signalmill.llm.pii import op3_pii
 from signalmill.llm.quality import op8_quality_rules
+from signalmill.llm.runs import op11_periodic_runs
 from signalmill.llm.scoring import op1_lm_scoring
 from signalmill.llm.suffix import op6_suffix_dedup
 from signalmill.llm.toxicity import op2_toxicity
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard": op9_jaccard,
     "op10_mixing": op10_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_filter_audit": op13_filter_audit,
 }
 SQL: dict[str, str] = {"op5_vectors": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op9_jaccard": OP9_SQL, "op13_filter_audit": OP13_SQL}
