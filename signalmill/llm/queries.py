@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from signalmill.llm.chat import OP7_SQL, op7_chat_formatting
+from signalmill.llm.decontamination import OP12_SQL, op12_decontamination
 from signalmill.llm.interaction import OP13_SQL, op13_filter_audit
 from signalmill.llm.jaccard import OP9_SQL, op9_jaccard
 from signalmill.llm.mixing import op10_mixing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_mixing": op10_mixing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_decontamination": op12_decontamination,
     "op13_filter_audit": op13_filter_audit,
 }
-SQL: dict[str, str] = {"op5_vectors": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op9_jaccard": OP9_SQL, "op13_filter_audit": OP13_SQL}
+SQL: dict[str, str] = {"op5_vectors": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op9_jaccard": OP9_SQL, "op12_decontamination": OP12_SQL, "op13_filter_audit": OP13_SQL}
