@@ -53,7 +53,7 @@ def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 S, LN, TK = f"WITH s AS ({SIGNALS})", f"WITH l AS ({LINES})", f"WITH t AS ({TASKS})"
-EM = f"WITH s AS (SELECT a.*, e.embedding FROM ({SIGNALS}) a JOIN embeddings e ON e.vec_id = a.ord % (SELECT count(*) FROM embeddings))"
+EM = f"WITH s AS (SELECT a.*, e.embedding::DOUBLE[] AS embedding FROM ({SIGNALS}) a JOIN embeddings e ON e.vec_id = a.ord % (SELECT count(*) FROM embeddings))"
 
 
 # Sources.
@@ -493,7 +493,7 @@ def f10_locked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals(spark, sf_dir).select("ord", I.locked().alias("locked"))
 
 
-COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+COS = "list_cosine_similarity(a.embedding, b.embedding)"
 
 
 @query(EM + f", n AS (SELECT a.ord, max({COS}) AS nearest FROM s a JOIN s b ON a.job_id = b.job_id AND a.ord <> b.ord GROUP BY a.ord) SELECT s.ord, round(coalesce(n.nearest, 1.0), 6) AS nearest FROM s LEFT JOIN n ON n.ord = s.ord")
@@ -588,8 +588,11 @@ f AS (SELECT job_id, ord AS f_ord, title, embedding AS e2, [{D.phrase('title')},
 x AS (SELECT job_id, ord, f_ord, p, names, embedding, e2, len(list_intersect(t, ft)) / greatest(len(t), len(ft)) AS score FROM i JOIN f USING (job_id)),
 e AS (SELECT job_id, ord, f_ord, row_number() OVER (PARTITION BY ord ORDER BY score DESC, f_ord) AS n FROM x WHERE p <> '' AND len(list_filter(names, lambda z: z <> '' AND (contains(p, z) OR contains(z, p)))) > 0),
 w AS (SELECT job_id, ord, f_ord, score, row_number() OVER (PARTITION BY ord ORDER BY score DESC, f_ord) AS n FROM x WHERE score >= 0.2),
-y AS (SELECT job_id, ord, f_ord, row_number() OVER (PARTITION BY ord ORDER BY list_cosine_similarity(embedding::DOUBLE[], e2::DOUBLE[]) DESC, f_ord) AS n FROM x WHERE list_cosine_similarity(embedding::DOUBLE[], e2::DOUBLE[]) >= 0.5),
-lk AS (SELECT i.job_id, i.ord, i.item_type, coalesce(e.f_ord, w.f_ord, y.f_ord) AS f_ord FROM i LEFT JOIN e ON e.ord = i.ord AND e.n = 1 LEFT JOIN w ON w.ord = i.ord AND w.n = 1 LEFT JOIN y ON y.ord = i.ord AND y.n = 1)"""
+y AS (SELECT job_id, ord, f_ord, row_number() OVER (PARTITION BY ord ORDER BY list_cosine_similarity(embedding, e2) DESC, f_ord) AS n FROM x WHERE list_cosine_similarity(embedding, e2) >= 0.5),
+l0 AS (SELECT i.job_id, i.ord, i.item_type, i.t, i.embedding, coalesce(e.f_ord, w.f_ord, y.f_ord) AS f_ord FROM i LEFT JOIN e ON e.ord = i.ord AND e.n = 1 LEFT JOIN w ON w.ord = i.ord AND w.n = 1 LEFT JOIN y ON y.ord = i.ord AND y.n = 1),
+q0 AS (SELECT a.job_id, a.ord, b.ord AS task_ord, b.f_ord, len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) AS wd, list_cosine_similarity(a.embedding, b.embedding) AS cs FROM l0 a JOIN l0 b USING (job_id) WHERE a.f_ord IS NULL AND a.item_type IN ('api', 'db_schema') AND b.item_type = 'task'),
+q1 AS (SELECT *, CASE WHEN wd >= 0.25 THEN wd ELSE cs END AS score FROM q0), q2 AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY score DESC, task_ord) AS n FROM q1 WHERE score >= 0.5),
+lk AS (SELECT l0.job_id, l0.ord, l0.item_type, coalesce(l0.f_ord, q2.f_ord) AS f_ord FROM l0 LEFT JOIN q2 ON q2.ord = l0.ord AND q2.n = 1)"""
 
 
 @query(TOK + " SELECT job_id, ord, f_ord FROM e WHERE n = 1")
@@ -609,12 +612,12 @@ def j5_link_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TOK + " SELECT job_id, ord, f_ord FROM lk")
 def j7_link_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact names, then words, then vectors."""
+    """Exact names, then words, then vectors; what is left of APIs and tables by their best task."""
     return L.link(_others(spark, sf_dir), _features(spark, sf_dir), JOB).select("job_id", "ord", "f_ord")
 
 
 @query(TOK + """, o AS (SELECT * FROM i WHERE item_type IN ('api', 'db_schema')), tt AS (SELECT job_id, ord AS task_ord, t AS u, embedding AS e2 FROM i WHERE item_type = 'task'),
-q AS (SELECT o.job_id, o.ord, task_ord, len(list_intersect(t, u)) / greatest(len(t), len(u)) AS wd, list_cosine_similarity(embedding::DOUBLE[], e2::DOUBLE[]) AS cs FROM o JOIN tt USING (job_id)),
+q AS (SELECT o.job_id, o.ord, task_ord, len(list_intersect(t, u)) / greatest(len(t), len(u)) AS wd, list_cosine_similarity(embedding, e2) AS cs FROM o JOIN tt USING (job_id)),
 b AS (SELECT *, CASE WHEN wd >= 0.25 THEN wd ELSE cs END AS score FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY score DESC, task_ord) AS n FROM b WHERE score >= 0.5)
 SELECT r.job_id, r.ord, r.task_ord, lk.f_ord, round(score, 6) AS score FROM r LEFT JOIN lk ON lk.ord = r.task_ord WHERE n = 1""")
 def j6_through_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:

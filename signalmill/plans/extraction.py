@@ -15,7 +15,7 @@ from signalmill.functions import fixed as X
 from signalmill.functions import text as T
 from signalmill.operators import extract as E
 from signalmill.operators import ordered
-from signalmill.plans.cut import cut
+from signalmill.operators.cut import cut
 
 FILE = ["file_name"]
 COLUMNS = "array<struct<name:string,type:string,constraints:array<string>>>"

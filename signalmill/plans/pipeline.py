@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.operators import link, merge, tasks
-from signalmill.plans.cut import cut
+from signalmill.operators.cut import cut
 
 
 def plan(items: DataFrame, by: list[str], generated: DataFrame | None = None, expansion: DataFrame | None = None) -> DataFrame:

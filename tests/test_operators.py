@@ -37,14 +37,6 @@ def test_overlap(spark):
     assert (r["o"], r["j"]) == (0.5, 0.5)
 
 
-def test_containing_is_every_pair(spark):
-    names = ["a", "ab", "user page", "page", "the user page", "pag", "x"]
-    a = spark.createDataFrame(list(enumerate(names)), "ord int, p string")
-    b = spark.createDataFrame(list(enumerate(names)), "f_ord int, fp string")
-    got = {(r["ord"], r["f_ord"]) for r in L.containing(a, b, "p", "fp").collect()}
-    assert got == {(i, j) for i, p in enumerate(names) for j, q in enumerate(names) if p in q or q in p}
-
-
 def test_collapse_and_checks(spark):
     rows = [(0, "Implement PUT /a"), (1, "Implement PATCH /a"), (2, "Verify PUT /a behavior"), (3, "Implement GET /b"), (4, "other")]
     t = spark.createDataFrame([(o, n, "PUT x", "explicit", "f", "Design") for o, n in rows], "ord int, name string, description string, signal_origin string, source_file_name string, source_file_type string")
