@@ -25,8 +25,8 @@ def failing(docs):
 
 
 def brute(docs, labels):
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, x in labels if x == 1}
+    good = {i for i, q, _ in labels if q == 1} - {None}
+    toxic = {i for i, _, x in labels if x == 1} - {None}
     rows, removed_by = {}, {}
     fails = failing(docs)
     for part in {s or "" for _, _, s in docs}:
