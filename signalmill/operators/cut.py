@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in spark.checkpoint.dir; a temporary folder stands in only where none is set and all runs on one machine."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder stands in only where none is set and all runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='signalmill-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
+    return at
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    at = shared_folder(df.sparkSession)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(at)
     return df.checkpoint()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import repeat
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,44 +55,61 @@ def embedding_text(kind: Column, title: Column, description: Column) -> Column:
     return F.concat_ws("\n", F.nullif(F.trim(title), F.lit("")), F.nullif(F.trim(description), F.lit("")))
 
 
+class Clusters:
+    """Leader clustering of unit vectors in order: the state is the sum of each cluster's vectors and its size."""
+
+    def __init__(self, width: int):
+        self.sums, self.sizes, self.n = np.zeros((16, width)), np.zeros(16), 0
+
+    def join(self, x: np.ndarray, join_above: float, copy_above: float) -> int | None:
+        """The cluster (from 0) that x goes to, or None for a near copy, which leaves no trace."""
+        means = self.sums[: self.n] @ x / self.sizes[: self.n]
+        best = int(means.argmax()) if self.n else -1
+        if best >= 0 and means[best] > copy_above:
+            return None
+        if best < 0 or means[best] <= join_above:
+            best, self.n = self.n, self.n + 1
+            if self.n > len(self.sums):
+                self.sums, self.sizes = np.vstack([self.sums, np.zeros_like(self.sums)]), np.append(self.sizes, np.zeros_like(self.sizes))
+        self.sums[best] += x
+        self.sizes[best] += 1
+        return best
+
+
 def cluster_greedy(items: DataFrame, by: list[str], join_above: float = X.JOIN_CLUSTER, copy_above: float = X.NEAR_COPY) -> DataFrame:
     """Leader clustering in order: an item joins the cluster of the best mean cosine above join_above, starts one below, and goes where that mean is
-    above copy_above. Order matters, so a group (a job's items of one type) is one call of a grouped function; groups are as small as a job's files.
-    Means need only each cluster's sum of unit vectors. Gives by, ord, cluster_id; rows that go are absent.
-    """
-    fields = {f.name: f.dataType.simpleString() for f in items.schema}
+    above copy_above. Gives by, ord, cluster_id; rows that go are absent.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        width = max((len(v) for v in pdf["embedding"] if v is not None), default=0)
-        sums, n = np.zeros((16, width)), 0
-        sizes = np.zeros(16)
-        kept, ids = [], []
-        for i, v in zip(pdf["ord"], pdf["embedding"], strict=True):
-            x = np.zeros(width)  # an item without a vector is like nothing
-            if v is not None and len(v) == width:
-                x = np.asarray(v, float)
-                norm = np.sqrt((x * x).sum())
-                x = x / norm if norm else x
-            means = sums[:n] @ x / sizes[:n]
-            best = int(means.argmax()) if n else -1
-            if best >= 0 and means[best] > copy_above:
-                continue
-            if best < 0 or means[best] <= join_above:
-                best, n = n, n + 1
-                if n > len(sums):
-                    sums, sizes = np.vstack([sums, np.zeros_like(sums)]), np.append(sizes, np.zeros_like(sizes))
-            sums[best] += x
-            sizes[best] += 1
-            kept.append(i)
-            ids.append(f"C{best + 1}")
-        out = pd.DataFrame({"ord": kept, "cluster_id": ids})
-        for c in by:
-            out[c] = pdf[c].iloc[0]
-        return out[[*by, "ord", "cluster_id"]]
-
-    schema = ", ".join(f"{c} {fields[c]}" for c in [*by, "ord"]) + ", cluster_id string"
-    return items.select(*by, "ord", "embedding").groupBy(*by).applyInPandas(run, schema)
+    Order matters, so a group (a job's items of one type) is one sequence. Rows come to tasks sorted by group and ord and are read as a stream: what is held
+    is a batch and the sums of the present group's clusters, never the group. The group's first vector says how long vectors are; an
+    item without one, or with one of another length or with nulls, is like nothing. A null in by is a value like others.
+    """
+    keys = [*by, "ord"]
+    rows = items.select(*keys, F.col("embedding").cast("array<double>").alias("embedding"))
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, clusters = None, None
+        for batch in batches:
+            at, ids = [], []
+            own = zip(*(c.to_pylist() for c in batch.columns[: len(by)]), strict=True) if by else repeat(())
+            for k, (g, v) in enumerate(zip(own, batch.column(len(keys)).to_pylist(), strict=False)):
+                if clusters is None or g != group:
+                    group, clusters = g, Clusters(0)
+                x = np.asarray(v, float) if v and None not in v else np.zeros(0)
+                width = clusters.sums.shape[1]
+                if len(x) and not width:  # vectors before were like nothing: sums of zeros
+                    clusters.sums, width = np.zeros((len(clusters.sums), len(x))), len(x)
+                norm = np.sqrt((x * x).sum()) if len(x) == width else 0.0
+                c = clusters.join(x / norm if norm else np.zeros(width), join_above, copy_above)
+                if c is not None:
+                    at.append(k)
+                    ids.append(f"C{c + 1}")
+            kept = batch.select(keys).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ids, pa.string())], names=[*keys, "cluster_id"])
+
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in keys) + ", cluster_id string"
+    return rows.repartition(*by).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def cluster_apis(items: DataFrame, by: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalmill.functions import fixed as X
 from signalmill.functions import text as T
+from signalmill.operators import embed as B
 from signalmill.operators import extract as E
 from signalmill.operators import items as I
 from signalmill.operators import link as L
@@ -493,6 +494,18 @@ def f10_locked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals(spark, sf_dir).select("ord", I.locked().alias("locked"))
 
 
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+h AS (SELECT doc_id, concat('0x', substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT doc_id, unnest(ws) AS w FROM w)),
+c AS (SELECT doc_id, h % 64 AS k, sum(1 - 2 * ((h // 64) % 2)) AS v FROM h GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM c GROUP BY doc_id)
+SELECT doc_id, string_agg(CASE WHEN norm > 0 THEN round(1e6 * coalesce(v, 0) / norm)::BIGINT ELSE 0 END::VARCHAR, ',' ORDER BY g.k) AS vector
+FROM (SELECT doc_id, unnest(range(64)) AS k FROM documents) g LEFT JOIN c USING (doc_id, k) LEFT JOIN n USING (doc_id) GROUP BY doc_id""")
+def s14_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the vector of its text, which the model is asked for once."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    millionths = F.transform("embedding", lambda x: F.round(1e6 * x).cast("long").cast("string"))
+    return B.embedded(d, F.col("text")).select("doc_id", F.array_join(millionths, ",").alias("vector"))
+
+
 COS = "list_cosine_similarity(a.embedding, b.embedding)"
 
 
@@ -506,9 +519,25 @@ def f11_a2_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.prune(embedded(spark, sf_dir), JOB).select("ord")
 
 
-@query()
+#: One item of each group a step: its mean cosine to every cluster so far, from the clusters' sums of unit vectors.
+LEADER = EM.replace("WITH s AS", "WITH RECURSIVE s AS") + """, l AS (SELECT a.job_id, a.item_type, a.ord, list_transform(a.embedding, lambda v, i: v + 2.5 * (b.embedding::DOUBLE[])[i]) AS v FROM s a JOIN embeddings b ON b.vec_id = a.ord % 11),
+u AS (SELECT job_id, item_type, ord, list_transform(v, lambda y: y / sqrt(list_dot_product(v, v))) AS x, row_number() OVER (PARTITION BY job_id, item_type ORDER BY ord) AS k FROM l),
+c AS (SELECT job_id, item_type, ord, 1::BIGINT AS k, [x] AS sums, [1] AS sizes, 1::BIGINT AS own FROM u WHERE k = 1
+UNION ALL SELECT job_id, item_type, ord, k,
+ CASE WHEN own IS NULL THEN sums WHEN own > len(sums) THEN list_append(sums, x) ELSE list_transform(sums, lambda s, i: CASE WHEN i = own THEN list_transform(s, lambda v, j: v + x[j]) ELSE s END) END,
+ CASE WHEN own IS NULL THEN sizes WHEN own > len(sums) THEN list_append(sizes, 1) ELSE list_transform(sizes, lambda n, i: CASE WHEN i = own THEN n + 1 ELSE n END) END, own
+FROM (SELECT *, CASE WHEN list_max(means) > 0.9 THEN NULL WHEN list_max(means) > 0.8 THEN list_position(means, list_max(means))::BIGINT ELSE (len(sums) + 1)::BIGINT END AS own
+ FROM (SELECT u.job_id, u.item_type, u.ord, u.k, u.x, c.sums, c.sizes, list_transform(c.sums, lambda s, i: list_dot_product(s, u.x) / c.sizes[i]) AS means
+  FROM c JOIN u ON u.job_id = c.job_id AND u.item_type = c.item_type AND u.k = c.k + 1)))"""
+
+
+@query(LEADER + " SELECT job_id, item_type, ord, concat('C', own) AS cluster_id FROM c WHERE own IS NOT NULL")
 def a7_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.cluster_greedy(embedded(spark, sf_dir), ["source_file_name"])
+    """Leader clustering of each job's items of a type, whose vectors lean to one of eleven."""
+    leaders = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 11").select(F.col("vec_id").alias("leader"), F.col("embedding").alias("to"))
+    items = embedded(spark, sf_dir).join(leaders, F.col("ord") % 11 == F.col("leader"))
+    lean = F.zip_with("embedding", "to", lambda v, t: v.cast("double") + 2.5 * t.cast("double"))
+    return I.cluster_greedy(items.withColumn("embedding", lean), ["job_id", "item_type"])
 
 
 @query(S + f", k AS (SELECT ord, {D.signature('title')} AS sig FROM s WHERE item_type = 'api'), f AS (SELECT min(ord) AS ord, sig FROM k GROUP BY sig) SELECT ord, sig AS signature, concat('C', row_number() OVER (ORDER BY ord)) AS cluster_id FROM f")
