@@ -70,7 +70,7 @@ def title(c: Column) -> Column:
     v = F.lower(strip(sub(split_identifier(numbering(v)), (r"\s+", " ")), " .:-"))
     v = sub(v, *((rf"(?U)\b{re.escape(a)}\b", b) for a, b in X.PHRASES))
     words = F.filter(F.split(squash(v), " "), lambda w: (w != "") & ~among(w, X.NOISE_TOKENS))
-    return F.array_join(F.transform(words, lambda w: F.when(among(w, X.VOCABULARY), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000)))), " ")
+    return F.array_join(F.transform(words, lambda w: F.when(among(w, X.VOCABULARY), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))), " ")
 
 
 def _token_ok(w: Column) -> Column:

@@ -29,17 +29,24 @@ def windows(rows: DataFrame, size: int = 3) -> DataFrame:
     return out.where((F.size("_w") == size) | ((F.col("_m") < size) & (F.col("window_no") == 1))).select(*FILE, "window_no", F.array_join("_w", "\n").alias("window"))
 
 
-def _api_rows(df: DataFrame, text: str, order: list[str], every: bool) -> DataFrame:
-    """API matches of a text: strong ones, then endpoints whose method is inferred."""
+def api_matches(text: Column, every: bool) -> Column:
+    """API matches of a text as an array of pass, match_no, method, endpoint: strong ones, then endpoints whose method is inferred."""
     strong = F.regexp_extract_all(text, F.lit("(?i)" + X.API_IN_TEXT), 0)
     weak = F.regexp_extract_all(text, F.lit("(?i)(" + X.ENDPOINT_IN_TEXT + ")"), 1)
     if not every:
         strong, weak = F.slice(strong, 1, 1), F.slice(weak, 1, 1)
-    guess = T.inferred_method(F.col(text))
-    a = df.select(*FILE, *order, F.lit(0).alias("pass"), F.posexplode(strong).alias("match_no", "m"), guess.alias("g"))
-    a = a.withColumn("method", F.upper(F.regexp_extract("m", "(?i)" + X.API_IN_TEXT, 1))).withColumn("endpoint", F.regexp_extract("m", "(?i)" + X.API_IN_TEXT, 2))
-    b = df.select(*FILE, *order, F.lit(1).alias("pass"), F.posexplode(weak).alias("match_no", "m"), guess.alias("g")).withColumn("method", F.col("g")).withColumn("endpoint", F.col("m"))
-    return a.unionByName(b).select(*FILE, *order, "pass", "match_no", F.concat_ws(" ", "method", "endpoint").alias("name"), "endpoint", "method")
+
+    def match(step: int, k: Column, method: Column, endpoint: Column) -> Column:
+        return F.struct(F.lit(step).alias("pass"), k.alias("match_no"), method.alias("method"), endpoint.alias("endpoint"))
+
+    own = lambda m, group: F.regexp_extract(m, "(?i)" + X.API_IN_TEXT, group)
+    guessed = T.let(T.inferred_method(text), lambda g: F.transform(weak, lambda m, k: match(1, k, g, m)))
+    return F.concat(F.transform(strong, lambda m, k: match(0, k, F.upper(own(m, 1)), own(m, 2))), guessed)
+
+
+def _api_rows(df: DataFrame, text: str, order: list[str], every: bool) -> DataFrame:
+    found = df.select(*FILE, *order, F.explode(api_matches(F.col(text), every)).alias("m")).select(*FILE, *order, "m.*")
+    return found.select(*FILE, *order, "pass", "match_no", F.concat_ws(" ", "method", "endpoint").alias("name"), "endpoint", "method")
 
 
 def scan_apis(w: DataFrame) -> DataFrame:
@@ -67,7 +74,7 @@ def looks_like_task(c: Column) -> Column:
 
 def scan_bullets(rows: DataFrame) -> DataFrame:
     s = T.strip(F.col("line"))
-    bullet = T.strip(F.substring(F.col("s"), 2, 1_000_000))
+    bullet = T.strip(F.expr("substring(s, 2)"))
     out = rows.withColumn("s", s).where(F.col("s").startswith("-") | F.col("s").startswith("*")).withColumn("b", bullet).where(looks_like_task(F.col("b")))
     return out.select(*FILE, "line_no", F.substring("b", 1, X.TITLE_LENGTH).alias("title"), F.col("b").alias("description"))
 
@@ -125,20 +132,28 @@ def table_apis(rows: DataFrame) -> DataFrame:
     return own.where((method != "") | (path != "")).select(*FILE, "line_no", F.when(name != "", name).otherwise(both).alias("name"), F.nullif(path, F.lit("")).alias("endpoint"), F.nullif(F.upper(method), F.lit("")).alias("method"), F.nullif(cell("description"), F.lit("")).alias("description"))
 
 
+def column_of() -> Column:
+    """A row's column with the constraints that its notes name."""
+    notes = F.upper(F.concat(cell("required"), F.lit(" "), cell("description")))
+    found = F.filter(F.array(*map(F.lit, X.CONSTRAINTS)), lambda t: F.contains(notes, t))
+    return F.struct("line_no", cell("column").alias("name"), F.nullif(cell("type"), F.lit("")).alias("type"), found.alias("constraints"))
+
+
 def table_schemas(rows: DataFrame) -> DataFrame:
     """A table for each block with `column` and `type` headers: its columns with the constraints their notes name."""
     own = rows.where(F.array_contains("headers", "column") & F.array_contains("headers", "type")).where(cell("column") != "")
-    notes = F.upper(F.concat(cell("required"), F.lit(" "), cell("description")))
-    found = F.filter(F.array(*map(F.lit, X.CONSTRAINTS)), lambda t: F.contains(notes, t))
-    one = F.struct("line_no", cell("column").alias("name"), F.nullif(cell("type"), F.lit("")).alias("type"), found.alias("constraints"))
-    out = own.groupBy(*FILE, "block").agg(F.first(table_name(F.col("heading"))).alias("table"), F.array_sort(F.collect_list(one)).alias("columns"))
+    out = own.groupBy(*FILE, "block").agg(F.first(table_name(F.col("heading"))).alias("table"), F.array_sort(F.collect_list(column_of())).alias("columns"))
     return out.select(*FILE, "block", "table", F.transform("columns", lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type"), c["constraints"].alias("constraints"))).alias("columns"))
 
 
+#: Headers that make a table one of tasks; those whose cell is a task's name, the first that is there.
+TASK_HEADERS = ("task", "task name", "assignee", "estimation", "estimate")
+TASK_NAMES = ("task", "task name", "title", "name")
+
+
 def table_tasks(rows: DataFrame) -> DataFrame:
-    names = ("task", "task name", "title", "name")
-    own = rows.where(F.arrays_overlap("headers", F.array(*map(F.lit, ("task", "task name", "assignee", "estimation", "estimate")))))
-    name = F.coalesce(*(F.when(F.array_contains("headers", n), cell(n)) for n in names), F.lit(""))
+    own = rows.where(F.arrays_overlap("headers", F.array(*map(F.lit, TASK_HEADERS))))
+    name = F.coalesce(*(F.when(F.array_contains("headers", n), cell(n)) for n in TASK_NAMES), F.lit(""))
     return own.withColumn("title", name).where("title <> ''").select(*FILE, "line_no", "title", F.coalesce(F.nullif(cell("description"), F.lit("")), F.concat(F.lit("Implement "), "title")).alias("description"))
 
 

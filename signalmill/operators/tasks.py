@@ -202,7 +202,7 @@ def missing_checks(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """What a job's tasks implement and no task of it verifies or tests: by, api."""
     name = F.trim("name")
     low = F.lower(name)
-    built = tasks.where(low.startswith("implement ")).select(*by, F.trim(F.substring(name, 11, 1_000_000)).alias("api")).distinct()
+    built = tasks.where(low.startswith("implement ")).select(*by, F.trim(F.expr("substring(trim(name), 11)")).alias("api")).distinct()
     checks = tasks.where(low.startswith("verify ") | low.contains(" test") | low.contains("testing"))
     tested = checks.select(*by, F.trim(T.sub(F.trim(T.sub(name, ("(?i)" + X.VERIFY_PREFIX, ""))), ("(?i)" + X.BEHAVIOR_SUFFIX, ""))).alias("api")).where("api <> ''")
     return built.join(tested, [*by, "api"], "left_anti")

@@ -14,57 +14,30 @@ from pyspark.sql import functions as F
 from signalmill.functions import fixed as X
 from signalmill.functions import text as T
 from signalmill.operators import extract as E
-from signalmill.operators import ordered
+from signalmill.operators import ordered, scan
 from signalmill.operators.cut import cut
 
 FILE = ["file_name"]
 COLUMNS = "array<struct<name:string,type:string,constraints:array<string>>>"
-#: Scans of windows come first in each list, then tables where they end and lines where they stand.
-WINDOW, LINE = 0, 1
 
 
-def _signal(df: DataFrame, kind: str, phase: int, at: tuple[Column | str | int, ...], title: Column | str, **more: Column) -> DataFrame:
-    places = [F.lit(phase), *(F.lit(x) if isinstance(x, int) else F.col(x) if isinstance(x, str) else x for x in at), F.lit(0), F.lit(0), F.lit(0)][:4]
-    empty = {"description": "string", "related_feature": "string", "method": "string", "endpoint": "string", "columns": COLUMNS, "signal_origin": "string"}
-    rest = [more.get(n, F.lit(None)).cast(t).alias(n) for n, t in empty.items()]
-    o = F.struct(*(p.cast("long").alias(n) for n, p in zip("abcd", places, strict=True)))
-    return df.select("file_name", F.lit(kind).alias("item_type"), o.alias("o"), F.col(title).alias("title") if isinstance(title, str) else title.alias("title"), *rest)
+def place(phase: int, *at: Column | str | int) -> Column:
+    """A place in a file's list: numbers a to d, compared in turn."""
+    every = [F.lit(phase), *(F.lit(x) if isinstance(x, int) else F.col(x) if isinstance(x, str) else x for x in at), F.lit(0), F.lit(0), F.lit(0)][:4]
+    return F.struct(*(p.cast("long").alias(n) for n, p in zip("abcd", every, strict=True)))
 
 
-def _ends(lines: DataFrame) -> DataFrame:
-    """file_name, line_no, end: the line at which a table row's block ends, the next heading or blank line."""
-    s = T.strip(F.col("line"))
-    after = Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
-    end = F.first(F.when(s.startswith("#") | (s == ""), F.col("line_no")), ignorenulls=True).over(after)
-    return lines.select(*FILE, "line_no", F.coalesce(end, F.lit(2**31 - 1)).alias("end"))
+def _signal(df: DataFrame, kind: Column, o: Column, title: str, **more: Column) -> DataFrame:
+    empty = {"description": "string", "related_feature": "string", "method": "string", "endpoint": "string", "columns": COLUMNS, "signal_origin": "string"}
+    rest = [more.get(n, F.lit(None)).cast(t).alias(n) for n, t in empty.items()]
+    return df.select("file_name", kind.alias("item_type"), o.alias("o"), F.col(title).alias("title"), *rest)
 
 
 def scanned(lines: DataFrame) -> DataFrame:
     """All that the patterns find in lines (file_name, line_no, line), the first of each title of a file and type."""
-    w = E.windows(lines)
-    s = T.strip(F.col("line"))
-    plain = lines.withColumn("line", s).where(~F.col("line").startswith("#") & ~(F.col("line").startswith("|") & F.col("line").endswith("|")))
-    ends = _ends(lines)
-    table = E.table_rows(E.islands(lines))
-    at_end = lambda df: df.join(ends, [*FILE, "line_no"])
-    col = F.col
-    schemas = E.table_schemas(table).join(table.groupBy(*FILE, "block").agg(F.min("line_no").alias("line_no")), [*FILE, "block"])
-    parts = [
-        _signal(E.headings(lines).where("is_feature"), "feature", LINE, ("line_no",), "title"),
-        _signal(E.scan_apis(w), "api", WINDOW, ("window_no", "pass", "match_no"), "name", method=col("method"), endpoint=col("endpoint")),
-        _signal(at_end(E.table_apis(table)), "api", LINE, ("end", 0, "line_no"), "name", method=col("method"), endpoint=col("endpoint"), description=col("description")),
-        _signal(E.scan_line_apis(lines), "api", LINE, ("line_no", 1, "pass"), "name", method=col("method"), endpoint=col("endpoint")),
-        _signal(E.scan_tasks(w), "task", WINDOW, ("window_no", "line_no"), "title", description=col("description")),
-        _signal(at_end(E.table_tasks(table)), "task", LINE, ("end", 0, "line_no"), "title", description=col("description")),
-        _signal(E.scan_bullets(lines), "task", LINE, ("line_no", 1), "title", description=col("description")),
-        _signal(E.scan_tables(w), "db_schema", WINDOW, ("window_no",), "table", columns=F.array()),
-        _signal(at_end(schemas), "db_schema", LINE, ("end", 0, "block"), "table", columns=col("columns")),
-        _signal(E.scan_tables(plain, "line"), "db_schema", LINE, ("line_no", 1), "table", columns=F.array()),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ordered.keep_first(out, [*FILE, "item_type"], F.lower(F.trim("title")), ["o"])
+    found = scan.scanned(lines)
+    rows = _signal(found, F.col("item_type"), F.col("o"), "title", **{c: F.col(c) for c in ("description", "method", "endpoint", "columns")})
+    return ordered.keep_first(rows, [*FILE, "item_type"], F.lower(F.trim("title")), ["o"])
 
 
 def description(text: Column, title: Column) -> Column:
@@ -79,15 +52,6 @@ def description(text: Column, title: Column) -> Column:
     return T.let(plain, lambda p: F.when(T.valid_title(p) & (F.lower(p) != low), p).otherwise(default))
 
 
-def api_name(name: Column, method: Column, endpoint: Column) -> Column:
-    """An API's plain title, what stands in for a bad one, or null where nothing does."""
-    call = F.concat_ws(" ", method, endpoint)
-    shaped = endpoint.rlike("(?i)" + X.KEEP_API_LOOSE) | F.coalesce(F.concat(method, F.lit(" "), endpoint).rlike("(?i)" + X.KEEP_API_STRICT), F.lit(False))
-    first = lambda own: F.when(T.valid_title(own) | endpoint.isNull(), own).otherwise(call)
-    last = lambda own: F.when(T.valid_title(own), own).when(F.coalesce(shaped, F.lit(False)), call)
-    return T.let(T.title(T.let(T.title(name), first)), last)
-
-
 def column_names(columns: Column) -> Column:
     """Columns with plain names, those whose name is valid; types and constraints without blanks at their ends, empty ones gone."""
     named = F.transform(F.coalesce(columns, F.array().cast(COLUMNS)), lambda c: F.struct(T.title(c["name"]).alias("name"), F.nullif(F.trim(F.coalesce(c["type"], F.lit(""))), F.lit("")).alias("type"), F.filter(F.transform(F.coalesce(c["constraints"], F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "").alias("constraints")))
@@ -100,10 +64,16 @@ def cleaned(signals: DataFrame) -> DataFrame:
     method = F.nullif(F.upper(F.trim(F.coalesce("method", blank))), blank)
     path = F.nullif(T.endpoint(F.col("endpoint")), blank)
     rows = signals.withColumns({"method": F.when(kind == "api", method), "endpoint": F.when(kind == "api", path)})
-    plain = F.when(kind == "db_schema", T.title(T.title(F.col("title")))).otherwise(T.title(F.col("title")))
-    title = F.when(kind == "api", api_name(F.col("title"), F.col("method"), F.col("endpoint"))).otherwise(plain)
+    # An API's plain title, what stands in for a bad one, or null where nothing does; a table's title is made plain twice. The long
+    # expression of a plain title is planned two times, each in a column of its own.
+    once, twice, call, endpoint = F.col("once_"), F.col("twice_"), F.concat_ws(" ", "method", "endpoint"), F.col("endpoint")
+    shaped = endpoint.rlike("(?i)" + X.KEEP_API_LOOSE) | F.coalesce(F.concat("method", F.lit(" "), endpoint).rlike("(?i)" + X.KEEP_API_STRICT), F.lit(False))
+    rows = rows.withColumn("once_", T.title(F.col("title")))
+    rows = rows.withColumn("twice_", T.title(F.when((kind == "api") & endpoint.isNotNull() & ~T.valid_title(once), call).otherwise(once)))
+    named = F.when(T.valid_title(twice), twice).when(F.coalesce(shaped, F.lit(False)), call)
+    title = F.when(kind == "api", named).when(kind == "db_schema", twice).otherwise(once)
     # Written once: each later step reads the plain title many times, and the planner would put all of its working out in each place.
-    rows = cut(rows.withColumn("title", title))
+    rows = cut(rows.withColumn("title", title).drop("once_", "twice_"))
     rows = rows.where(F.col("title").isNotNull() & ((kind == "api") | T.valid_title(F.col("title"))))
     feature = F.nullif(T.title(F.col("related_feature")), blank)
     rows = rows.withColumns({
@@ -126,7 +96,7 @@ def with_derived(signals: DataFrame) -> DataFrame:
     rows = signals.withColumn("ord", F.row_number().over(Window.partitionBy(*FILE, "item_type").orderBy("o"))).withColumn("type", source_type(F.col("file_name"), F.lit("Design")))
     of = lambda t, n: rows.where((F.col("item_type") == t) & (F.lit(t == "feature") | (F.col("type") != "Requirement"))).select("file_name", "ord", F.col("title").alias(n))
     derived = E.derive_tasks(of("api", "name"), of("db_schema", "table"), of("feature", "title"))
-    more = _signal(derived, "task", 2, ("bucket", "ord", "k"), "title", description=F.col("description"), related_feature=F.col("related_feature"), signal_origin=F.col("signal_origin"))
+    more = _signal(derived, F.lit("task"), place(2, "bucket", "ord", "k"), "title", description=F.col("description"), related_feature=F.col("related_feature"), signal_origin=F.col("signal_origin"))
     every = signals.unionByName(more)
     tasks = ordered.keep_first(every.where("item_type = 'task'"), FILE, F.lower(F.trim("title")), ["o"])
     return tasks.unionByName(every.where("item_type <> 'task'"))
