@@ -267,10 +267,12 @@ def link_vectors(items: DataFrame, features: DataFrame, by: list[str], least: fl
 def link(items: DataFrame, features: DataFrame, by: list[str]) -> DataFrame:
     """Each item's feature: by names, else by words, else by vectors; an API or table without one goes where its best task goes.
 
-    Items without a feature have a null f_ord. Items have item_type; without vectors (`embedding`) that step finds nothing.
+    Items without a feature have a null f_ord. Without vectors (`embedding`) that step finds nothing; without item_type no item goes by a task.
     """
     keys = [*by, "ord"]
     out = cut(cascade(items, features, by, [("exact", by_names), ("words", by_words()), ("vector", by_vectors())]))
+    if "item_type" not in items.columns:
+        return items.select(*keys).join(out, keys, "left")
     tasks = items.where("item_type = 'task'")
     rest = items.where("item_type in ('api', 'db_schema')").join(out, keys, "left_anti")
     via = link_through_tasks(rest, tasks, out, by).where("f_ord is not null").select(*keys, "f_ord", F.lit("task").alias("how"), "score")

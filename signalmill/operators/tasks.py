@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from signalmill.functions import fixed as X
 from signalmill.functions import text as T
 from signalmill.operators import ordered
+from signalmill.operators.cut import cut
 from signalmill.operators.link import jaccard, top
 
 #: Letters of a title that are looked for first.
@@ -37,11 +38,11 @@ def floor_target(items: DataFrame, by: list[str]) -> DataFrame:
     return items.groupBy(*by).agg(F.greatest(F.lit(X.FLOOR), 3 * n["feature"] + 2 * n["api"] + 2 * n["db_schema"]).alias("least"))
 
 
-TASK = ["name", "description", *LINEAGE, "priority", "story_point"]
+TASK = ["name", "description", *LINEAGE, "priority", "story_point", "due_date"]
 
 
 def _task(name: Column, description: Column, priority: str, points: int) -> Column:
-    return F.struct(name.alias("name"), description.alias("description"), F.lit(priority).alias("priority"), F.lit(points).alias("story_point"))
+    return F.struct(name.alias("name"), description.alias("description"), F.lit(priority).alias("priority"), F.lit(points).alias("story_point"), F.lit(None).cast("string").alias("due_date"))
 
 
 def _made(items: DataFrame, by: list[str], made: Column) -> DataFrame:
@@ -80,7 +81,7 @@ def feature_tasks(items: DataFrame, by: list[str]) -> DataFrame:
 def as_task(items: DataFrame) -> DataFrame:
     """Items as tasks of their own title; an item without a description says what to implement. The items' other columns go, but by and ord."""
     own = F.coalesce(F.nullif(F.trim(F.coalesce("description", F.lit(""))), F.lit("")), F.concat(F.lit("Implement "), F.trim("title")))
-    return items.withColumns({"name": F.trim("title"), "description": own, "priority": F.lit(None).cast("string"), "story_point": F.lit(None).cast("int")})
+    return items.withColumns({"name": F.trim("title"), "description": own, "priority": F.lit(None).cast("string"), "story_point": F.lit(None).cast("int"), "due_date": F.lit(None).cast("string")})
 
 
 def infer_cap(n: Column) -> Column:
@@ -121,19 +122,23 @@ def format_task(action: Column, method: Column, endpoint: Column, behavior: Colu
 
 
 def collapse_updates(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """PUT and PATCH tasks of one action and path become one UPDATE task, from the preferred of them; other tasks stay, those without the form first."""
+    """PUT and PATCH tasks of one action and path become one UPDATE task, from the preferred of them.
+
+    All other tasks come first, in their order; then the PUT and PATCH tasks, group by group as the groups' first tasks stand, whether they
+    collapse or not. ord is numbered anew within by.
+    """
     p = parts(F.col("name"))
-    rows = tasks.withColumns(p)
-    plain = rows.where("action = ''").drop(*p)
-    group = Window.partitionBy(*by, "action", "endpoint", "is_behavior")
-    apis = rows.where("action <> ''").withColumn("both", F.array_contains(F.collect_set("method").over(group), "PUT") & F.array_contains(F.collect_set("method").over(group), "PATCH"))
-    changed = F.col("both") & F.col("method").isin("PUT", "PATCH")
-    best = Window.partitionBy(*by, "action", "endpoint", "is_behavior", changed).orderBy(*_preferred(), "ord")
-    apis = apis.withColumn("turn", F.row_number().over(best)).where(~changed | (F.col("turn") == 1))
-    name = F.when(changed, format_task(F.col("action"), F.lit("UPDATE"), F.col("endpoint"), F.col("is_behavior"))).otherwise(F.col("name"))
-    text = F.when(changed, F.regexp_replace("description", r"\b(PUT|PATCH)\b", "UPDATE")).otherwise(F.col("description"))
-    apis = apis.withColumn("description", text).withColumn("name", name)
-    return plain.unionByName(apis.select(*tasks.columns))
+    rows = tasks.withColumns(p).withColumn("late", (F.col("action") != "") & F.col("method").isin("PUT", "PATCH"))
+    group = Window.partitionBy(*by, "late", "action", "endpoint", "is_behavior")
+    methods = F.collect_set("method").over(group)
+    rows = rows.withColumns({"both": F.col("late") & F.array_contains(methods, "PUT") & F.array_contains(methods, "PATCH"), "first": F.min("ord").over(group), "turn": F.row_number().over(group.orderBy(*_preferred(), "ord"))})
+    rows = rows.where(~F.col("both") | (F.col("turn") == 1))
+    name = format_task(F.col("action"), F.lit("UPDATE"), F.col("endpoint"), F.col("is_behavior"))
+    path = F.concat(F.lit(r"(?i)\b(PUT|PATCH)\s+\Q"), "endpoint", F.lit(r"\E\b"))
+    text = F.regexp_replace(F.expr("regexp_replace(description, path, replace(concat('UPDATE ', endpoint), '$', '\\\\$'))"), r"(?i)\b(PUT|PATCH)\b", "UPDATE")
+    rows = rows.withColumn("path", path).withColumns({"name": F.when(F.col("both"), name).otherwise(F.col("name")), "description": F.when(F.col("both"), text).otherwise(F.col("description"))})
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("late", F.when(F.col("late"), F.col("first")), "ord"))
+    return rows.withColumn("ord", place.cast(tasks.schema["ord"].dataType)).select(*tasks.columns)
 
 
 def _preferred() -> list[Column]:
@@ -152,11 +157,12 @@ WORD = r"(?U)[\w/{}-]+"
 
 
 def primary(items: DataFrame, by: list[str]) -> DataFrame:
-    """Items that a job's mode must cover: its planning tasks, or its design's APIs and tables."""
+    """Items that a job's mode must cover: its planning tasks, or its design's APIs and tables. turn is their order: origin, source, title, then APIs before tables."""
     m = mode(items, by)
     kind, source = F.col("item_type"), F.col("source_file_type")
     wanted = ((F.col("mode") == "planning") & (kind == "task") & (source == "Planning")) | ((F.col("mode") == "design") & kind.isin("api", "db_schema") & (source == "Design"))
-    return items.join(m, by).where(wanted)
+    *first, ordinal = by_origin(items)
+    return items.join(m, by).where(wanted).withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(*first, kind == "db_schema", ordinal)))
 
 
 def related(items: DataFrame, tasks: DataFrame, by: list[str]) -> DataFrame:
@@ -228,27 +234,36 @@ def weak(name: Column, description: Column) -> Column:
 
 
 def issues(items: DataFrame, tasks: DataFrame, by: list[str]) -> DataFrame:
-    """The audit of each job: a row for each finding, with by, issue_id, level, issue_type, ref and message. Items need an id column `id`.
+    """The audit of each job in its order: by, place, issue_id, level, issue_type, message, signal_ref (id, type, title) and task_ref (name, intent, count, index).
 
-    Only what the job's mode must cover is looked for; checks of APIs are asked for in design mode.
+    Only what the job's mode must cover is looked for, by origin, source and title; then come duplicate intents as they first appear, weak
+    tasks, and in design mode APIs without a check by title. Items need an id column `id`.
     """
     own = primary(items, by)
     found = related(own, tasks, by)
+    none = F.lit(None)
+    signal = lambda i=none, t=none, title=none: F.struct(i.cast("string").alias("id"), t.cast("string").alias("type"), title.cast("string").alias("title"))
+    task = lambda name=none, intent=none, n=none, k=none: F.struct(name.cast("string").alias("name"), intent.cast("string").alias("intent"), n.cast("long").alias("count"), k.cast("long").alias("index"))
+    no_signal, no_task = none.cast("struct<id:string,type:string,title:string>"), none.cast("struct<name:string,intent:string,count:bigint,index:bigint>")
 
-    def row(df: DataFrame, issue: Column, level: str, kind: str, ref: Column, message: Column) -> DataFrame:
-        return df.select(*by, issue.alias("issue_id"), F.lit(level).alias("level"), F.lit(kind).alias("issue_type"), ref.cast("string").alias("ref"), message.alias("message"))
+    def row(df: DataFrame, part: int, turn: Column, issue: Column, level: str, kind: str, message: Column, s: Column, t: Column) -> DataFrame:
+        o = F.struct(F.lit(part).alias("a"), turn.cast("long").alias("b"), issue.alias("c"))
+        return df.select(*by, o.alias("o"), issue.alias("issue_id"), F.lit(level).alias("level"), F.lit(kind).alias("issue_type"), message.alias("message"), s.alias("signal_ref"), t.alias("task_ref"))
 
-    lit, cat = F.lit, F.concat
+    lit, cat, col = F.lit, F.concat, F.col
+    ref = signal(col("id"), col("item_type"), col("title"))
     place = F.row_number().over(Window.partitionBy(*by).orderBy("ord"))
-    frail = tasks.withColumn("place", place).where(weak(F.col("name"), F.col("description")))
-    unchecked = missing_checks(tasks, by).join(mode(items, by).where("mode = 'design'").select(*by), by, "left_semi")
-    return (
-        row(missing(own, found, by), cat(lit("cov-missing-"), "id"), "ERROR", "MISSING_COVERAGE", F.col("id"), cat(lit("Missing coverage for primary item: "), "title"))
-        .unionByName(row(mismatched(own, tasks, found, by), cat(lit("cov-source-"), "id"), "ERROR", "SOURCE_MISMATCH", F.col("id"), lit("Task source lineage does not match covered primary signal")))
-        .unionByName(row(duplicate_intents(tasks, by), cat(lit("cov-dup-"), F.substring("intent", 1, 24)), "ERROR", "DUPLICATE_INTENT", F.col("intent"), cat(lit("Duplicate task intent detected: "), "intent")))
-        .unionByName(row(frail, cat(lit("cov-weak-"), F.col("place").cast("string")), "WARNING", "WEAK_TASK", F.col("name"), lit("Task name/description is too weak for deterministic coverage")))
-        .unionByName(row(unchecked, cat(lit("cov-qc-"), F.substring(T.task_text(F.col("api")), 1, 24)), "ERROR", "MISSING_COVERAGE", F.col("api"), cat(lit("Missing QC task for API: "), "api")))
+    frail = tasks.withColumn("place", place).where(weak(col("name"), col("description")))
+    unchecked = missing_checks(tasks, by).join(mode(items, by).where("mode = 'design'").select(*by), by, "left_semi").withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy("api")))
+    differ = mismatched(own, tasks, found, by).join(tasks.select(*by, col("ord").alias("task_ord"), "name"), [*by, "task_ord"])
+    every = (
+        row(missing(own, found, by), 0, col("turn"), cat(lit("cov-missing-"), "id"), "ERROR", "MISSING_COVERAGE", cat(lit("Missing coverage for primary item: "), "title"), ref, no_task)
+        .unionByName(row(differ, 0, col("turn"), cat(lit("cov-source-"), "id"), "ERROR", "SOURCE_MISMATCH", lit("Task source lineage does not match covered primary signal"), ref, task(col("name"))))
+        .unionByName(row(duplicate_intents(tasks, by), 1, col("first_ord"), cat(lit("cov-dup-"), F.substring("intent", 1, 24)), "ERROR", "DUPLICATE_INTENT", cat(lit("Duplicate task intent detected: "), "intent"), no_signal, task(intent=col("intent"), n=col("n"))))
+        .unionByName(row(frail, 2, col("place"), cat(lit("cov-weak-"), col("place").cast("string")), "WARNING", "WEAK_TASK", lit("Task name/description is too weak for deterministic coverage"), no_signal, task(col("name"), k=col("place"))))
+        .unionByName(row(unchecked, 3, col("turn"), cat(lit("cov-qc-"), F.substring(T.task_text(col("api")), 1, 24)), "ERROR", "MISSING_COVERAGE", cat(lit("Missing QC task for API: "), "api"), signal(t=lit("api"), title=col("api")), no_task))
     )
+    return every.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("o")).cast("long")).select(*by, "place", "issue_id", "level", "issue_type", "message", "signal_ref", "task_ref")
 
 
 def summary(items: DataFrame, tasks: DataFrame, by: list[str]) -> DataFrame:
@@ -264,29 +279,47 @@ def summary(items: DataFrame, tasks: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("ratio", F.when(F.col("primary_total") == 0, 1.0).otherwise(F.col("covered_total") / F.col("primary_total"))).select(*by, *counts, "ratio")
 
 
-def repair(items: DataFrame, tasks: DataFrame, by: list[str]) -> DataFrame:
-    """A task for each primary item that none covers, and in design mode a check for each API that has none: by, ord, TASK (ord of the item; null for checks)."""
+def _repairs(items: DataFrame, tasks: DataFrame, by: list[str]) -> DataFrame:
     own = primary(items, by)
-    lost = as_task(missing(own, related(own, tasks, by), by)).select(*by, F.col("ord").cast("long").alias("ord"), *TASK)
+    lost = as_task(missing(own, related(own, tasks, by), by)).select(*by, F.col("ord").cast("long").alias("ord"), *TASK, "turn", F.lit("").alias("api"))
     api, lit = F.col("api"), F.lit
     unchecked = missing_checks(tasks, by).join(mode(items, by).where("mode = 'design'").select(*by), by, "left_semi").where("api <> ''")
     text = F.concat(lit("Write and execute API tests for "), api, lit(", including success and failure paths"))
     checks = unchecked.select(
         *by, lit(None).cast("long").alias("ord"), F.concat(lit("Verify "), api, lit(" behavior")).alias("name"), text.alias("description"), lit("derived").alias("signal_origin"), lit("unknown").alias("source_file_name"),
-        lit("Design").alias("source_file_type"), lit("MEDIUM").alias("priority"), lit(2).alias("story_point"),
+        lit("Design").alias("source_file_type"), lit("MEDIUM").alias("priority"), lit(2).alias("story_point"), lit(None).cast("string").alias("due_date"), lit(None).cast("int").alias("turn"), "api",
     )
     return lost.unionByName(checks)
 
 
+def repair(items: DataFrame, tasks: DataFrame, by: list[str]) -> DataFrame:
+    """A task for each primary item that none covers, and in design mode a check for each API that has none: by, ord, TASK (ord of the item; null for checks)."""
+    return _repairs(items, tasks, by).select(*by, "ord", *TASK)
+
+
+#: How often a list is audited and repaired at most.
+ROUNDS = 3
+
+
 def with_repairs(items: DataFrame, tasks: DataFrame, by: list[str]) -> DataFrame:
-    """tasks and their repairs, after them in order of item and name, the first of each name. by, ord, TASK.
+    """tasks and their repairs, after them: primary items in their order, then checks by API; the first of each name. by, ord, TASK.
 
-    One pass: a repair bears its item's title, so the next audit finds it covered, and what it cannot cover (a title without words) it cannot add twice.
+    Repairs may need checks of their own, so jobs that got any are audited again, ROUNDS times in all; the others are settled and not read again.
     """
-    last = tasks.groupBy(*by).agg(F.max("ord").alias("last"))
-    turn = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("ord").asc_nulls_last(), "name"))
-    more = repair(items, tasks, by).withColumn("turn", turn).join(last, by, "left").withColumn("ord", F.coalesce("last", F.lit(0).cast("long")) + F.col("turn"))
-    return dedupe(tasks.select(*by, "ord", *TASK).unionByName(more.select(*by, "ord", *TASK)), by)
+    if "due_date" not in tasks.columns:
+        tasks = tasks.withColumn("due_date", F.lit(None).cast("string"))
+    out = cut(tasks.select(*by, "ord", *TASK))
+    left = items
+    for _ in range(ROUNDS):
+        last = out.groupBy(*by).agg(F.max("ord").alias("last"))
+        turn = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("turn").asc_nulls_last(), "api"))
+        more = _repairs(left, out.join(left.select(*by).distinct(), by, "left_semi"), by).withColumn("n", turn).join(last, by, "left").withColumn("ord", F.coalesce("last", F.lit(0).cast("long")) + F.col("n"))
+        more = cut(more.select(*by, "ord", *TASK))
+        if more.isEmpty():
+            break
+        out = cut(dedupe(out.unionByName(more), by))
+        left = left.join(more.select(*by).distinct(), by, "left_semi")
+    return out
 
 
 def signature_set(tasks: DataFrame, by: list[str]) -> DataFrame:
@@ -307,6 +340,20 @@ def dedup_is_safe(before: DataFrame, after: DataFrame, by: list[str]) -> DataFra
     return n.select(*by, ((F.col("m") > 0) & (F.col("m") <= F.col("n")) & (F.col("d") == 0)).alias("ok"))
 
 
+def semantic_dedupe(tasks: DataFrame, answers: DataFrame, by: list[str]) -> DataFrame:
+    """Each job's tasks as its first safe answer shortens them, or as they are. answers: by, attempt, ord, TASK; jobs of one task are not asked about.
+
+    An answer is safe by dedup_is_safe(): all versions of a job are tested side by side, and the attempt that counts is the least of the safe ones.
+    """
+    own = [*by, "attempt"]
+    asked = tasks.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+    answers = answers.join(asked, by, "left_semi")
+    before = tasks.join(answers.select(*own).distinct(), by)
+    chosen = dedup_is_safe(before, answers, own).where("ok").groupBy(*by).agg(F.min("attempt").alias("attempt"))
+    taken = answers.join(chosen, own, "left_semi").select(*tasks.columns)
+    return tasks.join(chosen, by, "left_anti").unionByName(taken)
+
+
 def flattened(rows: DataFrame, by: list[str]) -> DataFrame:
     """Items of a canonical model one by one: those of no feature first, then feature by feature. rows: by, f_ord, tasks, apis, database (arrays of ord, title).
 

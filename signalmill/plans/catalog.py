@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions import fixed as X
@@ -295,14 +295,13 @@ def x23_extraction_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def x23_t1_files_to_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flow from markdown files to an audited list of tasks: a file is a job; each signal is a cluster of its own but for equal APIs."""
+    """The flow from markdown files to an audited list of tasks; several files are a job: extract, normalize, embed, cluster, prune, merge, link, synthesize, repair."""
     from signalmill.plans import pipeline
 
     named = X_.extracted(text_lines(spark, sf_dir)).withColumnRenamed("file_name", "source_file_name")
-    normal = I.normalized(named)
-    apis = I.cluster_apis(normal.where("item_type = 'api'"), ["source_file_name"]).drop("signature")
-    every = apis.unionByName(normal.where("item_type <> 'api'").withColumn("cluster_id", F.lit(None).cast("string")))
-    return pipeline.plan(every.withColumn("job_id", F.col("source_file_name")), JOB)
+    jobs = named.withColumn("job_id", F.regexp_extract("source_file_name", r"#(\d)", 1))
+    place = F.row_number().over(Window.partitionBy("job_id", "item_type").orderBy("source_file_name", "ord"))
+    return pipeline.plan(pipeline.clustered(jobs.withColumn("ord", place), JOB), JOB)
 
 
 # Titles and endpoints.
@@ -688,8 +687,6 @@ def a11_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S + " SELECT ord, row_number() OVER (PARTITION BY job_id ORDER BY CASE signal_origin WHEN 'explicit' THEN 0 WHEN 'derived' THEN 1 ELSE 2 END, CASE source_file_type WHEN 'Planning' THEN 0 WHEN 'Design' THEN 1 ELSE 2 END, lower(title), ord) AS place FROM s")
 def o1_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     return signals(spark, sf_dir).select("ord", F.row_number().over(Window.partitionBy("job_id").orderBy(*K.by_origin(signals(spark, sf_dir)))).alias("place"))
 
 
@@ -717,12 +714,12 @@ def t2_planning_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{S}, {AS_TASKS} SELECT job_id, part, ord, k, name, description, priority, story_point, signal_origin, source_file_name, source_file_type FROM d")
 def t3_design_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.design_tasks(signals(spark, sf_dir), JOB)
+    return K.design_tasks(signals(spark, sf_dir), JOB).drop("due_date")
 
 
 @query(f"{S}, {AS_TASKS} SELECT job_id, ord, k, name, description, priority, story_point, signal_origin, source_file_name, source_file_type FROM ft")
 def t4_feature_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.feature_tasks(signals(spark, sf_dir), JOB)
+    return K.feature_tasks(signals(spark, sf_dir), JOB).drop("due_date")
 
 
 MODES = """md AS (SELECT job_id, CASE WHEN max(CASE WHEN source_file_type = 'Planning' AND item_type = 'task' THEN 1 ELSE 0 END) = 1 THEN 'planning' WHEN max(CASE WHEN source_file_type = 'Design' AND item_type IN ('api', 'db_schema') THEN 1 ELSE 0 END) = 1 THEN 'design' WHEN max(CASE WHEN source_file_type = 'Requirement' AND item_type = 'feature' THEN 1 ELSE 0 END) = 1 THEN 'requirement' ELSE 'empty' END AS mode FROM s GROUP BY job_id)"""
@@ -739,17 +736,27 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH s AS ({ITEMS}), {MADE} SELECT job_id, ord, name, description, priority, story_point, signal_origin, source_file_name, source_file_type FROM mt")
 def t5_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every job's tasks by its mode, in order."""
-    return K.deterministic(items(spark, sf_dir), JOB)
+    return K.deterministic(items(spark, sf_dir), JOB).drop("due_date")
 
 
 PARTS = f"""{TK}, p AS (SELECT *, regexp_extract(name, {D.q(X.API_TASK)}, 1) AS action, regexp_extract(name, {D.q(X.API_TASK)}, 2) AS method, regexp_extract(name, {D.q(X.API_TASK)}, 3) AS endpoint, regexp_extract(name, {D.q(X.API_TASK)}, 4) <> '' AS beh FROM t)"""
 
 
-@query(PARTS + """, g AS (SELECT *, count_if(method = 'PUT') OVER w > 0 AND count_if(method = 'PATCH') OVER w > 0 AND method IN ('PUT', 'PATCH') AS ch FROM p WHERE action <> '' WINDOW w AS (PARTITION BY job_id, action, endpoint, beh)),
-r AS (SELECT *, row_number() OVER (PARTITION BY job_id, action, endpoint, beh, ch ORDER BY CASE signal_origin WHEN 'explicit' THEN 0 WHEN 'derived' THEN 1 ELSE 2 END, CASE source_file_type WHEN 'Requirement' THEN 0 WHEN 'Design' THEN 1 ELSE 2 END, ord) AS n FROM g)
-SELECT ord, name FROM p WHERE action = '' UNION ALL SELECT ord, CASE WHEN ch THEN concat(action, ' UPDATE ', endpoint, CASE WHEN beh THEN ' behavior' ELSE '' END) ELSE name END FROM r WHERE NOT ch OR n = 1""")
+def _collapsed(source: str, to: str, more: str = "") -> str:
+    """CTE `to`: tasks of a table with action, method, endpoint and beh, PUT and PATCH as UPDATE behind all others; ord anew in each job."""
+    group = "PARTITION BY job_id, late, action, endpoint, beh"
+    words = "regexp_replace(regexp_replace(description, concat('\\b(PUT|PATCH)\\s+', regexp_escape(endpoint), '\\b'), concat('UPDATE ', endpoint), 'gi'), '\\b(PUT|PATCH)\\b', 'UPDATE', 'gi')"
+    return f"""{to}l AS (SELECT *, action <> '' AND method IN ('PUT', 'PATCH') AS late FROM {source}),
+{to}g AS (SELECT *, late AND count_if(method = 'PUT') OVER ({group}) > 0 AND count_if(method = 'PATCH') OVER ({group}) > 0 AS ch, min(ord) OVER ({group}) AS head,
+ row_number() OVER ({group} ORDER BY CASE signal_origin WHEN 'explicit' THEN 0 WHEN 'derived' THEN 1 ELSE 2 END, CASE source_file_type WHEN 'Requirement' THEN 0 WHEN 'Design' THEN 1 ELSE 2 END, ord) AS turn FROM {to}l),
+{to} AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY late, CASE WHEN late THEN head END, ord) AS ord, CASE WHEN ch THEN concat(action, ' UPDATE ', endpoint, CASE WHEN beh THEN ' behavior' ELSE '' END) ELSE name END AS name,
+ CASE WHEN ch THEN {words} ELSE description END AS description, signal_origin, source_file_name, source_file_type{more} FROM {to}g WHERE NOT ch OR turn = 1)"""
+
+
+@query(PARTS + ", " + _collapsed("p", "c") + " SELECT job_id, ord AS place, name, description FROM c")
 def a14_collapse_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.collapse_updates(tasks(spark, sf_dir), JOB).select("ord", "name")
+    """PUT and PATCH as one, in the order of the list that comes out."""
+    return K.collapse_updates(tasks(spark, sf_dir), JOB).select("job_id", F.col("ord").alias("place"), "name", "description")
 
 
 @query(TK + ", r AS (SELECT *, row_number() OVER (PARTITION BY source_file_name ORDER BY CASE signal_origin WHEN 'explicit' THEN 0 WHEN 'derived' THEN 1 ELSE 2 END, CASE source_file_type WHEN 'Requirement' THEN 0 WHEN 'Design' THEN 1 ELSE 2 END, ord) AS n FROM t) SELECT source_file_name, ord, name FROM r WHERE n = 1")
@@ -774,6 +781,22 @@ def f15_dedup_is_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.dedup_is_safe(t, K.collapse_updates(kept, JOB), JOB)
 
 
+SAFE = lambda a, b, n: f"{b}d AS (SELECT job_id, count(*) AS d FROM ((FROM {a} EXCEPT FROM {b}) UNION ALL (FROM {b} EXCEPT FROM {a})) GROUP BY job_id), {b}n AS (SELECT job_id, count(*) AS m FROM {n} GROUP BY job_id), {b}k AS (SELECT job_id FROM {b}n LEFT JOIN {b}d USING (job_id) WHERE coalesce(d, 0) = 0)"
+
+
+@query(PARTS + f""", p1 AS (SELECT * FROM p WHERE CASE job_id % 1200 WHEN 400 THEN NOT starts_with(name, 'Verify ') WHEN 800 THEN ord % 4 <> 1 ELSE false END), p2 AS (SELECT * FROM p WHERE job_id % 1200 <> 0 AND (action <> '' OR ord % 3 > 0)),
+{SIGSET('p', 'a')}, {SIGSET('p1', 'b')}, {SIGSET('p2', 'c')}, {SAFE('a', 'b', 'p1')}, {SAFE('a', 'c', 'p2')}
+SELECT job_id, ord, name FROM p1 WHERE job_id IN (FROM bk) UNION ALL SELECT job_id, ord, name FROM p2 WHERE job_id NOT IN (FROM bk) AND job_id IN (FROM ck) UNION ALL SELECT job_id, ord, name FROM p WHERE job_id NOT IN (FROM bk) AND job_id NOT IN (FROM ck)""")
+def t1_semantic_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two answers to each list: jobs whose first has lost checks and counts not, jobs whose first is safe, jobs without any."""
+    t = tasks(spark, sf_dir)
+    j, api = F.col("job_id") % 1200, F.col("name").rlike("(?i)" + X.API_TASK)
+    first = t.where(((j == 400) & ~F.col("name").startswith("Verify ")) | ((j == 800) & (F.col("ord") % 4 != 1)))
+    second = t.where((j != 0) & (api | (F.col("ord") % 3 > 0)))
+    answers = first.withColumn("attempt", F.lit(1)).unionByName(second.withColumn("attempt", F.lit(2)))
+    return K.semantic_dedupe(t, answers, JOB).select("job_id", "ord", "name")
+
+
 CHECKS = f"""bu AS (SELECT DISTINCT job_id, trim(substr(trim(name), 11)) AS api FROM t WHERE starts_with(lower(trim(name)), 'implement ')), te AS (SELECT DISTINCT job_id, trim(regexp_replace(trim(regexp_replace(trim(name), {D.q('(?i)' + X.VERIFY_PREFIX)}, '')), {D.q('(?i)' + X.BEHAVIOR_SUFFIX)}, '')) AS api FROM t WHERE starts_with(lower(trim(name)), 'verify ') OR contains(lower(name), ' test') OR contains(lower(name), 'testing')),
 mc AS (SELECT job_id, api FROM bu WHERE (job_id, api) NOT IN (SELECT (job_id, api) FROM te WHERE api <> ''))"""
 
@@ -838,18 +861,23 @@ def f13_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, NAMES).select("ord", K.weak(F.col("name"), F.col("description")).alias("weak"))
 
 
+RANKS = "CASE signal_origin WHEN 'explicit' THEN 0 WHEN 'derived' THEN 1 ELSE 2 END, CASE source_file_type WHEN 'Planning' THEN 0 WHEN 'Design' THEN 1 ELSE 2 END, lower(title)"
 AUDIT = OWN + f""", {CHECKS}, {INTENTS.replace("n AS (SELECT job_id, ord, array", "nn AS (SELECT job_id, ord, array")}, wk AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ord) AS place, {W('name')} AS ws FROM t),
-qc AS (SELECT mc.* FROM mc JOIN md USING (job_id) WHERE mode = 'design'),
-au AS (SELECT job_id, concat('cov-missing-', id) AS issue_id, 'ERROR' AS level, 'MISSING_COVERAGE' AS issue_type, id AS ref, concat('Missing coverage for primary item: ', title) AS message FROM i WHERE (job_id, ord) NOT IN (SELECT (job_id, ord) FROM r)
- UNION ALL SELECT job_id, concat('cov-source-', id), 'ERROR', 'SOURCE_MISMATCH', id, 'Task source lineage does not match covered primary signal' FROM r WHERE n = 1 AND (signal_origin <> o2 OR source_file_name <> f2 OR source_file_type <> t2)
- UNION ALL SELECT job_id, concat('cov-dup-', left(intent, 24)), 'ERROR', 'DUPLICATE_INTENT', intent, concat('Duplicate task intent detected: ', intent) FROM nn WHERE intent <> '' GROUP BY job_id, intent HAVING count(*) > 1
- UNION ALL SELECT job_id, concat('cov-weak-', place), 'WARNING', 'WEAK_TASK', name, 'Task name/description is too weak for deterministic coverage' FROM wk WHERE {WEAK}
- UNION ALL SELECT job_id, concat('cov-qc-', left({D.task_text('api')}, 24)), 'ERROR', 'MISSING_COVERAGE', api, concat('Missing QC task for API: ', api) FROM qc)"""
+qc AS (SELECT mc.* FROM mc JOIN md USING (job_id) WHERE mode = 'design'), tn AS (SELECT pi.job_id, pi.ord, pi.item_type, row_number() OVER (PARTITION BY pi.job_id ORDER BY {RANKS}, item_type = 'db_schema', ord) AS turn FROM pi),
+au AS (SELECT job_id, 0 AS a, turn AS b, concat('cov-missing-', id) AS issue_id, 'ERROR' AS level, 'MISSING_COVERAGE' AS issue_type, concat('Missing coverage for primary item: ', title) AS message, id AS signal_id, item_type AS signal_type, title AS signal_title, NULL AS task_name, NULL AS intent, NULL AS n, NULL AS k FROM i JOIN tn USING (job_id, ord) WHERE (job_id, ord) NOT IN (SELECT (job_id, ord) FROM r)
+ UNION ALL SELECT r.job_id, 0, turn, concat('cov-source-', id), 'ERROR', 'SOURCE_MISMATCH', 'Task source lineage does not match covered primary signal', id, item_type, title, t.name, NULL, NULL, NULL FROM r JOIN tn ON tn.job_id = r.job_id AND tn.ord = r.ord JOIN t ON t.job_id = r.job_id AND t.ord = r.task_ord WHERE n = 1 AND (r.signal_origin <> o2 OR r.source_file_name <> f2 OR r.source_file_type <> t2)
+ UNION ALL SELECT job_id, 1, min(ord), concat('cov-dup-', left(intent, 24)), 'ERROR', 'DUPLICATE_INTENT', concat('Duplicate task intent detected: ', intent), NULL, NULL, NULL, NULL, intent, count(*), NULL FROM nn WHERE intent <> '' GROUP BY job_id, intent HAVING count(*) > 1
+ UNION ALL SELECT job_id, 2, place, concat('cov-weak-', place), 'WARNING', 'WEAK_TASK', 'Task name/description is too weak for deterministic coverage', NULL, NULL, NULL, name, NULL, NULL, place FROM wk WHERE {WEAK}
+ UNION ALL SELECT job_id, 3, row_number() OVER (PARTITION BY job_id ORDER BY api), concat('cov-qc-', left({D.task_text('api')}, 24)), 'ERROR', 'MISSING_COVERAGE', concat('Missing QC task for API: ', api), NULL, 'api', api, NULL, NULL, NULL, NULL FROM qc)"""
 
 
-@query(AUDIT + " SELECT * FROM au")
+@query(AUDIT + " SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY a, b, issue_id) AS place, issue_id, level, issue_type, message, signal_id, signal_type, signal_title, task_name, intent, n AS intent_count, k AS task_index FROM au")
 def t6_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.issues(_audited(spark, sf_dir), tasks(spark, sf_dir), JOB)
+    """The audit's findings in order, with what they refer to."""
+    found = K.issues(_audited(spark, sf_dir), tasks(spark, sf_dir), JOB)
+    s, t = "signal_ref", "task_ref"
+    refs = {"signal_id": f"{s}.id", "signal_type": f"{s}.type", "signal_title": f"{s}.title", "task_name": f"{t}.name", "intent": f"{t}.intent", "intent_count": f"{t}.count", "task_index": f"{t}.index"}
+    return found.select("job_id", "place", "issue_id", "level", "issue_type", "message", *(F.col(c).alias(n) for n, c in refs.items()))
 
 
 @query(AUDIT + """, h AS (SELECT job_id, count(*) AS primary_total, count(*) FILTER ((job_id, ord) IN (SELECT (job_id, ord) FROM r)) AS covered_total FROM i GROUP BY job_id),
@@ -866,7 +894,7 @@ REPAIRS = """rp AS (SELECT i.job_id, i.ord, trim(pi.title) AS name, coalesce(nul
 
 @query(OWN + f", {CHECKS}, {REPAIRS} SELECT * FROM rp")
 def j12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.repair(_audited(spark, sf_dir), tasks(spark, sf_dir), JOB)
+    return K.repair(_audited(spark, sf_dir), tasks(spark, sf_dir), JOB).drop("due_date")
 
 
 @query(TK + ", n AS (SELECT *, row_number() OVER (PARTITION BY source_file_name, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) ORDER BY ord) AS n FROM t) SELECT ord, name FROM n WHERE n = 1")
@@ -886,18 +914,37 @@ API_PARTS = f"regexp_extract(name, {D.q(X.API_TASK)}, 1) AS action, regexp_extra
 TASK = "name, description, signal_origin, source_file_name, source_file_type, priority, story_point"
 
 
-@query(f"""WITH b0 AS ({ITEMS}), {_merged_sql('b0')}, s AS (SELECT job_id, item_type, ord, title, description, signal_origin, source_file_name, source_file_type FROM qm), {MADE},
+def _vectors_sql(rows: str, to: str) -> str:
+    """CTE `to`: job_id, ord and the hashed vector of each row's title and description (its length does not matter to cosines)."""
+    words = "regexp_extract_all(translate(concat_ws(chr(10), nullif(trim(title), ''), nullif(trim(description), '')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""{to}w AS (SELECT job_id, ord, unnest({words}) AS w FROM {rows}), {to}h AS (SELECT job_id, ord, concat('0x', substr(md5(w), 1, 8))::BIGINT AS h FROM {to}w), {to}c AS (SELECT job_id, ord, h % 64 AS k, sum(1 - 2 * ((h // 64) % 2)) AS v FROM {to}h GROUP BY ALL),
+{to} AS (SELECT g.job_id, g.ord, list(coalesce(v, 0)::DOUBLE ORDER BY g.k) AS vec FROM (SELECT job_id, ord, unnest(range(64)) AS k FROM {rows}) g LEFT JOIN {to}c USING (job_id, ord, k) GROUP BY ALL)"""
+
+
+#: Merged items qm to s: APIs by contract and identity, then numbered in their job; links by names, words, vectors and tasks; in order of the features.
+PLACED = f"""da AS (SELECT * REPLACE (CASE WHEN item_type = 'api' THEN upper(split_part(title, ' ', 1)) || ' ' || {D.path("split_part(title, ' ', 2)", D.DISPLAY)} ELSE title END AS title), CASE WHEN item_type = 'api' THEN lower(upper(split_part(title, ' ', 1)) || ' ' || {D.path("split_part(title, ' ', 2)", D.IDENTITY)}) END AS identity FROM qm),
+db AS (SELECT *, row_number() OVER (PARTITION BY job_id, item_type, identity ORDER BY ord) AS n1 FROM da WHERE identity IS NULL OR regexp_matches(identity, {D.q('(?i)' + X.CONTRACT)})),
+dm AS (SELECT * REPLACE (row_number() OVER (PARTITION BY job_id ORDER BY ord, item_type) AS ord) FROM db WHERE identity IS NULL OR n1 = 1), {_vectors_sql('dm', 'ev')},
+i AS (SELECT dm.job_id, dm.ord, item_type, {D.phrase('title')} AS p, {D.tokens("concat_ws(' ', title, description)")} AS t, vec FROM dm JOIN ev USING (job_id, ord) WHERE item_type <> 'feature'),
+f AS (SELECT dm.job_id, dm.ord AS f_ord, list_concat([{D.phrase('title')}], list_transform(string_split(aliases, '|'), lambda z: {D.phrase('z')})) AS names, {D.tokens("concat_ws(' ', title, replace(aliases, '|', ' '), description)")} AS ft, vec AS e2 FROM dm JOIN ev USING (job_id, ord) WHERE item_type = 'feature'),
+x AS (SELECT job_id, ord, f_ord, p, names, CASE WHEN len(t) = 0 OR len(ft) = 0 THEN 0 ELSE len(list_intersect(t, ft)) / greatest(len(t), len(ft)) END AS score, list_cosine_similarity(vec, e2) AS cs FROM i JOIN f USING (job_id)),
+l1 AS (SELECT job_id, ord, f_ord, 0 AS step, score FROM x WHERE p <> '' AND len(list_filter(names, lambda z: z <> '' AND (contains(p, z) OR contains(z, p)))) > 0 UNION ALL SELECT job_id, ord, f_ord, 1, score FROM x WHERE score >= 0.2 UNION ALL SELECT job_id, ord, f_ord, 2, cs FROM x WHERE cs >= 0.5),
+l2 AS (SELECT job_id, ord, f_ord FROM l1 QUALIFY row_number() OVER (PARTITION BY job_id, ord ORDER BY step, score DESC, f_ord) = 1), l0 AS (SELECT i.*, l2.f_ord FROM i LEFT JOIN l2 USING (job_id, ord)),
+l3 AS (SELECT a.job_id, a.ord, b.ord AS task_ord, b.f_ord, CASE WHEN len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) >= 0.25 THEN len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) ELSE list_cosine_similarity(a.vec, b.vec) END AS score FROM l0 a JOIN l0 b USING (job_id) WHERE a.f_ord IS NULL AND a.item_type <> 'task' AND b.item_type = 'task'),
+l4 AS (SELECT job_id, ord, f_ord FROM l3 WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY job_id, ord ORDER BY score DESC, task_ord) = 1),
+s AS (SELECT dm.job_id, item_type, row_number() OVER (PARTITION BY dm.job_id, item_type ORDER BY coalesce(l2.f_ord, l4.f_ord) NULLS FIRST, dm.ord) AS ord, title, description, signal_origin, source_file_name, source_file_type FROM dm LEFT JOIN l2 USING (job_id, ord) LEFT JOIN l4 USING (job_id, ord))"""
+
+
+@query(f"""WITH b0 AS ({ITEMS}), {_merged_sql('b0')}, {PLACED}, {MADE},
 t AS (SELECT * FROM mt QUALIFY row_number() OVER (PARTITION BY job_id, {KEY} ORDER BY ord) = 1),
-pi AS (SELECT s.*, '' AS id FROM s JOIN md USING (job_id) WHERE (mode = 'planning' AND item_type = 'task' AND source_file_type = 'Planning') OR (mode = 'design' AND item_type IN ('api', 'db_schema') AND source_file_type = 'Design')),
-{REL}, {CHECKS}, {REPAIRS}, mx AS (SELECT job_id, max(ord) AS last FROM t GROUP BY job_id),
+pi0 AS (SELECT s.*, row_number() OVER (PARTITION BY job_id ORDER BY {RANKS}, item_type = 'db_schema', ord) AS turn FROM s JOIN md USING (job_id) WHERE (mode = 'planning' AND item_type = 'task' AND source_file_type = 'Planning') OR (mode = 'design' AND item_type IN ('api', 'db_schema') AND source_file_type = 'Design')),
+pi AS (SELECT * REPLACE (turn AS ord), '' AS id FROM pi0),
+{REL.replace("i AS (SELECT", "i9 AS (SELECT").replace("SELECT i.*", "SELECT i9.*").replace("FROM i JOIN k ON k.job_id = i.job_id", "FROM i9 JOIN k9 ON k9.job_id = i9.job_id").replace("k.* EXCLUDE", "k9.* EXCLUDE").replace("k AS (SELECT job_id", "k9 AS (SELECT job_id").replace("x AS (SELECT", "x9 AS (SELECT").replace("FROM x WHERE", "FROM x9 WHERE")}, {CHECKS}, {REPAIRS.replace("FROM i JOIN pi ON pi.job_id = i.job_id AND pi.ord = i.ord", "FROM i9 i JOIN pi ON pi.job_id = i.job_id AND pi.ord = i.ord")}, mx AS (SELECT job_id, max(ord) AS last FROM t GROUP BY job_id),
 al2 AS (SELECT job_id, ord, {TASK} FROM t UNION ALL SELECT rp.job_id, coalesce(last, 0) + row_number() OVER (PARTITION BY rp.job_id ORDER BY rp.ord NULLS LAST, name), {TASK} FROM rp LEFT JOIN mx ON mx.job_id = rp.job_id),
-d2 AS (SELECT *, {API_PARTS} FROM al2 QUALIFY row_number() OVER (PARTITION BY job_id, {KEY} ORDER BY ord) = 1),
-g2 AS (SELECT *, count_if(method = 'PUT') OVER w > 0 AND count_if(method = 'PATCH') OVER w > 0 AND method IN ('PUT', 'PATCH') AND action <> '' AS ch FROM d2 WINDOW w AS (PARTITION BY job_id, action, endpoint, beh)),
-u2 AS (SELECT *, row_number() OVER (PARTITION BY job_id, action, endpoint, beh, ch ORDER BY CASE signal_origin WHEN 'explicit' THEN 0 WHEN 'derived' THEN 1 ELSE 2 END, CASE source_file_type WHEN 'Requirement' THEN 0 WHEN 'Design' THEN 1 ELSE 2 END, ord) AS n FROM g2),
-e2 AS (SELECT job_id, ord, CASE WHEN ch THEN concat(action, ' UPDATE ', endpoint, CASE WHEN beh THEN ' behavior' ELSE '' END) ELSE name END AS name, CASE WHEN ch THEN regexp_replace(description, '\\b(PUT|PATCH)\\b', 'UPDATE', 'g') ELSE description END AS description, signal_origin, source_file_name, source_file_type, priority, story_point FROM u2 WHERE NOT ch OR n = 1)
+d2 AS (SELECT *, {API_PARTS} FROM al2 QUALIFY row_number() OVER (PARTITION BY job_id, {KEY} ORDER BY ord) = 1), {_collapsed("d2", "e2", ", priority, story_point")}
 SELECT job_id, ord, {TASK} FROM e2 QUALIFY row_number() OVER (PARTITION BY job_id, {KEY} ORDER BY ord) = 1""")
 def signal_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From clustered signals to tasks, job by job: merge, synthesize by mode, audit and repair, collapse updates, dedupe."""
+    """From clustered signals to tasks, job by job: merge, link, synthesize by mode, audit and repair, collapse updates, dedupe. No task has a due date here."""
     from signalmill.plans import pipeline
 
-    return pipeline.plan(items(spark, sf_dir), JOB)
+    return pipeline.plan(items(spark, sf_dir), JOB).drop("due_date")
