@@ -1,15 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
-Every text gets integer features. A rule rejects a text whose ratio of two features goes beyond a cutoff. The cutoffs
-come from labelled rows: for each stratum (language) and rule the cutoffs of a fixed grid are tried from the most
-lenient to the strictest. A cutoff is certified while the exact (Clopper-Pearson) upper bound on the share of good texts
-that it would reject stays within the rule's part of RISK. The grid is tested in that fixed order and testing stops at the first cutoff that
-is not certified, so the grid costs no further error; strata times rules are corrected for by Bonferroni. The rules share RISK evenly, so
-with probability 1 - DELTA no stratum loses more than RISK of its good texts to all rules together. A rule that no cutoff is certified for
-does not reject anything, so strata with few labels keep their texts.
+Every text gets integer features. A rule rejects a text whose ratio of two features goes beyond a cutoff. The rules' cutoffs move
+together along one fixed path of LEVELS vectors, from lenient to strict, and what counts is the union of what they reject. For each stratum
+(language) the levels are tried in that order: a level is certified while the exact (Clopper-Pearson) upper bound on the share of good
+texts that all rules together reject stays within RISK, and testing stops at the first level that is not. A fixed sequence costs no
+further error, and as the bound is on the union, RISK is not shared out among rules. Strata are corrected for by Bonferroni.
 
-A trial is a text: rows that repeat a labelled text, under whatever ids, count once. All labelled texts count; they are added up to one row
-for each stratum, so nothing else reaches the driver.
+Strata with too few good texts to certify a level even if none were rejected are pooled, by their sizes alone, into one stratum with a certificate of its
+own; a language that labels do not know goes by the pool's level too. So with probability 1 - DELTA, no stratum that has its own certificate,
+nor the pool as a whole, loses to rules more than RISK of the good texts that the base rule keeps. Where no level is certified, rules reject nothing.
+
+A trial is a good text that the base rule keeps; rows that repeat a labelled text, under whatever ids, count once. All labelled texts count; they are added up to one row
+for each stratum that is large enough and one for the pool, so nothing else reaches the driver.
 
 Defined results: a null or empty text has no words and fails the base rule. A null language is the stratum "". Labels
 that are null, or of texts that are not there, do not count; of several labels of one id or one text the lowest counts. Repeated
@@ -26,19 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import load, raw, stored
+from signalmill.llm.common import dropped, load, raw, stored
 from signalmill.llm.sieve import text_hash
 
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-#: name: numerator, denominator, cutoffs in thousandths from lenient to strict.
+#: name: numerator, denominator, the cutoff of each level in thousandths, from lenient to strict.
 RULES = {
-    "symbols": ("n_symbols", "word_chars", (900, 700, 500, 400, 300, 250, 200, 150, 120, 100, 80, 60, 50)),
-    "dup_lines": ("n_dup_lines", "n_lines", (900, 800, 700, 600, 500, 400, 350, 300, 250, 200)),
-    "repeats": ("n_repeat_words", "n_words", (480, 450, 400, 350, 300, 250, 200, 150)),
-    "long_words": ("word_chars", "n_words", (40000, 30000, 25000, 20000, 17000, 15000, 13000, 12000, 11000, 10000)),
+    "symbols": ("n_symbols", "word_chars", (900, 700, 500, 400, 300, 250, 200, 150, 120, 100, 80, 60)),
+    "dup_lines": ("n_dup_lines", "n_lines", (900, 800, 700, 650, 600, 550, 500, 450, 400, 350, 300, 250)),
+    "repeats": ("n_repeat_words", "n_words", (480, 460, 430, 400, 370, 340, 310, 290, 270, 250, 220, 200)),
+    "long_words": ("word_chars", "n_words", (40000, 30000, 25000, 20000, 17000, 15000, 13000, 12000, 11000, 10000, 9500, 9000)),
 }
-RISK, DELTA = 0.01, 0.05
+LEVELS = 12
+#: Share of good texts that rules may cost a stratum, and the probability that some stratum loses more.
+RISK, DELTA = 0.02, 0.05
 
 
 def features(text: str | None) -> tuple[int, ...]:
@@ -114,56 +118,64 @@ def certified(k: int, n: int, risk: float, error: float) -> bool:
     return bool(terms[-1] + math.log(np.exp(terms - terms[-1]).sum()) <= math.log(error))
 
 
-def exceeds(rule: str, cutoff) -> F.Column:
-    above, below, _ = RULES[rule]
-    return F.col(above) * 1000 > F.col(below) * cutoff
-
-
-def cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], int]:
-    """(stratum, rule): certified cutoff. counted: doc_id, lang, th (a hash of the text) and COUNTS; labels: doc_id, quality (1: good)."""
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    stratum = F.coalesce("lang", F.lit("")).alias("stratum")
-    texts = counted.join(known, "doc_id").groupBy(stratum, F.coalesce("th", F.lit("")).alias("th")).agg(F.min("quality").alias("quality"), *(F.first(c).alias(c) for c in COUNTS)).where("quality = 1")
-    seen = texts.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(exceeds(r, c)).alias(f"{r}_{c}") for r, (_, _, grid) in RULES.items() for c in grid))
-    # A stratum can only be certified if that many good texts with none rejected would do; a language is met 10**5 times or not listed.
-    own = risk / len(RULES)
-    rows = seen.where(F.col("n") >= math.ceil(math.log(1 / delta) / own)).collect()
-    tests, found = max(1, len(rows)) * len(RULES), {}
-    for row in rows:
-        for rule, (_, _, grid) in RULES.items():
-            for c in grid:
-                if not certified(row[f"{rule}_{c}"], row["n"], own, delta / tests):
-                    break
-                found[row["stratum"], rule] = c
-    return found
+def rejected(level: int | F.Column) -> F.Column:
+    """Whether a rule rejects a row at a level; none does at level -1."""
+    out = F.lit(False)
+    for above, below, cutoffs in RULES.values():
+        cutoff = F.lit(cutoffs[level]) if isinstance(level, int) else F.get(F.array(*map(F.lit, cutoffs)), level)
+        out = out | F.coalesce(F.col(above) * 1000 > F.col(below) * cutoff, F.lit(False))
+    return out
 
 
 def base_failed() -> F.Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def verdict(found: dict[tuple[str, str], int]) -> F.Column:
-    """True for rows that a certified rule of their stratum rejects."""
-    out = F.lit(False)
-    for (stratum, rule), c in sorted(found.items()):
-        out = out | ((F.coalesce("lang", F.lit("")) == stratum) & exceeds(rule, c))
-    return out
+def strictest(n: int, hits: list[int], risk: float, error: float) -> int:
+    """The last level of a fixed sequence up to which all are certified, -1 if the first is not. hits: of n good texts, those rejected at each level."""
+    level = -1
+    for k in hits:
+        if not certified(k, n, risk, error):
+            break
+        level += 1
+    return level
 
 
-def judged(counted: DataFrame, found: dict[tuple[str, str], int]) -> DataFrame:
-    return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~verdict(found))
+def levels(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> tuple[dict[str, int], int]:
+    """The level of each stratum with a certificate of its own, and the pool's. counted: doc_id, lang, th (a hash of the text) and COUNTS; labels: doc_id, quality (1: good)."""
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    stratum = F.coalesce("lang", F.lit("")).alias("stratum")
+    texts = counted.join(known, "doc_id").groupBy(stratum, F.coalesce("th", F.lit("")).alias("th")).agg(F.min("quality").alias("quality"), *(F.first(c).alias(c) for c in COUNTS)).where((F.col("quality") == 1) & ~base_failed())
+    seen = stored(texts.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(rejected(k)).alias(f"k{k}") for k in range(LEVELS))), "strata")
+    tests = seen.count() + 1
+    least = math.ceil(math.log(tests / delta) / -math.log1p(-risk))
+    # Large strata are few: each has least texts.
+    own = F.when(F.col("n") >= least, F.col("stratum")).alias("own")
+    rows = {r["own"]: r for r in seen.groupBy(own).agg(*(F.sum(c).alias(c) for c in seen.columns[1:])).collect()}
+    dropped(seen)
+    found = {s: strictest(r["n"], [r[f"k{k}"] for k in range(LEVELS)], risk, delta / tests) for s, r in rows.items()}
+    return {s: level for s, level in found.items() if s is not None}, found.get(None, -1)
+
+
+def judged(counted: DataFrame, found: tuple[dict[str, int], int]) -> DataFrame:
+    """base_failed and kept for rows with lang and COUNTS."""
+    own, pool = found
+    level = F.lit(pool)
+    for stratum, k in sorted(own.items()):
+        level = F.when(F.coalesce("lang", F.lit("")) == stratum, k).otherwise(level)
+    return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~rejected(level))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents", "doc_id", "lang", "text")
     counted = stored(with_features(docs.withColumn("th", text_hash()), ("doc_id", "lang", "th")), "quality")
-    found = cutoffs(counted, load(spark, sf_dir, "labels", "doc_id", "quality"))
+    found = levels(counted, load(spark, sf_dir, "labels", "doc_id", "quality"))
     return judged(counted, found).select("doc_id", *COUNTS[:5], "base_failed", "kept")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text passes; every column stays. Rows with a null, empty or blank text fail; an empty table stays empty; repeated rows each stay or go."""
-    found = cutoffs(with_features(docs.select("doc_id", "lang", "text", text_hash().alias("th")), ("doc_id", "lang", "th")), load(spark, sf_dir, "labels", "doc_id", "quality"))
+    found = levels(with_features(docs.select("doc_id", "lang", "text", text_hash().alias("th")), ("doc_id", "lang", "th")), load(spark, sf_dir, "labels", "doc_id", "quality"))
     names = docs.columns
     marked = with_features(docs.select(F.struct(*names).alias("row"), "doc_id", "lang", "text"), ("row", "doc_id", "lang"))
     return judged(marked, found).where("kept").select("row.*")

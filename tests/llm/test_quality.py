@@ -60,42 +60,78 @@ def brute(docs, labels, risk, delta):
         if i in known:
             key = (lang or "", t)
             texts[key] = min(known[i], texts.get(key, 1))
-    own, strata = risk / len(quality.RULES), {}
+    strata, least = {}, None
     for (lang, t), q in texts.items():
-        if q == 1:
-            strata.setdefault(lang, []).append(dict(zip(quality.COUNTS, quality.features(t), strict=True)))
-    strata = {s: rows for s, rows in strata.items() if len(rows) >= math.ceil(math.log(1 / delta) / own)}
-    found = {}
-    for s, rows in strata.items():
-        for rule, (above, under, grid) in quality.RULES.items():
-            for c in grid:
-                k = sum(r[above] * 1000 > r[under] * c for r in rows)
-                if below(k, len(rows), own) > delta / (len(strata) * len(quality.RULES)):
-                    break
-                found[s, rule] = c
-    return found
-
-
-def test_cutoffs_and_verdict(spark):
+        f = dict(zip(quality.COUNTS, quality.features(t), strict=True))
+        if q == 1 and f["n_words"] >= 50 and 100 * f["n_repeat_words"] <= 50 * f["n_words"]:
+            strata.setdefault(lang, []).append(f)
+    tests = len(strata) + 1
+    least = next(n for n in range(1, 10**6) if (1 - risk) ** n <= delta / tests)
+    pool = [r for rows in strata.values() if len(rows) < least for r in rows]
+
+    def level(rows):
+        out = -1
+        for k in range(quality.LEVELS):
+            hits = sum(rejects(r, k) for r in rows)
+            if below(hits, len(rows), risk) > delta / tests:
+                break
+            out = k
+        return out
+
+    return {s: level(rows) for s, rows in strata.items() if len(rows) >= least}, level(pool) if pool else -1
+
+
+def rejects(f, level):
+    """Whether any rule rejects features at a level."""
+    return level >= 0 and any(f[above] * 1000 > f[under] * cutoffs[level] for above, under, cutoffs in quality.RULES.values())
+
+
+def verdicts(docs, found):
+    own, pool = found
+    for i, t, lang in docs:
+        f = dict(zip(quality.COUNTS, quality.features(t), strict=True))
+        failed = f["n_words"] < 50 or 100 * f["n_repeat_words"] > 50 * f["n_words"]
+        yield i, t, lang, not failed and not rejects(f, own.get(lang or "", pool))
+
+
+def test_levels_and_verdict(spark):
+    """One large stratum, one that is pooled with another, one that labels do not know."""
     docs, labels = corpus()
+    rnd = random.Random(8)
+    docs += [(8000 + k, text(rnd, 90 * (k % 2)), ("it", "pt", "xx")[k % 3]) for k in range(96)]
+    labels += [(8000 + k, 1 - k % 2) for k in range(96) if k % 3 < 2]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
     lab = spark.createDataFrame(labels, "doc_id long, quality int")
     risk, delta = 0.2, 0.05
     counted = quality.with_features(df.withColumn("th", quality.text_hash()), ("doc_id", "lang", "th"))
-    found = quality.cutoffs(counted, lab, risk, delta)
-    want = brute(docs, labels, risk, delta)
-    assert found == want and ("en", "symbols") in found
+    found = quality.levels(counted, lab, risk, delta)
+    assert found == brute(docs, labels, risk, delta)
+    assert found[0]["en"] >= 0 and found[1] >= 0 and not {"it", "pt", "xx"} & set(found[0])
     got = sorted((r["doc_id"] is not None, r["doc_id"], r["n_symbols"], r["kept"]) for r in quality.judged(counted, found).collect())
-    rows = []
-    for i, t, lang in docs:
-        f = dict(zip(quality.COUNTS, quality.features(t), strict=True))
-        gone = any(s == (lang or "") and f[quality.RULES[r][0]] * 1000 > f[quality.RULES[r][1]] * c for (s, r), c in found.items())
-        failed = f["n_words"] < 50 or 100 * f["n_repeat_words"] > 50 * f["n_words"]
-        rows.append((i is not None, i, sum((t or "").count(x) for x in "#*$%&|<>"), not failed and not gone))
-    assert got == sorted(rows)
-    good = {t for i, t, lang in docs if lang == "en" and dict(labels).get(i) == 1}
-    lost = {t for i, t, lang in docs if t in good and dict(labels).get(i) == 1 and (True, i, sum(t.count(x) for x in "#*$%&|<>"), False) in rows}
-    assert len(lost) <= risk * len(good)
+    want = list(verdicts(docs, found))
+    assert got == sorted((i is not None, i, sum((t or "").count(x) for x in "#*$%&|<>"), kept) for i, t, _, kept in want)
+    for stratum, members in {"en": {"en"}, "pool": {"it", "pt"}}.items():
+        good = {t: kept for i, t, lang, kept in want if lang in members and dict(labels).get(i) == 1}
+        assert sum(not k for k in good.values()) <= risk * len(good), stratum
+        bad = [kept for i, t, lang, kept in want if lang in members and dict(labels).get(i) == 0]
+        assert not all(bad), stratum  # rules reject some
+
+
+def test_a_path_only_gets_stricter():
+    for _, _, cutoffs in quality.RULES.values():
+        assert len(cutoffs) == quality.LEVELS and list(cutoffs) == sorted(cutoffs, reverse=True)
+    assert quality.strictest(1000, [0, 5, 400, 0], 0.02, 0.01) == 1 and quality.strictest(100, [0], 0.02, 0.01) == -1
+
+
+def test_stage_with_rules_that_reject(spark, tmp_path):
+    """At the registered risk: enough labels for a certificate, and rows go that the base rule would keep."""
+    rnd = random.Random(2)
+    docs = [(k, text(rnd, 0 if k % 4 else 200), "en") for k in range(900)]
+    labels = [(k, int(k % 4 > 0)) for k in range(900)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = brute(docs, labels, quality.RISK, quality.DELTA)
+    got = quality.quality_stage(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string"), str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == [i for i, _, _, kept in verdicts(docs, found) if kept] == [k for k in range(900) if k % 4]
 
 
 def test_stage_on_an_empty_table(spark, tmp_path):
