@@ -37,9 +37,15 @@ def markdown_key(key: Column) -> Column:
     return F.when(key.rlike(r"\.[^./]+$"), F.regexp_replace(key, r"\.[^./]+$", ".md")).otherwise(F.concat(key, F.lit(".md")))
 
 
+#: What stands for the file's own replacement characters while those of bytes that are no text are taken out: a character that UTF-8 has and text has not.
+_OWN = "\uFDD0"
+
+
 def decoded(content: Column) -> Column:
-    """UTF-8 with bytes that are none left out."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    """UTF-8 with bytes that are none left out; a replacement character that the file itself holds stays."""
+    text = content.cast("string")
+    marked = F.make_valid_utf8(F.replace(text, F.lit("\uFFFD"), F.lit(_OWN)))
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.replace(marked, F.lit("\uFFFD"), F.lit("")), F.lit(_OWN), F.lit("\uFFFD")))
 
 
 def wrapped(key: Column, kind: Column, body: Column) -> Column:

@@ -63,18 +63,74 @@ def fenced(c: Column) -> Column:
     return F.when(block != "", block).otherwise(F.trim(c))
 
 
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|["\[\]{}]', re.DOTALL)
+_BRACKET = re.compile(r"[{\[]")
+_DECODER = json.JSONDecoder(strict=False)
+#: Lists and objects nested deeper than that are no value.
+DEPTH = 1000
+
+
+def _decoded(text: str, at: int) -> tuple[bool, object, int]:
+    """(whether a JSON value starts at a place, the value, where it is broken if not)."""
+    try:
+        return True, _DECODER.raw_decode(text, at)[0], at
+    except json.JSONDecodeError as e:
+        return False, None, e.pos
+    except RecursionError:
+        return False, None, at + 1
+
+
+def first_value(text: str) -> tuple[bool, object]:
+    """(whether there is one, the first JSON list or object that starts at a bracket of a text).
+
+    A scan with a stack of open brackets finds what each closes with, so one that nothing closes is never tried. Where a value breaks off at
+    some place, all that are open there break off at it too and are passed over; brackets inside strings are tried by themselves.
+    """
+    m = _BRACKET.search(text)
+    while m:
+        start, stack, closed, inside, loose, last = m.start(), [], {}, [], None, 0
+        for token in _TOKEN.finditer(text, start):
+            t, at = token.group(), token.start()
+            if t in ("[", "{"):
+                stack.append([at, 1])
+            elif t in ("]", "}"):
+                opened, depth = stack.pop()
+                closed[opened] = at if depth <= DEPTH else -1
+                if not stack:
+                    last = at
+                    break
+                stack[-1][1] = max(stack[-1][1], depth + 1)
+            elif t == '"':
+                loose = at
+                break
+            else:
+                inside += [at + k.start() for k in _BRACKET.finditer(t)]
+        broken = start
+        for at in sorted([*closed, *inside]):
+            if at < broken < closed.get(at, -1) or closed.get(at) == -1:
+                continue  # open where another broke off, or too deep
+            found, value, end = _decoded(text, at)
+            if found:
+                return True, value
+            if at in closed:
+                broken = max(broken, end)
+        if loose is not None:
+            m = _BRACKET.search(text, loose)
+        elif stack:
+            return False, None
+        else:
+            m = _BRACKET.search(text, last + 1)
+    return False, None
+
+
 def repaired(text: str | None) -> str | None:
     """First JSON value in a text as JSON: fenced blocks first; curly quotes, trailing commas and raw line ends in strings are mended."""
     if not text:
         return None
-    decoder = json.JSONDecoder(strict=False)
     for part in [*re.findall(r"(?s)```(?:json)?\s*(.*?)\s*```", text), text]:
         for mended in (part, re.sub(r",\s*([}\]])", r"\1", part.translate({0x201C: '"', 0x201D: '"', 0x2018: "'", 0x2019: "'"}))):
-            for m in re.finditer(r"[{\[]", mended):
-                try:
-                    value, _ = decoder.raw_decode(mended, m.start())
-                except ValueError:
-                    continue
+            found, value = first_value(mended)
+            if found:
                 return json.dumps(value, ensure_ascii=False)
     return None
 

@@ -93,3 +93,36 @@ def test_workbook():
     assert rows[0] == "| Name | Points |" and rows[2] == "| Login | 5 |" and rows[3] == "| Login | 8 |"  # blanks are filled from above
     assert "x\\|y" in rows[-1]
     assert office.xlsx(b"no workbook").startswith("# Parse Error")
+
+
+def test_repaired_takes_the_first_value_that_decodes():
+    """The same as a decoder at each bracket in turn, on short texts of all kinds; long broken ones are read once."""
+    import json
+    import random
+    import re
+    import time
+
+    def plain(text):
+        for m in re.finditer(r"[{\[]", text):
+            try:
+                return True, json.JSONDecoder(strict=False).raw_decode(text, m.start())[0]
+            except ValueError:
+                continue
+        return False, None
+
+    rnd = random.Random(1)
+    pool = ["[", "]", "{", "}", '"', ",", ":", "1", '"a"', "x", " ", "\\", '\\"', "null", '"k":', "\n", "[1,2]", '{"a":[1]}', '"[3]"', '"{"']
+    for _ in range(20_000):
+        text = "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14)))
+        assert messages.first_value(text) == plain(text), text
+    began = time.process_time()
+    assert messages.repaired("[" * 1_000_000) is None
+    assert messages.repaired("[" * 300_000 + "x" + "]" * 300_000) is None
+    assert messages.repaired('{"a":' * 100_000 + '[1]') == "[1]"
+    assert time.process_time() - began < 20
+
+
+def test_replacement_characters_of_the_file_stay(spark):
+    rows = [(1, "a�b".encode()), (2, b"a\xffb"), (3, "a�".encode() + b"\xff\xfe" + "ü".encode()), (4, b""), (5, None)]
+    got = {r["k"]: r["t"] for r in spark.createDataFrame(rows, "k int, c binary").select("k", files.decoded(F.col("c")).alias("t")).collect()}
+    assert got == {1: "a�b", 2: "ab", 3: "a�ü", 4: "", 5: None}
