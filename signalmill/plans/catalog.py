@@ -19,7 +19,7 @@ from signalmill.operators import tasks as K
 from signalmill.plans import extraction as X_
 from signalmill.plans import oracle as D
 from signalmill.plans.views import ITEMS, LINES, SIGNALS, TASKS, view
-from signalmill.sources import files, messages, sheets
+from signalmill.sources import files, ingest, messages, sheets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,6 +69,24 @@ def s4_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.regexp_extract("object_key", r"(\d+)\.md$", 1).cast("long").alias("doc_id"), "object_key", "size", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
 
 
+STORE = """SELECT doc_id, CAST(floor(doc_id / 7) AS BIGINT) AS job_id, doc_id % 7 AS place, concat('in/doc', doc_id, CASE doc_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.csv' WHEN 2 THEN '.docx' WHEN 3 THEN '.bin' ELSE '' END) AS object_key,
+ concat(CASE doc_id % 4 WHEN 0 THEN '%PDF-1.4' WHEN 1 THEN '<?xml ' WHEN 2 THEN 'GIF8' ELSE '' END, coalesce(text, '')) AS content FROM documents"""
+
+
+@query(f"""WITH f AS ({STORE}), m AS (SELECT f.*, CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/xml' WHEN 2 THEN 'image/gif' ELSE coalesce(CASE WHEN doc_id % 3 = 0 THEN 'text/html' END, CASE doc_id % 5 WHEN 0 THEN 'text/markdown' WHEN 1 THEN 'text/csv' WHEN 2 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' ELSE 'application/octet-stream' END) END AS mime, doc_id % 41 = 5 AS lost FROM f),
+j AS (SELECT job_id, count(*) AS n_files, count_if(lost) AS n_missing, min(CASE WHEN lost THEN place END) AS p FROM m GROUP BY job_id)
+SELECT m.job_id, m.place::INT AS place, object_key, mime, strlen(content) AS size, NULL AS error FROM m JOIN j USING (job_id) WHERE n_missing = 0
+UNION ALL SELECT j.job_id, NULL, NULL, NULL, NULL, concat('Failed to download object ''', object_key, ''' from storage') FROM j JOIN m ON m.job_id = j.job_id AND m.place = j.p""")
+def s1_s2_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of seven files, some of which are not there: documents of the whole jobs with their types, and the jobs that failed."""
+    rows = view(spark, sf_dir, STORE)
+    found = rows.where("doc_id % 41 <> 5").select("object_key", F.col("content").cast("binary").alias("content"))
+    told = rows.select("object_key", F.when(F.col("doc_id") % 3 == 0, "text/html").otherwise(" ").alias("content_type"))
+    documents, manifest = ingest.ingested(rows.select("job_id", F.col("place").cast("int").alias("place"), "object_key"), found, told)
+    done = documents.select("job_id", "place", "object_key", "mime", F.octet_length("content").cast("long").alias("size"))
+    return done.unionByName(manifest.where("n_missing > 0").select("job_id", "error"), allowMissingColumns=True)
+
+
 GRID = "SELECT concat('s', CAST(p_size % 20 AS VARCHAR(8))) AS sheet, p_partkey AS row_no, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_name END AS a, CASE WHEN p_partkey % 7 = 0 THEN ' ' WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS b, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS c FROM part"
 
 
