@@ -32,7 +32,7 @@ from signalmill.llm.common import load, raw, stored
 
 WINDOW = 10
 #: Words of a shard, of a piece of an item, and of a block of pieces.
-SHARD, PIECE, BLOCK = 1 << 20, 1 << 14, 1 << 21
+SHARD, PIECE, BLOCK = 1 << 20, 1 << 14, 1 << 20
 #: Bytes as words are split: letters and digits are kept, in lower case, all other ASCII is a space. Everything beyond ASCII belongs to words.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 

@@ -5,8 +5,9 @@ letters); a document's is the noisy-or of its sentences, 1 - prod(1 - p). The we
 noisy-or, so the sentences that explain a label are found on the way: `offending` lists their places.
 
 Training reads a bounded sample of labelled rows: all of those outside the held-out fold, or SAMPLE of them by a hash of the
-id. Features are chosen by how far their document counts under label 1 exceed chance, added up in Spark, and the chosen
-ones (FEATURES at most) are what the driver gets. Every whole text is then scored, row by row, without a shuffle.
+id. Features are whole words and beginnings, whatever their length; those are chosen whose document counts under label 1, added up in
+Spark, exceed chance by EXCESS standard deviations. All that are chosen are learnt from; as they come from the sample's texts alone, what the driver
+gets is bounded by the sample. Every whole text is then scored, row by row, without a shuffle.
 
 Defined results: null and empty texts score 0. Labels that are null are not used; of several labels of an id the highest
 counts. Without labels of both kinds all scores are 0. Repeated rows score alike. Further columns are not read.
@@ -25,15 +26,15 @@ from pyspark.sql import functions as F
 
 from signalmill.llm.common import load, remainder, remainder_col
 
-SAMPLE, FEATURES, LEAST_DOCS = 20_000, 2000, 3
+SAMPLE, EXCESS, LEAST_DOCS = 20_000, 4, 3
 _WORD, _SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?\n]+")
-BEGINNINGS, LONGEST = range(3, 8), 64
+BEGINNINGS = range(3, 8)
 CACHE = 200_000
 
 
 def names(word: str) -> list[str]:
     """Features of a word: itself, and its first letters followed by a star."""
-    return [word[:LONGEST], *(f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n)]
+    return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n)]
 
 
 def sentences(text: str) -> Iterator[tuple[int, int]]:
@@ -127,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     counts = rows.mapInArrow(count, "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     mean = (F.col("bad") + F.col("good")) * rate
     excess = (F.col("bad") - mean) / F.sqrt(mean * (1 - rate) + 0.5)
-    picked = [r["f"] for r in counts.where(f"bad >= {LEAST_DOCS}").withColumn("z", excess).where("z > 4").orderBy(F.desc("z"), "f").limit(FEATURES).collect()]
+    picked = [r["f"] for r in counts.where(f"bad >= {LEAST_DOCS}").withColumn("z", excess).where(F.col("z") > EXCESS).orderBy("f").collect()]  # words of SAMPLE rows
     index = {f: k for k, f in enumerate(picked)}
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and offending sentences of every row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # FEATURES at most
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
