@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalmill.operators.cut import shared_folder
+from signalmill.operators.cut import large, shared_folder
 
 Model = Callable[[list[str]], list[list[float]]]
 #: Places of the default's vectors.
@@ -82,7 +82,7 @@ def vectors(texts: DataFrame, load: Callable[[], Model] = hashing, store: str |
     at = store or f"{shared_folder(texts.sparkSession)}/vectors/{uuid.uuid4().hex}"
     own = texts.where("text is not null").groupBy("key").agg(F.first("text").alias("text"))
     known = _stored(texts, at)
-    rest = own if known is None else own.join(known.select("key"), "key", "left_anti")
+    rest = own if known is None else own.join(large(known.select("key")), "key", "left_anti")
     waves = max(1, -(-rest.count() // WAVE))
     for k in range(waves):
         some = rest.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == k) if waves > 1 else rest
@@ -95,4 +95,4 @@ def embedded(items: DataFrame, text: Column, load: Callable[[], Model] = hashing
     """items with embedding, the vector of the text that the column stands for."""
     keyed = items.withColumn("text_key_", F.sha2(text.cast("binary"), 256))
     found = vectors(items.select(F.sha2(text.cast("binary"), 256).alias("key"), text.alias("text")), load, store)
-    return keyed.join(found.select(F.col("key").alias("text_key_"), F.col("vector").alias("embedding")), "text_key_", "left").drop("text_key_")
+    return keyed.join(large(found.select(F.col("key").alias("text_key_"), F.col("vector").alias("embedding"))), "text_key_", "left").drop("text_key_")

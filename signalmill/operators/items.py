@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from signalmill.functions import fixed as X
 from signalmill.functions import text as T
 from signalmill.operators import ordered
+from signalmill.operators.cut import large
 
 
 def locked() -> Column:
@@ -149,5 +150,5 @@ def nearest(items: DataFrame, by: list[str]) -> DataFrame:
 def prune(items: DataFrame, by: list[str]) -> DataFrame:
     """Items near enough to another; a cluster of one must be nearer. All are judged against the items before pruning."""
     size = F.when(F.col("cluster_id").isNull(), 1).otherwise(F.count("*").over(Window.partitionBy(*by, "cluster_id")))
-    near = items.withColumn("cluster_size", size).join(nearest(items, by), [*by, "ord"])
+    near = items.withColumn("cluster_size", size).join(large(nearest(items, by)), [*by, "ord"])
     return near.where((F.col("nearest") >= X.NEAREST_LEAST) & ((F.col("cluster_size") > 1) | (F.col("nearest") >= X.SINGLE_LEAST)))

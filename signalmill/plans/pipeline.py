@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from signalmill.operators import embed, link, merge, tasks
 from signalmill.operators import items as I
-from signalmill.operators.cut import cut
+from signalmill.operators.cut import cut, large
 
 Load = Callable[[], embed.Model]
 
@@ -27,7 +27,7 @@ def clustered(signals: DataFrame, by: list[str], load: Load = embed.hashing, sto
     items = cut(I.normalized(signals).withColumn("locked_", I.locked()))
     alike = items.where("item_type <> 'api' and not locked_")
     vectors = cut(embed.embedded(alike, I.embedding_text(F.col("item_type"), F.col("title"), F.col("description")), load, store))
-    led = vectors.join(I.cluster_greedy(vectors, kind), [*kind, "ord"])
+    led = vectors.join(large(I.cluster_greedy(vectors, kind)), [*kind, "ord"])
     kept = I.prune(led, kind).select(*items.columns, "cluster_id")
     apis = I.cluster_apis(items.where("item_type = 'api'"), kind).select(*items.columns, "cluster_id")
     own = items.where("locked_").withColumn("cluster_id", F.lit(None).cast("string"))
@@ -45,12 +45,12 @@ def linked(merged: DataFrame, by: list[str], load: Load = embed.hashing, store:
     whole = cut(embed.embedded(merged, I.embedding_text(F.col("item_type"), F.col("title"), F.col("description")), load, store))
     features = whole.where("item_type = 'feature'").withColumnRenamed("ord", "f_ord")
     rest = whole.where("item_type <> 'feature'")
-    return rest.select(*by, "ord", "item_type").join(link.link(rest, features, by).select(*by, "ord", "f_ord"), [*by, "ord"])
+    return rest.select(*by, "ord", "item_type").join(large(link.link(rest, features, by).select(*by, "ord", "f_ord")), [*by, "ord"])
 
 
 def in_order(merged: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
     """Merged items numbered anew in each type: those of no feature first, then feature by feature."""
-    rows = merged.join(links.select(*by, "ord", "f_ord"), [*by, "ord"], "left")
+    rows = merged.join(large(links.select(*by, "ord", "f_ord")), [*by, "ord"], "left")
     place = F.row_number().over(Window.partitionBy(*by, "item_type").orderBy(F.col("f_ord").asc_nulls_first(), "ord"))
     return rows.withColumn("ord", place.cast("long")).drop("f_ord")
 
