@@ -250,7 +250,7 @@ def entropy(words: Column) -> Column:
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum")).cast(kind)
     part = lambda run: F.when(run > 1, run * F.log2(run.cast("double"))).otherwise(0.0)
     step = lambda a, w: F.when(a["last"].eqNullSafe(w), F.struct(w.alias("last"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))).otherwise(F.struct(w.alias("last"), F.lit(1).alias("run"), (a["sum"] + part(a["run"])).alias("sum"))).cast(kind)
-    total = F.aggregate(F.array_sort(words), start, step, lambda a: a["sum"] + part(a["run"]))
+    total = F.aggregate(F.sort_array(words), start, step, lambda a: a["sum"] + part(a["run"]))
     return F.when(n > 0, F.log2(n.cast("double")) - total / n).otherwise(0.0)
 
 
@@ -262,19 +262,30 @@ def entropies(df: DataFrame, by: str, words: Column) -> DataFrame:
 
 
 def high_entropy(c: Column) -> Column:
-    words = F.filter(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]+)"), 1), lambda t: F.length(t) > 1)
-    hits = F.size(F.filter(words, lambda w: T.among(w, X.VOCABULARY))) / F.size(words)
-    return (F.size(words) >= X.ENTROPY_TOKENS) & (entropy(words) > X.ENTROPY_ABOVE) & (hits < X.VOCABULARY_SHARE)
+    """Whether a text's words of two characters or more are many, varied and hardly known. They are split once, and known ones found by hash."""
 
+    def judged(words: Column) -> Column:
+        hits = F.size(F.filter(words, lambda w: w.isin(*X.VOCABULARY))) / F.size(words)
+        return (F.size(words) >= X.ENTROPY_TOKENS) & (hits < X.VOCABULARY_SHARE) & (entropy(words) > X.ENTROPY_ABOVE)
 
-def keep_feature(title: Column, description: Column) -> Column:
-    title, whole = F.trim(title), signal_text(title, description)
-    return ~too_short_or_junk(whole) & ~blacklisted(whole) & ~title.rlike("(?i)" + X.GENERIC_HEADING) & ~high_entropy(whole)
+    return T.let(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]{2,})"), 1), judged)
 
 
-def keep_task(title: Column, description: Column) -> Column:
-    title, whole = F.trim(title), signal_text(title, description)
-    return ~too_short_or_junk(whole) & ~blacklisted(whole) & ~title.rlike("(?i)" + X.LONE_VERB) & ~high_entropy(whole)
+def sound(whole: Column, noisy: Column | None = None) -> Column:
+    """Whether a whole text is neither short, junk, blacklisted nor noisy. noisy: its high_entropy, if it is known."""
+    return ~too_short_or_junk(whole) & ~blacklisted(whole) & ~(high_entropy(whole) if noisy is None else noisy)
+
+
+def keep_feature(title: Column, description: Column, ok: Column | None = None) -> Column:
+    """ok: whether the signal's whole text is sound, if it is known."""
+    title = F.trim(title)
+    return ~title.rlike("(?i)" + X.GENERIC_HEADING) & (sound(signal_text(title, description)) if ok is None else ok)
+
+
+def keep_task(title: Column, description: Column, ok: Column | None = None) -> Column:
+    """ok: whether the signal's whole text is sound, if it is known."""
+    title = F.trim(title)
+    return ~title.rlike("(?i)" + X.LONE_VERB) & (sound(signal_text(title, description)) if ok is None else ok)
 
 
 def hard_filter(signals: DataFrame, by: list[str]) -> DataFrame:
