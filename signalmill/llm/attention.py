@@ -104,14 +104,14 @@ class Words:
             setattr(self, name, a := more)
         a[at : at + len(x)] = x
 
-    def numbers(self, docs: list[list[bytes]], hashes: np.ndarray, counts: pa.StringArray, hashed: Callable[[list[bytes]], np.ndarray]) -> list[np.ndarray]:
-        """Numbers of the words of docs. hashes, counts: of each word that is not heavy its hash and times seen by each expert, joined by commas."""
+    def numbers(self, kinds: list[bytes], hashes: np.ndarray, counts: pa.StringArray, hashed: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
+        """Numbers of words, each of which comes once. hashes, counts: of each word that is not heavy its hash and times seen by each expert, joined by commas."""
         if len(self.added) > CACHE:
             for w in self.added:
                 del self.index[w]
             self.added, self.used = [], self.base
         index = self.index
-        out = [np.fromiter(map(index.__getitem__, d), np.int64, len(d)) for d in docs]
+        out = np.fromiter(map(index.__getitem__, kinds), np.int64, len(kinds))
         if new := index.new:
             words, at = self.used
             symbols, n = pieces(new)
@@ -148,21 +148,21 @@ class Batch:
         self.prior[np.cumsum(self.sizes)[:-1]] = before
         logs = words.logs[self.kinds]
         self.scale = logs.max(1)
-        self.p = np.exp(logs - self.scale[:, None]).astype(np.float32)
+        self.p = np.exp(logs - self.scale[:, None]).T.astype(np.float32)  # a row for each expert
         self.words = words
 
 
 def mean_rows(table: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Means of runs of rows, n long each: the first rows of all runs, the second ones, and so on."""
     start = np.cumsum(n) - n
-    out = table[ids[start]]
+    out = table.take(ids[start], 0)
     for d in range(1, int(n.max(initial=1))):
         more = np.flatnonzero(n > d)
         if len(more) < 64:  # few long runs are left
             for k in more:
                 out[k] += table[ids[start[k] + d : start[k] + n[k]]].sum(0)
             break
-        out[more] += table[ids[start[more] + d]]
+        out[more] += table.take(ids[start[more] + d], 0)
     return out / n[:, None].astype(out.dtype)
 
 
@@ -204,8 +204,30 @@ def blocks(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _added(rows: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
     """Sums of x (rows by columns) by row number."""
-    x = x.reshape(len(rows), -1)
-    return np.stack([np.bincount(rows, x[:, c], size) for c in range(x.shape[1])], axis=1).astype(x.dtype)
+    width = x.shape[1]
+    out = np.zeros(size * width, x.dtype)
+    np.add.at(out, ((rows * width)[:, None] + np.arange(width)).ravel(), x.ravel())
+    return out.reshape(size, width)
+
+
+def _pairs(token: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a place of a block has a token that an earlier place of its window has: the block's place, and its place among all cosines."""
+    none = token.max(initial=0) + 1
+    kinds = np.where(real, token, none).astype(np.uint16 if none < 1 << 16 else np.int64)  # 16 bits are sorted by counting
+    order = np.argsort(kinds, axis=1, kind="stable")
+    kinds, order = np.take_along_axis(kinds, order, 1).ravel(), order.ravel()
+    last = np.arange(len(kinds)) | (SPAN - 1)  # SPAN is a power of two
+    at, back, rows, same = np.flatnonzero(kinds != none), 0, [], []
+    while len(at):  # neighbours in that order, then the next but one, and so on
+        back += 1
+        at = at[at + back <= last[at]]
+        at = at[kinds[at] == kinds[at + back]]
+        later = order[at + back]
+        own = later >= BACK
+        row = (at[own] // SPAN) * STEP + later[own] - BACK
+        rows.append(row)
+        same.append(row * SPAN + order[at[own]])
+    return (np.concatenate(rows), np.concatenate(same)) if rows else (np.zeros(0, np.int64),) * 2
 
 
 class Network:
@@ -226,35 +248,38 @@ class Network:
         mean = mean_rows(self.bag, ids, n)
         x, value, loud = mean[:, :DIM], mean[:, DIM:-1], np.exp(np.clip(mean[:, -1:], -5, 5))
         one = np.ones((len(kinds), 1), x.dtype)
-        return {"ids": ids, "n": n, "x": x, "query": np.hstack([x @ p["query"], one]), "key": np.hstack([x @ p["key"], 0 * one]), "value": value, "loud": loud, "weighed": np.hstack([loud * value, loud])}
+        query, key = x @ p["query"], x @ p["key"]
+        most = np.sqrt((query * query).sum(1).max(initial=0) * (key * key).sum(1).max(initial=0)) + p["near"].max()
+        return {"ids": ids, "n": n, "x": x, "query": np.hstack([query, one]), "key": np.hstack([key, 0 * one]), "most": most, "value": value, "loud": loud, "weighed": np.hstack([loud * value, loud]).T.copy()}
 
     def forward(self, t: dict[str, np.ndarray], prior: np.ndarray, token: np.ndarray, real: np.ndarray, px: np.ndarray, scale: np.ndarray) -> dict[str, np.ndarray]:
-        """Log probability of each place of the blocks. prior, token: kinds (rows of t) of the windows' places; px, scale: experts' probabilities of the blocks' tokens."""
+        """Log probability of each place of the blocks. prior, token: kinds (rows of t) of the windows' places; px (a row for each expert), scale: experts' probabilities of the blocks' tokens."""
         p = self.p
-        k = t["key"][prior]
+        k = t["key"].take(prior, 0)
         k[..., DIM] = np.where(real, 0, -1e9)
-        q = t["query"][prior[:, BACK:]]
+        q = t["query"].take(prior[:, BACK:], 0)
         e = np.matmul(q, k.transpose(0, 2, 1))
         e += self.static
-        np.minimum(e, 20, out=e)
+        if t["most"] > 20:
+            np.minimum(e, 20, out=e)
         np.exp(e, out=e)
-        z = 1 + e.sum(2)
-        seen = np.where(real, token, -1)
-        same = np.flatnonzero(seen[:, BACK:, None] == seen[:, None])
-        row = same // SPAN
+        z = 1 + e @ np.ones(SPAN, e.dtype)
+        row, same = _pairs(token, real)
         hit = np.bincount(row, e.reshape(-1)[same], z.size).reshape(z.shape).astype(z.dtype) / z
-        total = np.cumsum(t["weighed"][token] * real[..., None], axis=1)[:, BACK - 1 : SPAN - 1]
-        weight = total[..., -1:] + z.dtype.type(1e-3)
-        c = total[..., :-1] / weight
-        u = c @ p["gain"] + p["prior"]
-        u -= u.max(2, keepdims=True)
-        pi = np.exp(u)
-        pi /= pi.sum(2, keepdims=True)
-        mix = (pi * px).sum(2)
-        g = 1 / (1 + np.exp(-np.clip(p["copy"][0] + c @ p["copy_c"], -30, 30)))
+        # Experts come first, places last, so that each step runs along the places.
+        total = np.cumsum(t["weighed"].take(token, 1) * real, axis=2)[..., BACK - 1 : SPAN - 1]
+        weight = total[-1] + z.dtype.type(1e-3)
+        c = total[:-1] / weight
+        u = (p["gain"].T @ c.reshape(len(c), -1)).reshape(c.shape) + p["prior"][:, None, None]
+        u -= u.max(0)
+        pi = np.exp(u, out=u)
+        pi /= pi.sum(0)
+        mix = (pi * px).sum(0)
+        g = 1 / (1 + np.exp(-np.clip(p["copy"][0] + (p["copy_c"] @ c.reshape(len(c), -1)).reshape(z.shape), -30, 30)))
         share = g * (1 - 1 / z)
-        with np.errstate(divide="ignore"):
-            logs = np.logaddexp(np.log((g * hit).astype(np.float64)), np.log(((1 - share) * mix).astype(np.float64)) + scale)
+        logs = np.log(((1 - share) * mix).astype(np.float64)) + scale
+        some = hit > 0
+        logs[some] = np.logaddexp(np.log((g * hit)[some].astype(np.float64)), logs[some])
         return {"log": logs, "real": real[:, BACK:], "prior": prior, "token": token, "all": real, "q": q, "k": k, "e": e, "z": z, "same": same, "row": row, "hit": hit, "weight": weight, "c": c, "pi": pi, "px": px, "mix": mix, "scale": scale, "g": g}
 
     def gradient(self, t: dict[str, np.ndarray], f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -262,29 +287,31 @@ class Network:
         p, kind = self.p, f["e"].dtype
         w = f["real"] / max(1, f["real"].sum())
         floor = np.exp(np.maximum(f["scale"], -60)).astype(kind)
-        mix, px = f["mix"] * floor, f["px"] * floor[..., None]
+        mix, px, c = f["mix"] * floor, f["px"] * floor, f["c"]
         a0, g = 1 / f["z"], f["g"]
         d = (-w / np.maximum(g * f["hit"] + (1 - g * (1 - a0)) * mix, 1e-30)).astype(kind)
         dg_z = d * g * a0
         ds = f["e"] * (-dg_z * (f["hit"] + mix * a0))[..., None]
         ds.reshape(-1)[f["same"]] += f["e"].reshape(-1)[f["same"]] * dg_z.reshape(-1)[f["row"]]
-        dq, dk = np.matmul(ds, f["k"])[..., :DIM], np.matmul(ds.transpose(0, 2, 1), f["q"])[..., :DIM]
+        dq, dk = np.matmul(ds, f["k"][..., :DIM]), np.matmul(ds.transpose(0, 2, 1), f["q"][..., :DIM])
         size = len(t["n"])
         gq, gk = _added(f["prior"][:, BACK:].ravel(), dq.reshape(-1, DIM), size), _added(f["prior"].ravel(), dk.reshape(-1, DIM), size)
         out = {"query": t["x"].T @ gq, "key": t["x"].T @ gk, "embed": gq @ p["query"].T + gk @ p["key"].T}
         out["near"] = np.bincount(_GAP[_CAUSAL], ds.sum(0)[_CAUSAL], SPAN).astype(kind)
         dg = d * (f["hit"] - (1 - a0) * mix) * g * (1 - g)
-        out["copy"], out["copy_c"] = np.array([dg.sum()], kind), np.einsum("bi,bik->k", dg, f["c"])
-        dpi = (d * (1 - g * (1 - a0)))[..., None] * px
-        du = f["pi"] * (dpi - (f["pi"] * dpi).sum(2, keepdims=True))
-        out["prior"] = du.sum((0, 1))
-        out["gain"] = f["c"].reshape(-1, du.shape[2]).T @ du.reshape(-1, du.shape[2])
-        dc = du @ p["gain"].T + dg[..., None] * p["copy_c"]
-        part = np.concatenate([dc, -(dc * f["c"]).sum(2, keepdims=True)], axis=2) / f["weight"]
+        flat = c.reshape(len(c), -1)
+        out["copy"], out["copy_c"] = np.array([dg.sum()], kind), flat @ dg.ravel()
+        dpi = d * (1 - g * (1 - a0)) * px
+        du = f["pi"] * (dpi - (f["pi"] * dpi).sum(0))
+        out["prior"] = du.sum((1, 2))
+        out["gain"] = flat @ du.reshape(len(c), -1).T
+        dc = (p["gain"] @ du.reshape(len(c), -1)).reshape(c.shape) + dg * p["copy_c"][:, None, None]
+        part = np.concatenate([dc, -(dc * c).sum(0)[None]]) / f["weight"]
         # A place weighs on all places of the block behind it.
-        back = np.cumsum(part[:, ::-1], axis=1)[:, ::-1]
-        dw = np.concatenate([np.repeat(back[:, :1], BACK, 1), back[:, 1:], np.zeros_like(back[:, :1])], axis=1) * f["all"][..., None]
-        dw = _added(f["token"].ravel(), dw.reshape(-1, dw.shape[2]), size)
+        back = np.cumsum(part[..., ::-1], axis=2)[..., ::-1]
+        dw = np.concatenate([np.repeat(back[..., :1], BACK, 2), back[..., 1:], np.zeros_like(back[..., :1])], axis=2) * f["all"]
+        to = f["token"].ravel()
+        dw = np.stack([np.bincount(to, x, size) for x in dw.reshape(len(dw), -1)], axis=1).astype(kind)
         out["value"] = dw[:, :-1] * t["loud"]
         out["loud"] = ((dw[:, :-1] * t["value"]).sum(1) + dw[:, -1]) * t["loud"][:, 0]
         return out
@@ -306,7 +333,7 @@ class Network:
         safe = np.clip(place, 0, len(b.token) - 1)
         prior, token = b.prior[safe], b.token[safe]
         own = token[:, BACK:]
-        px, scale = b.p[own], b.scale[own]
+        px, scale = b.p.take(own, 1), b.scale[own]
         more = {}
         if t is None:
             there = np.zeros(len(b.kinds), bool)
@@ -323,7 +350,11 @@ class Trainer:
 
     def __init__(self, params: dict[str, np.ndarray], rate: float = 0.05):
         self.net, self.rate = Network(params), rate
-        self.square = {n: np.full(x.shape, 1e-6, np.float32) for n, x in params.items()}
+        # The tables by subword id are columns of one.
+        self.bag = np.hstack([params["embed"], params["value"], params["loud"][:, None]])
+        params["embed"], params["value"], params["loud"] = self.bag[:, :DIM], self.bag[:, DIM:-1], self.bag[:, -1]
+        self.square = {n: np.full(x.shape, 1e-6, np.float32) for n, x in params.items() if n not in BAGS} | {"bag": np.full(self.bag.shape, 1e-6, np.float32)}
+        self.net.bag = self.bag
         self.seen, self.loss = 0, 0.0
 
     def step(self, b: Batch, first: np.ndarray, at: np.ndarray, end: np.ndarray) -> None:
@@ -334,18 +365,14 @@ class Trainer:
         there = np.zeros(ROWS, bool)
         there[t["ids"]] = True
         rows, number = np.flatnonzero(there), np.cumsum(there) - 1
-        for n, g in self.net.gradient(t, f).items():
-            if n in BAGS:  # a token is the mean of its ids
-                shape = g.shape[1:]
-                g = np.repeat(g.reshape(len(t["n"]), -1) / t["n"][:, None].astype(np.float32), t["n"], 0)
-                g = _added(number[t["ids"]], g, len(rows)).reshape(len(rows), *shape)
-                square = self.square[n][rows] + g * g
-                self.square[n][rows] = square
-                self.net.p[n][rows] -= (self.rate * g / np.sqrt(square)).astype(np.float32)
-            else:
-                self.square[n] += g * g
-                self.net.p[n] -= (self.rate * g / np.sqrt(self.square[n])).astype(np.float32)
-        bag = self.net.bag
+        slopes = self.net.gradient(t, f)
+        g = np.hstack([slopes.pop("embed"), slopes.pop("value"), slopes.pop("loud")[:, None]]) / t["n"][:, None].astype(np.float32)
+        g = _added(number[t["ids"]], g.repeat(t["n"], 0), len(rows))  # a token is the mean of its ids
+        square = self.square["bag"].take(rows, 0) + g * g
+        self.square["bag"][rows] = square
+        self.bag[rows] -= (self.rate * g / np.sqrt(square)).astype(np.float32)
+        for n, g in slopes.items():
+            self.square[n] += g * g
+            self.net.p[n] -= (self.rate * g / np.sqrt(self.square[n])).astype(np.float32)
         self.net.fuse()
-        bag[rows] = np.hstack([self.net.p["embed"][rows], self.net.p["value"][rows], self.net.p["loud"][rows][:, None]])
-        self.net.bag = bag
+        self.net.bag = self.bag

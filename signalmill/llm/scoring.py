@@ -18,12 +18,13 @@ an empty table gives no rows. Further columns are not read. The 64-bit hashes of
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,10 +39,39 @@ BACKOFF = 1000.0
 #: A word longer than that is not broadcast, so that broadcast bytes are bounded too.
 LONGEST = 64
 FLUSH, DOCS, WINDOWS = 800_000, 200, 512
+#: Bytes of texts that are split into words at once.
+PIECE = 4 << 20
+#: Tokens that a task trains on, about: each task leaves a copy of the parameters, so their number must not follow that of the input's partitions.
+TRAINED = 1 << 21
 
 
-def _words(text: str | None) -> list[bytes]:
-    return raw(text).lower().split()
+class Tokens:
+    """Words of texts, all in Arrow: the distinct ones, which of them stands at each place, and how many each text has."""
+
+    def __init__(self, texts: pa.Array):
+        # Arrow lowers A-Z and splits on exactly SPACE, but leaves an empty word where a text begins or ends with it.
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words, ends = lists.flatten(), lists.value_lengths().to_numpy().cumsum()
+        there = pc.not_equal(words, "")
+        n = np.append(0, np.cumsum(there.to_numpy(zero_copy_only=False)))
+        self.sizes = np.diff(n[np.append(0, ends)])
+        known = words.filter(there).dictionary_encode()
+        self.kinds: list[bytes] = known.dictionary.cast(pa.binary()).to_pylist()
+        self.places = known.indices.to_numpy()
+
+    def pairs(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, kind) of each kind in each text, once, of the kinds that are marked."""
+        texts = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        own = which[self.places]
+        at = np.unique(texts[own] * len(self.kinds) + self.places[own])
+        return at // max(1, len(self.kinds)), at % max(1, len(self.kinds))
+
+
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about PIECE bytes."""
+    n = max(1, b.num_rows * PIECE // max(1, b.nbytes))
+    for s in range(0, b.num_rows, n):
+        yield b.slice(s, n)
 
 
 def row_hash() -> Column:
@@ -57,17 +87,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word, lang, seen (in training documents), every (in all), added up as far as a task's dictionary goes. docs: doc_id, lang, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, bool], Counter] = {}
+        seen: dict[tuple[str, bool], dict[bytes, int]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, held), c in seen.items():
-                words, n = pa.array([w.decode("utf-8", "replace") for w in c], pa.string()), np.fromiter(c.values(), np.int64, len(c))
+                words, n = pa.array(list(c), pa.binary()).cast(pa.string()), np.fromiter(c.values(), np.int64, len(c))
                 yield pa.RecordBatch.from_arrays([words, pa.array([lang] * len(c), pa.string()), pa.array(n * (not held)), pa.array(n)], names=["word", "lang", "seen", "every"])
             seen.clear()
 
-        for b in batches:
-            for doc, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                seen.setdefault((lang or "", remainder(doc, FOLD) == HELD), Counter()).update(_words(text))
+        for b in chain.from_iterable(map(slices, batches)):
+            groups: dict[tuple[str, bool], list[int]] = {}
+            for at, (doc, lang) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                groups.setdefault((lang or "", remainder(doc, FOLD) == HELD), []).append(at)
+            for group, rows in groups.items():
+                t, c = Tokens(b.column(2).take(pa.array(rows))), seen.setdefault(group, {})
+                for w, n in zip(t.kinds, np.bincount(t.places, minlength=len(t.kinds)).tolist(), strict=True):
+                    c[w] = c.get(w, 0) + n
             if sum(map(len, seen.values())) > FLUSH:
                 yield from flush()
         yield from flush()
@@ -144,11 +179,13 @@ def with_light(docs: DataFrame, heavy: A.Heavy, light: DataFrame, k: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = set(shared.value.split())
-        for b in batches:
-            for s in range(0, b.num_rows, DOCS):
-                new = [set(_words(t)).difference(own) for t in b.column(1)[s : s + DOCS].to_pylist()]
-                row = np.repeat(b.column(0)[s : s + DOCS].to_numpy(), [len(x) for x in new])
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word_hashes(w for x in new for w in x))], names=["row", "hash"])
+        for b in chain.from_iterable(map(slices, batches)):
+            t = Tokens(b.column(1))
+            new = np.fromiter((w not in own for w in t.kinds), bool, len(t.kinds))
+            text, kind = t.pairs(new)
+            hashes = np.zeros(len(new), np.int64)
+            hashes[new] = word_hashes(w for w, x in zip(t.kinds, new, strict=True) if x)
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[text], pa.int64()), pa.array(hashes[kind])], names=["row", "hash"])
 
     rows = docs.select("doc_id", "text", row_hash().alias("row"))
     counts = light.select("hash", F.concat_ws(",", *(F.col(f"c{e}").cast("string") for e in range(k))).alias("c"))
@@ -167,14 +204,17 @@ class Scorer:
     def __init__(self, experts: A.Experts, heavy: A.Heavy, params: dict[str, np.ndarray]):
         self.words, self.net = A.Words(experts, heavy), A.Network(params)
 
-    def batch(self, texts: list[str | None], light: pa.ListArray) -> tuple[list[np.ndarray], A.Batch]:
-        flat = light.flatten()
-        docs = self.words.numbers([_words(t) for t in texts], flat.field("hash").to_numpy(), flat.field("c"), word_hashes)
-        return docs, A.Batch(self.words, docs)
+    def batches(self, texts: pa.Array, light: pa.ListArray) -> Iterator[tuple[list[np.ndarray], A.Batch]]:
+        """DOCS texts at a time."""
+        flat, t = light.flatten(), Tokens(texts)
+        numbers = self.words.numbers(t.kinds, flat.field("hash").to_numpy(), flat.field("c"), word_hashes)
+        docs = np.split(numbers[t.places], np.cumsum(t.sizes)[:-1])
+        for s in range(0, len(docs), DOCS):
+            yield docs[s : s + DOCS], A.Batch(self.words, docs[s : s + DOCS])
 
 
-def train(docs: DataFrame, experts: A.Experts, mass: np.ndarray, heavy: A.Heavy, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Parameters of the network. Each round every block of every training document takes part in its task's gradient steps."""
+def train(docs: DataFrame, experts: A.Experts, mass: np.ndarray, heavy: A.Heavy, tasks: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Parameters of the network, by so many tasks at most. Each round every block of every training document takes part in its task's gradient steps."""
     spark = docs.sparkSession
     params = A.initial(mass)
     learnt = docs.where(remainder_col(F.col("doc_id"), FOLD) != HELD).select("doc_id", "text", "light")
@@ -185,9 +225,8 @@ def train(docs: DataFrame, experts: A.Experts, mass: np.ndarray, heavy: A.Heavy,
             scorer = Scorer(*shared.value)
             trainer = A.Trainer(scorer.net.p)
             mixer = np.random.default_rng(turn)
-            for b in batches:
-                for s in range(0, b.num_rows, DOCS):
-                    _, batch = scorer.batch(b.column(1)[s : s + DOCS].to_pylist(), b.column(2)[s : s + DOCS])
+            for b in chain.from_iterable(map(slices, batches)):
+                for _, batch in scorer.batches(b.column(1), b.column(2)):
                     first, at, stop = A.blocks(batch.sizes)
                     turns = mixer.permutation(len(at))  # all blocks of all texts, in an order that mixes the documents
                     for k in range(0, len(at), WINDOWS):
@@ -196,7 +235,7 @@ def train(docs: DataFrame, experts: A.Experts, mass: np.ndarray, heavy: A.Heavy,
             if trainer.seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.seen], pa.int64()), pa.array([trainer.loss]), pa.array([A.flat(trainer.net.p)], pa.binary())], names=["id", "n", "loss", "params"])
 
-        got = stored(learnt.mapInArrow(run, "id long, n long, loss double, params binary"), "trained")
+        got = stored(learnt.coalesce(tasks).mapInArrow(run, "id long, n long, loss double, params binary"), "trained")
         while got.count() > 16:  # averages of 16 at a time, until few are left
             got = stored(got.groupBy(F.floor(F.col("id") / 16).alias("id")).applyInPandas(_averaged, "id long, n long, loss double, params binary"), "trained")
         rows = got.toPandas()
@@ -234,15 +273,14 @@ def scored(docs: DataFrame) -> DataFrame:
     light = with_light(docs.select("doc_id", "text"), heavy, words.where(~often), len(ends))
     dropped(words, by_lang)
     laid = joined(docs, light)
-    params = train(laid, experts, mass, heavy)
+    params = train(laid, experts, mass, heavy, max(1, math.ceil(tokens / TRAINED)))
     shared = spark.sparkContext.broadcast((experts, heavy, params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for b in batches:
+        for b in chain.from_iterable(map(slices, batches)):
             out: list[list] = [[], [], [], []]
-            for s in range(0, b.num_rows, DOCS):
-                docs_, batch = scorer.batch(b.column(1)[s : s + DOCS].to_pylist(), b.column(2)[s : s + DOCS])
+            for docs_, batch in scorer.batches(b.column(1), b.column(2)):
                 w = scorer.words
                 got = ([len(d) + 1 for d in docs_], [int(w.known[d].sum()) for d in docs_], [float(w.log[d].sum()) for d in docs_], scorer.net.log10(batch).tolist())
                 for to, v in zip(out, got, strict=True):

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from signalmill.llm import chat, jaccard, mixing, packing, pii, quality, scoring, suffix, tokens, toxicity, vectors
 
@@ -102,6 +103,27 @@ def test_op1_trains_on_every_token(spark, tables, monkeypatch):
     assert seen == [sum(len(low(t)) + 1 for i, t, _ in docs if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2)]
 
 
+def test_op1_tasks_follow_tokens(spark, monkeypatch):
+    """Each training task leaves a copy of the parameters: over 24 partitions of few tokens there were 24 of them, which filled the disk."""
+    docs = spark.createDataFrame([(i, f"a b c{i % 7}", "en") for i in range(96)], "doc_id long, text string, lang string").repartition(24)
+    copies, averaged = [], scoring._averaged
+    monkeypatch.setattr(scoring, "_averaged", lambda rows: copies.append(len(rows)) or averaged(rows))
+    monkeypatch.setattr(scoring, "joined", lambda docs, light: docs.join(F.broadcast(light.withColumnRenamed("row", "r")), F.col("r") == scoring.row_hash(), "left").select("doc_id", "text", "light"))
+    assert scoring.scored(docs).count() == 96 and copies == [1]
+
+
+def test_op1_words():
+    """Arrow's words are those of the contract: split on ASCII white space alone, A-Z lowered, none empty."""
+    import pyarrow as pa
+
+    texts = [" a \x0b\x1c b\tC\xa0d\r\n", "", None, "\x85x İÀ\u2028Z", "  ", "B a", "a" * 99]
+    t = scoring.Tokens(pa.array(texts))
+    got = np.split([t.kinds[k] for k in t.places], np.cumsum(t.sizes)[:-1])
+    assert [list(x) for x in got] == [low(x) for x in texts] and len(set(t.kinds)) == len(t.kinds)
+    text, kind = t.pairs(np.array([k != b"a" for k in t.kinds]))
+    assert sorted((i, t.kinds[k]) for i, k in zip(text, kind)) == sorted({(i, w) for i, x in enumerate(texts) for w in low(x) if w != b"a"})
+
+
 def test_op1_learns(spark):
     """Held-out texts of two languages: the model tells which it is in and repeats what it met, so it beats the unigrams of both."""
     rnd = random.Random(2)
