@@ -14,7 +14,6 @@ at least BACK places before it (or its document's start), all windows of a batch
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -30,6 +29,8 @@ SYMBOLS, ROWS = 2 * IDS, IDS + 2
 #: Numbers of the end and of what is before a text; words are numbered from 2 on.
 END, BEFORE = 0, 1
 CACHE = 300_000
+#: Windows that are computed at once, so that their weights stay in a core's cache. Slopes are added up over them, so it changes no result.
+CHUNK = 128
 BAGS = ("embed", "value", "loud")
 
 
@@ -66,30 +67,29 @@ class Experts:
 Heavy = tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-class _Index(dict):
-    """Number of each word; one that is not there gets the next number and is noted as new."""
+class Index(dict):
+    """Number of each word, from a first one on; one that is not there gets the next number and is noted as new."""
 
-    def __init__(self, words: list[bytes]):
-        super().__init__(zip(words, range(2, 2 + len(words)), strict=True))
-        self.new: list[bytes] = []
+    def __init__(self, first: int = 0):
+        super().__init__()
+        self.first, self.new = first, []
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self) + 2
+        self[word] = n = len(self) + self.first
         self.new.append(word)
         return n
 
 
 class Words:
-    """Words met so far: number of each, and by number its subword ids, its log probabilities, and what the base needs.
+    """What is known of words by number: subword ids, log probabilities, and what the base needs.
 
-    Heavy words are always there; the others come with the documents that hold them, by hash.
+    Heavy words are always there; the others come with the documents that hold them.
     """
 
     def __init__(self, experts: Experts, heavy: Heavy):
-        words, seen, n, symbols, logs = heavy
+        _, seen, n, symbols, logs = heavy
         self.experts = experts
-        self.index = _Index(words.split())
-        self.added: list[bytes] = []
+        self.index = Index(2 + len(n))
         self.n, self.ids = np.concatenate([[1, 1], n]), np.concatenate([[IDS, IDS + 1], symbols >> 1])
         self.start = np.cumsum(self.n) - self.n
         self.logs = np.concatenate([[experts.ends - experts.bottom, np.zeros(logs.shape[1])], logs])
@@ -104,26 +104,23 @@ class Words:
             setattr(self, name, a := more)
         a[at : at + len(x)] = x
 
-    def numbers(self, kinds: list[bytes], hashes: np.ndarray, counts: pa.StringArray, hashed: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
-        """Numbers of words, each of which comes once. hashes, counts: of each word that is not heavy its hash and times seen by each expert, joined by commas."""
-        if len(self.added) > CACHE:
-            for w in self.added:
-                del self.index[w]
-            self.added, self.used = [], self.base
+    def numbers(self, kinds: list[bytes], counts: pa.Array) -> np.ndarray:
+        """Numbers of words that are not heavy, each of which comes once. counts: times seen by each expert, joined by commas."""
         index = self.index
+        if len(index) > CACHE:
+            index.clear()
+            self.used = self.base
         out = np.fromiter(map(index.__getitem__, kinds), np.int64, len(kinds))
         if new := index.new:
             words, at = self.used
             symbols, n = pieces(new)
-            order = np.argsort(hashes)
-            at_ = order[np.searchsorted(hashes, hashed(new), sorter=order)]
-            times = np.array(",".join(counts.take(pa.array(at_)).to_pylist()).split(","), np.float64).reshape(len(new), -1)
+            met = counts.take(pa.array(np.flatnonzero(out >= words))).to_pylist()
+            times = np.array(",".join(met).split(","), np.float64).reshape(len(new), -1)
             seen = times.sum(1)
             for name, x in (("start", at + np.cumsum(n) - n), ("n", n), ("log", np.log10(seen + 1.0)), ("known", (seen > 0).astype(np.int64)), ("logs", self.experts.logs(times, symbols, n))):
                 self._put(name, words, x)
             self._put("ids", at, symbols >> 1)
             self.used = words + len(new), at + len(symbols)
-            self.added += new
             index.new = []
         return out
 
@@ -153,17 +150,21 @@ class Batch:
 
 
 def mean_rows(table: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Means of runs of rows, n long each: the first rows of all runs, the second ones, and so on."""
-    start = np.cumsum(n) - n
+    """Means of runs of rows, n long each: the first rows of all runs, the second ones, and so on, long runs first."""
+    order = np.argsort(-n, kind="stable")
+    start, size = (np.cumsum(n) - n)[order], n[order]
     out = table.take(ids[start], 0)
-    for d in range(1, int(n.max(initial=1))):
-        more = np.flatnonzero(n > d)
-        if len(more) < 64:  # few long runs are left
-            for k in more:
-                out[k] += table[ids[start[k] + d : start[k] + n[k]]].sum(0)
+    longer = np.searchsorted(-size, -np.arange(1, int(n.max(initial=1))), side="left")  # runs of more than d rows, for d = 1, 2, ..
+    for d, m in enumerate(longer.tolist(), 1):
+        if m < 64:  # few long runs are left
+            for k in range(m):
+                out[k] += table[ids[start[k] + d : start[k] + size[k]]].sum(0)
             break
-        out[more] += table.take(ids[start[more] + d], 0)
-    return out / n[:, None].astype(out.dtype)
+        out[:m] += table.take(ids[start[:m] + d], 0)
+    out /= size[:, None].astype(out.dtype)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out.take(back, 0)
 
 
 def initial(mass: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
@@ -202,32 +203,25 @@ def blocks(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(starts, n), np.repeat(starts, n) + STEP * at, np.repeat(ends, n)
 
 
-def _added(rows: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
-    """Sums of x (rows by columns) by row number."""
-    width = x.shape[1]
-    out = np.zeros(size * width, x.dtype)
-    np.add.at(out, ((rows * width)[:, None] + np.arange(width)).ravel(), x.ravel())
-    return out.reshape(size, width)
+def _add(out: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
+    """Adds the rows of x to those rows of out. Two columns are added at once, as one complex number."""
+    even, pair = x.shape[1] // 2 * 2, np.result_type(x.dtype, np.complex64)
+    x = np.ascontiguousarray(x)
+    for c in range(0, even, 2):
+        np.add.at(out[:, c : c + 2].view(pair)[:, 0], rows, x[:, c : c + 2].view(pair)[:, 0])
+    if even < x.shape[1]:
+        np.add.at(out[:, even], rows, x[:, even])
 
 
-def _pairs(token: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(seen: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where a place of a block has a token that an earlier place of its window has: the block's place, and its place among all cosines."""
-    none = token.max(initial=0) + 1
-    kinds = np.where(real, token, none).astype(np.uint16 if none < 1 << 16 else np.int64)  # 16 bits are sorted by counting
-    order = np.argsort(kinds, axis=1, kind="stable")
-    kinds, order = np.take_along_axis(kinds, order, 1).ravel(), order.ravel()
-    last = np.arange(len(kinds)) | (SPAN - 1)  # SPAN is a power of two
-    at, back, rows, same = np.flatnonzero(kinds != none), 0, [], []
-    while len(at):  # neighbours in that order, then the next but one, and so on
-        back += 1
-        at = at[at + back <= last[at]]
-        at = at[kinds[at] == kinds[at + back]]
-        later = order[at + back]
-        own = later >= BACK
-        row = (at[own] // SPAN) * STEP + later[own] - BACK
-        rows.append(row)
-        same.append(row * SPAN + order[at[own]])
-    return (np.concatenate(rows), np.concatenate(same)) if rows else (np.zeros(0, np.int64),) * 2
+    kind = np.uint16 if max(seen.max(initial=0), own.max(initial=0)) < 1 << 16 else np.int32
+    like = own.astype(kind)[:, :, None] == seen.astype(kind)[:, None, :]
+    like &= _CAUSAL
+    eights = np.flatnonzero(like.reshape(-1).view(np.uint64))  # most hold none
+    at = np.flatnonzero(like.reshape(-1, 8).take(eights, 0))
+    same = eights[at >> 3] * 8 + (at & 7)
+    return same // SPAN, same
 
 
 class Network:
@@ -240,109 +234,132 @@ class Network:
         self.bag: np.ndarray | None = None
 
     def tables(self, words: Words, kinds: np.ndarray, fresh: bool = False) -> dict[str, np.ndarray]:
-        """Queries, keys and weighted values of kinds of tokens (fresh: parameters were changed from outside). Keys have one more column, the mask of places that are not there."""
+        """Queries, keys and weighted values of kinds of tokens (fresh: parameters were changed from outside).
+
+        Keys have one more column and, as weighted values, one more row, which stands for places that are not there.
+        """
         ids, n = words.bags(kinds)
-        p = self.p
+        p, size = self.p, len(kinds)
         if self.bag is None or fresh:
             self.bag = np.hstack([p["embed"], p["value"], p["loud"][:, None]])
         mean = mean_rows(self.bag, ids, n)
         x, value, loud = mean[:, :DIM], mean[:, DIM:-1], np.exp(np.clip(mean[:, -1:], -5, 5))
-        one = np.ones((len(kinds), 1), x.dtype)
-        query, key = x @ p["query"], x @ p["key"]
-        most = np.sqrt((query * query).sum(1).max(initial=0) * (key * key).sum(1).max(initial=0)) + p["near"].max()
-        return {"ids": ids, "n": n, "x": x, "query": np.hstack([query, one]), "key": np.hstack([key, 0 * one]), "most": most, "value": value, "loud": loud, "weighed": np.hstack([loud * value, loud]).T.copy()}
+        query, key = np.ones((size, DIM + 1), x.dtype), np.zeros((size + 1, DIM + 1), x.dtype)
+        query[:, :DIM], key[:size, :DIM], key[size, DIM] = x @ p["query"], x @ p["key"], -1e9
+        most = np.sqrt((query[:, :DIM] ** 2).sum(1).max(initial=0) * (key[:size] ** 2).sum(1).max(initial=0)) + p["near"].max()
+        weighed = np.zeros((value.shape[1] + 1, size + 1), x.dtype)
+        weighed[:-1, :size], weighed[-1, :size] = (loud * value).T, loud[:, 0]
+        return {"ids": ids, "n": n, "x": x, "query": query, "key": key, "most": most, "value": value, "loud": loud, "weighed": weighed}
 
     def forward(self, t: dict[str, np.ndarray], prior: np.ndarray, token: np.ndarray, real: np.ndarray, px: np.ndarray, scale: np.ndarray) -> dict[str, np.ndarray]:
         """Log probability of each place of the blocks. prior, token: kinds (rows of t) of the windows' places; px (a row for each expert), scale: experts' probabilities of the blocks' tokens."""
-        p = self.p
-        k = t["key"].take(prior, 0)
-        k[..., DIM] = np.where(real, 0, -1e9)
-        q = t["query"].take(prior[:, BACK:], 0)
+        p, none = self.p, len(t["n"])
+        asked, prior, seen = prior[:, BACK:], np.where(real, prior, none), np.where(real, token, none)
+        k, q = t["key"].take(prior, 0), t["query"].take(asked, 0)
         e = np.matmul(q, k.transpose(0, 2, 1))
         e += self.static
         if t["most"] > 20:
             np.minimum(e, 20, out=e)
         np.exp(e, out=e)
         z = 1 + e @ np.ones(SPAN, e.dtype)
-        row, same = _pairs(token, real)
-        hit = np.bincount(row, e.reshape(-1)[same], z.size).reshape(z.shape).astype(z.dtype) / z
+        row, same = _pairs(seen, np.where(real[:, BACK:], token[:, BACK:], none + 1))
+        met = e.reshape(-1)[same]
+        hit = np.bincount(row, met, z.size).reshape(z.shape).astype(z.dtype) / z
         # Experts come first, places last, so that each step runs along the places.
-        total = np.cumsum(t["weighed"].take(token, 1) * real, axis=2)[..., BACK - 1 : SPAN - 1]
+        total = t["weighed"].take(seen, 1)
+        total[..., BACK - 1] = total[..., :BACK].sum(2)
+        total = np.cumsum(total[..., BACK - 1 : SPAN - 1], axis=2)
         weight = total[-1] + z.dtype.type(1e-3)
         c = total[:-1] / weight
-        u = (p["gain"].T @ c.reshape(len(c), -1)).reshape(c.shape) + p["prior"][:, None, None]
+        flat = c.reshape(len(c), -1)
+        u = (p["gain"].T @ flat).reshape(c.shape)
+        u += p["prior"][:, None, None]
         u -= u.max(0)
         pi = np.exp(u, out=u)
         pi /= pi.sum(0)
         mix = (pi * px).sum(0)
-        g = 1 / (1 + np.exp(-np.clip(p["copy"][0] + (p["copy_c"] @ c.reshape(len(c), -1)).reshape(z.shape), -30, 30)))
-        share = g * (1 - 1 / z)
-        logs = np.log(((1 - share) * mix).astype(np.float64)) + scale
-        some = hit > 0
-        logs[some] = np.logaddexp(np.log((g * hit)[some].astype(np.float64)), logs[some])
-        return {"log": logs, "real": real[:, BACK:], "prior": prior, "token": token, "all": real, "q": q, "k": k, "e": e, "z": z, "same": same, "row": row, "hit": hit, "weight": weight, "c": c, "pi": pi, "px": px, "mix": mix, "scale": scale, "g": g}
-
-    def gradient(self, t: dict[str, np.ndarray], f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        """Slopes of the mean loss, by hand; those of the embeddings, values and loudness are for the rows of t."""
+        g = 1 / (1 + np.exp(-np.clip(p["copy"][0] + (p["copy_c"] @ flat).reshape(z.shape), -30, 30)))
+        a0 = 1 / z
+        logs = np.log((1 - g * (1 - a0)) * mix) + scale
+        some = np.flatnonzero(hit)
+        logs.reshape(-1)[some] = np.logaddexp(np.log((g.reshape(-1)[some] * hit.reshape(-1)[some]).astype(np.float64)), logs.reshape(-1)[some])
+        return {"log": logs, "real": real[:, BACK:], "asked": asked, "prior": prior, "seen": seen, "q": q, "k": k, "e": e, "a0": a0, "same": same, "row": row, "met": met, "hit": hit, "weight": weight, "c": c, "pi": pi, "px": px, "mix": mix, "scale": scale, "g": g}
+
+    def gradient(self, t: dict[str, np.ndarray], *parts: dict[str, np.ndarray], total: int | None = None) -> dict[str, np.ndarray]:
+        """Slopes of the mean loss over parts of forward(), by hand; those of the embeddings, values and loudness are for the rows of t."""
+        sums = self.sums(t)
+        for f in parts:
+            self.add(sums, f, total or int(sum(x["real"].sum() for x in parts)))
+        return self.slopes(t, sums)
+
+    def sums(self, t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Zeros for add()."""
+        kind, size, k = t["x"].dtype, len(t["n"]) + 1, len(self.p["prior"])
+        shapes = {"q": (size, DIM), "k": (size, DIM), "w": (size, k + 1), "near": (STEP, SPAN), "copy": (1,), "copy_c": (k,), "prior": (k,), "gain": (k, k)}
+        return {n: np.zeros(shape, kind) for n, shape in shapes.items()}
+
+    def add(self, sums: dict[str, np.ndarray], f: dict[str, np.ndarray], total: int) -> None:
+        """Adds what f, which is used up, gives to the slopes of the mean over a total of places."""
         p, kind = self.p, f["e"].dtype
-        w = f["real"] / max(1, f["real"].sum())
-        floor = np.exp(np.maximum(f["scale"], -60)).astype(kind)
-        mix, px, c = f["mix"] * floor, f["px"] * floor, f["c"]
-        a0, g = 1 / f["z"], f["g"]
-        d = (-w / np.maximum(g * f["hit"] + (1 - g * (1 - a0)) * mix, 1e-30)).astype(kind)
+        floor = np.exp(np.maximum(f["scale"], -60).astype(kind))
+        mix, px, c, a0, g, hit = f["mix"] * floor, f["px"] * floor, f["c"], f["a0"], f["g"], f["hit"]
+        left = 1 - g * (1 - a0)
+        d = f["real"] * kind.type(-1 / max(1, total)) / np.maximum(g * hit + left * mix, 1e-30)
         dg_z = d * g * a0
-        ds = f["e"] * (-dg_z * (f["hit"] + mix * a0))[..., None]
-        ds.reshape(-1)[f["same"]] += f["e"].reshape(-1)[f["same"]] * dg_z.reshape(-1)[f["row"]]
+        ds = f["e"]
+        ds *= (-dg_z * (hit + mix * a0))[..., None]
+        ds.reshape(-1)[f["same"]] += f["met"] * dg_z.reshape(-1)[f["row"]]
         dq, dk = np.matmul(ds, f["k"][..., :DIM]), np.matmul(ds.transpose(0, 2, 1), f["q"][..., :DIM])
-        size = len(t["n"])
-        gq, gk = _added(f["prior"][:, BACK:].ravel(), dq.reshape(-1, DIM), size), _added(f["prior"].ravel(), dk.reshape(-1, DIM), size)
-        out = {"query": t["x"].T @ gq, "key": t["x"].T @ gk, "embed": gq @ p["query"].T + gk @ p["key"].T}
-        out["near"] = np.bincount(_GAP[_CAUSAL], ds.sum(0)[_CAUSAL], SPAN).astype(kind)
-        dg = d * (f["hit"] - (1 - a0) * mix) * g * (1 - g)
+        _add(sums["q"], f["asked"].ravel(), dq.reshape(-1, DIM))
+        _add(sums["k"], f["prior"].ravel(), dk.reshape(-1, DIM))
+        sums["near"] += ds.sum(0)
+        dg = d * (hit - (1 - a0) * mix) * g * (1 - g)
         flat = c.reshape(len(c), -1)
-        out["copy"], out["copy_c"] = np.array([dg.sum()], kind), flat @ dg.ravel()
-        dpi = d * (1 - g * (1 - a0)) * px
+        sums["copy"] += dg.sum()
+        sums["copy_c"] += flat @ dg.ravel()
+        dpi = (d * left) * px
         du = f["pi"] * (dpi - (f["pi"] * dpi).sum(0))
-        out["prior"] = du.sum((1, 2))
-        out["gain"] = flat @ du.reshape(len(c), -1).T
+        sums["prior"] += du.sum((1, 2))
+        sums["gain"] += flat @ du.reshape(len(c), -1).T
         dc = (p["gain"] @ du.reshape(len(c), -1)).reshape(c.shape) + dg * p["copy_c"][:, None, None]
         part = np.concatenate([dc, -(dc * c).sum(0)[None]]) / f["weight"]
         # A place weighs on all places of the block behind it.
         back = np.cumsum(part[..., ::-1], axis=2)[..., ::-1]
-        dw = np.concatenate([np.repeat(back[..., :1], BACK, 2), back[..., 1:], np.zeros_like(back[..., :1])], axis=2) * f["all"]
-        to = f["token"].ravel()
-        dw = np.stack([np.bincount(to, x, size) for x in dw.reshape(len(dw), -1)], axis=1).astype(kind)
+        dw = np.concatenate([np.repeat(back[..., :1], BACK, 2), back[..., 1:], np.zeros_like(back[..., :1])], axis=2)
+        _add(sums["w"], f["seen"].ravel(), dw.reshape(len(dw), -1).T)
+
+    def slopes(self, t: dict[str, np.ndarray], sums: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        p = self.p
+        gq, gk, dw = (sums[n][:-1] for n in "qkw")  # the last is for places that are not there
+        out = {n: sums[n] for n in ("copy", "copy_c", "prior", "gain")}
+        out |= {"query": t["x"].T @ gq, "key": t["x"].T @ gk, "embed": gq @ p["query"].T + gk @ p["key"].T}
+        out["near"] = np.bincount(_GAP[_CAUSAL], sums["near"][_CAUSAL], SPAN).astype(dw.dtype)
         out["value"] = dw[:, :-1] * t["loud"]
         out["loud"] = ((dw[:, :-1] * t["value"]).sum(1) + dw[:, -1]) * t["loud"][:, 0]
         return out
 
-    def log10(self, b: Batch, size: int = 256) -> np.ndarray:
+    def log10(self, b: Batch) -> np.ndarray:
         """log10 probability of each document of the batch."""
         t = self.tables(b.words, b.kinds)
         first, at, end = blocks(b.sizes)
         out = np.zeros(len(b.token))
-        for s in range(0, len(at), size):
-            f, place = self.windows(t, b, first[s : s + size], at[s : s + size], end[s : s + size])
+        for s in range(0, len(at), CHUNK):
+            f, place = self.windows(t, b, first[s : s + CHUNK], at[s : s + CHUNK], end[s : s + CHUNK])
             out[place[:, BACK:][f["real"]]] = f["log"][f["real"]]
         return np.add.reduceat(out, np.cumsum(b.sizes) - b.sizes) / np.log(10)
 
-    def windows(self, t: dict[str, np.ndarray] | None, b: Batch, first: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """forward() of blocks of a batch, and the windows' places. Without t, tables of the kinds in these windows are made, and told as t and kinds."""
+    def view(self, b: Batch, first: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The windows' places of blocks of a batch, the kinds before and at them, and which are there."""
         place = at[:, None] - BACK + np.arange(SPAN)[None]
         real = (place >= first[:, None]) & (place < end[:, None])
         safe = np.clip(place, 0, len(b.token) - 1)
-        prior, token = b.prior[safe], b.token[safe]
+        return place, b.prior.take(safe), b.token.take(safe), real
+
+    def windows(self, t: dict[str, np.ndarray], b: Batch, first: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """forward() of blocks of a batch, and the windows' places."""
+        place, prior, token, real = self.view(b, first, at, end)
         own = token[:, BACK:]
-        px, scale = b.p.take(own, 1), b.scale[own]
-        more = {}
-        if t is None:
-            there = np.zeros(len(b.kinds), bool)
-            there[prior], there[token] = True, True
-            number = np.cumsum(there) - 1
-            t = self.tables(b.words, b.kinds[there])
-            prior, token = number[prior], number[token]
-            more = {"t": t}
-        return self.forward(t, prior, token, real, px.astype(self.p["gain"].dtype), scale) | more, place
+        return self.forward(t, prior, token, real, b.p.take(own, 1), b.scale.take(own)), place
 
 
 class Trainer:
@@ -358,21 +375,33 @@ class Trainer:
         self.seen, self.loss = 0, 0.0
 
     def step(self, b: Batch, first: np.ndarray, at: np.ndarray, end: np.ndarray) -> None:
-        f, _ = self.net.windows(None, b, first, at, end)
-        t = f["t"]
-        self.loss -= float(f["log"][f["real"]].sum())
-        self.seen += int(f["real"].sum())
+        net = self.net
+        _, prior, token, real = net.view(b, first, at, end)
+        there = np.zeros(len(b.kinds), bool)
+        there[prior], there[token] = True, True
+        number = np.cumsum(there) - 1
+        t = net.tables(b.words, b.kinds[there])
+        sums, total = net.sums(t), int(real[:, BACK:].sum())
+        for s in range(0, len(at), CHUNK):
+            some = slice(s, s + CHUNK)
+            own = token[some, BACK:]
+            f = net.forward(t, number.take(prior[some]), number.take(token[some]), real[some], b.p.take(own, 1), b.scale.take(own))
+            self.loss -= float(f["log"][f["real"]].sum())
+            net.add(sums, f, total)
+        self.seen += total
         there = np.zeros(ROWS, bool)
         there[t["ids"]] = True
         rows, number = np.flatnonzero(there), np.cumsum(there) - 1
-        slopes = self.net.gradient(t, f)
+        slopes = net.slopes(t, sums)
         g = np.hstack([slopes.pop("embed"), slopes.pop("value"), slopes.pop("loud")[:, None]]) / t["n"][:, None].astype(np.float32)
-        g = _added(number[t["ids"]], g.repeat(t["n"], 0), len(rows))  # a token is the mean of its ids
+        shares = np.zeros((len(rows), g.shape[1]), g.dtype)
+        _add(shares, number[t["ids"]], g.repeat(t["n"], 0))  # a token is the mean of its ids
+        g = shares
         square = self.square["bag"].take(rows, 0) + g * g
         self.square["bag"][rows] = square
         self.bag[rows] -= (self.rate * g / np.sqrt(square)).astype(np.float32)
         for n, g in slopes.items():
             self.square[n] += g * g
-            self.net.p[n] -= (self.rate * g / np.sqrt(self.square[n])).astype(np.float32)
-        self.net.fuse()
-        self.net.bag = self.bag
+            net.p[n] -= (self.rate * g / np.sqrt(self.square[n])).astype(np.float32)
+        net.fuse()
+        net.bag = self.bag

@@ -49,12 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec: str = "snappy") -> DataFrame:
     """df written as a table in the shared folder and read again: it cuts the lineage, and lost executors cost nothing."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.partitionBy(*partition_by).parquet(at) if partition_by else df.write.parquet(at)
+    to = df.write.option("compression", codec)
+    to.partitionBy(*partition_by).parquet(at) if partition_by else to.parquet(at)
     out = spark.read.schema(schema).parquet(at)
     out.stored_at = at
     # Shuffle files are removed once the driver has collected the plans that made them, which a large heap may put off for long.

@@ -112,6 +112,19 @@ def test_op1_tasks_follow_tokens(spark, monkeypatch):
     assert scoring.scored(docs).count() == 96 and copies == [1]
 
 
+def test_op1_texts_are_split_once(spark):
+    """Rows of texts give back each document's words in order; what follows reads numbers only."""
+    docs = [(i, " ".join(f"W{(i * k) % 11}" for k in range(i % 9)), "en") for i in range(50)] + [(50, None, None)]
+    got = scoring.texts(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)).toArrow()
+    back = {}
+    for ids, text in zip(got["doc_id"], got["text"]):
+        words, sizes, places = scoring.unpacked(text)
+        kinds = words.split()
+        assert len(set(kinds)) == len(kinds)
+        back |= {i: [kinds[k] for k in part] for i, part in zip(ids.as_py(), np.split(places, np.cumsum(sizes)[:-1]))}
+    assert back == {i: low(t) for i, t, _ in docs}
+
+
 def test_op1_words():
     """Arrow's words are those of the contract: split on ASCII white space alone, A-Z lowered, none empty."""
     import pyarrow as pa
