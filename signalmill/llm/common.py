@@ -49,12 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec: str | None = None) -> DataFrame:
     """df written as a table in the shared folder and read again: it cuts the lineage, and lost executors cost nothing."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    to = df.write.option("compression", codec)
+    to = df.write.option("compression", codec) if codec else df.write
     to.partitionBy(*partition_by).parquet(at) if partition_by else to.parquet(at)
     out = spark.read.schema(schema).parquet(at)
     out.stored_at = at
